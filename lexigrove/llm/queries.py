@@ -47,6 +47,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprints
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
 }
 
