@@ -29,6 +29,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -62,6 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_embed_dedup": op4_embed_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
