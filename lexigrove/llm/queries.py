@@ -17,6 +17,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -35,6 +42,12 @@ def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -66,9 +79,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_bpe": op2_bpe,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_embed_dedup": op4_embed_dedup,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
