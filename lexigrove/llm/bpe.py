@@ -55,7 +55,8 @@ def _powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 class ByteBPE:
     """Encoder of one vocabulary file of the tokenizers library (byte-level BPE, no normaliser)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, strings: bool = False):
+        self.strings = strings  # keep each word's ids as text and its decoded bytes, too
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -130,13 +131,13 @@ class ByteBPE:
         order = np.argsort(of, kind="stable")
         return symbols[order], np.bincount(of, minlength=len(words))
 
-    def _learn(self, words: list[str], strings: bool) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Encode words and remember them after those known."""
         plain = [w.encode("utf-8", "surrogatepass") for w in words]
         ids, sizes = self.merge(plain)
-        self._keep(ids, sizes, strings)
+        self._keep(ids, sizes)
 
-    def _keep(self, ids: np.ndarray, sizes: np.ndarray, strings: bool) -> None:
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, k = len(sizes), len(ids)
         while self.words + n > len(self.lengths):
             self.lengths = np.r_[self.lengths, np.zeros_like(self.lengths)]
@@ -148,7 +149,7 @@ class ByteBPE:
         self.store[self.used : self.used + k] = ids
         self.words += n
         self.used += k
-        if strings:
+        if self.strings:
             at = 0
             flat, table = ids.tolist(), self.token_bytes
             for size in sizes.tolist():
@@ -157,7 +158,7 @@ class ByteBPE:
                 self.decimal.append(",".join(map(str, own)).encode())
                 self.raw.append(b"".join([table[i] for i in own]))
 
-    def words_of(self, texts: list[str], strings: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known words that the texts consist of, in one array, and where each text's begin (n + 1 places)."""
         if self.words > REMEMBERED_WORDS:
             self._forget()
@@ -230,11 +231,11 @@ class ByteBPE:
                 ids = dict(zip(marks, [i for _, i in special]))
                 for w, a in zip(words, begin[spans].tolist()):
                     if a in ids:
-                        self._keep(np.array([ids[a]]), np.array([1]), strings)
+                        self._keep(np.array([ids[a]]), np.array([1]))
                     else:
-                        self._learn([w], strings)
+                        self._learn([w])
             else:
-                self._learn(words, strings)
+                self._learn(words)
         of_part = np.searchsorted(begin, np.r_[0, ends])
         parts_of = np.searchsorted(np.array(owner, np.int64), np.arange(len(texts) + 1))
         return number[which], of_part[parts_of]
@@ -261,9 +262,9 @@ def _cut_at(text: str, mark: str) -> list[str]:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> ByteBPE:
-    """One encoder for each worker and vocabulary file."""
-    return ByteBPE(path)
+def encoder(path: str, strings: bool = False) -> ByteBPE:
+    """One encoder for each worker, vocabulary file and use."""
+    return ByteBPE(path, strings)
 
 
 def chunks(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -290,11 +291,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path, strings=True)
         for batch in batches:
             count, told, back, all_ids, texts_out = [], [], [], [], []
             for _, texts in chunks(batch.column(1)):
-                words, at = bpe.words_of(texts, strings=True)
+                words, at = bpe.words_of(texts)
                 sizes = np.r_[0, np.cumsum(bpe.lengths[words])]
                 decimal, raw, flat = bpe.decimal, bpe.raw, words.tolist()
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
