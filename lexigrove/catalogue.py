@@ -1,10 +1,508 @@
-"""Queries over the driver's tables and their DuckDB counterparts."""
+"""Queries over the driver's tables and their DuckDB counterparts.
+
+documents stand for articles (source for the article group), benchmark for questions, labels.quality
+for priors, embeddings for phrase vectors (label for the document), conversations for
+predictions and truths, events for runs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexigrove.functions import text as X
+from lexigrove.functions import vector as V
+from lexigrove.operators import evaluate, render, search, tfidf, vindex, windows
+from lexigrove.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOPWORDS)
+_TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
+
+
+def _grams(table: str, key: str, name: str, text: str = "text") -> str:
+    """CTEs: name_gram(key, term), the kept terms of one and two words."""
+    return f"""{name}_tok AS (SELECT {key}, unnest(t) w, generate_subscripts(t, 1) i FROM (SELECT {key}, regexp_extract_all({text}, '{_TOKEN}') t FROM {table})),
+{name}_flag AS (SELECT *, (regexp_full_match(w, '\\p{{P}}+') OR lower(w) IN ({_STOP})) f FROM {name}_tok),
+{name}_next AS (SELECT *, lead(w) OVER (PARTITION BY {key} ORDER BY i) nw, lead(f) OVER (PARTITION BY {key} ORDER BY i) nf FROM {name}_flag),
+{name}_gram AS (SELECT {key}, lower(w) term FROM {name}_flag WHERE NOT f UNION ALL SELECT {key}, lower(w) || ' ' || lower(nw) FROM {name}_next WHERE NOT f AND NOT nf)"""
+
+
+_DOCS = _grams("documents", "doc_id", "d")
+_SCORES = f"""{_DOCS}, {_grams("benchmark", "item_id", "q")},
+qtf AS (SELECT item_id, term, count(*) tf FROM q_gram GROUP BY ALL),
+dtf AS (SELECT doc_id, term, count(*) tf FROM d_gram WHERE term IN (SELECT term FROM qtf) GROUP BY ALL),
+idf AS (SELECT term, greatest(0.0, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5))) idf FROM dtf GROUP BY term),
+scores AS (SELECT item_id, doc_id, round(sum(ln(1 + qtf.tf) * ln(1 + dtf.tf) * idf * idf), 6) score FROM qtf JOIN dtf USING (term) JOIN idf USING (term) WHERE idf > 0 GROUP BY ALL)"""
+
+
+def _top(table: str, k: int, by: str, order: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) rank FROM {table} QUALIFY rank <= {k}"
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT n_tokens, coalesce(list_sum(list_transform(t, lambda w: length(w))), 0)::BIGINT n_visible FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') t FROM documents)")
+def tokenize_counts(spark, d):
+    t = X.tokens(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.aggregate(t, F.lit(0), lambda s, w: s + F.length(w)).cast("long").alias("n_visible"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, count(*) FILTER (WHERE NOT f) kept, count(*) FILTER (WHERE f) dropped FROM d_flag GROUP BY doc_id")
+def filtered_unigrams(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("w")).select("doc_id", X.is_filtered(F.col("w")).alias("f"))
+    return rows.groupBy("doc_id").agg(F.count_if(~F.col("f")).alias("kept"), F.count_if("f").alias("dropped"))
+
+
+@query(f"WITH {_DOCS} SELECT term, count(DISTINCT doc_id) df FROM d_gram GROUP BY term ORDER BY df DESC, term LIMIT 50")
+def ngram_df_top(spark, d):
+    return tfidf.document_frequencies(tfidf.term_counts(_t(spark, d, "documents"))).orderBy(F.desc("df"), "term").limit(50)
+
+
+@query(f"""WITH {_DOCS}, df AS (SELECT term, count(DISTINCT doc_id) df FROM d_gram GROUP BY term)
+SELECT term, df, round(greatest(0.0, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))), 6) idf FROM df""")
+def idf_table(spark, d):
+    docs = _t(spark, d, "documents")
+    rows = tfidf.document_frequencies(tfidf.term_counts(docs)).crossJoin(F.broadcast(tfidf.corpus_size(docs)))
+    return rows.select("term", "df", F.round(tfidf.idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
+
+
+@query(f"""WITH {_DOCS}, tf AS (SELECT doc_id, term, count(*) tf FROM d_gram GROUP BY ALL), df AS (SELECT term, count(*) df FROM tf GROUP BY term),
+w AS (SELECT doc_id, term, tf, round(ln(1 + tf) * greatest(0.0, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))), 6) weight FROM tf JOIN df USING (term))
+{_top("w", 5, "doc_id", "weight DESC, term")}""")
+def tfidf_weights_topterms(spark, d):
+    docs = _t(spark, d, "documents")
+    counts = tfidf.term_counts(docs)
+    rows = tfidf.weights(counts, tfidf.document_frequencies(counts), tfidf.corpus_size(docs)).withColumn("weight", F.round("weight", 6))
+    return tfidf.top_k(rows, 5, "doc_id", "term", "weight").select("doc_id", "term", "tf", "weight", "rank")
+
+
+def _scores(spark, d):
+    return tfidf.doc_scores_all(_t(spark, d, "benchmark"), _t(spark, d, "documents"))
+
+
+@query(f"WITH {_SCORES} {_top('scores', 5, 'item_id', 'score DESC, doc_id')}")
+def tfidf_top_docs(spark, d):
+    return tfidf.top_docs(_t(spark, d, "benchmark"), _t(spark, d, "documents"), 5)
+
+
+_ASKED = "asked AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) item_id, quality FROM labels)"
+
+
+def _asked(spark, d):
+    """Each labelled document with one question."""
+    n = _t(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    return _t(spark, d, "labels").crossJoin(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), "quality")
+
+
+@query(f"WITH {_SCORES}, {_ASKED} SELECT item_id, doc_id, coalesce(score, 0.0) score FROM asked LEFT JOIN scores USING (item_id, doc_id)")
+def doc_scores_lookup(spark, d):
+    return tfidf.requested_scores(_scores(spark, d), _asked(spark, d).select("item_id", "doc_id"))
+
+
+@query(f"""WITH {_SCORES}, {_ASKED}, prior AS (SELECT item_id, doc_id, max(quality * 0.1) prior FROM asked GROUP BY ALL),
+both_of AS (SELECT item_id, doc_id, round(coalesce(score, 0.0) + coalesce(prior, 0.0) * 100.0, 6) score FROM scores FULL JOIN prior USING (item_id, doc_id))
+{_top("both_of", 5, "item_id", "score DESC, doc_id")}""")
+def prior_blend_top_docs(spark, d):
+    prior = _asked(spark, d).select("item_id", "doc_id", (F.col("quality") * F.lit(0.1)).alias("prior"))
+    return tfidf.top_docs(_t(spark, d, "benchmark"), _t(spark, d, "documents"), 5, prior, 100.0)
+
+
+@query("SELECT doc_id, source, coalesce(CAST(quality AS VARCHAR), 'NaN') quality, coalesce(CAST(toxic AS VARCHAR), 'NaN') toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def doc_meta_lookup(spark, d):
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", "source", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in ("quality", "toxic")])
+
+
+_PARS = "pars AS (SELECT doc_id, unnest(p) text, generate_subscripts(p, 1) - 1 par_idx, doc_id || '/' || (generate_subscripts(p, 1) - 1) par FROM (SELECT doc_id, string_split(text, chr(10)) p FROM documents))"
+
+
+@query(f"""WITH {_PARS}, {_DOCS}, {_grams("pars", "par", "p")},
+df AS (SELECT term, count(DISTINCT doc_id) df FROM d_gram GROUP BY term), tf AS (SELECT par, term, count(*) tf FROM p_gram GROUP BY ALL)
+SELECT split_part(par, '/', 1)::BIGINT doc_id, split_part(par, '/', 2)::BIGINT par_idx, count(*) n_terms,
+round(sum(ln(1 + tf) * greatest(0.0, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)))), 4) weight FROM tf JOIN df USING (term) GROUP BY par""")
+def paragraph_tfidf(spark, d):
+    rows = tfidf.paragraph_weights(_t(spark, d, "documents")).groupBy("doc_id", F.col("par_idx").cast("long").alias("par_idx"))
+    return rows.agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+def _asked_vectors(spark, d) -> DataFrame:
+    """The stated query set of searches: ids divisible by 100."""
+    return _t(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+
+
+_D = "embedding::DOUBLE[]"
+_Q = f"vq AS (SELECT vec_id qid, {_D} query FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+@query(f"WITH {_Q}, s AS (SELECT qid, vec_id, round(list_inner_product(query, {_D}), 6) score FROM embeddings, vq) {_top('s', 10, 'qid', 'score DESC, vec_id')}")
+def mips_exact_topk(spark, d):
+    return vindex.exact_top_k(_t(spark, d, "embeddings"), _asked_vectors(spark, d), 10)
+
+
+@query(f"""WITH m AS (SELECT max(sqrt(list_inner_product({_D}, {_D}))) m FROM embeddings), c AS (SELECT list_transform(range(1, 65), lambda i: avg_i) q FROM (SELECT 0.125::DOUBLE avg_i)),
+x AS (SELECT vec_id, sqrt(greatest(0.0, m * m - list_inner_product({_D}, {_D}))) head, {_D} v, m, q FROM embeddings, m, c)
+SELECT vec_id, round(head, 6) head, round(-0.5 * (head * head + list_inner_product(v, v) - 2 * list_inner_product(v, q) + list_inner_product(q, q) - list_inner_product(q, q) - m * m), 6) ip FROM x""")
+def mips_l2_to_ip(spark, d):
+    vectors = _t(spark, d, "embeddings")
+    q = F.array_repeat(F.lit(0.125), 64)
+    rows = vectors.crossJoin(F.broadcast(vindex.max_norm(vectors)))
+    longer = V.augment(F.col("embedding"), F.col("max_norm"))
+    distance = F.aggregate(F.zip_with(longer, F.concat(F.array(F.lit(0.0)), q), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", F.round(longer[0], 6).alias("head"), F.round(V.l2_to_ip(distance, V.norm(q), F.col("max_norm")), 6).alias("ip"))
+
+
+@query(f"""WITH b AS (SELECT vec_id, {_D} v, list_transform({_D}, lambda x: round_even(least(greatest((x + 2.0) * 20.0, -128.0), 127.0), 0)) q FROM embeddings)
+SELECT vec_id, list_sum(q)::BIGINT total, round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs(q[i] / 20.0 - 2.0 - v[i]))), 6) max_error FROM b""")
+def quantize_roundtrip(spark, d):
+    q = V.quantize(F.col("embedding"))
+    error = F.array_max(F.zip_with(V.dequantize(q), "embedding", lambda a, b: F.abs(a - b.cast("double"))))
+    return _t(spark, d, "embeddings").select("vec_id", F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.round(error, 6).alias("max_error"))
+
+
+@query(f"SELECT label, count(*) n, count(*) FILTER (WHERE n2 <= 1.0) n_within, round(max(n2) * 1.1, 6) bound FROM (SELECT label, sqrt(list_inner_product({_D}, {_D})) n2 FROM embeddings) GROUP BY label")
+def norm_filter_stats(spark, d):
+    n = V.norm(F.col("embedding"))
+    return _t(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(n <= 1.0).alias("n_within"), F.round(F.max(n) * 1.1, 6).alias("bound"))
+
+
+@query(f"""WITH {_Q}, parts AS (SELECT label, unnest({_D}) x, generate_subscripts(embedding, 1) i FROM embeddings), means AS (SELECT label, i, avg(x) x FROM parts GROUP BY ALL),
+cent AS (SELECT label, list(x ORDER BY i) c FROM means GROUP BY label), near AS (SELECT qid, query, label, round(list_inner_product(query, c), 6) s FROM vq, cent),
+probes AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, label) <= 3),
+s AS (SELECT qid, vec_id, round(list_inner_product(query, {_D}), 6) score FROM probes JOIN embeddings USING (label)) {_top("s", 10, "qid", "score DESC, vec_id")}""")
+def ivf_probe_topk(spark, d):
+    vectors = _t(spark, d, "embeddings")
+    probes = vindex.probe(_asked_vectors(spark, d), vindex.mean_centroids(vectors), 3)
+    return vindex.probed_top_k(vectors.withColumnRenamed("label", "cluster_id"), probes, 10)
+
+
+# Phrases: each vector is a phrase of the document of the same number, asked for by the question of the same number.
+_PHRASES = f"""pv AS (SELECT b.item_id qid, e.{_D} query FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+ph AS (SELECT qid, vec_id doc_id, label start_idx, round(list_inner_product(query, {_D}), 6) dense FROM pv, embeddings), ds AS (SELECT item_id qid, doc_id, score doc_score FROM scores)"""
+_SPARSE = "sf AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * doc_score, 6) score FROM ph JOIN (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc_score DESC, doc_id) <= 5) USING (qid, doc_id))"
+_DENSE = """dt AS (SELECT * FROM ph QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id, start_idx) <= 100),
+df1 AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * coalesce(doc_score, 0.0), 6) score FROM dt LEFT JOIN ds USING (qid, doc_id))"""
+
+
+def _phrases(spark, d):
+    vectors = _t(spark, d, "embeddings")
+    asked = _t(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("query"))
+    found = vindex.exact_top_k(vectors, asked, 1 << 30)
+    phrases = found.join(vectors.select("vec_id", F.col("label").alias("start_idx")), "vec_id").select("qid", F.col("vec_id").alias("doc_id"), "start_idx", F.col("score").alias("dense"))
+    return phrases, _scores(spark, d).select(F.col("item_id").alias("qid"), "doc_id", F.col("score").alias("doc_score"))
+
+
+@query(f"WITH {_SCORES}, {_PHRASES}, {_SPARSE} SELECT * FROM sf")
+def sparse_first_candidates(spark, d):
+    return search.sparse_first(*_phrases(spark, d))
+
+
+@query(f"WITH {_SCORES}, {_PHRASES}, {_DENSE} SELECT * FROM df1")
+def dense_first_candidates(spark, d):
+    return search.dense_first(*_phrases(spark, d), start_top_k=100)
+
+
+@query(f"WITH {_SCORES}, {_PHRASES}, {_SPARSE}, {_DENSE} SELECT * FROM df1 UNION ALL SELECT * FROM sf")
+def hybrid_candidates(spark, d):
+    return search.hybrid(*_phrases(spark, d), start_top_k=100)
+
+
+@query(f"WITH {_SCORES}, {_PHRASES}, {_SPARSE}, {_DENSE}, al AS (SELECT DISTINCT * FROM (SELECT * FROM df1 UNION ALL SELECT * FROM sf)), mid AS ({_top('al', 100, 'qid', 'score DESC, doc_id, start_idx')}) SELECT qid, doc_id, start_idx, score, rank FROM mid WHERE rank <= 10")
+def rerank_mid_top(spark, d):
+    both = search.hybrid(*_phrases(spark, d), start_top_k=100).distinct()
+    return search.keep_top(search.keep_top(both, 100).drop("rank"), 10)
+
+
+_MATCH = f"""WITH {_grams("documents", "doc_id", "d")}, {_grams("benchmark", "item_id", "q")},
+q AS (SELECT item_id qid, term, count(*) / 4.0 v FROM q_gram GROUP BY ALL), p AS (SELECT doc_id pid, term, count(*) / 8.0 v FROM d_gram GROUP BY ALL)
+SELECT qid, pid, round(sum(q.v * p.v), 6) score FROM q JOIN p USING (term) WHERE @NOT@contains(term, ' ') GROUP BY qid, pid"""
+
+
+def _matches(spark, d, pairs: bool):
+    own = lambda name, key, to, by: tfidf.term_counts(_t(spark, d, name), key).filter(F.contains("term", F.lit(" ")) == pairs).select(F.col(key).alias(to), F.col("term").alias("token"), (F.col("tf") / by).alias("value"))
+    return search.token_match(own("benchmark", "item_id", "qid", 4.0), own("documents", "doc_id", "pid", 8.0))
+
+
+@query(_MATCH.replace("@NOT@", "NOT "))
+def token_match_uni(spark, d):
+    return _matches(spark, d, False)
+
+
+@query(_MATCH.replace("@NOT@", ""))
+def token_match_bi(spark, d):
+    return _matches(spark, d, True)
+
+
+@query(f"""WITH e AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 pos, ({_D})[1:32] s, ({_D})[33:64] e FROM embeddings), q AS (SELECT label, s qs, e qe FROM e WHERE pos = 0),
+c AS (SELECT a.label, a.pos start_idx, round(list_inner_product(a.s, qs), 6) score, b.pos end_idx, list_inner_product(b.e, qe) es FROM e a JOIN q USING (label) JOIN e b ON a.label = b.label AND b.pos BETWEEN a.pos AND a.pos + 19),
+t AS (SELECT label, start_idx, score, end_idx, round(score + es, 6) end_score FROM c) SELECT label, start_idx, score, end_idx, end_score FROM t QUALIFY row_number() OVER (PARTITION BY label, start_idx ORDER BY end_score DESC, end_idx) = 1""")
+def end_selection(spark, d):
+    order = Window.partitionBy("label").orderBy("vec_id")
+    rows = _t(spark, d, "embeddings").withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    rows = rows.select("label", "pos", F.slice("embedding", 1, 32).alias("s"), F.slice("embedding", 33, 32).alias("e"))
+    asked = rows.filter("pos = 0").select("label", F.col("s").alias("qs"), F.col("e").alias("qe"))
+    starts = rows.join(asked, "label").select(F.lit(0).alias("qid"), F.col("label").alias("group"), F.col("pos").alias("start_idx"), F.round(V.dot(F.col("s"), F.col("qs")), 6).alias("score"), F.col("qe").alias("end_query"), F.array().cast("array<double>").alias("span"))
+    found = search.select_ends(starts, rows.select(F.col("label").alias("group"), F.col("pos").alias("end_idx"), F.col("e").alias("end_vec")))
+    return found.select(F.col("group").alias("label"), "start_idx", "score", "end_idx", "end_score")
+
+
+_SENT = """parts AS (SELECT doc_id, length(text) n, length(text) // 2 start_pos, unnest(p) s, generate_subscripts(p, 1) i FROM (SELECT doc_id, text, string_split(text, chr(10)) p FROM documents)),
+sent AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) hi, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1 lo FROM parts)"""
+
+
+@query(f"""WITH {_SENT}, w AS (SELECT *, lag(lo) OVER (PARTITION BY doc_id ORDER BY i) pl, lead(hi) OVER (PARTITION BY doc_id ORDER BY i) nh FROM sent)
+SELECT doc_id, start_pos::BIGINT start_pos, lo::BIGINT sent_start, least(hi, n)::BIGINT sent_end, coalesce(pl, lo)::BIGINT c_start, least(coalesce(nh, hi), n)::BIGINT c_end FROM w WHERE start_pos >= lo AND start_pos < hi""")
+def sentence_localise(spark, d):
+    return windows.localize(_t(spark, d, "documents"), F.floor(F.length("text") / 2))
+
+
+@query(f"WITH {_SENT} SELECT doc_id, length(s)::BIGINT segment_chars, md5(s) segment_md5, greatest(start_pos - lo, 0)::BIGINT start_pos FROM sent WHERE start_pos >= lo AND start_pos < hi AND start_pos < lo + length(s)")
+def par_segment_adjust(spark, d):
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = _t(spark, d, "documents").withColumn("s", windows.enclosing_segment(F.col("text"), half, half, "\n")).filter(F.substring(F.col("text"), half + 1, F.lit(1)) != "\n")
+    return rows.select("doc_id", F.length("s.segment").cast("long").alias("segment_chars"), F.md5(F.col("s.segment").cast("binary")).alias("segment_md5"), "s.start_pos")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE length(text) - length(replace(text, '?', '')) <= 3 AND length(text) - length(replace(text, '!', '')) <= 5 AND length(text) // 4 + 1 < 500")
+def answer_post_filter(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "n_chars", F.col("text").alias("context"), F.col("n_chars").cast("double").alias("score"), F.lit(0).alias("start_pos"), F.floor(F.length("text") / 4).alias("end_pos"))
+    return search.without_noise(search.valid_answers(rows)).select("doc_id", "n_chars")
+
+
+@query(f"""WITH {_SCORES}, b AS (SELECT item_id qid, source article, doc_id, score FROM scores JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) = 1)
+{_top("b", 1000000000, "qid", "score DESC, doc_id")}""")
+def aggregate_by_article(spark, d):
+    rows = _scores(spark, d).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("article")), "doc_id")
+    return search.best_of_article(rows.select(F.col("item_id").alias("qid"), "article", "doc_id", "score"))
+
+
+_TURNS = "turns AS (SELECT a.conv_id, a.turn, a.text question, b.text answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
+
+
+def _turns(spark, d):
+    rows = _t(spark, d, "conversations")
+    after = rows.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return rows.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(after, ["conv_id", "turn"])
+
+
+@query("WITH c AS (SELECT DISTINCT lower(trim(text)) a FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN text IN (SELECT a FROM c) OR lower(text) IN (SELECT a FROM c) THEN text ELSE '' END answer FROM conversations")
+def candidate_semi_filter(spark, d):
+    rows = _t(spark, d, "conversations")
+    known = rows.filter("role = 'user'").select(F.lower(F.trim("text")).alias("a")).distinct().withColumn("is", F.lit(True))
+    found = rows.join(known.select("a", F.col("is").alias("raw")), F.col("text") == F.col("a"), "left").drop("a").join(known, F.lower("text") == F.col("a"), "left")
+    return found.select("conv_id", "turn", F.when(F.coalesce("raw", "is", F.lit(False)), F.col("text")).otherwise("").alias("answer"))
+
+
+_WINDOWS = f"""n AS (SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) n FROM documents), c AS (SELECT doc_id, n, CASE WHEN n <= 64 THEN 1 ELSE 1 + ceil((n - 64) / 32.0)::BIGINT END k FROM n WHERE n > 0),
+w AS (SELECT doc_id, n, unnest(range(k)) i FROM c)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, i::BIGINT window_idx, (i * 32)::BIGINT start, least(i * 32 + 64, n)::BIGINT stop FROM w")
+def token_windows(spark, d):
+    found = windows.token_windows(_t(spark, d, "documents"), F.size(X.tokens(F.col("text"))))
+    return found.select("doc_id", *[F.col(a).cast("long").alias(b) for a, b in (("window", "window_idx"), ("start", "start"), ("stop", "stop"))])
+
+
+@query(f"""WITH {_WINDOWS}, b AS (SELECT doc_id, i, i * 32 lo, least(i * 32 + 64, n) hi FROM w), p AS (SELECT doc_id, i, lo, hi, unnest(range(lo, hi)) p FROM b),
+m AS (SELECT doc_id, p, i FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY least(p - lo, hi - 1 - p) + 0.01 * (hi - lo) DESC, i) = 1) SELECT doc_id, i::BIGINT window_idx, count(*) n_best FROM m GROUP BY ALL""")
+def max_context_window(spark, d):
+    best = windows.best_window(F.size(X.tokens(F.col("text"))), 64, 32)
+    return _t(spark, d, "documents").select("doc_id", F.explode(best).alias("w")).groupBy("doc_id", F.col("w").cast("long").alias("window_idx")).agg(F.count(F.lit(1)).alias("n_best"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(p) w, generate_subscripts(p, 1) i FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\t\\r\\n ]') p FROM documents)),
+o AS (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 place FROM w) SELECT doc_id, count(*) n_words, sum(place)::BIGINT total_offset, max(place)::BIGINT last_offset FROM o WHERE w <> '' GROUP BY doc_id""")
+def word_offsets(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(windows.word_offsets(F.col("text"))).alias("w"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("w.start").alias("total_offset"), F.max("w.start").cast("long").alias("last_offset"))
+
+
+def _normal(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT conv_id, turn, md5({_normal('text')}) normal_md5 FROM conversations")
+def normalize_answer(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.md5(X.normalize_answer(F.col("text")).cast("binary")).alias("normal_md5"))
+
+
+_F1 = f"""{_TURNS}, nw AS (SELECT conv_id, turn, {_normal("answer")} p, {_normal("question")} t FROM turns), pw AS (SELECT conv_id, turn, w, count(*) c FROM (SELECT conv_id, turn, unnest(string_split(p, ' ')) w FROM nw) WHERE w <> '' GROUP BY ALL),
+tw AS (SELECT conv_id, turn, w, count(*) c FROM (SELECT conv_id, turn, unnest(string_split(t, ' ')) w FROM nw) WHERE w <> '' GROUP BY ALL), s AS (SELECT conv_id, turn, sum(least(pw.c, tw.c)) s FROM pw JOIN tw USING (conv_id, turn, w) GROUP BY ALL),
+f AS (SELECT conv_id, turn, p, t, s, (SELECT sum(c) FROM pw WHERE pw.conv_id = nw.conv_id AND pw.turn = nw.turn) np, (SELECT sum(c) FROM tw WHERE tw.conv_id = nw.conv_id AND tw.turn = nw.turn) nt FROM nw LEFT JOIN s USING (conv_id, turn)),
+f1 AS (SELECT conv_id, turn, (p = t)::INT em, CASE WHEN s IS NULL OR ((p IN ('yes', 'no', 'noanswer') OR t IN ('yes', 'no', 'noanswer')) AND p <> t) THEN 0.0 ELSE 2 * (s / np) * (s / nt) / (s / np + s / nt) END f1 FROM f)"""
+
+
+@query(f"WITH {_F1} SELECT conv_id, turn, em, round(f1, 6) f1 FROM f1")
+def em_f1_pairs(spark, d):
+    p, t = F.col("answer"), F.col("question")
+    return _turns(spark, d).select("conv_id", "turn", evaluate.exact_match(p, t).cast("int").alias("em"), F.round(evaluate.token_f1(p, t)["f1"], 6).alias("f1"))
+
+
+@query(f"WITH {_F1}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) r FROM f1) SELECT conv_id qid, max(CASE WHEN r = 1 THEN em ELSE 0 END) em_top1, max(em) em_topk, round(max(CASE WHEN r = 1 THEN f1 ELSE 0.0 END), 6) f1_top1, round(max(f1), 6) f1_topk FROM r WHERE r <= 10 GROUP BY conv_id")
+def topk_em_f1(spark, d):
+    """Each conversation's answers as predictions; the truth of each is its own question."""
+    turns = _turns(spark, d)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    ranked = turns.withColumn("rank", F.row_number().over(order))
+    scored = ranked.filter("rank <= 10").select("conv_id", "rank", evaluate.exact_match(F.col("answer"), F.col("question")).cast("int").alias("em"), evaluate.token_f1(F.col("answer"), F.col("question"))["f1"].alias("f1"))
+    first = F.col("rank") == 1
+    return scored.groupBy(F.col("conv_id").alias("qid")).agg(
+        F.max(F.when(first, F.col("em")).otherwise(0)).alias("em_top1"), F.max("em").alias("em_topk"), F.round(F.max(F.when(first, F.col("f1")).otherwise(0.0)), 6).alias("f1_top1"), F.round(F.max("f1"), 6).alias("f1_topk")
+    )
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)^(?:the|la|der)\b') matches FROM documents")
+def regex_match(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.col("text").rlike(r"(?i)^(?:the|la|der)\b").alias("matches"))
+
+
+@query(f"""WITH {_SCORES}, r AS ({_top("scores", 50, "item_id", "score DESC, doc_id")}), h AS (SELECT item_id, rank, contains(lower(d.text), lower(b.text))::INT hit FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+m AS (SELECT item_id, max(CASE WHEN rank = 1 THEN hit ELSE 0 END) r1, max(hit) rk, sum(hit) / 50.0 p, min(CASE WHEN hit = 1 THEN rank END) f FROM h GROUP BY item_id)
+SELECT item_id qid, coalesce(r1, 0)::INT recall_1, coalesce(rk, 0)::INT recall_k, round(coalesce(p, 0.0), 6) precision_50, round(coalesce(1.0 / f, 0.0), 6) mrr FROM benchmark LEFT JOIN m USING (item_id)""")
+def sentence_recall_mrr(spark, d):
+    docs, questions = _t(spark, d, "documents"), _t(spark, d, "benchmark")
+    ranked = tfidf.top_docs(questions, docs, 50).join(docs.select("doc_id", F.col("text").alias("sentence")), "doc_id").withColumnRenamed("item_id", "qid")
+    asked = questions.select(F.col("item_id").alias("qid"), F.col("text").alias("truth"))
+    return evaluate.sentence_metrics(ranked, asked, asked)
+
+
+@query("""WITH s AS (SELECT source, coalesce(list(DISTINCT doc_id) FILTER (WHERE contains(lower(text), ' the ')), []) p, coalesce(list(DISTINCT doc_id) FILTER (WHERE quality = 1), []) t FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source),
+c AS (SELECT source, len(list_intersect(p, t)) tp, len(p) np, len(t) nt FROM s), r AS (SELECT source, tp, np, nt, CASE WHEN np > 0 THEN tp / np ELSE 0.0 END pr, CASE WHEN nt > 0 THEN tp / nt ELSE 0.0 END re FROM c)
+SELECT source, (np - tp + nt - tp = 0)::INT em, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) f1, round(pr, 6) "precision", round(re, 6) recall FROM r""")
+def support_set_prf(spark, d):
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
+    sets = rows.groupBy("source").agg(F.collect_set(F.when(F.contains(F.lower("text"), F.lit(" the ")), F.col("doc_id"))).alias("p"), F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("t"))
+    s = sets.select("source", evaluate.set_scores(F.col("p"), F.col("t")).alias("s"))
+    return s.select("source", "s.em", *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("f1", "precision", "recall")])
+
+
+@query(f"WITH {_SCORES}, r AS ({_top('scores', 10, 'item_id', 'score DESC, doc_id')}) SELECT concat_ws(' ', item_id, 'Q0', doc_id, rank - 1, printf('%.6f', score), 'run-1') line FROM r")
+def trec_run(spark, d):
+    ranked = tfidf.top_docs(_t(spark, d, "benchmark"), _t(spark, d, "documents"), 10)
+    return evaluate.trec_lines(ranked.withColumnRenamed("item_id", "qid"), "run-1")
+
+
+@query("SELECT doc_id, n_chars, 'old' version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, n_chars, 'new' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def upsert_docs(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "n_chars")
+    fresh = rows.join(_t(spark, d, "labels"), "doc_id", "left_semi").withColumn("version", F.lit("new"))
+    return writers.upsert(rows.withColumn("version", F.lit("old")), fresh)
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1 copy, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) first_doc, last_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) last_doc FROM documents")
+def title_dedupe(spark, d):
+    order = Window.partitionBy("text").orderBy("doc_id")
+    whole = Window.partitionBy("text")
+    return _t(spark, d, "documents").select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("copy"), F.min("doc_id").over(whole).alias("first_doc"), F.max("doc_id").over(whole).alias("last_doc"))
+
+
+_KNOWN = sorted({"the", "of", "answer", "question", "disease", "risk", "please", "what"} - set(X.STOPWORDS) | {w.lower() for w in render.ENTITY_WORDS} - set(X.STOPWORDS))
+_KNOWN_SQL = ", ".join(f"'{w}'" for w in _KNOWN)
+
+
+def _kind_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({c}), '{k}') THEN '{k}'" for k in render.ENTITY_TYPES) + " ELSE 'All Entity Type' END"
+
+
+@query(f"SELECT conv_id, turn, {_kind_sql('text')} entity_type, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE 'COVID-19' END entity_query FROM (SELECT conv_id, turn, text, list_filter(regexp_extract_all(text, '{_TOKEN}'), lambda x: x IN ({_KNOWN_SQL})) w FROM conversations)")
+def entity_query_rewrite(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", render.entity_type(F.col("text")).alias("entity_type"), render.entity_query(X.tokens(F.col("text")), tuple(_KNOWN)).alias("entity_query"))
+
+
+@query("""WITH b AS (SELECT doc_id, text, length(text) n FROM documents WHERE length(text) >= 10)
+SELECT doc_id, md5('... ' || substring(text, n // 8 + 1, n // 4 - n // 8) || '<em>' || substring(text, n // 4 + 1, n // 2 - n // 4) || '<span class=''answer_span''>' || substring(text, n // 2 + 1, 3) || '</span>' || substring(text, n // 2 + 4, n - n // 2 - 4) || '</em>' || substring(text, n, 1)) marked_md5 FROM b WHERE n // 8 > 0""")
+def highlight_spans(spark, d):
+    part = lambda k: F.floor(F.col("n") / k).cast("int")
+    rows = _t(spark, d, "documents").withColumn("n", F.length("text")).filter("n >= 10")
+    marked = render.mark_answer(F.col("text"), part(4), F.col("n") - 1, part(2), part(2) + 3, part(8), F.col("n"))
+    return rows.filter(part(8) > 0).select("doc_id", F.md5(marked.cast("binary")).alias("marked_md5"))
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END b FROM events),
+g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) g FROM e) SELECT user_id, g::BIGINT run, any_value(event_type) event_type, count(*) n, min(event_id) first_event FROM g GROUP BY user_id, g""")
+def entity_runs(spark, d):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = _t(spark, d, "events").withColumn("b", F.when(F.col("event_type") == F.lag("event_type").over(order), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("""WITH p AS (SELECT doc_id, par_idx orig_idx, length(text)::DOUBLE logit FROM (SELECT doc_id, unnest(p) text, generate_subscripts(p, 1) - 1 par_idx FROM (SELECT doc_id, string_split(text, chr(10)) p FROM documents))),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY orig_idx) - 1 idx FROM p WHERE logit > 80) SELECT k.doc_id, k.orig_idx::BIGINT orig_idx, k.idx, coalesce(e.idx, -1) end_idx FROM k LEFT JOIN k e ON k.doc_id = e.doc_id AND e.orig_idx = k.orig_idx + 1""")
+def phrase_filter_remap(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("orig_idx", "p"))
+    kept = search.filter_phrases(rows.select("doc_id", F.col("orig_idx").cast("long").alias("orig_idx"), F.length("p").cast("double").alias("logit")), 80)
+    return search.remap_ends(kept.withColumn("end_orig", F.col("orig_idx") + 1), kept).select("doc_id", "orig_idx", "idx", "end_idx")
+
+
+@query("SELECT conv_id, turn, replace(text, '[MASK] .', '_') question FROM conversations WHERE role = 'user' AND len(string_split(text, ' ')) <> 1 AND NOT contains(text, 'lorem ipsum')")
+def question_predicates(spark, d):
+    rows = _t(spark, d, "conversations").filter("role = 'user'").filter((F.size(F.split("text", " ")) != 1) & ~F.contains("text", F.lit("lorem ipsum")))
+    return rows.select("conv_id", "turn", F.replace("text", F.lit("[MASK] ."), F.lit("_")).alias("question"))
+
+
+@query("SELECT doc_id, 'left' side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def key_differences(spark, d):
+    return evaluate.key_differences(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id")
+
+
+@query("WITH q AS (SELECT DISTINCT conv_id, lower(text) k FROM conversations WHERE role = 'user') SELECT a.conv_id, a.turn, count(q.conv_id) n_known FROM conversations a LEFT JOIN q ON lower(a.text) = q.k AND q.conv_id <> a.conv_id GROUP BY a.conv_id, a.turn")
+def cached_question_lookup(spark, d):
+    rows = _t(spark, d, "conversations")
+    known = rows.filter("role = 'user'").select(F.col("conv_id").alias("other"), F.lower("text").alias("k")).distinct()
+    found = rows.join(known, (F.lower("text") == F.col("k")) & (F.col("other") != F.col("conv_id")), "left")
+    return found.groupBy("conv_id", "turn").agg(F.count("other").alias("n_known"))
+
+
+@query(f"WITH {_SCORES}, r AS ({_top('scores', 5, 'item_id', 'score DESC, doc_id')}) SELECT item_id qid, count(DISTINCT doc_id) n_docs, round(avg(score), 4) mean_score FROM r GROUP BY item_id")
+def docs_per_question(spark, d):
+    rows = tfidf.top_docs(_t(spark, d, "benchmark"), _t(spark, d, "documents"), 5)
+    return rows.groupBy(F.col("item_id").alias("qid")).agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+@query(None)
+def hashed_tf(spark, d):
+    """Term counts by bucket of seed-0 murmur hashes; DuckDB has no such hash."""
+    counts = tfidf.term_counts(_t(spark, d, "documents"))
+    return counts.withColumn("bucket", X.term_bucket(F.col("term"))).groupBy("doc_id", "bucket").agg(F.sum("tf").alias("tf"))
+
+
+@query(None)
+def nfd_terms(spark, d):
+    return _t(spark, d, "documents").withColumn("text", X.nfd(F.col("text"))).select("doc_id", F.size(X.terms(F.col("text"))).cast("long").alias("n_terms"))
+
+
+def _letters() -> dict[str, int]:
+    """A vocabulary by rule: letters and their continuations, endings of one and two letters."""
+    one = [chr(c) for c in range(97, 123)] + [str(i) for i in range(10)] + list(".,!?|%&$*#-:;'\"()@+/=_ß")
+    return {t: i for i, t in enumerate(["[UNK]", *one, *("##" + x for x in one), *("##" + a + b for a in "aeiou" for b in "nrst")])}
+
+
+@query(None)
+def wordpiece_tokens(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(X.wordpiece_tokens(F.col("text"), _letters())).cast("long").alias("n_pieces"))
+
+
+@query(None)
+def kmeans_probe_topk(spark, d):
+    """Inverted lists by trained centroids, as many lists probed as find nine tenths of the exact neighbours."""
+    vectors = _t(spark, d, "embeddings")
+    centroids = vindex.train_centroids(vectors, 16)
+    return vindex.probed_top_k(vindex.assign(vectors, centroids), vindex.probe(_asked_vectors(spark, d), centroids, 8), 10)
