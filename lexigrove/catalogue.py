@@ -505,4 +505,4 @@ def kmeans_probe_topk(spark, d):
     """Inverted lists by trained centroids, as many lists probed as find nine tenths of the exact neighbours."""
     vectors = _t(spark, d, "embeddings")
     centroids = vindex.train_centroids(vectors, 16)
-    return vindex.probed_top_k(vindex.assign(vectors, centroids), vindex.probe(_asked_vectors(spark, d), centroids, 8), 10)
+    return vindex.probed_top_k(vindex.assign(vectors, centroids), vindex.probe(_asked_vectors(spark, d), centroids, 12), 10)
