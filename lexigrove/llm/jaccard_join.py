@@ -105,7 +105,7 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: place among the batch's ids, set and size; kind 1: a signature that this task met often."""
+    """Kind 0: set, size and partition counts of a row; kind 1: a signature that this task met often."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     n_held = 0
@@ -114,23 +114,27 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = count >= REPORTED
         k = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int8()), pa.nulls(k, id_type), pa.array(value[often].view(np.int64)), pa.array(count[often], pa.int64())], ["kind", "id", "a", "b"])
+        columns = [pa.array([1] * k, pa.int8()), pa.nulls(k, id_type), pa.array(value[often].view(np.int64)), pa.array(count[often], pa.int64()), pa.nulls(k, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names)
 
+    names = ["kind", "id", "a", "b", "counts"]
     id_type = pa.int64()
     for batch in batches:
         id_type = batch.column(0).type
-        ids, sizes = [], []
+        ids, sizes, counted = [], [], []
         for _, data, at in pieces(batch.column(1)):
             for s in shingle_sets(data, at):
                 own = set_id(s)
                 ids.append(own)
                 sizes.append(len(s))
+                counted.append(counts(s).tobytes())
                 if len(s) and own not in seen:
                     seen.add(own)
                     for scheme in schemes(len(s)):
                         held.append(partitions(s, scheme))
                         n_held += len(held[-1])
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int8()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "id", "a", "b"])
+        columns = [pa.array([0] * len(ids), pa.int8()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counted, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names)
         if len(seen) > 1 << 18:
             seen = set()
         if n_held > 2 * HELD:
@@ -217,39 +221,99 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
+class _List:
+    """Sets that share a signature, with what bounds their differences."""
+
+    def __init__(self, sets: np.ndarray, sizes: np.ndarray, counted: list[bytes]):
+        self.sets, self.sizes = sets, sizes
+        self.width = np.array([len(c) for c in counted])
+        self.at = np.zeros(len(sets), np.int64)
+        self.full, self.half, self.capped = {}, {}, np.zeros(len(sets), bool)
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            x = np.frombuffer(b"".join(counted[i] for i in own), np.uint8).reshape(-1, w).astype(np.int16)
+            self.full[w], self.half[w] = x, x[:, ::2] + x[:, 1::2]
+            self.capped[own] = (x == 255).any(1)
+
+    def possible(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of the places in others, those whose sets differ little enough from set i for a link."""
+        n = self.sizes[others]
+        others = others[(4 * np.minimum(n, self.sizes[i]) >= 3 * np.maximum(n, self.sizes[i])) & (others != i)]
+        keep = np.ones(len(others), bool)
+        w = int(self.width[i])
+        for v in (w // 2, w, 2 * w):
+            mine = np.flatnonzero(self.width[others] == v)
+            if not len(mine):
+                continue
+            theirs = self.at[others[mine]]
+            a = self.half[w][self.at[i]] if v < w else self.full[w][self.at[i]]
+            b = self.half[v][theirs] if v > w else self.full[v][theirs]
+            keep[mine] = 7 * np.abs(b - a).sum(1, dtype=np.int64) <= n_sum(self.sizes, i, others[mine])
+        if self.capped[i]:
+            keep[:] = True
+        return others[keep | self.capped[others]]
+
+
+def n_sum(sizes: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    return sizes[others] + sizes[i]
+
+
+def _lists(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for g, sets, sizes, counted, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), batch.column(4)):
+        yield g, _List(sets.values.to_numpy(), sizes.values.to_numpy(), counted.as_py()), more.values.to_numpy()
+
+
+def _emit(rows: list[np.ndarray]) -> pa.RecordBatch:
+    made = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+
+
+def _pairs(x: int, others: np.ndarray) -> np.ndarray:
+    return np.stack([np.minimum(others, x), np.maximum(others, x)], 1)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each set with the leaders of a list; the leaders depend on the signature's kind alone."""
+    """Possible links of each list's leader; and (set, set) of every set with a possible link."""
     for batch in batches:
-        found: set[tuple[int, int]] = set()
-        for signature, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = members.values.to_numpy()
-            leader = int(own[np.argmin(mix(own.view(np.uint64), 100 + signature % LEADERS))])
-            found.update((min(leader, x), max(leader, x)) for x in own.tolist() if x != leader)
-        columns = list(zip(*found)) or [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+        found: list[np.ndarray] = []
+        size = 0
+        for g, own, _ in _lists(batch):
+            everyone = np.arange(len(own.sets))
+            leader = int(np.argmin(mix(own.sets.view(np.uint64), 100 + g % LEADERS)))
+            near = own.possible(leader, everyone)
+            found.append(_pairs(own.sets[leader], own.sets[near]))
+            open_ones = np.ones(len(own.sets), bool)
+            open_ones[near] = False
+            open_ones[leader] = not len(near)
+            for i in np.flatnonzero(open_ones).tolist():
+                open_ones[i] = not len(own.possible(i, everyone))
+            some = own.sets[~open_ones]
+            found.append(np.stack([some, some], 1))
+            size += len(some) + len(near)
+            if size > 1 << 19:
+                yield _emit(found)
+                found, size = [], 0
+        yield _emit(found)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets in different components, from lists of (set, component)."""
+    """Possible links between sets of different components."""
     for batch in batches:
         found: list[np.ndarray] = []
-        for member, component in zip(batch.column(0), batch.column(1)):
-            x, c = member.values.to_numpy(), component.values.to_numpy()
-            order = np.lexsort((x, c))
-            x, c = x[order], c[order]
-            for i in range(len(x)):  # those of later components
-                other = x[np.searchsorted(c, c[i], "right") :]
-                if len(other):
-                    found.append(np.stack([np.minimum(other, x[i]), np.maximum(other, x[i])], 1))
-            if sum(map(len, found)) > 1 << 19:
-                yield _pairs(found)
-                found = []
-        yield _pairs(found)
-
-
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        size = 0
+        for _, own, component in _lists(batch):
+            order = np.argsort(component, kind="stable")
+            for k, i in enumerate(order.tolist()):
+                later = order[np.searchsorted(component[order], component[i], "right") :]
+                near = own.possible(i, later)
+                if len(near):
+                    found.append(_pairs(own.sets[i], own.sets[near]))
+                    size += len(near)
+            if size > 1 << 19:
+                yield _emit(found)
+                found, size = [], 0
+        yield _emit(found)
 
 
 def counts(s: np.ndarray) -> np.ndarray:
@@ -261,27 +325,6 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint8)
 
 
-def _fold(x: np.ndarray, n: int) -> np.ndarray:
-    return x.astype(np.int32).reshape(n, -1).sum(1)
-
-
-def possible(na: int, a: np.ndarray, nb: int, b: np.ndarray) -> bool:
-    """False only if the sets differ too much for a link."""
-    if 4 * min(na, nb) < 3 * max(na, nb):
-        return False
-    n = min(len(a), len(b))
-    if a.max() == 255 or b.max() == 255:
-        return True
-    return 7 * int(np.abs(_fold(a, n) - _fold(b, n)).sum()) <= na + nb
-
-
-def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, na, nb, ca, cb = (c.to_pylist() for c in batch.columns)
-        keep = [possible(na[i], np.frombuffer(ca[i], np.uint8), nb[i], np.frombuffer(cb[i], np.uint8)) for i in range(len(a))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -293,13 +336,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    small = sets.select("set", "n", "counts")
-    left = small.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    right = small.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_may_link, "a long, b long")
-    likely = table(likely, "likely")
     left, right = (sets.select(F.col("set").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
-    return likely.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(_linked, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(_linked, "a long, b long")
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +347,9 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, at in pieces(batch.column(1)):
             for i, s in enumerate(shingle_sets(data, at)):
                 if set_id(s) == wanted[row + i]:
-                    rows.append((wanted[row + i], len(s), counts(s).tobytes(), s.tobytes()))
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["set", "n", "counts", "elements"])
+                    rows.append((wanted[row + i], s.tobytes()))
+        columns = list(zip(*rows)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary()))], ["set", "elements"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,29 +357,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    first = table(rows.mapInArrow(_first_pass, f"kind tinyint, id {kind}, a long, b long"), "sets")
+    first = table(rows.mapInArrow(_first_pass, f"kind tinyint, id {kind}, a long, b long, counts binary"), "sets")
     often = first.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= COMMON)
     often = [r["a"] for r in often.orderBy(F.desc("n"), "a").limit(MOST_COMMON).select("a").collect()]
     common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
     owned = first.filter("kind = 0").select("id", F.col("a").alias("set"), F.col("b").alias("n_shingles"))
+    sizes = first.filter("kind = 0 AND b > 0").groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("counts").alias("counts"), F.min("id").alias("one"))
     parts = width(spark)
     dealt = rows.select("text").mapInArrow(_second_pass(common, parts * BUCKETS_EACH), "bucket int, signatures binary, members binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    groups = table(dealt.mapInArrow(_groups, "signature long, members array<long>"), "groups")
-    stars = table(groups.mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    involved = stars.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    one = owned.join(involved, "set").groupBy("set").agg(F.min("id").alias("one"))
-    texts = rows.join(one, F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
-    sets = texts.mapInArrow(_elements, "set long, n long, counts binary, elements binary")
-    sets = table(sets.groupBy("set").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("elements").alias("elements")), "elements")
-    links = table(_verified(stars, sets), "links")
-    known = table(components(links), "components")
-    members = groups.select(F.xxhash64("signature", "members").alias("g"), F.explode("members").alias("node"))
-    members = members.join(known, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
+    lists = dealt.mapInArrow(_groups, "signature long, members array<long>").select("members").distinct()
+    members = lists.select(F.xxhash64("members").alias("g"), F.explode("members").alias("set"))
+    members = table(members.join(sizes.drop("one"), "set"), "members")
+
+    def gathered(rows_of: DataFrame, more: str) -> DataFrame:
+        listed = rows_of.groupBy("g").agg(F.collect_list(F.struct("set", "n", "counts", F.col(more).alias("more"))).alias("x"))
+        return listed.select("g", "x.set", "x.n", "x.counts", "x.more")
+
+    likely = table(gathered(members, "n").mapInArrow(_stars, "a long, b long").distinct(), "likely")
+    involved = likely.filter("a = b").select(F.col("a").alias("set"))
+    texts = rows.join(sizes.join(involved, "set").select("set", "one"), F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
+    sets = texts.mapInArrow(_elements, "set long, elements binary")
+    sets = table(sets.groupBy("set").agg(F.first("elements").alias("elements")), "elements")
+    links = table(_verified(likely.filter("a < b"), sets), "links")
+    known = table(components(links), "components").withColumnRenamed("node", "set")
+    members = members.join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
     open_ones = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("g")
-    lists = members.join(open_ones, "g").groupBy("g").agg(F.collect_list(F.struct("node", "component")).alias("x")).select("x.node", "x.component")
-    rest = lists.mapInArrow(_across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = table(_verified(rest, sets), "links")
+    rest = gathered(members.join(open_ones, "g"), "component").mapInArrow(_across, "a long, b long").distinct()
+    more = table(_verified(rest.join(likely, ["a", "b"], "left_anti"), sets), "links")
     final = table(components(links.union(more)), "components")
     grouped = owned.join(final, owned["set"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "set").alias("component"))
     least = grouped.filter("n_shingles > 0").groupBy("component").agg(F.min("id").alias("component_id"))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from lexigrove.llm import components as C
 from lexigrove.llm import jaccard_join as J
 from lexigrove.llm.components import components, forest
 
@@ -87,10 +88,13 @@ def test_similar_sets_share_a_signature():
             everything = np.unique(np.concatenate([J.partitions(x, k) for x in (a, b) for k in J.schemes(len(x))]))
             for common in (np.zeros(0, np.uint64), everything[::2], everything):
                 assert len(np.intersect1d(J.signatures(a, common), J.signatures(b, common)))
-            assert J.possible(len(a), J.counts(a), len(b), J.counts(b))
+            both_of = J._List(np.array([1, 2]), np.array([len(a), len(b)]), [J.counts(a).tobytes(), J.counts(b).tobytes()])
+            assert both_of.possible(0, np.array([0, 1])).tolist() == [1] and both_of.possible(1, np.array([0, 1])).tolist() == [0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "ONE_TASK", most)
     random = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in random.integers(-60, 60, (70, 2))] + [(i, i + 1) for i in range(100, 140)] + [(None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
