@@ -196,9 +196,9 @@ def ivf_probe_topk(spark, d):
 # Phrases: each vector is a phrase of the document of the same number, asked for by the question of the same number.
 _PHRASES = f"""pv AS (SELECT b.item_id qid, e.{_D} query FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 ph AS (SELECT qid, vec_id doc_id, label start_idx, round(list_inner_product(query, {_D}), 6) dense FROM pv, embeddings), ds AS (SELECT item_id qid, doc_id, score doc_score FROM scores)"""
-_SPARSE = "sf AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * doc_score, 6) score FROM ph JOIN (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc_score DESC, doc_id) <= 5) USING (qid, doc_id))"
+_SPARSE = "sf AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * doc_score, 9) score FROM ph JOIN (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc_score DESC, doc_id) <= 5) USING (qid, doc_id))"
 _DENSE = """dt AS (SELECT * FROM ph QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id, start_idx) <= 100),
-df1 AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * coalesce(doc_score, 0.0), 6) score FROM dt LEFT JOIN ds USING (qid, doc_id))"""
+df1 AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * coalesce(doc_score, 0.0), 9) score FROM dt LEFT JOIN ds USING (qid, doc_id))"""
 
 
 def _phrases(spark, d):
@@ -330,12 +330,17 @@ def max_context_window(spark, d):
 @query("""WITH w AS (SELECT doc_id, unnest(p) w, generate_subscripts(p, 1) i FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\t\\r\\n ]') p FROM documents)),
 o AS (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 place FROM w) SELECT doc_id, count(*) n_words, sum(place)::BIGINT total_offset, max(place)::BIGINT last_offset FROM o WHERE w <> '' GROUP BY doc_id""")
 def word_offsets(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(windows.word_offsets(F.col("text"))).alias("w"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("w.start").alias("total_offset"), F.max("w.start").cast("long").alias("last_offset"))
+    rows = windows.word_offsets(_t(spark, d, "documents"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum("start").alias("total_offset"), F.max("start").alias("last_offset"))
+
+
+_WORD = r"\p{L}\p{N}\p{M}_"
 
 
 def _normal(c: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+    plain = rf"regexp_replace(lower({c}), '[!-/:-@\[-`{{-~]', '', 'g')"
+    parts = f"list_transform(regexp_extract_all({plain}, '[{_WORD}]+|[^{_WORD}]'), lambda x: CASE WHEN x IN ('a', 'an', 'the') THEN ' ' ELSE x END)"
+    return rf"trim(regexp_replace(array_to_string({parts}, ''), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
 @query(f"SELECT conv_id, turn, md5({_normal('text')}) normal_md5 FROM conversations")
@@ -368,7 +373,7 @@ def topk_em_f1(spark, d):
     )
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)^(?:the|la|der)\b') matches FROM documents")
+@query(f"SELECT doc_id, regexp_matches(text, '(?i)^(?:the|la|der)($|[^{_WORD}])') matches FROM documents")
 def regex_match(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.col("text").rlike(r"(?i)^(?:the|la|der)\b").alias("matches"))
 

@@ -11,19 +11,28 @@ CLOSED = ("yes", "no", "noanswer")
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:
-    """Struct (f1, precision, recall) of normalised words; closed answers must be equal."""
-    p, t = normalize_answer(prediction), normalize_answer(truth)
-    pw, tw = (F.filter(F.split(x, " "), lambda w: w != "") for x in (p, t))
-
-    def times(words: Column, w: Column) -> Column:
-        return F.size(F.filter(words, lambda x: x == w))
-
-    same = F.aggregate(F.array_distinct(pw), F.lit(0), lambda s, w: s + F.least(times(pw, w), times(tw, w)))
-    precision, recall = F.try_divide(same, F.size(pw)), F.try_divide(same, F.size(tw))
-    zero = F.lit(0.0)
-    none = (same == 0) | ((p.isin(*CLOSED) | t.isin(*CLOSED)) & (p != t))
-    pick = lambda c: F.when(none, zero).otherwise(c)
-    return F.struct(pick(2 * precision * recall / (precision + recall)).alias("f1"), pick(precision).alias("precision"), pick(recall).alias("recall"))
+    """Struct (f1, precision, recall) of normalised words; closed answers must be equal.
+
+    The multiset intersection is the intersection of words numbered among their equals.
+    """
+
+    def numbered(words: Column) -> Column:
+        sorted_words = F.array_sort(words)
+        return F.get(F.transform(F.array(sorted_words), lambda s: F.transform(s, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(s, w)).cast("string")))), F.lit(0))
+
+    def scored(x: Column) -> Column:
+        pw, tw = (F.filter(F.split(x[k], " "), lambda w: w != "") for k in "pt")
+        same = F.size(F.array_intersect(numbered(pw), numbered(tw)))
+        closed = (x["p"].isin(*CLOSED) | x["t"].isin(*CLOSED)) & (x["p"] != x["t"])
+        return F.struct(F.when(closed, F.lit(0)).otherwise(same).alias("same"), F.size(pw).alias("np"), F.size(tw).alias("nt"))
+
+    def figures(s: Column) -> Column:
+        precision, recall = F.try_divide(s["same"], s["np"]), F.try_divide(s["same"], s["nt"])
+        pick = lambda c: F.when(s["same"] == 0, F.lit(0.0)).otherwise(c)
+        return F.struct(pick(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).alias("f1"), pick(precision).alias("precision"), pick(recall).alias("recall"))
+
+    pair = F.array(F.struct(normalize_answer(prediction).alias("p"), normalize_answer(truth).alias("t")))
+    return F.get(F.transform(F.transform(pair, scored), figures), F.lit(0))
 
 
 def exact_match(prediction: Column, truth: Column) -> Column:

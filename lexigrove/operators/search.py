@@ -12,7 +12,7 @@ def sparse_first(phrases: DataFrame, doc_scores: DataFrame, doc_top_k: int = 5,
     """All phrases of the best documents of each question. phrases: qid, doc_id, start_idx, dense."""
     order = Window.partitionBy("qid").orderBy(F.desc("doc_score"), "doc_id")
     best = doc_scores.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= doc_top_k).select("qid", "doc_id", "doc_score")
-    return phrases.join(best, ["qid", "doc_id"]).select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.col("doc_score"), 6).alias("score"))
+    return phrases.join(best, ["qid", "doc_id"]).select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.col("doc_score"), 9).alias("score"))
 
 
 def dense_first(phrases: DataFrame, doc_scores: DataFrame, start_top_k: int = 1000, sparse_weight: float = 0.05) -> DataFrame:
@@ -20,7 +20,7 @@ def dense_first(phrases: DataFrame, doc_scores: DataFrame, start_top_k: int = 10
     order = Window.partitionBy("qid").orderBy(F.desc("dense"), "doc_id", "start_idx")
     best = phrases.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= start_top_k)
     scored = best.join(doc_scores, ["qid", "doc_id"], "left")
-    return scored.select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.coalesce("doc_score", F.lit(0.0)), 6).alias("score"))
+    return scored.select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.coalesce("doc_score", F.lit(0.0)), 9).alias("score"))
 
 
 def hybrid(phrases: DataFrame, doc_scores: DataFrame, start_top_k: int = 1000, doc_top_k: int = 5, sparse_weight: float = 0.05) -> DataFrame:

@@ -33,15 +33,11 @@ def best_window(n: Column, length: int, stride: int) -> Column:
     return F.when(n > 0, F.get(F.transform(F.array(bounds), best), F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
-def word_offsets(text: Column) -> Column:
-    """Array of (word, start) of words between white space."""
-    parts = F.split(text, "[ \t\r\n ]")
-    run = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int>>").alias("out")),
-        lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.when(F.length(w) > 0, F.concat(acc["out"], F.array(F.struct(w.alias("word"), acc["at"].alias("start"))))).otherwise(acc["out"]).alias("out")),
-    )
-    return run["out"]
+def word_offsets(docs: DataFrame) -> DataFrame:
+    """doc_id, word and start of the words between white space; starts are running sums, so long texts stay linear."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", "[ \t\r\n\u202f]")).alias("i", "word"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))).filter("word <> ''").drop("i")
 
 
 def sentences(text: Column, delimiter: str = "\n") -> Column:
