@@ -13,10 +13,10 @@ partitions are enumerated for them, which keeps the guarantee. Sets with too few
 also emit those they would have passed over. The list of such signatures is bounded; it decides
 only how fast the join is, never what it finds.
 
-Equal sets collapse before. Within the sets of a signature, links to a few leaders come first;
-pairs that are still in different components after that are compared, too. Bounds from
-partition counts discard most pairs before sets are fetched, and every link is verified on
-the whole sets.
+Equal sets collapse before. Parities of the numbers of elements in buckets bound how much two sets
+differ from below. Within the sets of a signature, possible links that span all others come
+first and are verified on the whole sets; then those that would still join two components
+are, found by more parity bits. No pairs leave a task but these.
 
 Texts without words (or null) have empty sets and link with nothing.
 """
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .shared import table, width
 from .textwords import LOWER, WHITE, hashes, mix, pieces, spans, sums
 
@@ -39,8 +39,8 @@ WORDS = 5
 SMALL, RATIO = 256, 4
 #: A signature of so many sets is passed over; at most so many are; a task reports those it met so often.
 COMMON, MOST_COMMON, REPORTED = 64, 100_000, 4
-#: Kinds of leaders in the sets of a signature, signatures held by a task, buckets of signatures for each partition.
-LEADERS, HELD, BUCKETS_EACH = 3, 1 << 21, 8
+#: Signatures held by a task, buckets of signatures for each partition, parity bits for each element.
+HELD, BUCKETS_EACH, COARSE, FINE = 1 << 21, 8, 2, 8
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -105,7 +105,7 @@ def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: set, size and partition counts of a row; kind 1: a signature that this task met often."""
+    """Kind 0: set, size and parities of a row; kind 1: a signature that this task met often."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     n_held = 0
@@ -114,26 +114,27 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = count >= REPORTED
         k = int(often.sum())
-        columns = [pa.array([1] * k, pa.int8()), pa.nulls(k, id_type), pa.array(value[often].view(np.int64)), pa.array(count[often], pa.int64()), pa.nulls(k, pa.binary())]
+        columns = [pa.array([1] * k, pa.int8()), pa.nulls(k, id_type), pa.array(value[often].view(np.int64)), pa.array(count[often], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["kind", "id", "a", "b", "counts"]
+    names = ["kind", "id", "a", "b", "counts", "fine"]
     id_type = pa.int64()
     for batch in batches:
         id_type = batch.column(0).type
-        ids, sizes, counted = [], [], []
+        ids, sizes, coarse, fine = [], [], [], []
         for _, data, at in pieces(batch.column(1)):
             for s in shingle_sets(data, at):
                 own = set_id(s)
                 ids.append(own)
                 sizes.append(len(s))
-                counted.append(counts(s).tobytes())
+                coarse.append(parities(s, COARSE))
+                fine.append(parities(s, FINE))
                 if len(s) and own not in seen:
                     seen.add(own)
                     for scheme in schemes(len(s)):
                         held.append(partitions(s, scheme))
                         n_held += len(held[-1])
-        columns = [pa.array([0] * len(ids), pa.int8()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counted, pa.binary())]
+        columns = [pa.array([0] * len(ids), pa.int8()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names)
         if len(seen) > 1 << 18:
             seen = set()
@@ -221,47 +222,49 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-class _List:
-    """Sets that share a signature, with what bounds their differences."""
+class _Members:
+    """The sets of all lists of a batch, flat, with what bounds their differences."""
 
-    def __init__(self, sets: np.ndarray, sizes: np.ndarray, counted: list[bytes]):
-        self.sets, self.sizes = sets, sizes
-        self.width = np.array([len(c) for c in counted])
-        self.at = np.zeros(len(sets), np.int64)
-        self.full, self.half, self.capped = {}, {}, np.zeros(len(sets), bool)
+    def __init__(self, batch: pa.RecordBatch):
+        self.group = batch.column(0).to_numpy()
+        self.length = batch.column(1).value_lengths().to_numpy().astype(np.int64)
+        self.sets, self.sizes, self.more = (batch.column(i).flatten().to_numpy() for i in (1, 2, 4))
+        counted = batch.column(3).flatten()
+        self.width = np.array([len(c) for c in counted.to_pylist()], np.int64)
+        self.at = np.zeros(len(self.sets), np.int64)
+        self.full, self.half = {}, {}
         for w in np.unique(self.width).tolist():
             own = np.flatnonzero(self.width == w)
             self.at[own] = np.arange(len(own))
-            x = np.frombuffer(b"".join(counted[i] for i in own), np.uint8).reshape(-1, w).astype(np.int16)
-            self.full[w], self.half[w] = x, x[:, ::2] + x[:, 1::2]
-            self.capped[own] = (x == 255).any(1)
-
-    def possible(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Of the places in others, those whose sets differ little enough from set i for a link."""
-        n = self.sizes[others]
-        others = others[(4 * np.minimum(n, self.sizes[i]) >= 3 * np.maximum(n, self.sizes[i])) & (others != i)]
-        keep = np.ones(len(others), bool)
-        w = int(self.width[i])
-        for v in (w // 2, w, 2 * w):
-            mine = np.flatnonzero(self.width[others] == v)
-            if not len(mine):
-                continue
-            theirs = self.at[others[mine]]
-            a = self.half[w][self.at[i]] if v < w else self.full[w][self.at[i]]
-            b = self.half[v][theirs] if v > w else self.full[v][theirs]
-            keep[mine] = 7 * np.abs(b - a).sum(1, dtype=np.int64) <= n_sum(self.sizes, i, others[mine])
-        if self.capped[i]:
-            keep[:] = True
-        return others[keep | self.capped[others]]
-
-
-def n_sum(sizes: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    return sizes[others] + sizes[i]
-
-
-def _lists(batch: pa.RecordBatch) -> Iterator[tuple]:
-    for g, sets, sizes, counted, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), batch.column(4)):
-        yield g, _List(sets.values.to_numpy(), sizes.values.to_numpy(), counted.as_py()), more.values.to_numpy()
+            x = np.frombuffer(b"".join(counted.take(pa.array(own)).to_pylist()), np.uint64).reshape(-1, w // 8)
+            self.full[w], self.half[w] = x, x[:, : w // 16] ^ x[:, w // 16 :]
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of places: False only if the sets differ too much for a link."""
+        n, m = self.sizes[i], self.sizes[j]
+        out = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        wi, wj = self.width[i], self.width[j]
+        for w in self.full:
+            for v in (w // 2, w, 2 * w):
+                mine = np.flatnonzero(out & (wi == w) & (wj == v)) if v in self.full else ()
+                if len(mine):
+                    x = (self.half if v < w else self.full)[w][self.at[i[mine]]]
+                    y = (self.half if v > w else self.full)[v][self.at[j[mine]]]
+                    out[mine] = 7 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n[mine] + m[mine]
+        return out
+
+    def pairs(self, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of all pairs within lists, in bounded blocks."""
+        first = np.cumsum(self.length) - self.length
+        for m in np.unique(self.length).tolist():
+            own = first[self.length == m]
+            rows = max(1, most // max(1, m))
+            for r in range(0, m, rows):
+                i, j = np.nonzero(np.arange(r, min(m, r + rows))[:, None] < np.arange(m)[None, :])
+                i += r
+                step = max(1, most // max(1, len(i)))
+                for k in range(0, len(own) if len(i) else 0, step):
+                    yield (own[k : k + step, None] + i).ravel(), (own[k : k + step, None] + j).ravel()
 
 
 def _emit(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -269,60 +272,87 @@ def _emit(rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
 
 
-def _pairs(x: int, others: np.ndarray) -> np.ndarray:
-    return np.stack([np.minimum(others, x), np.maximum(others, x)], 1)
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible links of each list's leader; and (set, set) of every set with a possible link."""
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+
+def spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of edges that connect what all edges connect; in each round every component takes one."""
+    _, at = np.unique(np.r_[i, j], return_inverse=True)
+    label = np.arange(at.max(initial=-1) + 1)
+    left, right, open_ones, chosen = at[: len(i)], at[len(i) :], np.arange(len(i)), []
+    while True:
+        x, y = label[left[open_ones]], label[right[open_ones]]
+        apart = x != y
+        open_ones, x, y = open_ones[apart], x[apart], y[apart]
+        if not len(open_ones):
+            return np.unique(np.concatenate(chosen)) if chosen else open_ones
+        _, first = np.unique(np.r_[x, y], return_index=True)
+        pick = np.unique(first % len(x))
+        chosen.append(open_ones[pick])
+        node, root = forest(x[pick], y[pick])
+        to = np.arange(len(label))
+        to[node] = root
+        label = to[label]
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Possible links that connect all that possible links within the lists connect; and (set, set) of every set with one."""
     for batch in batches:
-        found: list[np.ndarray] = []
-        size = 0
-        for g, own, _ in _lists(batch):
-            everyone = np.arange(len(own.sets))
-            leader = int(np.argmin(mix(own.sets.view(np.uint64), 100 + g % LEADERS)))
-            near = own.possible(leader, everyone)
-            found.append(_pairs(own.sets[leader], own.sets[near]))
-            open_ones = np.ones(len(own.sets), bool)
-            open_ones[near] = False
-            open_ones[leader] = not len(near)
-            for i in np.flatnonzero(open_ones).tolist():
-                open_ones[i] = not len(own.possible(i, everyone))
-            some = own.sets[~open_ones]
-            found.append(np.stack([some, some], 1))
-            size += len(some) + len(near)
-            if size > 1 << 19:
-                yield _emit(found)
-                found, size = [], 0
-        yield _emit(found)
+        own = _Members(batch)
+        found = np.zeros((0, 2), np.int64)
+        linked = np.zeros(len(own.sets), bool)
+        for i, j in own.pairs():
+            keep = own.may_link(i, j)
+            i, j = i[keep], j[keep]
+            linked[i] = linked[j] = True
+            found = np.concatenate([found, _pairs(own.sets[i], own.sets[j])])
+            if len(found) > 1 << 18:
+                found = found[spanning(found[:, 0], found[:, 1])]
+        found = found[spanning(found[:, 0], found[:, 1])]
+        some = own.sets[linked]
+        yield _emit([found, np.stack([some, some], 1)])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """List and set of those with a possible link to another component in their list."""
+    for batch in batches:
+        own = _Members(batch)
+        linked = np.zeros(len(own.sets), bool)
+        for i, j in own.pairs():
+            apart = own.more[i] != own.more[j]
+            i, j = i[apart], j[apart]
+            keep = own.may_link(i, j)
+            linked[i[keep]] = linked[j[keep]] = True
+        group = np.repeat(own.group, own.length)
+        yield pa.RecordBatch.from_arrays([pa.array(group[linked]), pa.array(own.sets[linked])], ["g", "set"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Possible links between sets of different components."""
     for batch in batches:
+        own = _Members(batch)
         found: list[np.ndarray] = []
         size = 0
-        for _, own, component in _lists(batch):
-            order = np.argsort(component, kind="stable")
-            for k, i in enumerate(order.tolist()):
-                later = order[np.searchsorted(component[order], component[i], "right") :]
-                near = own.possible(i, later)
-                if len(near):
-                    found.append(_pairs(own.sets[i], own.sets[near]))
-                    size += len(near)
+        for i, j in own.pairs():
+            apart = own.more[i] != own.more[j]
+            i, j = i[apart], j[apart]
+            keep = own.may_link(i, j)
+            found.append(_pairs(own.sets[i[keep]], own.sets[j[keep]]))
+            size += len(found[-1])
             if size > 1 << 19:
                 yield _emit(found)
                 found, size = [], 0
         yield _emit(found)
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    """Elements in each of about n / 8 equal partitions, a power of two of them, at most 255."""
-    n = 16
-    while n * 8 < len(s):
-        n *= 2
-    part = (s >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(part, minlength=n), 255).astype(np.uint8)
+def parities(s: np.ndarray, each: int) -> bytes:
+    """Whether the number of elements in each of at least each * len(s) buckets is odd: as many bits, a power of two."""
+    bits = 128 * each // 2
+    while bits < each * len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +387,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    first = table(rows.mapInArrow(_first_pass, f"kind tinyint, id {kind}, a long, b long, counts binary"), "sets")
+    first = table(rows.mapInArrow(_first_pass, f"kind tinyint, id {kind}, a long, b long, counts binary, fine binary"), "sets")
     often = first.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= COMMON)
     often = [r["a"] for r in often.orderBy(F.desc("n"), "a").limit(MOST_COMMON).select("a").collect()]
     common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
@@ -374,7 +404,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         listed = rows_of.groupBy("g").agg(F.collect_list(F.struct("set", "n", "counts", F.col(more).alias("more"))).alias("x"))
         return listed.select("g", "x.set", "x.n", "x.counts", "x.more")
 
-    likely = table(gathered(members, "n").mapInArrow(_stars, "a long, b long").distinct(), "likely")
+    likely = table(gathered(members, "n").mapInArrow(_trees, "a long, b long").distinct(), "likely")
     involved = likely.filter("a = b").select(F.col("a").alias("set"))
     texts = rows.join(sizes.join(involved, "set").select("set", "one"), F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
     sets = texts.mapInArrow(_elements, "set long, elements binary")
@@ -383,7 +413,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = table(components(links), "components").withColumnRenamed("node", "set")
     members = members.join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
     open_ones = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("g")
-    rest = gathered(members.join(open_ones, "g"), "component").mapInArrow(_across, "a long, b long").distinct()
+    apart = table(gathered(members.join(open_ones, "g"), "component").mapInArrow(_apart, "g long, set long"), "apart")
+    fine = first.filter("kind = 0 AND b > 0").join(apart.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
+    fine = fine.groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("fine").alias("counts"))
+    closer = apart.join(fine, "set").join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    rest = gathered(closer, "component").mapInArrow(_across, "a long, b long").distinct()
     more = table(_verified(rest.join(likely, ["a", "b"], "left_anti"), sets), "links")
     final = table(components(links.union(more)), "components")
     grouped = owned.join(final, owned["set"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "set").alias("component"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigrove.llm import components as C
@@ -88,8 +89,19 @@ def test_similar_sets_share_a_signature():
             everything = np.unique(np.concatenate([J.partitions(x, k) for x in (a, b) for k in J.schemes(len(x))]))
             for common in (np.zeros(0, np.uint64), everything[::2], everything):
                 assert len(np.intersect1d(J.signatures(a, common), J.signatures(b, common)))
-            both_of = J._List(np.array([1, 2]), np.array([len(a), len(b)]), [J.counts(a).tobytes(), J.counts(b).tobytes()])
-            assert both_of.possible(0, np.array([0, 1])).tolist() == [1] and both_of.possible(1, np.array([0, 1])).tolist() == [0]
+            each = int(random.choice([J.COARSE, J.FINE]))
+            listed = [[1, 2], [len(a), len(b)], [J.parities(a, each), J.parities(b, each)], [0, 0]]
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            batch = pa.RecordBatch.from_arrays([pa.array([5]), *(pa.array([x], k) for x, k in zip(listed, kinds))], list("gsnco"))
+            assert J._Members(batch).may_link(np.array([0, 1]), np.array([1, 0])).all()
+
+
+def test_spanning_edges_connect_what_all_edges_do():
+    random = np.random.default_rng(6)
+    for n in (0, 1, 5, 60):
+        i, j = random.integers(0, 30, n), random.integers(0, 30, n)
+        pick = J.spanning(i, j)
+        assert len(pick) <= 30 and all(map(np.array_equal, forest(i, j), forest(i[pick], j[pick])))
 
 
 @pytest.mark.parametrize("most", [1 << 20, 3])
