@@ -106,10 +106,10 @@ def examples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", "question", F.coalesce(ids, F.array().cast("array<string>")).alias("entity_ids"))
 
 
-def cached_answers(spark: SparkSession, path: str, answer: str = "struct<answer:string,score:double>") -> DataFrame:
-    """question id, rank and answer of a file of cached results."""
-    raw = spark.read.schema(f"data map<string,struct<denspi:array<{answer}>>>").json(path, multiLine=True)
-    return raw.select(F.explode("data").alias("qid", "v")).select("qid", F.posexplode("v.denspi").alias("rank", "a")).select("qid", "rank", "a.*")
+def cached_answers(spark: SparkSession, path: str, source: str, answer: str = "struct<answer:string,score:double>") -> DataFrame:
+    """Question id, rank and answer of a file of cached results; source: the field that holds a kind of answers."""
+    raw = spark.read.schema(f"data map<string,struct<{source}:array<{answer}>>>").json(path, multiLine=True)
+    return raw.select(F.explode("data").alias("qid", "v")).select("qid", F.posexplode(f"v.{source}").alias("rank", "a")).select("qid", "rank", "a.*")
 
 
 def requests(spark: SparkSession, batch: list[str]) -> DataFrame:

@@ -176,8 +176,8 @@ def test_readers(spark, tmp_path):
     assert [tuple(r)[1:] for r in readers.entity_results(spark, str(tmp_path / "best")).orderBy("rank").collect()] == [(1, "aspirin", 2.5, 3, ["12", "13"], ["text one", "text two"]), (2, "zinc", 1.0, 0, [], [])]
     (tmp_path / "ex.json").write_text(json.dumps({"data": [{"id": "1", "question": "q", "question_entities": {"d": [{"id": "i", "start": 0, "end": 1}, {"id": "i", "start": 2, "end": 3}]}}]}))
     assert rows(readers.examples(spark, str(tmp_path / "ex.json"))) == [("1", "q", ["i"])]
-    (tmp_path / "cache.json").write_text(json.dumps({"data": {"1": {"denspi": [{"answer": "x", "score": 1.0}]}}}))
-    assert rows(readers.cached_answers(spark, str(tmp_path / "cache.json"))) == [("1", 0, "x", 1.0)]
+    (tmp_path / "cache.json").write_text(json.dumps({"data": {"1": {"phrases": [{"answer": "x", "score": 1.0}]}}}))
+    assert rows(readers.cached_answers(spark, str(tmp_path / "cache.json"), "phrases")) == [("1", 0, "x", 1.0)]
     assert readers.requests(spark, ["a", "b"]).count() == 2
 
 
