@@ -65,11 +65,9 @@ def localize(docs: DataFrame, position: Column) -> DataFrame:
 
 def enclosing_segment(text: Column, start: Column, end: Column, delimiter: str = " [PAR] ") -> Column:
     """(segment, start, end): the part between delimiters around start, and the positions within it."""
-    size = len(delimiter)
     head = F.substring(text, F.lit(1), start)
     back = F.locate(delimiter[::-1], F.reverse(head))
     low = F.when(back > 0, F.length(head) - back + 1).otherwise(F.lit(0))
     after = F.locate(delimiter, F.substring(text, start + 1, F.length(text)))
     high = F.when(after > 0, start + after - 1).otherwise(F.length(text))
-    del size
     return F.struct(F.substring(text, low + 1, high - low).alias("segment"), (start - low).cast("long").alias("start_pos"), (end - low).cast("long").alias("end_pos"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrove.functions.text import basic_words  # noqa: F401  (part of the readers' public surface)
-
 ENTITY = "struct<id:string,start:int,end:int>"
 ANSWER = "struct<text:string,answer_start:int>"
 QA = f"struct<id:string,question:string,answers:array<{ANSWER}>>"
