@@ -40,7 +40,7 @@ SMALL, RATIO = 256, 4
 #: A signature of so many sets is passed over; at most so many are; a task reports those it met so often.
 COMMON, MOST_COMMON, REPORTED = 64, 100_000, 4
 #: Signatures held by a task, buckets of signatures for each partition, parity bits for each element.
-HELD, BUCKETS_EACH, COARSE, FINE = 1 << 21, 8, 2, 8
+HELD, BUCKETS_EACH, COARSE, FINE = 1 << 20, 8, 2, 8
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -138,7 +138,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names)
         if len(seen) > 1 << 18:
             seen = set()
-        if n_held > 2 * HELD:
+        if n_held > HELD:
             yield frequent()
             held, n_held = [], 0
     yield frequent()

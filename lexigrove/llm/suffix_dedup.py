@@ -35,7 +35,7 @@ from .textwords import mix, pieces
 
 LENGTH, GRAM, MOST_PIECES = 400, 16, 1 << 14
 #: Pieces inserted together, about; bytes of one numpy pass, below 2**20.
-BATCH_PIECES, PASS_BYTES = 4096, 1 << 20
+BATCH_PIECES, PASS_BYTES = 4096, 1 << 18
 _BITS = 20
 _PAD = 0xFF  # no byte of UTF-8
 
