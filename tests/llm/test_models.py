@@ -1,5 +1,8 @@
 """Quality classifier and LM scores: parts against brute force, held-out accuracy, odd inputs."""
 
+from collections import Counter
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -64,6 +67,20 @@ def test_network_gradients():
         x[i] -= 1e-5
 
 
+def test_every_place_of_every_text_is_trained_on(monkeypatch):
+    texts = ["one", "", "two words", None, " ".join("w%d" % (i % 90) for i in range(1001)), "a b c"]
+    net = L.new_network(np.random.default_rng(3).integers(0, 50, 1 << L.BIN_BITS).astype(float))
+    got, want = Counter(), Counter()
+    monkeypatch.setattr(L, "train_on", lambda net, context, target, memory: got.update(zip(map(tuple, context.tolist()), target.tolist())))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    seen = sum(out.column(1)[-1].as_py() for turn in range(L.ROUNDS) for out in L._learn(SimpleNamespace(value=net), turn)([batch]))
+    for _, data, at in pieces(batch.column(0)):
+        word, of = L.bins(data, at)
+        classes = net.classes[word]
+        want.update(zip(map(tuple, L.contexts(classes, of, np.arange(len(word))).tolist()), classes.tolist()))
+    assert got == want and seen == sum(want.values()) == 1007
+
+
 def test_scores_sum_over_all_words_and_prefer_the_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     net = L.fit(docs)
