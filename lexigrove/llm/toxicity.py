@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .textwords import LOWER, hashes, mix, pieces, spans, sums
 
 BITS, FACTORS, SAMPLE, EPOCHS = 17, 4, 5000, 8
-#: A feature needs so many training texts, and so many standard deviations between the classes; shorter words than LONG bytes have no beginning of PREFIX bytes.
-LEAST_TEXTS, LEAST_SURPRISE, PREFIX, LONG = 4, 5.0, 6, 8
+#: Weights start from the classes' odds where these differ by so many standard deviations, else from 0; shorter words than LONG bytes have no beginning of PREFIX bytes.
+SURPRISE, PREFIX, LONG = 5.0, 6, 8
 _SPLIT = np.ones(256, bool)
 _SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -80,12 +80,12 @@ def train(rows: list[np.ndarray], labels: np.ndarray, prior: float, seed: int =
     there = inside + outside
     share = positive / len(labels)
     surprise = (inside - there * share) / np.sqrt(np.maximum(there, 1) * share * (1 - share))
-    kept = (there >= LEAST_TEXTS) & (np.abs(surprise) >= LEAST_SURPRISE)
+    marked = np.abs(surprise) >= SURPRISE
     odds = np.log((inside + 0.5) / (positive + 1)) - np.log((outside + 0.5) / (len(labels) - positive + 1))
-    machine.linear[kept] = 0.5 * odds[kept]
-    rows = [r[kept[r]] for r in rows]
+    machine.linear[marked] = odds[marked]
     random = np.random.default_rng(seed)
-    machine.factors[kept] = random.normal(0, 0.01, (int(kept.sum()), FACTORS))
+    met = there > 0
+    machine.factors[met] = random.normal(0, 0.01, (int(met.sum()), FACTORS))
     weight = np.where(labels == 1, 0.5 * len(labels) / positive, 0.5 * len(labels) / (len(labels) - positive))
     seen_w, seen_v, seen_b = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
     for epoch in range(EPOCHS):

@@ -45,6 +45,30 @@ def test_interactions_are_learned():
     assert score[2] > 0.7 > 0.5 > max(score[:2])
 
 
+def test_pairs_of_terms_that_tell_nothing_alone():
+    """A group's name and a slur are as common in either class; toxic are the texts with both or neither."""
+    random = np.random.default_rng(4)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = (bool(x) for x in random.random(2) < 0.5)
+        rows.append(np.array([1] * a + [2] * b + [10 + int(random.integers(50))], np.int64))
+        labels.append(int(a == b))
+    m = toxicity.train(rows, np.array(labels), 0.5)
+    score = [m.score(np.zeros(len(x), int), np.array(x), 1)[0] for x in ([1], [2], [1, 2])]
+    assert score[2] > 0.6 > 0.4 > max(score[:2])
+
+
+def test_rare_toxic_terms_are_learned():
+    """A term of six toxic texts, too few to stand out by its own count."""
+    random = np.random.default_rng(5)
+    rows = [random.choice(np.arange(10, 60), 5, replace=False) for _ in range(2000)]
+    labels = np.repeat([0, 1], 1000)
+    rows = [np.r_[r, 1] if i >= 1994 else np.r_[r, 2] if y and i % 2 else r for i, (r, y) in enumerate(zip(rows, labels))]
+    m = toxicity.train(rows, labels, 0.5)
+    plain, rare = m.margin(np.zeros(1, int), np.array([10]), 1)[0], m.margin(np.zeros(2, int), np.array([10, 1]), 1)[0]
+    assert rare > plain + 0.1
+
+
 def test_held_out_accuracy_and_clashing_columns(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("_text", F.lit("x")).withColumn("score", F.lit(1))
