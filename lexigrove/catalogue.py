@@ -193,6 +193,13 @@ def ivf_probe_topk(spark, d):
     return vindex.probed_top_k(vectors.withColumnRenamed("label", "cluster_id"), probes, 10)
 
 
+@query(ORACLES["mips_exact_topk"])
+def ivf_bounded_topk(spark, d):
+    """The lists of ivf_probe_topk without its loss: all lists that may hold a neighbour."""
+    vectors = _t(spark, d, "embeddings")
+    return vindex.bounded_top_k(vectors.withColumnRenamed("label", "cluster_id"), _asked_vectors(spark, d), vindex.mean_centroids(vectors), 10, 3)
+
+
 # Phrases: each vector is a phrase of the document of the same number, asked for by the question of the same number.
 _PHRASES = f"""pv AS (SELECT b.item_id qid, e.{_D} query FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 ph AS (SELECT qid, vec_id doc_id, label start_idx, round(list_inner_product(query, {_D}), 6) dense FROM pv, embeddings), ds AS (SELECT item_id qid, doc_id, score doc_score FROM scores)"""

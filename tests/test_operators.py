@@ -132,6 +132,28 @@ def test_index_recall_and_upsert(spark, sf):
     assert vindex.within_norm(vectors, 0.5).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_bounded_lists_find_the_exact_neighbours(spark, size):
+    d = f"/root/testdata/{size}"
+    found = {name: {(r.qid, r.vec_id, r.rank) for r in catalogue.QUERIES[name](spark, d).collect()} for name in ("mips_exact_topk", "ivf_bounded_topk")}
+    assert found["mips_exact_topk"] == found["ivf_bounded_topk"]
+
+
+def test_bounded_lists_leave_out_what_is_far(spark, monkeypatch):
+    at = [(i, c, [10.0 * (c == j) + 0.01 * i for j in range(3)]) for i in range(30) for c in [i % 3]]
+    vectors = spark.createDataFrame(at, "vec_id long, label int, embedding array<float>")
+    asked = vectors.filter("vec_id IN (0, 7)").selectExpr("vec_id AS qid", "embedding AS query")
+    probes = []
+    real = vindex.listed_top_k
+    monkeypatch.setattr(vindex, "listed_top_k", lambda *a: probes.append(a[4].sum()) or real(*a))
+    for k, lists in ((5, 2), (15, 6)):  # ten vectors a list: five are found in the first, fifteen are not
+        got = vindex.bounded_top_k(vectors.withColumnRenamed("label", "cluster_id"), asked, vindex.mean_centroids(vectors), k, 1)
+        assert rows(got.select("qid", "vec_id", "rank")) == rows(vindex.exact_top_k(vectors, asked, k).select("qid", "vec_id", "rank"))
+        assert probes[-1] == lists
+    for some, wanted in ((vectors, asked.limit(0)), (vectors.limit(0), asked)):
+        assert vindex.bounded_top_k(some.withColumnRenamed("label", "cluster_id"), wanted, vindex.mean_centroids(some), 3, 1).count() == 0
+
+
 def test_markup(spark):
     text = "First one. Second has gold in it. Third."
     s, e = 11, 33
