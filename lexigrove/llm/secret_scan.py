@@ -4,8 +4,10 @@ Base rules are three patterns (assignments of credentials, access keys, long hex
 The method adds spans of high Shannon entropy: over each candidate string a window slides
 by one character; only the counts of the character that leaves and of the one that enters
 change, so the sum of c*log2(c) is kept up to date by increments. Thresholds depend on the
-candidate's character class, and an allow-list suppresses placeholders and well-known
-harmless strings. Base spans are never suppressed.
+character class, and an allow-list suppresses placeholders and well-known harmless strings.
+What it names is cut out of the candidate and the parts between are scored alone: leading
+directories in lower case, UUIDs, parts between slashes and equal signs of at most SHORT characters
+with a placeholder, and the placeholder itself in longer ones. Base spans are never suppressed.
 
 Places are code points, ends exclusive. Null texts count as empty and have no spans.
 Each row is scanned alone: ties, repeated rows and further columns have no influence.
@@ -24,11 +26,17 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Characters of a window, shortest candidate, and bits a character from which a window is suspicious, by class.
-WINDOW, SHORTEST, HEX_BITS, MIXED_BITS = 20, 20, 3.0, 3.75
+#: Characters of a window, shortest candidate, longest part that a placeholder covers, and bits a character from which a window is suspicious, by class.
+WINDOW, SHORTEST, SHORT, HEX_BITS, MIXED_BITS, LETTER_BITS = 20, 20, 40, 3.0, 3.75, 3.9
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
-#: Placeholders, examples, identifiers and runs that are no secrets.
-ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|your[_-]|x{6,}|\*{4,}|0123456789|abcdefghij|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^/?([a-z]+/)+|lorem|(.)\1{7,}"
+#: Placeholders, examples and runs that are no secrets.
+PLACEHOLDER = r"(?:(?i:example|sample|placeholder|changeme|dummy|your[_-]|x{6,}|0123456789|abcdefghij|lorem)|(.)\GROUP{7,})"
+UUID = r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
+#: Directories, UUIDs, short parts with a placeholder, placeholders.
+ALLOWED = "|".join([
+    r"^/?(?:[a-z]+/)+", rf"(?<![^/=]){UUID}(?![^/=])",
+    rf"(?<![^/=])(?=[^/=]{{1,{SHORT}}}(?![^/=]))(?=[^/=]*?{PLACEHOLDER.replace('GROUP', '1')})[^/=]+", PLACEHOLDER.replace("GROUP", "2"),
+])
 
 
 def _spans(text: Column, pattern: str, found: Column, number: int) -> Column:
@@ -78,10 +86,25 @@ def _entropy_runs(word: Column, bits: Column) -> Column:
 
 
 def _bits(word: Column) -> Column:
-    """Threshold by character class; null where the class is no candidate's."""
+    """Threshold by character class; null for short parts and those without letters."""
     hexa = word.rlike("^[0-9a-fA-F]+$") & word.rlike("[0-9]") & word.rlike("[a-fA-F]")
     mixed = word.rlike("[0-9]") & word.rlike("[a-z]") & word.rlike("[A-Z]") | word.rlike("[0-9]") & word.rlike("[a-z]{2}|[A-Z]{2}") & (F.length(F.regexp_replace(word, "[^0-9]", "")) >= 4)
-    return F.when(word.rlike(ALLOWED), F.lit(None).cast("double")).when(hexa, F.lit(HEX_BITS)).when(mixed, F.lit(MIXED_BITS))
+    return F.when(F.length(word) < SHORTEST, F.lit(None).cast("double")).when(hexa, F.lit(HEX_BITS)).when(mixed, F.lit(MIXED_BITS)).when(word.rlike("[A-Za-z]"), F.lit(LETTER_BITS))
+
+
+def _parts(candidate: Column, start: Column) -> Column:
+    """What the allow-list leaves of a candidate: (start, w) of each part."""
+    found = F.regexp_extract_all(candidate, F.lit(ALLOWED), F.lit(0))
+    between = F.split(candidate, ALLOWED, -1)
+    made = F.aggregate(
+        F.arrays_zip(between.alias("part"), found.alias("match")),
+        F.struct(start.alias("at"), F.array().cast("array<struct<start:int,w:string>>").alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["part"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["part"].alias("w")))).alias("out"),
+        ),
+    )
+    return made["out"]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -96,25 +119,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_c"),
     )
     value = F.when(F.size("_a") > 0, F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>"))
-    candidates = F.transform("_c", lambda w: _bits(w))
-    out = out.select("*", F.transform(value, F.length).alias("_lengths"), candidates.alias("_bits"))
     text = F.col("_text")
+    placed = F.transform(_spans(text, CANDIDATE, F.col("_c"), 3), lambda s, i: _parts(F.get(F.col("_c"), i), s["start"]))
+    placed = F.when(F.size("_c") > 0, F.flatten(placed)).otherwise(F.array().cast("array<struct<start:int,w:string>>"))
+    out = out.select("*", F.transform(value, F.length).alias("_lengths"), F.transform(placed, lambda x: F.struct(x["start"], x["w"], _bits(x["w"]).alias("b"))).alias("_parts"))
     assign = F.filter(
         F.transform(_spans(text, ASSIGN, F.col("_a"), 0), lambda s, i: F.struct(s.alias("s"), F.get(F.col("_lengths"), i).alias("n"))),
         lambda x: x["n"] >= 8,
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    placed = F.transform(_spans(text, CANDIDATE, F.col("_c"), 3), lambda s, i: F.struct(s.alias("s"), F.get(F.col("_c"), i).alias("w"), F.get(F.col("_bits"), i).alias("b")))
     entropy = F.flatten(
         F.transform(
-            F.filter(placed, lambda x: x["b"].isNotNull()),
+            F.filter("_parts", lambda x: x["b"].isNotNull()),
             lambda x: F.transform(
                 _entropy_runs(x["w"], x["b"]),
-                lambda r: F.struct((x["s"]["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (x["s"]["start"] + r["end"]).alias("end")),
+                lambda r: F.struct((x["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + r["end"]).alias("end")),
             ),
         )
     )
-    entropy = F.when(F.exists("_bits", lambda b: b.isNotNull()), entropy).otherwise(none)
+    entropy = F.when(F.exists("_parts", lambda x: x["b"].isNotNull()), entropy).otherwise(none)
     spans = F.concat(F.transform(assign, lambda x: x["s"]), _spans(text, ACCESS, F.col("_k"), 1), _spans(text, HEX, F.col("_h"), 2), entropy)
     return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *[F.col(f"_keep.{c}").alias(c) for c in keep], F.array_sort(spans).alias("found"))
 

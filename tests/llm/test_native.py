@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -74,6 +76,30 @@ def test_allow_list_suppresses_only_method_spans(spark):
     assert got[1].n_entropy == 1 and got[2].n_entropy == 0 and got[3].n_entropy == 0 and got[3].n_assign == 1
 
 
+def test_allow_list_hides_no_secret_beside_it(spark):
+    r = random.Random(3)
+    draw = lambda letters, n=40: "".join(r.choice(letters) for _ in range(n))
+    letters = string.ascii_letters
+    base64 = letters + string.digits + "+/"
+    token = "q8Zr2LmN0pXw7Tb4Vk9Yc1Hd"
+    kinds = {
+        "key": [draw(base64) for _ in range(300)],
+        "letters": [draw(letters) for _ in range(100)],
+        "slash": ["Ab/" + draw(base64) for _ in range(100)],
+        "path": [f"https://hooks.slack.com/services/T0ABCD12/B0EFGH34/{token}", f"sample/{token}", f"mode=example/key={token}", f"home/xxxxxxxx/{token}"],
+        "long": [f"{token}{token}_example_{token}{token}", "your_" + "-" * 20 + token + "Ab1" * 3],
+        "harmless": ["123e4567-e89b-12d3-a456-426614174000", "your_very_own_api_Key_goes_here_1234", "usr/share/lib/modules/kernel/drivers", "getUserAccountInformationManagerFactory", "-" * 60, "the_quick_brown_fox_jumps_over_it"],
+    }
+    rows = [(k, w) for k, words in kinds.items() for w in words]
+    frame = spark.createDataFrame([(i, w, k) for i, (k, w) in enumerate(rows)], "doc_id long, text string, k string")
+    got = {}
+    for x in frame.join(secret_scan.report(frame), "doc_id").collect():
+        got.setdefault(x.k, []).append((x.n_entropy > 0, x.text))
+    caught = {k: sum(hit for hit, _ in v) / len(v) for k, v in got.items()}
+    assert caught["path"] == caught["long"] == 1 and caught["harmless"] == 0
+    assert min(caught["key"], caught["slash"]) > 0.98 and caught["letters"] > 0.9
+
+
 def test_redaction_keeps_columns_and_other_text(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b", "s"), (2, None, "s"), (3, "clean", "s"), (1, "a token=abcdefgh b", "s")], "doc_id long, text string, _text string")
     got = sorted(map(tuple, secret_scan.redact(docs).collect()), key=str)
