@@ -2,13 +2,15 @@
 
 Base rules are three patterns (assignments of credentials, access keys, long hex runs).
 The method adds spans of high Shannon entropy: over each candidate string a window slides
-by one character; only the counts of the character that leaves and of the one that enters
-change, so the sum of c*log2(c) is kept up to date by increments. Thresholds depend on the
-character class, and an allow-list suppresses placeholders and well-known harmless strings.
-What it names is cut out of the candidate and the parts between are scored alone: leading
-directories in lower case, UUIDs, parts between slashes and equal signs of at most SHORT characters
-with a placeholder, and the placeholder itself in longer ones. Base spans are never suppressed.
+by one character; the counts of all characters lie in an array of packed integers, of which
+only those of the character that leaves and of the one that enters change, and the sum of
+c*log2(c), in fixed point, follows by increments. Thresholds depend on the character class, and an
+allow-list suppresses placeholders and well-known harmless strings: leading directories in
+lower case, UUIDs, runs of one character and placeholders with up to AROUND characters on
+either side, within slashes and equal signs. What it names is cut out of the candidate and the
+parts between are scored alone. Base spans are never suppressed.
 
+All steps are linear in the text, but for the list of spans, which grows by blocks of BLOCK.
 Places are code points, ends exclusive. Null texts count as empty and have no spans.
 Each row is scanned alone: ties, repeated rows and further columns have no influence.
 """
@@ -16,6 +18,7 @@ Each row is scanned alone: ties, repeated rows and further columns have no influ
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,85 +29,151 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Characters of a window, shortest candidate, longest part that a placeholder covers, and bits a character from which a window is suspicious, by class.
-WINDOW, SHORTEST, SHORT, HEX_BITS, MIXED_BITS, LETTER_BITS = 20, 20, 40, 3.0, 3.75, 3.9
+#: Characters of a window, shortest candidate, and bits a character from which a window is suspicious, by class.
+WINDOW, SHORTEST, HEX_BITS, MIXED_BITS, LETTER_BITS = 20, 20, 3.0, 3.75, 3.9
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
-#: Placeholders, examples and runs that are no secrets.
-PLACEHOLDER = r"(?:(?i:example|sample|placeholder|changeme|dummy|your[_-]|x{6,}|0123456789|abcdefghij|lorem)|(.)\GROUP{7,})"
+#: Characters on either side that a placeholder covers; spans that are appended to a list together.
+AROUND, BLOCK = 16, 64
+LEAD = r"^/?(?:[a-z]++/)++"
 UUID = r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
-#: Directories, UUIDs, short parts with a placeholder, placeholders.
-ALLOWED = "|".join([
-    r"^/?(?:[a-z]+/)+", rf"(?<![^/=]){UUID}(?![^/=])",
-    rf"(?<![^/=])(?=[^/=]{{1,{SHORT}}}(?![^/=]))(?=[^/=]*?{PLACEHOLDER.replace('GROUP', '1')})[^/=]+", PLACEHOLDER.replace("GROUP", "2"),
-])
+PLACEHOLDER = r"(?i:example|sample|placeholder|changeme|dummy|your[_-]|x{6,}|0123456789|abcdefghij|lorem)"
+#: UUIDs, placeholders with what is around them, runs of one character.
+ALLOWED = rf"{UUID}|[^/=]{{0,{AROUND}}}{PLACEHOLDER}[^/=]{{0,{AROUND}}}|(.)\1{{7,}}"
+
+#: c*log2(c) for c of a window's characters, and the largest sum of a suspicious window by class, in fixed point.
+_UNIT = 1 << 20
+TERMS = [round(k * math.log2(k) * _UNIT) if k else 0 for k in range(WINDOW + 1)]
+_MOST = {bits: math.floor(WINDOW * (math.log2(WINDOW) - bits) * _UNIT) for bits in (HEX_BITS, MIXED_BITS, LETTER_BITS)}
+#: Counts of so many bits lie in one integer; characters begin at this code.
+_BITS, _EACH, _FIRST, _WORDS = 5, 12, 32, 8
+
+_SPAN = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _empty(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _appended(items: Column, start: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What step(at, item) -> (next at, made) makes of all items in turn, as an array of kind; at begins with start."""
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, made = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    def outer(all_items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_items, b * BLOCK + 1, BLOCK))
+
+        def block(acc: Column, part: Column) -> Column:
+            made = F.aggregate(part, F.struct(acc["at"].alias("at"), _empty(kind).alias("out")), inner)
+            return _let(made, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")))
+
+        listed = F.aggregate(blocks, F.struct(start.alias("at"), _empty(f"array<{kind}>").alias("out")), block)
+        return F.when(F.size(all_items) > 0, F.flatten(listed["out"])).otherwise(_empty(kind))
+
+    return _let(items, outer)
+
+
+def _lengths(text: Column, pattern: str, found: Column) -> Column:
+    """(before, own) of each match: characters between it and the former one, and its own; a last item for the rest has no own."""
+    return F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("before"), F.length(m).alias("own")))
 
 
 def _spans(text: Column, pattern: str, found: Column, number: int) -> Column:
     """Starts and ends of all matches: the parts between them and the matches alternate."""
-    parts = F.split(text, pattern, -1)
-    size = F.size(found)
-    made = F.aggregate(
-        F.arrays_zip(F.slice(parts, 1, size).alias("part"), found.alias("match")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["part"]) + F.length(x["match"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + F.length(x["part"])).alias("start"), F.lit(number).alias("kind"), (acc["at"] + F.length(x["part"]) + F.length(x["match"])).alias("end"))),
-            ).alias("out"),
-        ),
-    )
-    return F.when(size > 0, made["out"]).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start, end = at + x["before"], at + x["before"] + x["own"]
+        return end, F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
 
-def _entropy_runs(word: Column, bits: Column) -> Column:
-    """Runs of windows over the threshold, as (start, end) within the candidate."""
-    table = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 1)])
-
-    def times(c: Column, within: Column) -> Column:
-        return F.length(within) - F.length(F.replace(within, c, F.lit("")))
-
-    def step(acc: Column, i: Column) -> Column:
-        full = i > WINDOW
-        before = F.substring(word, F.greatest(F.lit(1), i - WINDOW), F.least(i - 1, F.lit(WINDOW)))
-        gone = F.substring(word, i - WINDOW, F.lit(1))
-        k = times(gone, before)
-        after_loss = F.when(full, acc["sum"] - F.get(table, k) + F.get(table, k - 1)).otherwise(acc["sum"])
-        rest = F.when(full, F.substring(word, i - WINDOW + 1, F.lit(WINDOW - 1))).otherwise(before)
-        k2 = F.when(i == 1, 0).otherwise(times(F.substring(word, i, F.lit(1)), rest))
-        total = after_loss + F.get(table, k2 + 1) - F.get(table, k2)
-        hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= bits)
-        last = F.element_at(acc["runs"], -1)
-        joins = (F.size(acc["runs"]) > 0) & (F.get(acc["runs"], F.size(acc["runs"]) - 1)["end"] >= i - WINDOW)
-        grown = F.when(
-            joins, F.concat(F.slice(acc["runs"], 1, F.size(acc["runs"]) - 1), F.array(F.struct(last["start"].alias("start"), i.alias("end"))))
-        ).otherwise(F.concat(acc["runs"], F.array(F.struct((i - WINDOW).alias("start"), i.alias("end")))))
-        return F.struct(total.alias("sum"), F.when(hot, grown).otherwise(acc["runs"]).alias("runs"))
-
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["runs"]
+    made = _appended(F.slice(_lengths(text, pattern, found), F.lit(1), F.size(found)), F.lit(0), _SPAN, step)
+    return F.when(F.size(found) > 0, made).otherwise(_empty(_SPAN))
+
+
+def _parts(candidate: Column, start: Column) -> Column:
+    """What the allow-list leaves of a candidate: (start, w) of each part."""
+
+    def without_lead(lead: Column) -> Column:
+        rest = F.substring(candidate, F.length(lead) + 1, F.length(candidate))
+
+        def cut(c: Column) -> Column:
+            matches = F.regexp_extract_all(c, F.lit(ALLOWED), F.lit(0))
+            items = F.zip_with(F.split(c, ALLOWED, -1), matches, lambda p, m: F.struct(p.alias("p"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
+            step = lambda at, x: (at + F.length(x["p"]) + x["own"], F.struct(at.alias("start"), x["p"].alias("w")))
+            return _appended(items, start + F.length(lead), "array<struct<start:int,w:string>>", step)
+
+        return _let(rest, cut)
+
+    return _let(F.regexp_extract(candidate, LEAD, 0), without_lead)
 
 
 def _bits(word: Column) -> Column:
     """Threshold by character class; null for short parts and those without letters."""
     hexa = word.rlike("^[0-9a-fA-F]+$") & word.rlike("[0-9]") & word.rlike("[a-fA-F]")
-    mixed = word.rlike("[0-9]") & word.rlike("[a-z]") & word.rlike("[A-Z]") | word.rlike("[0-9]") & word.rlike("[a-z]{2}|[A-Z]{2}") & (F.length(F.regexp_replace(word, "[^0-9]", "")) >= 4)
+    digits = F.length(F.regexp_replace(word, "[^0-9]", ""))
+    mixed = word.rlike("[0-9]") & word.rlike("[a-z]") & word.rlike("[A-Z]") | word.rlike("[a-z]{2}|[A-Z]{2}") & (digits >= 4)
     return F.when(F.length(word) < SHORTEST, F.lit(None).cast("double")).when(hexa, F.lit(HEX_BITS)).when(mixed, F.lit(MIXED_BITS)).when(word.rlike("[A-Za-z]"), F.lit(LETTER_BITS))
 
 
-def _parts(candidate: Column, start: Column) -> Column:
-    """What the allow-list leaves of a candidate: (start, w) of each part."""
-    found = F.regexp_extract_all(candidate, F.lit(ALLOWED), F.lit(0))
-    between = F.split(candidate, ALLOWED, -1)
-    made = F.aggregate(
-        F.arrays_zip(between.alias("part"), found.alias("match")),
-        F.struct(start.alias("at"), F.array().cast("array<struct<start:int,w:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["part"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["part"].alias("w")))).alias("out"),
-        ),
-    )
-    return made["out"]
+def _entropy_runs(word: Column, bits: Column) -> Column:
+    """Runs of windows over the threshold, as (start, end) within the part."""
+    terms = F.array(*[F.lit(t) for t in TERMS])
+    most = F.lit(_MOST[LETTER_BITS])
+    for b in (HEX_BITS, MIXED_BITS):
+        most = F.when(bits == b, F.lit(_MOST[b])).otherwise(most)
+    run = "array<struct<start:int,end:int>>"
+
+    ones = F.array(*[F.array(*[F.lit((1 << c % _EACH * _BITS) * (c // _EACH == k)).cast("long") for k in range(_WORDS)]) for c in range(_EACH * _WORDS)])
+    nothing = F.array(*[F.lit(0).cast("long") for _ in range(_WORDS)])
+
+    def count(counts: Column, code: Column) -> Column:
+        """The packed count of a character."""
+        return F.call_function("shiftright", F.get(counts, code["slot"]), code["shift"]).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long")).cast("int")
+
+    def placed(c: Column) -> Column:
+        code = F.ascii(c) - _FIRST
+        return F.struct(code.alias("code"), F.floor(code / _EACH).cast("int").alias("slot"), (code % _EACH * _BITS).cast("int").alias("shift"))
+
+    def move(own: Column, gone: Column) -> Column:
+        change = F.zip_with(F.get(ones, own["code"]), F.coalesce(F.get(ones, gone["code"]), nothing), lambda a, b: a - b)
+        return F.struct(own.alias("own"), gone.alias("gone"), F.coalesce(own["code"] == gone["code"], F.lit(False)).cast("int").alias("same"), change.alias("change"))
+
+    def step(acc: Column, x: Column) -> Column:
+        """x: the character that enters, the one that leaves (null: none), whether they are equal, and how the counts change."""
+        i = acc["i"] + 1
+        gone_count = count(acc["counts"], x["gone"])
+        in_count = count(acc["counts"], x["own"]) - x["same"]
+        loss = F.when(x["gone"].isNotNull(), F.get(terms, gone_count) - F.get(terms, gone_count - 1)).otherwise(0)
+        total = acc["total"] - loss + F.get(terms, in_count + 1) - F.get(terms, in_count)
+        counts = F.zip_with(acc["counts"], x["change"], lambda a, b: a + b)
+
+        def moved(total: Column) -> Column:
+            hot = (i >= WINDOW) & (total <= most)
+            joins = acc["end"] >= i - WINDOW
+            closes = hot & ~joins & (acc["end"] > 0)
+            return F.struct(
+                i.alias("i"), total.alias("total"), counts.alias("counts"),
+                F.when(hot & ~joins, i - WINDOW).otherwise(acc["start"]).alias("start"), F.when(hot, i).otherwise(acc["end"]).alias("end"),
+                F.when(closes, F.concat(acc["runs"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["runs"]).alias("runs"),
+            )
+
+        return _let(total, moved)
+
+    def slid(codes: Column) -> Column:
+        gone = F.concat(F.array_repeat(F.lit(None).cast("struct<code:int,slot:int,shift:int>"), WINDOW), codes)
+        moves = F.slice(F.zip_with(codes, gone, move), F.lit(1), F.size(codes))
+        start = F.struct(
+            F.lit(0).alias("i"), F.lit(0).alias("total"), F.array_repeat(F.lit(0).cast("long"), _WORDS).alias("counts"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), _empty(run).alias("runs")
+        )
+        last = lambda r: F.when(r["end"] > 0, F.concat(r["runs"], F.array(F.struct(r["start"].alias("start"), r["end"].alias("end"))))).otherwise(r["runs"])
+        return _let(F.aggregate(moves, start, step), last)
+
+    return _let(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), placed), slid)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -118,27 +187,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         F.regexp_extract_all("_text", F.lit(HEX), F.lit(0)).alias("_h"),
         F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)).alias("_c"),
     )
-    value = F.when(F.size("_a") > 0, F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>"))
     text = F.col("_text")
-    placed = F.transform(_spans(text, CANDIDATE, F.col("_c"), 3), lambda s, i: _parts(F.get(F.col("_c"), i), s["start"]))
-    placed = F.when(F.size("_c") > 0, F.flatten(placed)).otherwise(F.array().cast("array<struct<start:int,w:string>>"))
-    out = out.select("*", F.transform(value, F.length).alias("_lengths"), F.transform(placed, lambda x: F.struct(x["start"], x["w"], _bits(x["w"]).alias("b"))).alias("_parts"))
-    assign = F.filter(
-        F.transform(_spans(text, ASSIGN, F.col("_a"), 0), lambda s, i: F.struct(s.alias("s"), F.get(F.col("_lengths"), i).alias("n"))),
-        lambda x: x["n"] >= 8,
-    )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    entropy = F.flatten(
-        F.transform(
-            F.filter("_parts", lambda x: x["b"].isNotNull()),
-            lambda x: F.transform(
-                _entropy_runs(x["w"], x["b"]),
-                lambda r: F.struct((x["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + r["end"]).alias("end")),
-            ),
-        )
-    )
-    entropy = F.when(F.exists("_parts", lambda x: x["b"].isNotNull()), entropy).otherwise(none)
-    spans = F.concat(F.transform(assign, lambda x: x["s"]), _spans(text, ACCESS, F.col("_k"), 1), _spans(text, HEX, F.col("_h"), 2), entropy)
+    none = _empty(_SPAN)
+    value = F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2))
+    assign = F.filter(F.zip_with(_spans(text, ASSIGN, F.col("_a"), 0), value, lambda s, v: F.struct(s.alias("s"), F.length(v).alias("n"))), lambda x: x["n"] >= 8)
+    assign = F.when(F.size("_a") > 0, F.transform(assign, lambda x: x["s"])).otherwise(none)
+
+    def scored(part: Column) -> Column:
+        def of_class(bits: Column) -> Column:
+            made = F.transform(
+                _entropy_runs(part["w"], bits), lambda r: F.struct((part["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (part["start"] + r["end"]).alias("end"))
+            )
+            return F.when(bits.isNotNull(), made).otherwise(none)
+
+        return _let(_bits(part["w"]), of_class)
+
+    placed = F.flatten(F.zip_with(_spans(text, CANDIDATE, F.col("_c"), 3), F.col("_c"), lambda s, c: _parts(c, s["start"])))
+    entropy = F.when(F.size("_c") > 0, F.flatten(F.transform(placed, scored))).otherwise(none)
+    spans = F.concat(assign, _spans(text, ACCESS, F.col("_k"), 1), _spans(text, HEX, F.col("_h"), 2), entropy)
     return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *[F.col(f"_keep.{c}").alias(c) for c in keep], F.array_sort(spans).alias("found"))
 
 
@@ -159,21 +225,48 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select(id_col, *count, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
 
 
+def _clean(text: Column, found: Column, mark: str) -> Column:
+    """The text with the mark for each run of overlapping spans. A block of runs is cut out of the text first, so that long texts aren't gone through for each run."""
+
+    def merged(at: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(at, s["end"]), F.struct(F.when(s["start"] >= at, s["start"]).alias("start"), F.greatest(at, s["end"]).alias("end"))
+
+    def runs_of(steps: Column) -> Column:
+        """Each run's start with the last end before the next run's start."""
+        opens = F.filter(F.transform(steps, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"))), lambda x: x["start"].isNotNull())
+
+        def closed(o: Column) -> Column:
+            after = F.concat(F.slice(F.transform(o, lambda x: x["i"]), F.lit(2), F.size(o)), F.array(F.size(steps)))
+            return F.zip_with(o, after, lambda x, j: F.struct(x["start"].alias("start"), F.get(steps, j - 1)["end"].alias("end")))
+
+        return _let(opens, closed)
+
+    def rebuilt(runs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / BLOCK).cast("int"))
+
+        def block(b: Column) -> Column:
+            own = F.slice(runs, b * BLOCK + 1, BLOCK)
+            low = F.when(b == 0, F.lit(0)).otherwise(F.get(runs, b * BLOCK - 1)["end"])
+            high = F.get(runs, F.least(F.size(runs), (b + 1) * BLOCK) - 1)["end"]
+            part = F.substring(text, low + 1, high - low)
+
+            def within(p: Column) -> Column:
+                step = lambda at, r: (r["end"], F.concat(F.substring(p, at - low + 1, r["start"] - at), F.lit(mark)))
+                return F.array_join(_appended(own, low, "array<string>", step), "")
+
+            return _let(part, within)
+
+        tail = F.get(runs, F.size(runs) - 1)["end"]
+        return F.concat(F.array_join(F.transform(blocks, block), ""), F.substring(text, tail + 1, F.length(text)))
+
+    steps = _appended(found, F.lit(0), "array<struct<start:int,end:int>>", merged)
+    return F.when(F.size(found) == 0, text).otherwise(_let(_let(steps, runs_of), rebuilt))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same columns; each run of overlapping spans in the text is replaced by the mark. Null texts stay null."""
+    """The same columns; each run of overlapping or touching spans in the text is replaced by one mark or more, one for each span that begins where no other is open. Null texts stay null."""
     names = docs.columns
     others = tuple(c for c in names if c not in (id_col, text_col))
     was = docs.select("*", F.col(text_col).isNull().alias("_null"))
     found = scan(was, id_col, text_col, (*others, "_null"))
-    text = F.col(text_col)
-    made = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        ),
-    )
-    clean = F.when(F.size("found") == 0, text).otherwise(F.concat(made["out"], F.substring(text, made["at"] + 1, F.length(text))))
-    out = found.withColumn(text_col, F.when(~F.col("_null"), clean))
-    return out.select(*names)
+    return found.withColumn(text_col, F.when(~F.col("_null"), _clean(F.col(text_col), F.col("found"), mark))).select(*names)

@@ -70,6 +70,20 @@ def test_entropy_runs_equal_brute_force(spark):
         assert [[x.start, x.end] for x in r.r] == runs(r.w, 3.75)
 
 
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    letters = string.ascii_letters + string.digits + "+/"
+    key = "".join(r.choice(letters) for _ in range(200_000))
+    rows = [(1, "a/" * 100_000), (2, key), (3, " ".join(f"token=Ab{i:08d}" for i in range(50_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in secret_scan.report(docs).collect()}
+    assert got[1].spans == ""
+    assert [[int(a) for a in x.split(":")[1:]] for x in got[2].spans.split(",") if x.startswith("entropy")][0][0] == 0 and got[2].n_entropy < 100
+    assert got[3].n_assign == 50_000 and got[3].base_sha256 == digest(base(rows[2][1]))
+    clean = {x.doc_id: x.text for x in secret_scan.redact(docs).collect()}
+    assert clean[1] == rows[0][1] and clean[3] == " ".join(["[SECRET]"] * 50_000)
+
+
 def test_allow_list_suppresses_only_method_spans(spark):
     docs = spark.createDataFrame([(1, TEXTS[4]), (2, TEXTS[5]), (3, "token=example_q8Zr2LmN0pXw7Tb4Vk9Yc1Hd6Gj3Fs5")], "doc_id long, text string")
     got = {r.doc_id: r for r in secret_scan.report(docs).collect()}
