@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 
 SPACE, LETTER, NUMBER, OTHER, CUT = range(5)
 _NONE = np.int64(1 << 40)
+_LONG_CODE = 2**64 - 1 - (1 << 32)
+#: Longer pre-tokens are not told apart by their hash.
+LONG_WORD = 32
 #: Code points that one numpy pass works on, and distinct words that a worker remembers.
 CHUNK_CHARS, REMEMBERED_WORDS = 1 << 20, 400_000
 
@@ -79,6 +82,8 @@ class ByteBPE:
 
     def _forget(self) -> None:
         self.index: dict[int, int] = {}
+        self.long: dict[str, int] = {}
+        self.long_size = 0
         self.lengths = np.zeros(1 << 12, np.int64)
         self.offsets = np.zeros(1 << 12, np.int64)
         self.store = np.zeros(1 << 14, np.uint32)
@@ -160,7 +165,7 @@ class ByteBPE:
 
     def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known words that the texts consist of, in one array, and where each text's begin (n + 1 places)."""
-        if self.words > REMEMBERED_WORDS:
+        if self.words > REMEMBERED_WORDS or self.long_size > CHUNK_CHARS:
             self._forget()
         parts: list[str] = []
         owner: list[int] = []
@@ -214,6 +219,12 @@ class ByteBPE:
         np.cumsum((cps.astype(np.uint64) + np.uint64(0x1D872B41)) * power[: len(cps)], out=total[1:])
         code = (total[stop] - total[begin]) * unpower[begin]
         code ^= code >> np.uint64(31)
+        for i in np.flatnonzero(stop - begin > LONG_WORD).tolist():  # told apart by themselves, as the sums don't do it for all
+            word = whole[begin[i] : stop[i]]
+            if word not in self.long:
+                self.long[word] = len(self.long)
+                self.long_size += len(word)
+            code[i] = _LONG_CODE - self.long[word]
         if marks:  # special tokens never share a hash with ordinary words
             code[np.searchsorted(begin, marks)] = [2**64 - 1 - i for _, i in special]
         which, distinct = pd.factorize(code)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .shared import table, width
-from .textwords import LOWER, WHITE, hashes, mix, pieces, spans, sums
+from .textwords import LOWER, WHITE, mix, pieces, spans, word_hashes
 
 WORDS = 5
 SMALL, RATIO = 256, 4
@@ -46,7 +46,7 @@ HELD, BUCKETS_EACH, COARSE, FINE = 1 << 20, 8, 2, 8
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     start, end, of = spans(LOWER[data], at, WHITE)
-    word = hashes(sums(data), start, end)
+    word = word_hashes(data, start, end)
     count = np.bincount(of, minlength=len(at) - 1)
     first = np.cumsum(count) - count
     joined = np.zeros(0, np.uint64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textwords import LOWER, WHITE, hashes, mix, pieces, spans, sums
+from .textwords import WHITE, mix, pieces, spans, word_hashes
 
 BITS, SAMPLE, EPOCHS = 14, 20_000, 5
 LABELLERS = ("symbols", "capitals", "variety", "echoes", "sentences", "word_length", "letters", "digits", "empty", "bare")
@@ -45,7 +45,7 @@ def measures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     by_kind = np.bincount(text * 7 + kind, minlength=7 * n).reshape(n, 7)[:, :7].astype(float)
     size = np.maximum(np.diff(at), 1)
     start, end, of = spans(data, at, WHITE)
-    word = hashes(sums(data, LOWER), start, end) if len(start) else np.zeros(0, np.uint64)
+    word = word_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)
     count = np.bincount(of, minlength=n)
     order = np.lexsort((word, of))
     w, o = word[order], of[order]

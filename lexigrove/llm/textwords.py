@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -80,6 +81,19 @@ def sums(data: np.ndarray, lower: np.ndarray | None = LOWER) -> np.ndarray:
     return total
 
 
+#: Longer words are hashed one by one: running sums modulo 2**64 don't tell all long periodic words apart.
+LONG_WORD = 32
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: np.ndarray | None = LOWER) -> np.ndarray:
+    """64-bit hash of each word."""
+    out = hashes(sums(data, lower), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word = data[start[i] : end[i]]
+        out[i] = xxhash.xxh3_64_intdigest((word if lower is None else lower[word]).tobytes())
+    return out
+
+
 def hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, inverse = _tables(len(total) - 1)
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))

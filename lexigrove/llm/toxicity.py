@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textwords import LOWER, hashes, mix, pieces, spans, sums
+from .textwords import LOWER, hashes, mix, pieces, spans, sums, word_hashes
 
 BITS, FACTORS, SAMPLE, EPOCHS = 17, 4, 5000, 8
 #: Weights start from the classes' odds where these differ by so many standard deviations, else from 0; shorter words than LONG bytes have no beginning of PREFIX bytes.
@@ -39,7 +39,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low[accent] += 0x20  # capital letters of Latin-1
     start, end, of = spans(low, at, _SPLIT)
     total = sums(low, None)
-    whole = mix(hashes(total, start, end), 11) >> np.uint64(64 - BITS)
+    whole = mix(word_hashes(low, start, end, None), 11) >> np.uint64(64 - BITS)
     long = end - start >= LONG
     begun = mix(hashes(total, start[long], start[long] + PREFIX), 23) >> np.uint64(64 - BITS)
     key = np.r_[(of << BITS) | whole.astype(np.int64), (of[long] << BITS) | begun.astype(np.int64)]

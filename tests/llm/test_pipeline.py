@@ -14,6 +14,7 @@ from lexigrove.llm import bpe, packing, secret_scan, toxicity
 from lexigrove.llm.queries import tokenizer_path
 
 from .test_jaccard_join import brute as components_of
+from .test_jaccard_join import thue_morse
 from .test_native import base, runs
 from .test_suffix_dedup import brute as repeats_of
 
@@ -98,6 +99,8 @@ def test_bpe_equals_the_library(library):
     r = random.Random(1)
     parts = [*"aaabst'  \n\t.!=12é日\x1c\x85\x00　\xa0", "'s", "'re", "'ll", "<|endoftext|>", "aaaaaaa", "́", "Ⅷ", "😀", "ſ", "    "]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(3000)] + ["", "=" * 5000, "ab" * 20_000]
+    first, second = thue_morse()
+    texts += [f"{first} {second}", f"{second} {first}", first, second]
     words, at = own.words_of(texts)
     for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         ids = own.ids(words[at[i] : at[i + 1]]).tolist()
