@@ -1,9 +1,9 @@
 """Document fingerprints with DataFrame functions only: threshold-scaled sketches.
 
 A sketch keeps every shingle hash (five words; with fewer, the whole sequence) below a
-fixed fraction of the hash range. Sketches of one fraction are merged by union, and the
-share of one sketch found in another estimates containment, also between documents of
-very unequal length.
+fixed fraction of the hash range. Hashes are the first 64 bits of MD5, so any engine can make
+them. Sketches of one fraction are merged by union, and the share of one sketch found in another estimates
+containment, also between documents of very unequal length.
 
 Words are runs of other than ASCII white space, with A-Z in lower case. Null texts count
 as empty; texts without words have an empty sketch. An empty sketch is like another (1)
@@ -12,12 +12,16 @@ only if the texts are equal, and else unlike (0). Equal texts have equal sketche
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import width
+
 WORDS, FRACTION = 5, 0.25
-#: Rows that one window partition holds about; partitions at most.
-ROWS_EACH, MOST_PARTS = 4000, 1 << 16
+#: Hexadecimal digits of a hash.
+DIGITS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,18 +30,22 @@ def words(text: Column) -> Column:
 
 
 def sketch(text: Column, fraction: float = FRACTION) -> Column:
-    """Sorted distinct shingle hashes below the fraction."""
-    most = min(int(-(2**63) + fraction * 2**64), 2**63 - 1)
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+    """Sorted distinct shingle hashes below the fraction, as hexadecimal digits."""
+    limit = min(round(fraction * 16**8), 16**8)
+
+    def hashed(shingle: Column) -> Column:
+        return F.substring(F.md5(shingle.cast("binary")), 1, DIGITS)
 
-    def shingles(h: Column) -> Column:
-        n = F.size(h)
-        each = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORDS)]))
-        return F.when(n >= WORDS, each).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+    def shingles(w: Column) -> Column:
+        n = F.size(w)
+        each = F.transform(F.sequence(F.lit(1), n - WORDS + 1), lambda i: hashed(F.array_join(F.slice(w, i, WORDS), " ")))
+        return F.when(n >= WORDS, each).when(n > 0, F.array(hashed(F.array_join(w, " ")))).otherwise(F.array().cast("array<string>"))
 
-    # the one-element transform computes the word hashes once
-    made = F.get(F.transform(F.array(hashes), shingles), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(made, lambda h: h <= F.lit(most))))
+    # the one-element transform computes the words once
+    made = F.get(F.transform(F.array(words(text)), shingles), F.lit(0))
+    if limit < 16**8:
+        made = F.filter(made, lambda h: h < F.lit(f"{limit:08x}"))
+    return F.array_sort(F.array_distinct(made))
 
 
 def containment(a: Column, b: Column, same: Column) -> Column:
@@ -52,38 +60,36 @@ def merge(sketches: DataFrame, by: str, sketch_col: str = "sketch") -> DataFrame
     return each.groupBy(by).agg(F.array_sort(F.collect_list("hash")).alias(sketch_col))
 
 
-def _hex(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h, 16))), 12, "0")), "")
+def _borders(keys: DataFrame, parts: int) -> list[tuple]:
+    """First key (id as text, hash of the text) of each range of keys that has rows, in order: at most parts rows."""
+    ranged = keys.repartitionByRange(parts, F.col("_id").asc_nulls_first(), "_tie").select("_id", "_tie", F.spark_partition_id().alias("p"))
+    heads = ranged.groupBy("p").agg(F.min(F.struct("_id", "_tie")).alias("h")).orderBy("p")
+    return [(r["i"], r["t"]) for r in heads.select(F.col("h._id").cast("string").alias("i"), F.col("h._tie").alias("t")).collect()]
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, fraction: float) -> DataFrame:
-    """Each text with its sketch and those of the next row by id (after the last, the first), with one exchange.
+    """Each text with its sketch and those of the next row by id (after the last, the first), with one exchange of the texts.
 
-    Ranges of ids become window partitions; the first row of each range goes to the range
-    before it, too. Rows without id come first; rows of one id follow the hash of their texts.
+    Ranges of keys, one for each shuffle partition, become window partitions, and the first row of each range
+    goes to the range before it, too. Their borders come from the keys alone. Rows without id come first; rows of one id
+    follow the hash of their texts, so a frequent id is dealt out as well.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    known = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("low"), F.count_if(F.col("_id").isNull()).alias("nulls")).first()
-    parts = min(MOST_PARTS, known["n"] // ROWS_EACH + 1)
-    bounds: list = []
-    if parts > 1 and known["low"] is not None:
-        share = F.array(*[F.lit((k + 1) / parts) for k in range(parts - 1)])
-        found = rows.agg(F.percentile_approx("_id", share, F.lit(max(10_000, 20 * parts))).alias("q")).first()["q"] or []
-        bounds = sorted({x for x in found if x > known["low"] or known["nulls"]})
-    first = None if known["nulls"] else known["low"]
-    n = len(bounds) + 1
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    borders = _borders(rows.select("_id", "_tie"), width(spark))
+    n = max(1, len(borders))
     kind = docs.schema[id_col].dataType.simpleString()
-    table = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
+    key = F.struct("_id", "_tie")
+    table = F.from_json(F.lit(json.dumps([{"_id": i, "_tie": t} for i, t in borders])), "array<struct<_id:string,_tie:bigint>>").cast(f"array<struct<_id:{kind},_tie:bigint>>")
     steps = [1 << k for k in reversed(range(max(1, n.bit_length())))]
-    part = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when(F.get(table, at + s - 1) <= F.col("_id"), s).otherwise(0))
+    # binary search: how many borders but the first are at or before the key
+    part = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when((at + s < n) & (F.get(table, at + s) <= key), s).otherwise(0))
     rows = rows.withColumn("_part", part)
-    leads = F.when(F.col("_part") == 0, F.col("_id").eqNullSafe(F.lit(first).cast(kind))).otherwise(F.get(table, F.col("_part") - 1) == F.col("_id"))
     own, before = F.struct(F.col("_part").alias("p"), F.lit(0).alias("s")), F.struct(F.pmod(F.col("_part") - 1, F.lit(n)).alias("p"), F.lit(1).alias("s"))
-    rows = rows.select("_id", "_text", F.explode(F.when(leads, F.array(own, before)).otherwise(F.array(own))).alias("_at"))
-    rows = rows.select("_id", "_text", F.col("_at.p").alias("_part"), F.col("_at.s").alias("_copy"))
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, 4096))
-    rows = rows.repartition(width, "_part").withColumn("_sketch", sketch(F.col("_text"), fraction)).withColumn("_tie", F.xxhash64("_text"))
+    leads = F.coalesce(F.get(table, F.col("_part")) == key, F.lit(False))
+    rows = rows.select("_id", "_text", "_tie", F.explode(F.when(leads, F.array(own, before)).otherwise(F.array(own))).alias("_at"))
+    rows = rows.select("_id", "_text", "_tie", F.col("_at.p").alias("_part"), F.col("_at.s").alias("_copy"))
+    rows = rows.repartitionById(n, "_part").withColumn("_sketch", sketch(F.col("_text"), fraction))
     order = "(PARTITION BY _part ORDER BY _copy, _id NULLS FIRST, _tie)"
     rows = rows.withColumns({"_next": F.expr(f"lead(_text) OVER {order}"), "_next_sketch": F.expr(f"lead(_sketch) OVER {order}")})
     return rows.filter("_copy = 0")
@@ -100,8 +106,8 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, id_col: str = "doc
         F.col("_id").alias(id_col),
         F.length("_text").cast("long").alias("n_chars"),
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        _hex(F.col("_sketch")).alias("fingerprint"),
-        _hex(F.col("_edited_sketch")).alias("edited_fingerprint"),
+        F.array_join("_sketch", "").alias("fingerprint"),
+        F.array_join("_edited_sketch", "").alias("edited_fingerprint"),
         containment(F.col("_sketch"), F.col("_edited_sketch"), F.col("_text") == F.col("_edited")).alias("near_edited"),
         containment(F.col("_sketch"), F.col("_next_sketch"), F.col("_text") == F.col("_next")).alias("near_next"),
     )

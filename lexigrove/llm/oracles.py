@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import fingerprint as P
 from . import secret_scan as S
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -48,4 +49,32 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{name}, 0) n_{name}" for name in S.KIND
 FROM d LEFT JOIN all_of ON d.doc_id = all_of.doc_id LEFT JOIN base ON d.doc_id = base.doc_id"""
 
 
-ORACLES = {"op8_secrets": secrets()}
+_WHITE = r"[\x20\x09-\x0D]+"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate({text}, '{P._UPPER}', '{P._LOWER}'), '{_WHITE}'), lambda w: w <> '')"
+
+
+def _shingles(name: str, source: str, text: str, keys: str, n: int) -> str:
+    """CTEs: name(keys, s) with each run of n words, joined by spaces; of texts with fewer words the whole sequence."""
+    following = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
+    return f"""{name}_w AS (SELECT {keys}, {_words(text)} x FROM {source}), {name}_e AS (SELECT {keys}, unnest(x) w, generate_subscripts(x, 1) i FROM {name}_w WHERE len(x) >= {n}),
+{name} AS (SELECT {keys}, s FROM (SELECT {keys}, {following} s FROM {name}_e WINDOW o AS (PARTITION BY {keys} ORDER BY i)) WHERE s IS NOT NULL
+UNION ALL SELECT {keys}, array_to_string(x, ' ') FROM {name}_w WHERE len(x) BETWEEN 1 AND {n - 1})"""
+
+
+def fingerprints() -> str:
+    limit = f"{round(P.FRACTION * 16**8):08x}"
+    share = lambda a, b, x, y: f"CASE WHEN {x} = {y} THEN 1.0 WHEN coalesce(len({a}), 0) = 0 THEN 0.0 ELSE len(list_intersect({a}, coalesce({b}, [])))::DOUBLE / len({a}) END"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+n AS (SELECT doc_id, t, length(t) n, length(t) // 2 half, coalesce(lead(t) OVER o, first_value(t) OVER o) nt, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) next_id FROM d WINDOW o AS (ORDER BY doc_id)),
+both_of AS (SELECT doc_id, 0 e, t FROM n UNION ALL SELECT doc_id, 1, left(t, n - half) || left(nt, half) FROM n),
+{_shingles("s", "both_of", "t", "doc_id, e", P.WORDS)}, h AS (SELECT DISTINCT doc_id, e, left(md5(s), {P.DIGITS}) h FROM s),
+k AS (SELECT doc_id, e, list(h ORDER BY h) k FROM h WHERE h < '{limit}' GROUP BY ALL),
+r AS (SELECT n.*, et.t et, a.k ts, b.k es, c.k ns FROM n JOIN both_of et ON et.doc_id = n.doc_id AND et.e = 1 LEFT JOIN k a ON a.doc_id = n.doc_id AND a.e = 0 LEFT JOIN k b ON b.doc_id = n.doc_id AND b.e = 1 LEFT JOIN k c ON c.doc_id = n.next_id AND c.e = 0)
+SELECT doc_id, n::BIGINT n_chars, sha256(et) edited_sha256, coalesce(array_to_string(ts, ''), '') fingerprint, coalesce(array_to_string(es, ''), '') edited_fingerprint,
+{share("ts", "es", "t", "et")} near_edited, {share("ts", "ns", "t", "nt")} near_next FROM r"""
+
+
+ORACLES = {"op8_secrets": secrets(), "op10_fingerprints": fingerprints()}

@@ -130,8 +130,18 @@ def shingles(text):
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
 
-def test_fingerprints(spark, sf, monkeypatch):
-    monkeypatch.setattr(fingerprint, "ROWS_EACH", 30)
+def test_fingerprints_of_string_ids_and_a_frequent_id(spark, monkeypatch):
+    """Rows of one id follow the hash of their texts, in as many ranges as there are; results don't hang on the ranges."""
+    rows = [("k", f"text {i} with some more words in it {i % 7}") for i in range(60)] + [(None, f"none {i}") for i in range(30)] + [(f"k{i:02d}", "a b c d e f") for i in range(20)]
+    docs = spark.createDataFrame(rows, "name string, body string")
+    got = []
+    for n in (1, 5, 40):
+        monkeypatch.setattr(fingerprint, "width", lambda _: n)
+        got.append(sorted(map(tuple, fingerprint.fingerprints(docs.repartition(4), id_col="name", text_col="body").collect()), key=str))
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
+
+
+def test_fingerprints(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows += [(None, "no id at all here"), (None, None), (10_000, ""), (10_001, "w " * 30_000), (10_001, "a b c"), (10_002, "A B\tc")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", F.lit(1)).repartition(7)
