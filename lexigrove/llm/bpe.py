@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import arrow
+
 SPACE, LETTER, NUMBER, OTHER, CUT = range(5)
 _NONE = np.int64(1 << 40)
 _LONG_CODE = 2**64 - 1 - (1 << 32)
@@ -326,4 +328,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}").withColumnRenamed("id", id_col)
+    return arrow(out, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}").withColumnRenamed("id", id_col)

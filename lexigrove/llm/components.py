@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, table
+from .shared import arrow, drop_table, table
 
 
 #: Edges that one task holds (16 bytes each).
@@ -52,11 +52,11 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node with an edge (a, b), both long; null ends are no edges."""
-    edges = edges.filter("a <> b").mapInArrow(_forests, "a long, b long")
+    edges = arrow(edges.filter("a <> b"), _forests, "a long, b long")
     current, last = table(edges, "edges"), None
     while True:
         if current.limit(ONE_TASK + 1).count() <= ONE_TASK:
-            whole = current.coalesce(1).mapInArrow(_forests, "a long, b long")
+            whole = arrow(current.coalesce(1), _forests, "a long, b long")
             nodes = whole.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return nodes.union(nodes.select("component", "component").distinct())
         both = current.union(current.select("b", "a"))

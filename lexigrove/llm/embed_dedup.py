@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import table, width
+from .shared import arrow, table, width
 from .textwords import mix
 
 TABLES, BUCKET, BLOCK, SEED = 4, 64, 2048, 11
@@ -169,14 +169,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     classes = table(classes, "vectors")
     most = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("d")).agg(F.max("n"), F.max("d")).first()
     functions = max(1, math.ceil(math.log(max(1, (most[0] or 1) / BUCKET)) / math.log(2 * (1 << max(1, (most[1] or 2) - 1).bit_length()))))
-    dealt = classes.select("k", "label", "size", "vector", "copies").mapInArrow(_keyed(functions), "bucket long, k long, label long, vector array<double>, copies long")
+    dealt = arrow(classes.select("k", "label", "size", "vector", "copies"), _keyed(functions), "bucket long, k long, label long, vector array<double>, copies long")
     dealt = table(dealt, "buckets")
     large = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     dealt = dealt.join(large, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "k", "label", "vector", "copies", "own")
     dealt = dealt.repartition(width(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    found = table(dealt.mapInArrow(_links(least, functions), "kind tinyint, a long, b long"), "links")
+    found = table(arrow(dealt, _links(least, functions), "kind tinyint, a long, b long"), "links")
     degree = found.filter("kind = 0").groupBy(F.col("a").alias("k")).agg(F.sum("b").alias("others"))
     whole = components(found.filter("kind = 1").select("a", "b"))
     known = classes.select("k", "copies").join(degree, "k", "left").join(whole.withColumnRenamed("node", "k"), "k", "left")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import table, width
+from .shared import arrow, table, width
 from .textwords import LOWER, WHITE, mix, pieces, spans, word_hashes
 
 WORDS = 5
@@ -367,7 +367,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = (sets.select(F.col("set").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(_linked, "a long, b long")
+    return arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb"), _linked, "a long, b long")
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,16 +387,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    first = table(rows.mapInArrow(_first_pass, f"kind tinyint, id {kind}, a long, b long, counts binary, fine binary"), "sets")
+    first = table(arrow(rows, _first_pass, f"kind tinyint, id {kind}, a long, b long, counts binary, fine binary"), "sets")
     often = first.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).filter(F.col("n") >= COMMON)
     often = [r["a"] for r in often.orderBy(F.desc("n"), "a").limit(MOST_COMMON).select("a").collect()]
     common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
     owned = first.filter("kind = 0").select("id", F.col("a").alias("set"), F.col("b").alias("n_shingles"))
     sizes = first.filter("kind = 0 AND b > 0").groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("counts").alias("counts"), F.min("id").alias("one"))
     parts = width(spark)
-    dealt = rows.select("text").mapInArrow(_second_pass(common, parts * BUCKETS_EACH), "bucket int, signatures binary, members binary")
+    dealt = arrow(rows.select("text"), _second_pass(common, parts * BUCKETS_EACH), "bucket int, signatures binary, members binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    lists = dealt.mapInArrow(_groups, "signature long, members array<long>").select("members").distinct()
+    lists = arrow(dealt, _groups, "signature long, members array<long>").select("members").distinct()
     members = lists.select(F.xxhash64("members").alias("g"), F.explode("members").alias("set"))
     members = table(members.join(sizes.drop("one"), "set"), "members")
 
@@ -404,20 +404,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         listed = rows_of.groupBy("g").agg(F.collect_list(F.struct("set", "n", "counts", F.col(more).alias("more"))).alias("x"))
         return listed.select("g", "x.set", "x.n", "x.counts", "x.more")
 
-    likely = table(gathered(members, "n").mapInArrow(_trees, "a long, b long").distinct(), "likely")
+    likely = table(arrow(gathered(members, "n"), _trees, "a long, b long").distinct(), "likely")
     involved = likely.filter("a = b").select(F.col("a").alias("set"))
     texts = rows.join(sizes.join(involved, "set").select("set", "one"), F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
-    sets = texts.mapInArrow(_elements, "set long, elements binary")
+    sets = arrow(texts, _elements, "set long, elements binary")
     sets = table(sets.groupBy("set").agg(F.first("elements").alias("elements")), "elements")
     links = table(_verified(likely.filter("a < b"), sets), "links")
     known = table(components(links), "components").withColumnRenamed("node", "set")
     members = members.join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
     open_ones = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("g")
-    apart = table(gathered(members.join(open_ones, "g"), "component").mapInArrow(_apart, "g long, set long"), "apart")
+    apart = table(arrow(gathered(members.join(open_ones, "g"), "component"), _apart, "g long, set long"), "apart")
     fine = first.filter("kind = 0 AND b > 0").join(apart.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
     fine = fine.groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("fine").alias("counts"))
     closer = apart.join(fine, "set").join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    rest = gathered(closer, "component").mapInArrow(_across, "a long, b long").distinct()
+    rest = arrow(gathered(closer, "component"), _across, "a long, b long").distinct()
     more = table(_verified(rest.join(likely, ["a", "b"], "left_anti"), sets), "links")
     final = table(components(links.union(more)), "components")
     grouped = owned.join(final, owned["set"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "set").alias("component"))

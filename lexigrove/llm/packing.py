@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks, encoder
+from .shared import arrow
 
 #: Tokens of left-over pieces that are packed together at most.
 BLOCK_TOKENS = 1 << 22
@@ -162,5 +163,5 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
             yield emit(closed())
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = out.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{more}")
+    out = arrow(out, run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{more}")
     return out.withColumnRenamed("id", id_col)

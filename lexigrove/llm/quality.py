@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import arrow, table
 from .textwords import WHITE, mix, pieces, spans, word_hashes
 
 BITS, SAMPLE, EPOCHS = 14, 20_000, 5
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
     """Scorer, and posterior of each pattern (NaN where it doesn't occur)."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     limit = min(2**64 - 1, int(2**64 * sample / max(1, docs.count())))
-    seen = table(texts.mapInArrow(_survey(limit), "kind tinyint, pattern long, n long, feature binary, value binary"), "survey")
+    seen = table(arrow(texts, _survey(limit), "kind tinyint, pattern long, n long, feature binary, value binary"), "survey")
     counted = seen.filter("kind = 0").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # as many as there are patterns
     pattern = np.array([r["pattern"] for r in counted], np.int64)
     posterior = np.full(3 ** len(LABELLERS), np.nan)
@@ -221,4 +221,4 @@ def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(weak), pa.array(score >= threshold)], ["id", "score", "weak_label", "keep"])
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return frame.mapInArrow(run, f"id {kind}, score double, weak_label double, keep boolean").withColumnRenamed("id", id_col)
+    return arrow(frame, run, f"id {kind}, score double, weak_label double, keep boolean").withColumnRenamed("id", id_col)

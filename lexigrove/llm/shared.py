@@ -1,18 +1,52 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share; Arrow functions with bounded memory."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch at most, so that what a worker holds doesn't depend on the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _given_back(run: Rows) -> Rows:
+    """run, after which the worker returns what it has freed: workers are used again by other stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
+def arrow(frame: DataFrame, run: Rows, schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded size. Lowers the session's limits of a batch, never raises them."""
+    conf = frame.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(key, "0") or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return frame.mapInArrow(_given_back(run), schema)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; else a folder of the session's file system (local runs, tests)."""
+    """spark.checkpoint.dir, or the context's checkpoint folder; local sessions without either use a folder of their own machine."""
     given = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not given:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        given = known.get() if known.isDefined() else "/tmp/checkpoints"
+        given = known.get() if known.isDefined() else ""
+    if not given:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = "/tmp/checkpoints"
     return given.rstrip("/")
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, width
+from .shared import arrow, table, width
 from .textwords import mix, pieces
 
 LENGTH, GRAM, MOST_PIECES = 400, 16, 1 << 14
@@ -192,7 +192,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     """k1, k2 and spans (start, stop) of bytes to remove; spans may overlap."""
     spark = keyed.sparkSession
     texts = keyed.select("k1", "k2", "text")
-    cuts = texts.filter(F.octet_length("text") >= length).mapInArrow(_cut_all(length, gram), "k1 long, k2 long, minimizer long, digest binary, place long, n long, anchor long")
+    cuts = arrow(texts.filter(F.octet_length("text") >= length), _cut_all(length, gram), "k1 long, k2 long, minimizer long, digest binary, place long, n long, anchor long")
     cuts = table(cuts, "pieces")
     counted = cuts.groupBy("minimizer", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "place", "n", "anchor")).alias("one"))
     counted = table(counted, "counted")
@@ -207,10 +207,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     strings = table(strings, "strings")
     few = strings.filter(F.col("kinds") <= most).select("minimizer", "k1", "k2", "place", "anchor", "n", "alone", "bytes")
     few = few.repartition(width(spark), "minimizer").sortWithinPartitions("minimizer")
-    spans = whole.unionByName(few.mapInArrow(_insert(length, gram), _OUT))
+    spans = whole.unionByName(arrow(few, _insert(length, gram), _OUT))
     many = strings.filter(F.col("kinds") > most)
     if many.limit(1).count():
-        each = many.select("k1", "k2", "place", "n", "alone", "bytes").mapInArrow(_each_string(length), "k1 long, k2 long, start long, alone boolean, digest binary")
+        each = arrow(many.select("k1", "k2", "place", "n", "alone", "bytes"), _each_string(length), "k1 long, k2 long, start long, alone boolean, digest binary")
         each = table(each, "each")
         twice = each.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest")
         hot = each.filter("alone").join(twice, "digest")
@@ -248,7 +248,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = M
     gathered = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     out = keyed.join(gathered, ["k1", "k2"], "left").select("text", F.col("spans.start").alias("start"), F.col("spans.stop").alias("stop"), "row")
     kind = keyed.schema["row"].dataType.simpleString()
-    return out.mapInArrow(_kept, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return arrow(out, _kept, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

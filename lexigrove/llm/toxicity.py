@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import arrow
 from .textwords import LOWER, hashes, mix, pieces, spans, sums, word_hashes
 
 BITS, FACTORS, SAMPLE, EPOCHS = 17, 4, 5000, 8
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 out += [x.astype(np.int32).tobytes() for x in np.split(feature, cuts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "f"])
 
-    rows = texts.mapInArrow(run, "y int, f binary").collect()
+    rows = arrow(texts, run, "y int, f binary").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["f"])))
     if not rows:
         return Machine(-30.0, np.zeros(1 << BITS), np.zeros((1 << BITS, FACTORS)))
@@ -158,7 +159,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: tuple
 
     frame = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["_score double"])
-    return frame.mapInArrow(run, schema).withColumnRenamed("_score", name)
+    return arrow(frame, run, schema).withColumnRenamed("_score", name)
 
 
 def held_out(id_column) -> object:
