@@ -31,8 +31,8 @@ def arrow(frame: DataFrame, run: Rows, schema: str) -> DataFrame:
     """mapInArrow over batches of bounded size. Lowers the session's limits of a batch, never raises them."""
     conf = frame.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(conf.get(key, "0") or 0)
-        if not 0 < now <= most:
+        now = conf.get(key).rstrip("b")  # sizes are shown in bytes
+        if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return frame.mapInArrow(_given_back(run), schema)
 
