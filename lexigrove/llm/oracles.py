@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import fingerprint as P
 from . import secret_scan as S
+from . import suffix_dedup as D
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -77,4 +78,45 @@ SELECT doc_id, n::BIGINT n_chars, sha256(et) edited_sha256, coalesce(array_to_st
 {share("ts", "es", "t", "et")} near_edited, {share("ts", "ns", "t", "nt")} near_next FROM r"""
 
 
-ORACLES = {"op8_secrets": secrets(), "op10_fingerprints": fingerprints()}
+def _reached(ids: str, links: str) -> str:
+    """CTE reached(id, least): the least of what links reach from each id, itself included; links has both directions."""
+    return f"""walk AS (SELECT id, id r FROM {ids} UNION SELECT walk.id, l.b FROM walk JOIN {links} l ON walk.r = l.a), reached AS (SELECT id, min(r) least FROM walk GROUP BY id)"""
+
+
+def vectors(least: float = 0.98) -> str:
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] x FROM embeddings),
+u AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) n FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+links AS (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= {least}),
+ids AS (SELECT vec_id id FROM v), {_reached("ids", "links")}, degree AS (SELECT a, count(*) n FROM links GROUP BY a)
+SELECT id vec_id, coalesce(n, 0)::BIGINT n_links, least component_id, id = least kept FROM reached LEFT JOIN degree ON degree.a = reached.id"""
+
+
+def jaccard(words: int = 5) -> str:
+    """Documents of equal sets stand together, as one of least id."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') t FROM documents), {_shingles("s", "d", "t", "doc_id", words)},
+sets AS (SELECT doc_id, list(DISTINCT s ORDER BY s) x FROM s GROUP BY doc_id), kinds AS (SELECT x, min(doc_id) id, len(x) n FROM sets GROUP BY x), of_kind AS (SELECT doc_id, id FROM sets JOIN kinds USING (x)),
+each AS (SELECT id, n, unnest(x) s FROM kinds), pairs AS (SELECT a.id a, b.id b, a.n na, b.n nb, count(*) both_of FROM each a JOIN each b ON a.s = b.s AND a.id < b.id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY ALL),
+one_way AS (SELECT a, b FROM pairs WHERE 100 * both_of >= 75 * (na + nb - both_of)), links AS (SELECT a, b FROM one_way UNION ALL SELECT b, a FROM one_way), ids AS (SELECT id FROM kinds), {_reached("ids", "links")}
+SELECT d.doc_id, coalesce(k.n, 0)::BIGINT n_shingles, coalesce(r.least, d.doc_id) component_id FROM d LEFT JOIN of_kind o ON o.doc_id = d.doc_id LEFT JOIN kinds k ON k.id = o.id LEFT JOIN reached r ON r.id = o.id"""
+
+
+def repeats(length: int = D.LENGTH) -> str:
+    """Bytes as two hexadecimal digits each; a byte goes if one of the length strings over it occurs twice. Long texts are cut into overlapping parts, for speed alone."""
+    step = 128
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 n FROM d),
+part AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * (step + length - 1)}) h FROM (SELECT doc_id, h, unnest(range(0, n - {length - 1}, {step})) p FROM n WHERE n >= {length})),
+win AS (SELECT doc_id, p + i at_, md5_number(substr(h, 2 * i + 1, {2 * length})) m FROM (SELECT doc_id, p, h, unnest(range(0, least({step}, length(h) // 2 - {length - 1}))) i FROM part)),
+hit AS (SELECT doc_id, at_ FROM win JOIN (SELECT m FROM win GROUP BY m HAVING count(*) > 1) USING (m)),
+run AS (SELECT doc_id, min(at_) a, max(at_) + {length} b FROM (SELECT *, sum(CASE WHEN at_ - before <= {length} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY at_) g FROM (SELECT *, lag(at_) OVER (PARTITION BY doc_id ORDER BY at_) before FROM hit)) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) lo, a hi FROM run UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM n LEFT JOIN run USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) k FROM gap JOIN n USING (doc_id) GROUP BY doc_id), runs AS (SELECT doc_id, count(*) c, sum(b - a) r FROM run GROUP BY doc_id)
+SELECT doc_id, n::BIGINT n_bytes, coalesce(r, 0)::BIGINT n_removed, coalesce(c, 0)::BIGINT n_spans, sha256(unhex(k)) kept_sha256 FROM n JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)"""
+
+
+ORACLES = {
+    "op3_suffix_dedup": repeats(),
+    "op4_embed_dedup": vectors(),
+    "op8_secrets": secrets(),
+    "op9_jaccard_join": jaccard(),
+    "op10_fingerprints": fingerprints(),
+}
