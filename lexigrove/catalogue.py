@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import text as X
 from lexigrove.functions import vector as V
-from lexigrove.operators import evaluate, render, search, tfidf, vindex, windows
+from lexigrove.operators import evaluate, features, render, search, tfidf, vindex, windows
 from lexigrove.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +52,7 @@ _SCORES = f"""{_DOCS}, {_grams("benchmark", "item_id", "q")},
 qtf AS (SELECT item_id, term, count(*) tf FROM q_gram GROUP BY ALL),
 dtf AS (SELECT doc_id, term, count(*) tf FROM d_gram WHERE term IN (SELECT term FROM qtf) GROUP BY ALL),
 idf AS (SELECT term, greatest(0.0, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5))) idf FROM dtf GROUP BY term),
-scores AS (SELECT item_id, doc_id, round(sum(ln(1 + qtf.tf) * ln(1 + dtf.tf) * idf * idf), 6) score FROM qtf JOIN dtf USING (term) JOIN idf USING (term) WHERE idf > 0 GROUP BY ALL)"""
+scores AS MATERIALIZED (SELECT item_id, doc_id, round(sum(ln(1 + qtf.tf) * ln(1 + dtf.tf) * idf * idf), 6) score FROM qtf JOIN dtf USING (term) JOIN idf USING (term) WHERE idf > 0 GROUP BY ALL)"""
 
 
 def _top(table: str, k: int, by: str, order: str) -> str:
@@ -202,39 +202,62 @@ def ivf_bounded_topk(spark, d):
 
 # Phrases: each vector is a phrase of the document of the same number, asked for by the question of the same number.
 _PHRASES = f"""pv AS (SELECT b.item_id qid, e.{_D} query FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
-ph AS (SELECT qid, vec_id doc_id, label start_idx, round(list_inner_product(query, {_D}), 6) dense FROM pv, embeddings), ds AS (SELECT item_id qid, doc_id, score doc_score FROM scores)"""
+ph AS MATERIALIZED (SELECT qid, vec_id doc_id, label start_idx, round(list_inner_product(query, {_D}), 6) dense FROM pv, embeddings), ds AS (SELECT item_id qid, doc_id, score doc_score FROM scores)"""
 _SPARSE = "sf AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * doc_score, 9) score FROM ph JOIN (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc_score DESC, doc_id) <= 5) USING (qid, doc_id))"
 _DENSE = """dt AS (SELECT * FROM ph QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id, start_idx) <= 100),
 df1 AS (SELECT qid, doc_id, start_idx, round(dense + 0.05 * coalesce(doc_score, 0.0), 9) score FROM dt LEFT JOIN ds USING (qid, doc_id))"""
 
 
-def _phrases(spark, d):
+def _phrase_vectors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors, questions (qid, query) and document scores (qid, doc_id, doc_score)."""
     vectors = _t(spark, d, "embeddings")
-    asked = _t(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("query"))
-    found = vindex.exact_top_k(vectors, asked, 1 << 30)
-    phrases = found.join(vectors.select("vec_id", F.col("label").alias("start_idx")), "vec_id").select("qid", F.col("vec_id").alias("doc_id"), "start_idx", F.col("score").alias("dense"))
-    return phrases, _scores(spark, d).select(F.col("item_id").alias("qid"), "doc_id", F.col("score").alias("doc_score"))
+    asked = _t(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id"))
+    asked = asked.select(F.col("item_id").alias("qid"), F.col("embedding").alias("query"))
+    scores = _scores(spark, d).select(F.col("item_id").alias("qid"), "doc_id", F.col("score").alias("doc_score"))
+    return vectors, asked, scores
+
+
+def _dense(vectors, asked, k: int) -> DataFrame:
+    """Phrases of largest inner product, cut before anything is shuffled."""
+    found = vindex.exact_top_k(vectors, asked, k).join(vectors.select("vec_id", F.col("label").alias("start_idx")), "vec_id")
+    return found.select("qid", F.col("vec_id").alias("doc_id"), "start_idx", F.col("score").alias("dense"))
+
+
+def _of_best(vectors, asked, scores) -> DataFrame:
+    """Phrases of each question's best documents."""
+    starts = vectors.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("start_idx"), F.col("embedding").alias("start_vec"))
+    return search.phrases_of(starts, asked, search.best_documents(scores))
+
+
+def _hybrid(spark, d) -> DataFrame:
+    vectors, asked, scores = _phrase_vectors(spark, d)
+    dense = search.dense_first(_dense(vectors, asked, 100), scores, start_top_k=100)
+    return dense.unionByName(search.sparse_first(_of_best(vectors, asked, scores), scores))
 
 
 @query(f"WITH {_SCORES}, {_PHRASES}, {_SPARSE} SELECT * FROM sf")
 def sparse_first_candidates(spark, d):
-    return search.sparse_first(*_phrases(spark, d))
+    vectors, asked, scores = _phrase_vectors(spark, d)
+    return search.sparse_first(_of_best(vectors, asked, scores), scores)
 
 
 @query(f"WITH {_SCORES}, {_PHRASES}, {_DENSE} SELECT * FROM df1")
 def dense_first_candidates(spark, d):
-    return search.dense_first(*_phrases(spark, d), start_top_k=100)
+    vectors, asked, scores = _phrase_vectors(spark, d)
+    return search.dense_first(_dense(vectors, asked, 100), scores, start_top_k=100)
 
 
 @query(f"WITH {_SCORES}, {_PHRASES}, {_SPARSE}, {_DENSE} SELECT * FROM df1 UNION ALL SELECT * FROM sf")
 def hybrid_candidates(spark, d):
-    return search.hybrid(*_phrases(spark, d), start_top_k=100)
+    return _hybrid(spark, d)
 
 
-@query(f"WITH {_SCORES}, {_PHRASES}, {_SPARSE}, {_DENSE}, al AS (SELECT DISTINCT * FROM (SELECT * FROM df1 UNION ALL SELECT * FROM sf)), mid AS ({_top('al', 100, 'qid', 'score DESC, doc_id, start_idx')}) SELECT qid, doc_id, start_idx, score, rank FROM mid WHERE rank <= 10")
+@query(
+    f"WITH {_SCORES}, {_PHRASES}, {_SPARSE}, {_DENSE}, al AS (SELECT DISTINCT * FROM (SELECT * FROM df1 UNION ALL SELECT * FROM sf)), "
+    f"mid AS ({_top('al', 100, 'qid', 'score DESC, doc_id, start_idx')}) SELECT qid, doc_id, start_idx, score, rank FROM mid WHERE rank <= 10"
+)
 def rerank_mid_top(spark, d):
-    both = search.hybrid(*_phrases(spark, d), start_top_k=100).distinct()
-    return search.keep_top(search.keep_top(both, 100).drop("rank"), 10)
+    return search.keep_top(search.keep_top(_hybrid(spark, d).distinct(), 100).drop("rank"), 10)
 
 
 _MATCH = f"""WITH {_grams("documents", "doc_id", "d")}, {_grams("benchmark", "item_id", "q")},
@@ -400,9 +423,9 @@ c AS (SELECT source, len(list_intersect(p, t)) tp, len(p) np, len(t) nt FROM s),
 SELECT source, (np - tp + nt - tp = 0)::INT em, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) f1, round(pr, 6) "precision", round(re, 6) recall FROM r""")
 def support_set_prf(spark, d):
     rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
-    sets = rows.groupBy("source").agg(F.collect_set(F.when(F.contains(F.lower("text"), F.lit(" the ")), F.col("doc_id"))).alias("p"), F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("t"))
-    s = sets.select("source", evaluate.set_scores(F.col("p"), F.col("t")).alias("s"))
-    return s.select("source", "s.em", *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("f1", "precision", "recall")])
+    members = rows.select("source", F.contains(F.lower("text"), F.lit(" the ")).alias("predicted"), (F.col("quality") == 1).alias("truth"))
+    s = evaluate.set_scores_by(members, "source")
+    return s.select("source", "em", *[F.round(c, 6).alias(c) for c in ("f1", "precision", "recall")])
 
 
 @query(f"WITH {_SCORES}, r AS ({_top('scores', 10, 'item_id', 'score DESC, doc_id')}) SELECT concat_ws(' ', item_id, 'Q0', doc_id, rank - 1, printf('%.6f', score), 'run-1') line FROM r")
@@ -420,9 +443,7 @@ def upsert_docs(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1 copy, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) first_doc, last_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) last_doc FROM documents")
 def title_dedupe(spark, d):
-    order = Window.partitionBy("text").orderBy("doc_id")
-    whole = Window.partitionBy("text")
-    return _t(spark, d, "documents").select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("copy"), F.min("doc_id").over(whole).alias("first_doc"), F.max("doc_id").over(whole).alias("last_doc"))
+    return features.numbered_copies(_t(spark, d, "documents").select("doc_id", "text"), "text")
 
 
 _KNOWN = sorted({"the", "of", "answer", "question", "disease", "risk", "please", "what"} - set(X.STOPWORDS) | {w.lower() for w in render.ENTITY_WORDS} - set(X.STOPWORDS))
@@ -477,10 +498,7 @@ def key_differences(spark, d):
 
 @query("WITH q AS (SELECT DISTINCT conv_id, lower(text) k FROM conversations WHERE role = 'user') SELECT a.conv_id, a.turn, count(q.conv_id) n_known FROM conversations a LEFT JOIN q ON lower(a.text) = q.k AND q.conv_id <> a.conv_id GROUP BY a.conv_id, a.turn")
 def cached_question_lookup(spark, d):
-    rows = _t(spark, d, "conversations")
-    known = rows.filter("role = 'user'").select(F.col("conv_id").alias("other"), F.lower("text").alias("k")).distinct()
-    found = rows.join(known, (F.lower("text") == F.col("k")) & (F.col("other") != F.col("conv_id")), "left")
-    return found.groupBy("conv_id", "turn").agg(F.count("other").alias("n_known"))
+    return search.known_questions(_t(spark, d, "conversations")).select("conv_id", "turn", "n_known")
 
 
 @query(f"WITH {_SCORES}, r AS ({_top('scores', 5, 'item_id', 'score DESC, doc_id')}) SELECT item_id qid, count(DISTINCT doc_id) n_docs, round(avg(score), 4) mean_score FROM r GROUP BY item_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.functions.arrays import scanned
 from lexigrove.functions.text import normalize_answer
 
 CLOSED = ("yes", "no", "noanswer")
@@ -17,8 +18,11 @@ def token_f1(prediction: Column, truth: Column) -> Column:
     """
 
     def numbered(words: Column) -> Column:
-        sorted_words = F.array_sort(words)
-        return F.get(F.transform(F.array(sorted_words), lambda s: F.transform(s, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(s, w)).cast("string")))), F.lit(0))
+        def step(at: Column, w: Column) -> tuple[Column, Column]:
+            k = F.when(at["w"] == w, at["k"] + 1).otherwise(0)
+            return F.struct(w.alias("w"), k.alias("k")), F.concat(w, F.lit(" "), k.cast("string"))
+
+        return scanned(F.array_sort(words), F.struct(F.lit("").alias("w"), F.lit(0).alias("k")), "array<string>", step)
 
     def scored(x: Column) -> Column:
         pw, tw = (F.filter(F.split(x[k], " "), lambda w: w != "") for k in "pt")
@@ -79,6 +83,16 @@ def set_scores(predicted: Column, truth: Column) -> Column:
     return F.struct((fp + fn == 0).cast("int").alias("em"), f1.alias("f1"), precision.alias("precision"), recall.alias("recall"))
 
 
+def set_scores_by(members: DataFrame, by: str) -> DataFrame:
+    """by, em, f1, precision, recall of the sets of rows that are predicted and true (nulls are neither); rows are counted, not gathered."""
+    p, t = F.coalesce("predicted", F.lit(False)), F.coalesce("truth", F.lit(False))
+    counts = members.groupBy(by).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(t & ~p).alias("fn"))
+    precision = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
+    recall = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    return counts.select(by, (F.col("fp") + F.col("fn") == 0).cast("int").alias("em"), f1.alias("f1"), precision.alias("precision"), recall.alias("recall"))
+
+
 def trec_lines(ranked: DataFrame, tag: str) -> DataFrame:
     """Lines of a run file; ranks begin at 0."""
     return ranked.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), (F.col("rank") - 1).cast("string"), F.format_string("%.6f", F.col("score")), F.lit(tag)).alias("line"))

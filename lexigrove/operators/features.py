@@ -53,6 +53,30 @@ def unique_titles(articles: DataFrame) -> DataFrame:
     return articles.withColumn("unique_title", F.when(n == 1, F.col("title")).otherwise(F.concat(F.col("title"), F.lit("_"), (n - 2).cast("string"))))
 
 
+#: Keys of one block, whose rows of one value are numbered in one task.
+KEYS_EACH = 1 << 20
+
+
+def numbered_copies(rows: DataFrame, by: str, key: str = "doc_id") -> DataFrame:
+    """key, copy (number among the rows of the same value), first_doc and last_doc.
+
+    Values that occur once, nearly all, are told by counts of their hashes; only the others are numbered.
+    Values aren't shuffled but 128 bits of each. A frequent value's rows are numbered in blocks of keys, after running sums over the blocks.
+    key: a whole number.
+    """
+    hashed = rows.select(key, F.xxhash64(by).alias("h1"), F.xxhash64(F.lit(1), F.col(by)).alias("h2"))
+    groups = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_doc"), F.max(key).alias("last_doc"))
+    some = hashed.join(groups.filter("n > 1").drop("n"), ["h1", "h2"]).withColumn("block", F.floor(F.col(key) / KEYS_EACH))
+    counts = some.groupBy("h1", "h2", "block").agg(F.count(F.lit(1)).alias("c"))
+    earlier = Window.partitionBy("h1", "h2").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("h1", "h2", "block", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("offset"))
+    order = Window.partitionBy("h1", "h2", "block").orderBy(key)
+    some = some.withColumn("r", F.row_number().over(order) - 1).join(offsets, ["h1", "h2", "block"])
+    some = some.select(key, (F.col("r") + F.col("offset")).cast("long").alias("copy"), "first_doc", "last_doc")
+    alone = groups.filter("n = 1").select(F.col("first_doc").alias(key), F.lit(0).cast("long").alias("copy"), "first_doc", "last_doc")
+    return some.unionByName(alone)
+
+
 def cached_page(answers: DataFrame, most: int = 3) -> DataFrame:
     """The answers of a cached question that its page shows."""
     return answers.filter(F.col("rank") < most)

@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from lexigrove.functions.vector import dot
 
 
+def best_documents(doc_scores: DataFrame, doc_top_k: int = 5) -> DataFrame:
+    """The documents of largest score of each question."""
+    order = Window.partitionBy("qid").orderBy(F.desc("doc_score"), "doc_id")
+    return doc_scores.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= doc_top_k).select("qid", "doc_id", "doc_score")
+
+
+def phrases_of(starts: DataFrame, questions: DataFrame, documents: DataFrame, digits: int = 6) -> DataFrame:
+    """qid, doc_id, start_idx, dense of the phrases of some documents of each question (qid, doc_id), which are scored by no other question.
+
+    starts: doc_id, start_idx, start_vec. questions: qid, query.
+    """
+    asked = documents.select("qid", "doc_id").join(questions.select("qid", "query"), "qid")
+    pairs = starts.select("doc_id", "start_idx", "start_vec").join(asked, "doc_id")
+    return pairs.select("qid", "doc_id", "start_idx", F.round(dot(F.col("query"), F.col("start_vec")), digits).alias("dense"))
+
+
 def sparse_first(phrases: DataFrame, doc_scores: DataFrame, doc_top_k: int = 5, sparse_weight: float = 0.05) -> DataFrame:
     """All phrases of the best documents of each question. phrases: qid, doc_id, start_idx, dense."""
-    order = Window.partitionBy("qid").orderBy(F.desc("doc_score"), "doc_id")
-    best = doc_scores.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= doc_top_k).select("qid", "doc_id", "doc_score")
-    return phrases.join(best, ["qid", "doc_id"]).select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.col("doc_score"), 9).alias("score"))
+    return phrases.join(best_documents(doc_scores, doc_top_k), ["qid", "doc_id"]).select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.col("doc_score"), 9).alias("score"))
 
 
 def dense_first(phrases: DataFrame, doc_scores: DataFrame, start_top_k: int = 1000, sparse_weight: float = 0.05) -> DataFrame:
@@ -74,6 +88,19 @@ def best_of_article(answers: DataFrame, by: str = "article", order: tuple[str, .
     return best.withColumn("rank", F.row_number().over(again).cast("long"))
 
 
+def known_questions(turns: DataFrame) -> DataFrame:
+    """turns with n_known: conversations but the own one in which a user asked the same, without case.
+
+    Conversations are counted for each text, and the own one is taken off, so a common question joins with one row.
+    """
+    asked = turns.filter("role = 'user'").select("conv_id", F.xxhash64(F.lower("text")).alias("h"), F.lower("text").alias("k")).distinct()
+    counts = asked.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("conv_id", "h", "k", F.lit(1).alias("own"))
+    rows = turns.withColumns({"h": F.xxhash64(F.lower("text")), "k": F.lower("text")})
+    rows = rows.join(counts, ["h", "k"], "left").join(own, ["conv_id", "h", "k"], "left")
+    return rows.withColumn("n_known", F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).drop("h", "k", "n", "own")
+
+
 def filter_phrases(phrases: DataFrame, threshold: float) -> DataFrame:
     """Phrases whose logit is above the threshold, with a compact index; orig_idx keeps the place."""
     order = Window.partitionBy("doc_id").orderBy("orig_idx")

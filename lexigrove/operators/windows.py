@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.functions.arrays import empty, let, scanned
+
+
+def _window_count(n: Column, length: int, stride: int) -> Column:
+    return F.when(n <= length, F.lit(1)).otherwise(1 + F.ceil((n - length) / stride).cast("int"))
+
 
 def window_bounds(n: Column, length: int, stride: int) -> Column:
     """Array of (window, start, stop) that cover n tokens; strides stop with the window that reaches the end."""
     stride = min(length, stride)
-    count = F.when(n <= length, F.lit(1)).otherwise(1 + F.ceil((n - length) / stride).cast("int"))
-    made = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("window"), (i * stride).alias("start"), F.least(i * stride + length, n).alias("stop")))
-    return F.when(n > 0, made).otherwise(F.array().cast("array<struct<window:int,start:int,stop:int>>"))
+
+    def of(n: Column) -> Column:
+        def window(i: Column) -> Column:
+            return F.struct(i.alias("window"), (i * stride).alias("start"), F.least(i * stride + length, n).alias("stop"))
+
+        made = F.transform(F.sequence(F.lit(0), _window_count(n, length, stride) - 1), window)
+        return F.when(n > 0, made).otherwise(empty("array<struct<window:int,start:int,stop:int>>"))
+
+    return let(n, of)
 
 
 def token_windows(docs: DataFrame, n: Column, length: int = 64, stride: int = 32) -> DataFrame:
@@ -19,18 +31,27 @@ def token_windows(docs: DataFrame, n: Column, length: int = 64, stride: int = 32
 
 
 def best_window(n: Column, length: int, stride: int) -> Column:
-    """For each token the window with most context: least of both sides, and a hundredth of the length; the first of equal ones."""
-    bounds = window_bounds(n, length, stride)
+    """For each token the window with most context: least of both sides, and a hundredth of the length; the first of equal ones.
+
+    Only the windows that hold a token are looked at; their numbers follow from the token's place.
+    """
+    stride = min(length, stride)
+
+    def of(n: Column) -> Column:
+        def at(p: Column) -> Column:
+            first = F.greatest(F.lit(0), F.floor((p - length) / stride).cast("int") + 1)
+            last = F.least(F.floor(p / stride).cast("int"), _window_count(n, length, stride) - 1)
 
-    def best(w: Column) -> Column:
-        def of(p: Column) -> Column:
-            inside = F.filter(w, lambda x: (x["start"] <= p) & (p < x["stop"]))
-            scored = F.transform(inside, lambda x: F.struct((-(F.least(p - x["start"], x["stop"] - 1 - p) + 0.01 * (x["stop"] - x["start"]))).alias("s"), x["window"].alias("w")))
-            return F.array_min(scored)["w"]
+            def scored(i: Column) -> Column:
+                stop = F.least(i * stride + length, n)
+                context = F.least(p - i * stride, stop - 1 - p) + 0.01 * (stop - i * stride)
+                return F.struct((-context).alias("s"), i.alias("w"))
 
-        return F.transform(F.sequence(F.lit(0), n - 1), of)
+            return F.array_min(F.transform(F.sequence(first, last), scored))["w"]
 
-    return F.when(n > 0, F.get(F.transform(F.array(bounds), best), F.lit(0))).otherwise(F.array().cast("array<int>"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(empty("array<int>"))
+
+    return let(n, of)
 
 
 def word_offsets(docs: DataFrame) -> DataFrame:
@@ -42,25 +63,30 @@ def word_offsets(docs: DataFrame) -> DataFrame:
 
 def sentences(text: Column, delimiter: str = "\n") -> Column:
     """Half-open bounds of the parts between delimiters; each part ends with its delimiter."""
-    parts = F.split(text, delimiter)
-    return F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p) + 1).alias("stop")))).alias("out")),
-    )["out"]
+    lengths = F.transform(F.split(text, delimiter), lambda p: F.length(p) + 1)
+    return scanned(lengths, F.lit(0), "array<struct<start:int,stop:int>>", lambda at, n: (at + n, F.struct(at.alias("start"), (at + n).alias("stop"))))
+
+
+def sentence_at(bounds: Column, position: Column, n: Column) -> Column:
+    """Struct (sent_start, sent_end, c_start, c_end): the sentence of a position, and the context from the former sentence to the next one, within n characters."""
+
+    def of(all_of: Column) -> Column:
+        i = F.size(F.filter(all_of, lambda x: x["start"] <= position)) - 1
+        own, before, after = F.get(all_of, i), F.get(all_of, i - 1), F.get(all_of, i + 1)
+        first = F.when(i > 0, before["start"]).otherwise(own["start"])
+        clamp = lambda c: F.least(c, n).cast("long")
+        return F.struct(
+            own["start"].cast("long").alias("sent_start"), clamp(own["stop"]).alias("sent_end"),
+            first.cast("long").alias("c_start"), clamp(F.coalesce(after["stop"], own["stop"])).alias("c_end"),
+        )
+
+    return let(bounds, of)
 
 
 def localize(docs: DataFrame, position: Column) -> DataFrame:
-    """doc_id, start_pos, its sentence's bounds, and the context from the former sentence to the next one."""
-    rows = docs.select("doc_id", F.length("text").alias("n"), position.alias("start_pos"), F.posexplode(sentences(F.col("text"))).alias("i", "s"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    rows = rows.withColumn("before", F.lag("s.start").over(order)).withColumn("after", F.lead("s.stop").over(order))
-    rows = rows.filter((F.col("start_pos") >= F.col("s.start")) & (F.col("start_pos") < F.col("s.stop")))
-    clamp = lambda c: F.least(c, F.col("n")).cast("long")
-    return rows.select(
-        "doc_id", F.col("start_pos").cast("long").alias("start_pos"), F.col("s.start").cast("long").alias("sent_start"), clamp(F.col("s.stop")).alias("sent_end"),
-        F.coalesce("before", "s.start").cast("long").alias("c_start"), clamp(F.coalesce("after", "s.stop")).alias("c_end"),
-    )
+    """doc_id, start_pos, its sentence's bounds, and the context from the former sentence to the next one. No shuffle."""
+    rows = docs.select("doc_id", position.cast("long").alias("start_pos"), sentence_at(sentences(F.col("text")), position, F.length("text")).alias("s"))
+    return rows.select("doc_id", "start_pos", "s.*")
 
 
 def enclosing_segment(text: Column, start: Column, end: Column, delimiter: str = " [PAR] ") -> Column:
