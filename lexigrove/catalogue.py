@@ -536,3 +536,6 @@ def kmeans_probe_topk(spark, d):
     vectors = _t(spark, d, "embeddings")
     centroids = vindex.train_centroids(vectors, 16)
     return vindex.probed_top_k(vindex.assign(vectors, centroids), vindex.probe(_asked_vectors(spark, d), centroids, 12), 10)
+
+
+from lexigrove import catalogue_more  # noqa: E402, F401  its queries join those above

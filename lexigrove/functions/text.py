@@ -230,3 +230,33 @@ def matches_pattern(text: Column, pattern: Column) -> Column:
         return pd.Series(out)
 
     return run(text, pattern)
+
+
+def utf8_text(data: Column) -> Column:
+    """Text of bytes or text; bytes that are no UTF-8 leave no trace."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+def untokenized(words: Column, spaces: Column) -> Column:
+    """Text of tokens, each with the white space after it, without white space at the end."""
+    return F.rtrim(F.array_join(F.zip_with(words, spaces, lambda w, s: F.concat(w, s)), ""))
+
+
+def token_spans(text: Column) -> Column:
+    """Array of (text, after, start, end): tokens with the white space and other signs up to the next token, by running sums."""
+    from lexigrove.functions.arrays import let, scanned
+
+    def of(t: Column) -> Column:
+        parts = F.split(t, TOKEN, -1)
+        pairs = F.zip_with(parts, F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda p, w: F.struct(p.alias("p"), w.alias("w")))
+        after = F.slice(F.transform(parts, lambda p: p), 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            start = at + F.length(x["x"]["p"])
+            end = start + F.length(x["x"]["w"])
+            return end, F.struct(x["x"]["w"].alias("text"), x["after"].alias("after"), start.alias("start"), end.alias("end"))
+
+        items = F.filter(F.zip_with(pairs, after, lambda x, a: F.struct(x.alias("x"), a.alias("after"))), lambda x: x["x"]["w"].isNotNull())
+        return scanned(items, F.lit(0), "array<struct<text:string,after:string,start:int,end:int>>", step)
+
+    return let(F.coalesce(text, F.lit("")), of)

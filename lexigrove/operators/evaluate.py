@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import scanned
-from lexigrove.functions.text import normalize_answer
+from lexigrove.functions.text import matches_pattern, nfd, normalize_answer
 
 CLOSED = ("yes", "no", "noanswer")
 
@@ -43,10 +45,23 @@ def exact_match(prediction: Column, truth: Column) -> Column:
     return normalize_answer(prediction) == normalize_answer(truth)
 
 
-def best_over_truths(predictions: DataFrame, truths: DataFrame, top_k: int = 10) -> DataFrame:
-    """qid, em_top1, em_topk, f1_top1, f1_topk: best over predictions up to the rank and over all truths; 0 without any."""
+def nfd_match(prediction: Column, truth: Column) -> Column:
+    """Equality after canonical decomposition, with case and punctuation."""
+    return nfd(prediction) == nfd(truth)
+
+
+#: Ways to match a prediction with a truth.
+MATCHES: dict[str, Callable[[Column, Column], Column]] = {"exact": exact_match, "nfd": nfd_match, "regex": matches_pattern}
+
+
+def best_over_truths(predictions: DataFrame, truths: DataFrame, top_k: int = 10, match: str | Callable[[Column, Column], Column] = "exact") -> DataFrame:
+    """qid, em_top1, em_topk, f1_top1, f1_topk: best over predictions up to the rank and over all truths; 0 without any.
+
+    match: a name of MATCHES, or a function of the columns of predictions and truths.
+    """
     pairs = predictions.filter(F.col("rank") <= top_k).join(truths, "qid", "left")
-    em = F.coalesce(exact_match(F.col("prediction"), F.col("truth")), F.lit(False)).cast("int")
+    matched = (MATCHES[match] if isinstance(match, str) else match)(F.col("prediction"), F.col("truth"))
+    em = F.coalesce(matched, F.lit(False)).cast("int")
     f1 = F.coalesce(token_f1(F.col("prediction"), F.col("truth"))["f1"], F.lit(0.0))
     scored = pairs.select("qid", "rank", em.alias("em"), f1.alias("f1"))
     first = F.col("rank") == 1
@@ -73,6 +88,35 @@ def sentence_metrics(results: DataFrame, truths: DataFrame, questions: DataFrame
     )
 
 
+def mean_answers(scored: DataFrame) -> DataFrame:
+    """One row: questions, and percentages of the scores of best_over_truths."""
+    return scored.agg(F.count(F.lit(1)).alias("n"), *[F.round(100 * F.avg(c), 4).alias(c) for c in ("em_top1", "em_topk", "f1_top1", "f1_topk")])
+
+
+def mean_sentences(scored: DataFrame) -> DataFrame:
+    """One row: questions, and means of the scores of sentence_metrics; questions without results count as 0."""
+    return scored.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall_1", "recall_k", "precision_50", "mrr")])
+
+
+def joint_means(answers: DataFrame, supports: DataFrame, key: str = "qid") -> DataFrame:
+    """One row: means over all questions of answer scores, support scores (em, f1, precision, recall each) and of both together.
+
+    Joint precision and recall are products. Questions without support scores count as 0 there.
+    """
+    own = answers.select(key, *[F.col(c).alias(f"a_{c}") for c in ("em", "precision", "recall", "f1")])
+    other = supports.select(key, *[F.col(c).alias(f"s_{c}") for c in ("em", "precision", "recall", "f1")])
+    rows = own.join(other, key, "left").fillna(0.0).fillna(0)
+    p, r = F.col("a_precision") * F.col("s_precision"), F.col("a_recall") * F.col("s_recall")
+    joint = {"joint_em": F.col("a_em") * F.col("s_em"), "joint_precision": p, "joint_recall": r, "joint_f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}
+    single = {name: F.col(f"{k}_{c}") for k, prefix in (("a", ""), ("s", "sp_")) for c in ("em", "f1", "precision", "recall") for name in (prefix + c,)}
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(name) for name, c in (single | joint).items()])
+
+
+def without_answer(predictions: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """One row: questions, and those whose best prediction is null or empty."""
+    return predictions.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col(prediction), F.lit("")) == "").alias("n_without"))
+
+
 def set_scores(predicted: Column, truth: Column) -> Column:
     """Struct (em, f1, precision, recall) of two arrays taken as sets."""
     tp = F.size(F.array_intersect(predicted, truth))

@@ -70,6 +70,35 @@ def select_ends(starts: DataFrame, ends: DataFrame, max_answer_length: int = 20,
     return chosen.select("qid", "group", "start_idx", "score", F.when(F.col("any") == 1, F.col("b.end_idx")).alias("end_idx"), F.when(F.col("any") == 1, F.col("b.total")).alias("end_score"))
 
 
+def among_candidates(predictions: DataFrame, candidates: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """predictions, empty where the text is in the candidates (answer) neither as it is nor in lower case."""
+    known = candidates.select("answer").distinct()
+    raw = known.select(F.col("answer").alias(prediction), F.lit(True).alias("_raw"))
+    low = known.select(F.col("answer").alias("_low"), F.lit(True).alias("_in"))
+    rows = predictions.withColumn("_low", F.lower(prediction)).join(raw, prediction, "left").join(low, "_low", "left")
+    kept = F.when(F.coalesce("_raw", "_in", F.lit(False)), F.col(prediction)).otherwise("")
+    return rows.withColumn(prediction, kept).select(*predictions.columns)
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, key: str, missing: str = "NaN") -> DataFrame:
+    """rows with what is known by key, as text; missing values and rows without any get the mark."""
+    names = [c for c in metadata.columns if c != key]
+    found = rows.join(metadata, key, "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in names])
+
+
+def runs(rows: DataFrame, by: str, order: tuple[str, ...], value: str) -> DataFrame:
+    """rows with run: a number within by, one more where the value is not that of the row before."""
+    within = Window.partitionBy(by).orderBy(*order)
+    begins = F.when(F.col(value) == F.lag(value).over(within), 0).otherwise(1)
+    return rows.withColumn("_begins", begins).withColumn("run", F.sum("_begins").over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
+
+
+def documents_asked(candidates: DataFrame) -> DataFrame:
+    """For each question the number of its documents and their mean score."""
+    return candidates.groupBy("qid").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
 def valid_answers(answers: DataFrame, longest: int = 500, least: float = -1e5) -> DataFrame:
     return answers.filter((F.col("score") > least) & (F.col("end_pos") - F.col("start_pos") + 1 < longest))
 

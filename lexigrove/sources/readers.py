@@ -13,8 +13,11 @@ ARTICLE = f"struct<title:string,cord_uid:string,pubmed_id:string,publish_time:st
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each article: file, position and all fields. doc_id follows the sorted file names and the place within."""
-    raw = spark.read.schema(f"data array<{ARTICLE}>").json(path, multiLine=True).select(F.col("_metadata.file_name").alias("file"), "data")
+    """One row for each article: file, position and all fields. doc_id follows the sorted paths and the place within.
+
+    Sums over the files before run in one task, with one row for each file: fit for millions of files; numbered_corpus needs no such sums.
+    """
+    raw = spark.read.schema(f"data array<{ARTICLE}>").option("recursiveFileLookup", "true").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), "data")
     sizes = raw.groupBy("file").agg(F.sum(F.size("data")).alias("n"))
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     base = sizes.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
@@ -23,9 +26,11 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_corpus(spark: SparkSession, folder: str, first: int, stop: int, each: int = 1000) -> DataFrame:
-    """Articles of the files first..stop-1, named by four digits; doc_id = file number * each + place."""
+    """Articles of the files (or folders of one file) first..stop-1, named by four digits; doc_id = file number * each + place."""
     paths = [f"{folder}/{i:04d}" for i in range(first, stop)]
-    raw = spark.read.schema(f"data array<{ARTICLE}>").json(paths, multiLine=True).select(F.col("_metadata.file_name").cast("long").alias("number"), F.posexplode("data").alias("pos", "a"))
+    raw = spark.read.schema(f"data array<{ARTICLE}>").json(paths, multiLine=True)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4,})(?:/[^/]*)?$", 1).cast("long")
+    raw = raw.select(number.alias("number"), F.posexplode("data").alias("pos", "a"))
     return raw.select((F.col("number") * each + F.col("pos")).alias("doc_id"), "a.*")
 
 
@@ -68,6 +73,47 @@ def prior_scores(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("question", F.explode(F.arrays_zip("cord_uid", "score")).alias("z")).select("question", "z.cord_uid", F.col("z.score").alias("prior"))
 
 
+def prior_ids(spark: SparkSession, path: str) -> DataFrame:
+    """question, pmid, prior of a file of outside result lists by outside ids; the place of an id in the flattened lists orders repeated ones, and every prior is 1."""
+    raw = spark.read.schema("question string, pmid array<array<string>>").json(path, multiLine=True)
+    rows = raw.select("question", F.posexplode(F.flatten("pmid")).alias("place", "pmid"))
+    return rows.groupBy("question", "pmid").agg(F.max("place").alias("place"), F.lit(1.0).alias("prior"))
+
+
+def line_set(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct lines, without white space at their ends, in their own case."""
+    return spark.read.text(path).select(F.rtrim("value").alias("line")).distinct()
+
+
+def phrase_table(spark: SparkSession, path: str, documents: tuple[int, int] | None = None, each: int = 1000) -> DataFrame:
+    """Phrases of a partitioned table; of a range of documents [first, stop) only its folders are read."""
+    rows = spark.read.parquet(path)
+    if documents is None:
+        return rows
+    first, stop = documents
+    own = F.col("doc_id").between(first, stop - 1)
+    return rows.filter(F.col("bucket").between(first // each, (stop - 1) // each) & own)
+
+
+def postings(spark: SparkSession, path: str, ngram: int = 2, size: int | None = None) -> DataFrame:
+    """Postings of a folder, whose parameters must be those asked for."""
+    row = spark.read.parquet(f"{path}/parameters").first()
+    if (row["ngram"], row["hash_size"]) != (ngram, size):
+        raise ValueError(f"postings of ngram={row['ngram']}, hash_size={row['hash_size']}; asked for {ngram}, {size}")
+    return spark.read.parquet(f"{path}/postings")
+
+
+def paragraph_postings(spark: SparkSession, path: str, documents: tuple[int, int] | None = None, each: int = 1000) -> DataFrame:
+    """Paragraph weights of a partitioned table, by ranges of documents as in phrase_table."""
+    return phrase_table(spark, path, documents, each)
+
+
+def by_head_question(examples: DataFrame) -> DataFrame:
+    """Examples of one head question (of equal text without case) as one row: its ids and distinct entity ids."""
+    rows = examples.withColumn("entity", F.explode_outer("entity_ids"))
+    return rows.groupBy(F.lower("question").alias("question")).agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("entity")).alias("entity_ids"))
+
+
 def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
     """Token to line number; of repeated tokens the last line counts. A vocabulary file is small by nature."""
     lines = spark.read.text(path, wholetext=True).first()
