@@ -7,7 +7,7 @@ no additive weight expresses. It is trained in numpy by AdaGrad on a bounded sam
 texts (SAMPLE of each class, by hash order); scoring covers every text.
 
 Null and empty texts have no features and get the bias alone. Repeated labels of one id
-count once, toxic winning. Without labels of both classes every score is the prior (0 with none).
+count once, toxic winning; of texts of one labelled id the least in byte order is learned from. Without labels of both classes every score is the prior (0 with none).
 Each row is scored alone: ties, repeated rows and further columns have no influence.
 """
 
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [(r["_id"], r["_y"]) for p in parts for r in p.collect()]
     chosen = spark.createDataFrame(chosen, marked.schema)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_y", "_text")
+    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

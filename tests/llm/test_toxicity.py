@@ -58,6 +58,24 @@ def test_pairs_of_terms_that_tell_nothing_alone():
     assert score[2] > 0.6 > 0.4 > max(score[:2])
 
 
+def test_a_rare_pair_is_learned():
+    """Two terms of a tenth of all texts each among many others; toxic are the texts with both, a hundredth."""
+
+    def drawn(n, seed):
+        random = np.random.default_rng(seed)
+        rows, labels = [], []
+        for _ in range(n):
+            a, b = (bool(x) for x in random.random(2) < 0.1)
+            rows.append(np.unique(np.r_[random.integers(100, 2000, 20), [5] * a, [7] * b].astype(np.int64)))
+            labels.append(int(a and b))
+        return rows, np.array(labels)
+
+    m = toxicity.train(*drawn(6000, 0), 0.5)
+    rows, labels = drawn(3000, 9)
+    score = m.score(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows), len(rows))
+    assert (score[labels == 1] >= 0.7).mean() > 0.7 and (score[labels == 0] >= 0.7).mean() < 0.01
+
+
 def test_rare_toxic_terms_are_learned():
     """A term of six toxic texts, too few to stand out by its own count."""
     random = np.random.default_rng(5)
