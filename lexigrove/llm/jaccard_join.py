@@ -1,22 +1,23 @@
 """Exact Jaccard join (0.75 or more) of word shingle sets by PartEnum signatures.
 
-Sets of at most a third more elements than n differ from a set of n by at most n // 3 elements
-if they are similar enough. The domain of shingle hashes is cut into equal partitions, as many as
-the size band asks for; a signature is a partition with the hash of the set's elements in it.
-Of the partitions in their order, a set enumerates the first n // 3 + 1 that it has elements in:
-two similar sets then share one signature, whichever of them stops first. Sets below SMALL
-elements take single elements for partitions; sets near the upper end of their band enumerate the
-next band's partitions, too.
+Similar enough sets of n and of at least as many elements differ by at most n // 3 elements. Two levels, as
+in PartEnum: the domain of shingle hashes is cut into groups of three partitions, as many as the size
+band asks for, and of each group the subsets of two partitions are enumerated; a signature is such a subset with
+the hash of the set's elements in it, if there are any. To leave two sets without a common signature of a
+group, their differences must lie in two of its partitions, or in one if only one holds elements. A set
+enumerates groups in their order until more than n // 3 differences would be needed: two similar sets then
+share one signature, whichever of them stops first. Sets near the upper end of their band enumerate the
+next band's groups, too. Sets whose groups don't suffice also enumerate their first n // 3 + 1 single elements.
 
 Signatures of very many sets (common passages) are passed over by all sets alike, and further
-partitions are enumerated for them, which keeps the guarantee. Sets with too few others
-also emit those they would have passed over. The list of such signatures is bounded; it decides
+groups are enumerated for them, which keeps the guarantee. The list of such signatures is bounded; it decides
 only how fast the join is, never what it finds.
 
 Equal sets collapse before. Parities of the numbers of elements in buckets bound how much two sets
 differ from below. Within the sets of a signature, possible links that span all others come
 first and are verified on the whole sets; then those that would still join two components
-are, found by more parity bits. No pairs leave a task but these.
+are, found by more parity bits. No pairs leave a task but these. Long lists of sets are dealt out as
+pairs of blocks, so no task holds one whole.
 
 Texts without words (or null) have empty sets and link with nothing.
 """
@@ -36,11 +37,14 @@ from .shared import arrow, table, width
 from .textwords import LOWER, WHITE, mix, pieces, spans, word_hashes
 
 WORDS = 5
-SMALL, RATIO = 256, 4
+#: Sizes of a band: from a power of RATIO to the next. Partitions of a group, and partitions for each element of a band's smallest set.
+RATIO, GROUP, EACH = 4, 3, 2.5
 #: A signature of so many sets is passed over; at most so many are; a task reports those it met so often.
 COMMON, MOST_COMMON, REPORTED = 64, 100_000, 4
-#: Signatures held by a task, buckets of signatures for each partition, parity bits for each element.
-HELD, BUCKETS_EACH, COARSE, FINE = 1 << 20, 8, 2, 8
+#: Signatures held by a task, signatures of a bucket about, parity bits for each element, sets of a list that one task compares.
+HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 19, 1 << 18, 2, 8, 1024
+#: Edges that a task holds before it looks for those that span them.
+EDGES = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -72,36 +76,52 @@ def set_id(s: np.ndarray) -> int:
 
 
 def schemes(n: int) -> list[int]:
-    """Numbers of partitions that a set of n elements enumerates by; 0: single elements."""
-    if n < SMALL:
-        own, top = 0, SMALL
-    else:
-        band = SMALL
-        while n >= band * RATIO:
-            band *= RATIO
-        own, top = band * RATIO // 2, band * RATIO
-    return [own, top * RATIO // 2] if 4 * n >= 3 * top else [own]
-
-
-def partitions(s: np.ndarray, scheme: int) -> np.ndarray:
-    """Signatures of the partitions that hold elements, in the order of the domain."""
-    if not scheme:
-        return mix(s, 77)
-    part = ((s >> np.uint64(32)) * np.uint64(scheme)) >> np.uint64(32)
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    return mix(np.add.reduceat(mix(s, 31), first) + part[first] * np.uint64(0x9E3779B97F4A7C15), scheme)
+    """Numbers of partitions that a set of n elements is cut into."""
+    band = 1
+    while n >= band * RATIO:
+        band *= RATIO
+    cut = lambda b: GROUP * -(-int(EACH * b) // GROUP)
+    return [cut(band), cut(band * RATIO)] if 4 * n >= 3 * band * RATIO else [cut(band)]
 
 
-def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    out = []
-    need = len(s) // 3 + 1
+def subsets(s: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group with elements, in the order of the domain: the signature of the subset without each of its partitions, and whether it has elements."""
+    part = ((s >> np.uint64(32)) * np.uint64(scheme)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    content = mix(np.add.reduceat(mix(s, 31), first), scheme) | np.uint64(1)
+    part = part[first].astype(np.int64)
+    group = part // GROUP
+    begins = np.r_[True, group[1:] != group[:-1]]
+    held = np.zeros((int(begins.sum()), GROUP), np.uint64)
+    held[np.cumsum(begins) - 1, part % GROUP] = content
+    without = np.stack([held[:, (e + 1) % GROUP] * np.uint64(3) + held[:, (e + 2) % GROUP] * np.uint64(5) for e in range(GROUP)], 1)
+    number = (group[begins].astype(np.uint64) * np.uint64(GROUP))[:, None] + np.arange(GROUP, dtype=np.uint64)
+    return mix(without + number * np.uint64(0x9E3779B97F4A7C15), scheme), without != 0
+
+
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(known):
+        return np.zeros(values.shape, bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def signatures(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of subsets, and of single elements where the subsets don't suffice."""
+    out, need, short = [], len(s) // 3 + 1, False
     for scheme in schemes(len(s)):
-        all_of = partitions(s, scheme)
-        rare = all_of
-        if len(common):
-            rare = all_of[common[np.minimum(np.searchsorted(common, all_of), len(common) - 1)] != all_of]
-        out.append(rare[:need] if len(rare) >= need else np.unique(np.r_[rare, all_of[:need]]))
-    return np.concatenate(out)
+        value, usable = subsets(s, scheme)
+        usable &= ~_within(value, common)
+        reached = np.cumsum(np.where(usable.all(1), 2, usable.any(1)))
+        stop = int(np.searchsorted(reached, need)) + 1
+        short |= stop > len(reached)
+        out.append(value[:stop][usable[:stop]])
+    single = np.zeros(0, np.uint64)
+    if short:
+        single = mix(s, 77)
+        often = _within(single, common)
+        single = np.r_[single[~often], single[often]][:need]
+    return np.concatenate(out), single
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +152,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(s) and own not in seen:
                     seen.add(own)
                     for scheme in schemes(len(s)):
-                        held.append(partitions(s, scheme))
+                        value, there = subsets(s, scheme)
+                        held.append(value[there])
                         n_held += len(held[-1])
         columns = [pa.array([0] * len(ids), pa.int8()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names)
@@ -145,23 +166,37 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _second_pass(common, buckets: int):
+    """Signatures of subsets by bucket (their high half and the sets that have them), and single elements (whole), which are dealt with their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = []
-        owner: list[tuple[int, int]] = []
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        owner: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         n_held = 0
         known = common.value
 
-        def dealt() -> pa.RecordBatch:
-            signature = np.concatenate(held)
-            member = np.repeat(np.array([o for o, _ in owner], np.int64), [n for _, n in owner])
-            bucket = (signature % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((signature, bucket))
+        def dealt(k: int) -> pa.RecordBatch | None:
+            if not held[k]:
+                return None
+            signature, member = np.concatenate(held[k]), np.concatenate(owner[k])
+            spread = mix(signature ^ member.view(np.uint64), 5) if k else signature
+            bucket = (spread % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
             signature, member, bucket = signature[order], member[order], bucket[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             last = np.r_[first[1:], len(bucket)]
+            if not k:
+                signature = (signature >> np.uint64(32)).astype(np.uint32)
             blobs = [(signature[a:b].tobytes(), member[a:b].tobytes()) for a, b in zip(first, last)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([x for x, _ in blobs], pa.binary()), pa.array([x for _, x in blobs], pa.binary())], ["bucket", "signatures", "members"])
+            columns = [pa.array(bucket[first]), pa.array([bool(k)] * len(first)), pa.array([x for x, _ in blobs], pa.binary()), pa.array([x for _, x in blobs], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "single", "signatures", "members"])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal held, owner, n_held
+            for k in (0, 1):
+                if (out := dealt(k)) is not None:
+                    yield out
+            held, owner, n_held = ([], []), ([], []), 0
 
         for batch in batches:
             for _, data, at in pieces(batch.column(0)):
@@ -170,49 +205,56 @@ def _second_pass(common, buckets: int):
                     if not len(s) or own in seen:
                         continue
                     seen.add(own)
-                    held.append(signatures(s, known))
-                    owner.append((own, len(held[-1])))
-                    n_held += len(held[-1])
+                    for k, found in enumerate(signatures(s, known)):
+                        if len(found):
+                            held[k].append(found)
+                            owner[k].append(np.full(len(found), own, np.int64))
+                            n_held += len(found)
                 if n_held > HELD:
-                    yield dealt()
-                    held, owner, n_held = [], [], 0
+                    yield from closed()
             if len(seen) > 1 << 18:
                 seen = set()
-        if held:
-            yield dealt()
+        yield from closed()
 
     return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct lists of two or more sets that share a signature, from rows sorted by bucket."""
+    """g and sets: distinct lists of two or more sets that share a signature, from rows sorted by bucket; of single elements each set alone."""
     held: list[tuple[bytes, bytes]] = []
     last = None
     met: set[bytes] = set()
 
+    def made(group: list, members: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["g", "members"])
+
     def closed() -> pa.RecordBatch:
-        signature = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in held])
+        signature = np.concatenate([np.frombuffer(x, np.uint32) for x, _ in held])
         member = np.concatenate([np.frombuffer(x, np.int64) for _, x in held])
-        order = np.argsort(signature, kind="stable")
+        order = np.lexsort((member, signature))
         signature, member = signature[order], member[order]
+        own = np.r_[True, (signature[1:] != signature[:-1]) | (member[1:] != member[:-1])]
+        signature, member = signature[own], member[own]
         first = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
-        many = np.flatnonzero(np.diff(np.r_[first, len(signature)]) > 1)
         stop = np.r_[first[1:], len(signature)]
-        out = []
-        for g in many:
-            own = np.unique(member[first[g] : stop[g]])
-            if len(own) > 1:
-                raw = own.tobytes()
-                code = xxhash.xxh3_128_digest(raw)
-                if code not in met:
-                    met.add(code)
-                    out.append((int(signature[first[g]].view(np.int64)), own))
+        group, members = [], []
+        for g in np.flatnonzero(stop - first > 1):
+            sets = member[first[g] : stop[g]]
+            raw = sets.tobytes()
+            code = xxhash.xxh3_128_digest(raw)
+            if code not in met:
+                met.add(code)
+                group.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
+                members.append(sets.tolist())
         if len(met) > 1 << 18:
             met.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([o.tolist() for _, o in out], pa.list_(pa.int64()))], ["signature", "members"])
+        return made(group, members)
 
     for batch in batches:
-        for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, single, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+            if single:
+                yield made(np.frombuffer(blobs[0], np.int64).tolist(), np.frombuffer(blobs[1], np.int64).reshape(-1, 1).tolist())
+                continue
             if bucket != last and held:
                 yield closed()
                 held = []
@@ -228,7 +270,7 @@ class _Members:
     def __init__(self, batch: pa.RecordBatch):
         self.group = batch.column(0).to_numpy()
         self.length = batch.column(1).value_lengths().to_numpy().astype(np.int64)
-        self.sets, self.sizes, self.more = (batch.column(i).flatten().to_numpy() for i in (1, 2, 4))
+        self.sets, self.sizes, self.more, self.side = (batch.column(i).flatten().to_numpy() for i in (1, 2, 4, 5))
         counted = batch.column(3).flatten()
         self.width = np.array([len(c) for c in counted.to_pylist()], np.int64)
         self.at = np.zeros(len(self.sets), np.int64)
@@ -254,7 +296,12 @@ class _Members:
         return out
 
     def pairs(self, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of all pairs within lists, in bounded blocks."""
+        """Places of all pairs within lists, in bounded blocks; where two blocks of a list meet, of pairs between them."""
+        for i, j in self._pairs(most):
+            meets = (self.side[i] < 0) | (self.side[i] != self.side[j])
+            yield (i, j) if meets.all() else (i[meets], j[meets])
+
+    def _pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = np.cumsum(self.length) - self.length
         for m in np.unique(self.length).tolist():
             own = first[self.length == m]
@@ -277,18 +324,19 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Places of edges that connect what all edges connect; in each round every component takes one."""
+    """Places of edges that connect what all edges connect; in each round every component takes one, between near numbers first, so that none is in many."""
     _, at = np.unique(np.r_[i, j], return_inverse=True)
     label = np.arange(at.max(initial=-1) + 1)
-    left, right, open_ones, chosen = at[: len(i)], at[len(i) :], np.arange(len(i)), []
+    left, right, chosen = at[: len(i)], at[len(i) :], []
+    open_ones = np.argsort(np.abs(left - right), kind="stable")
     while True:
         x, y = label[left[open_ones]], label[right[open_ones]]
         apart = x != y
         open_ones, x, y = open_ones[apart], x[apart], y[apart]
         if not len(open_ones):
             return np.unique(np.concatenate(chosen)) if chosen else open_ones
-        _, first = np.unique(np.r_[x, y], return_index=True)
-        pick = np.unique(first % len(x))
+        _, first = np.unique(np.stack([x, y], 1).ravel(), return_index=True)
+        pick = np.unique(first // 2)
         chosen.append(open_ones[pick])
         node, root = forest(x[pick], y[pick])
         to = np.arange(len(label))
@@ -296,22 +344,47 @@ def spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = to[label]
 
 
+class _Spanned:
+    """Edges of a task, and those that span them as soon as there are many."""
+
+    def __init__(self) -> None:
+        self.edges, self.size = [np.zeros((0, 2), np.int64)], 0
+
+    def add(self, edges: np.ndarray) -> None:
+        self.edges.append(edges)
+        self.size += len(edges)
+        if self.size > EDGES:
+            self.reduce()
+
+    def reduce(self) -> np.ndarray:
+        found = np.concatenate(self.edges)
+        found = found[spanning(found[:, 0], found[:, 1])]
+        self.edges, self.size = [found], 0
+        return found
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible links that connect all that possible links within the lists connect; and (set, set) of every set with one."""
+    """Possible links that connect all that possible links within the task's lists connect; and (set, set) of every set with one."""
+    held = _Spanned()
+    linked: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def closed() -> pa.RecordBatch:
+        some = np.unique(np.concatenate(linked))
+        return _emit([held.reduce(), np.stack([some, some], 1)])
+
     for batch in batches:
         own = _Members(batch)
-        found = np.zeros((0, 2), np.int64)
-        linked = np.zeros(len(own.sets), bool)
+        mark = np.zeros(len(own.sets), bool)
         for i, j in own.pairs():
             keep = own.may_link(i, j)
             i, j = i[keep], j[keep]
-            linked[i] = linked[j] = True
-            found = np.concatenate([found, _pairs(own.sets[i], own.sets[j])])
-            if len(found) > 1 << 18:
-                found = found[spanning(found[:, 0], found[:, 1])]
-        found = found[spanning(found[:, 0], found[:, 1])]
-        some = own.sets[linked]
-        yield _emit([found, np.stack([some, some], 1)])
+            mark[i] = mark[j] = True
+            held.add(_pairs(own.sets[i], own.sets[j]))
+        linked = [np.unique(np.concatenate([*linked, own.sets[mark]]))]
+        if len(linked[0]) > EDGES:
+            yield closed()
+            held, linked = _Spanned(), [np.zeros(0, np.int64)]
+    yield closed()
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,21 +402,21 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible links between sets of different components."""
+    """Possible links between sets of different components, each once for a task."""
+    found: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         own = _Members(batch)
-        found: list[np.ndarray] = []
-        size = 0
         for i, j in own.pairs():
             apart = own.more[i] != own.more[j]
             i, j = i[apart], j[apart]
             keep = own.may_link(i, j)
             found.append(_pairs(own.sets[i[keep]], own.sets[j[keep]]))
             size += len(found[-1])
-            if size > 1 << 19:
+            if size > EDGES:
                 yield _emit(found)
                 found, size = [], 0
-        yield _emit(found)
+    yield _emit(found)
 
 
 def parities(s: np.ndarray, each: int) -> bytes:
@@ -394,15 +467,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     owned = first.filter("kind = 0").select("id", F.col("a").alias("set"), F.col("b").alias("n_shingles"))
     sizes = first.filter("kind = 0 AND b > 0").groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("counts").alias("counts"), F.min("id").alias("one"))
     parts = width(spark)
-    dealt = arrow(rows.select("text"), _second_pass(common, parts * BUCKETS_EACH), "bucket int, signatures binary, members binary")
+    total = sizes.agg(F.sum(F.col("n") * 0.6 + 2)).first()[0] or 0
+    buckets = max(parts, int(total // BUCKET) + 1)
+    dealt = arrow(rows.select("text"), _second_pass(common, buckets), "bucket int, single boolean, signatures binary, members binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    lists = arrow(dealt, _groups, "signature long, members array<long>").select("members").distinct()
-    members = lists.select(F.xxhash64("members").alias("g"), F.explode("members").alias("set"))
+    lists = arrow(dealt, _groups, "g long, members array<long>").distinct()
+    members = lists.select("g", F.explode("members").alias("set"))
     members = table(members.join(sizes.drop("one"), "set"), "members")
 
     def gathered(rows_of: DataFrame, more: str) -> DataFrame:
-        listed = rows_of.groupBy("g").agg(F.collect_list(F.struct("set", "n", "counts", F.col(more).alias("more"))).alias("x"))
-        return listed.select("g", "x.set", "x.n", "x.counts", "x.more")
+        """Lists of two or more sets; of longer ones than BLOCK every pair of blocks. side: the block of a set where two meet, else -1."""
+        counted = rows_of.groupBy("g").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+        dealt_out = rows_of.join(counted, "g").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+        dealt_out = dealt_out.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int"))
+        dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side")
+        one = F.struct("set", "n", "counts", F.col(more).alias("more"), side)
+        listed = dealt_out.groupBy("g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(one).alias("x"))
+        return listed.select("g", "x.set", "x.n", "x.counts", "x.more", "x.side")
 
     likely = table(arrow(gathered(members, "n"), _trees, "a long, b long").distinct(), "likely")
     involved = likely.filter("a = b").select(F.col("a").alias("set"))
