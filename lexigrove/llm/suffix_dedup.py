@@ -6,7 +6,7 @@ the same place in all its copies, so the suffixes to compare are those at equal
 a common minimizer:
 
 1. Each text is cut into pieces: the strings that share one minimizer. Pieces that occur
-   twice are repeated as a whole. This takes counts by hash, which combine before a shuffle.
+   twice are repeated as a whole. This takes counts by minimizer (44 bits) and a 64-bit hash, which combine before a shuffle.
 2. Of each distinct piece whose minimizer has other distinct pieces, one copy's bytes are
    gathered by minimizer, aligned on it, and inserted column by column from the right: each
    round puts one symbol of every piece before its suffix, sorts the suffixes by the
@@ -88,11 +88,11 @@ def _cut_all(length: int, gram: int):
                     bounds = np.array([0, len(part)]) if len(data) > PASS_BYTES else at
                     first, n, anchor, key = cut(part, bounds, length, gram)
                     view = memoryview(np.ascontiguousarray(part))
-                    digest = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + length).tolist())]
+                    digest = [xxhash.xxh3_64_intdigest(view[a:b]) - (1 << 63) for a, b in zip(first.tolist(), (first + n - 1 + length).tolist())]
                     of = np.searchsorted(bounds, first, "right") - 1
                     place = first - bounds[of] + shift
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k1[row + of]), pa.array(k2[row + of]), pa.array(key), pa.array(digest, pa.binary()), pa.array(place), pa.array(n), pa.array(anchor - first)],
+                        [pa.array(k1[row + of]), pa.array(k2[row + of]), pa.array(key), pa.array(digest, pa.int64()), pa.array(place), pa.array(n), pa.array(anchor - first)],
                         ["k1", "k2", "minimizer", "digest", "place", "n", "anchor"],
                     )
 
@@ -192,7 +192,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     """k1, k2 and spans (start, stop) of bytes to remove; spans may overlap."""
     spark = keyed.sparkSession
     texts = keyed.select("k1", "k2", "text")
-    cuts = arrow(texts.filter(F.octet_length("text") >= length), _cut_all(length, gram), "k1 long, k2 long, minimizer long, digest binary, place long, n long, anchor long")
+    cuts = arrow(texts.filter(F.octet_length("text") >= length), _cut_all(length, gram), "k1 long, k2 long, minimizer long, digest long, place long, n long, anchor long")
     cuts = table(cuts, "pieces")
     counted = cuts.groupBy("minimizer", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "place", "n", "anchor")).alias("one"))
     counted = table(counted, "counted")
