@@ -20,10 +20,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_score import fit, score
+    from .lm_score import scored
 
-    docs = _table(spark, sf_dir, "documents")
-    return score(docs, fit(docs))
+    return scored(_table(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,54 +50,109 @@ def test_quality_of_odd_rows(spark):
     assert Q.classify(spark.createDataFrame([], schema)).count() == 0
 
 
+def network(seed=2):
+    r = np.random.default_rng(seed)
+    unit, log_share, mass = L.units_of(r.integers(0, 50, 1 << L.BIN_BITS).astype(float))
+    return L.new_network(unit, log_share, mass, L.clustered(r.random((L.WORDS, 2 * L.NEAR)), mass))
+
+
 def test_network_gradients():
     r = np.random.default_rng(2)
-    net = L.new_network(r.integers(0, 50, 1 << L.BIN_BITS).astype(float))
-    net = L.Network(net.classes, net.log_share, *[x.astype(np.float64) for x in (net.vectors, net.hidden, net.output, net.bias)])
-    context, target = r.integers(0, L.CLASSES + 1, (5, 2 * L.REACH)), r.integers(0, L.CLASSES, 5)
+    trainer = L.Trainer(network())
+    trainer.vectors = trainer.vectors.astype(np.float64)
+    trainer.dense = [x.astype(np.float64) for x in trainer.dense]
+    context, target = r.integers(0, L.UNITS + 1, (5, 2 * L.REACH)), r.integers(0, L.CLASSES, 5)
 
     def loss():
-        return -net.log_class(context)[1][np.arange(5), target].mean()
+        net = L.Network(*([None] * 4), trainer.vectors, *trainer.dense)
+        return -net.log_class(context)[2][np.arange(5), target].mean()
 
-    h, dz, dh = L._gradients(net, context, target)
-    for x, g, i in ((net.output, h.T @ dz, (3, 7)), (net.bias, dz.sum(0), (7,)), (net.hidden, dh.sum(0), (4,))):
+    each, (places, hidden, output, bias) = trainer.gradients(context, target)
+    wanted = [(trainer.vectors, each[7], (context[1, 3], 4)), (trainer.dense[0], places, (2, 5)), (trainer.dense[1], hidden, (4,)), (trainer.dense[2], output, (3, 7)), (trainer.dense[3], bias, (7,))]
+    for x, g, i in wanted:
         before = loss()
         x[i] += 1e-5
-        assert np.isclose((loss() - before) / 1e-5, g[i], atol=1e-5)
+        assert np.isclose((loss() - before) / 1e-5, g[i[-1]] if x is trainer.vectors else g[i], atol=1e-5)
         x[i] -= 1e-5
 
 
-def test_every_place_of_every_text_is_trained_on(monkeypatch):
-    texts = ["one", "", "two words", None, " ".join("w%d" % (i % 90) for i in range(1001)), "a b c"]
-    net = L.new_network(np.random.default_rng(3).integers(0, 50, 1 << L.BIN_BITS).astype(float))
-    got, want = Counter(), Counter()
-    monkeypatch.setattr(L, "train_on", lambda net, context, target, memory: got.update(zip(map(tuple, context.tolist()), target.tolist())))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    seen = sum(out.column(1)[-1].as_py() for turn in range(L.ROUNDS) for out in L._learn(SimpleNamespace(value=net), turn)([batch]))
-    for _, data, at in pieces(batch.column(0)):
-        word, of = L.bins(data, at)
-        classes = net.classes[word]
-        want.update(zip(map(tuple, L.contexts(classes, of, np.arange(len(word))).tolist()), classes.tolist()))
-    assert got == want and seen == sum(want.values()) == 1007
+def blobs(texts, shards):
+    rows = [L.bins(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tobytes() for t in texts]
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(rows, pa.binary())], ["shard", "words"])
+
+
+def test_every_place_of_every_text_is_trained_on_whatever_the_batches(monkeypatch):
+    texts = ["one", "", "two words", " ".join("w%d" % (i % 90) for i in range(1001)), "a b c", " ".join("v%d" % i for i in range(3000))]
+    shards = [0, 0, 0, 1, 1, 1]
+    net, steps = network(3), []
+    monkeypatch.setattr(L.Trainer, "step", lambda self, context, target: steps.append((context.tolist(), target.tolist())) or setattr(self, "places", self.places + len(target)))
+    whole = blobs(texts, shards)
+    for cut in ([0, 6], [0, 1, 3, 4, 6]):
+        steps.clear()
+        list(L._learn(SimpleNamespace(value=net))([whole.slice(a, b - a) for a, b in zip(cut[:-1], cut[1:])]))
+        first = first_steps = steps.copy() if cut == [0, 6] else first_steps
+        assert steps == first
+    got = Counter((*map(tuple, [c]), t) for context, target in steps for c, t in zip(context, target))
+    want = Counter()
+    for text in texts:
+        word, of = L.bins(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        unit = net.unit[word]
+        for i, u in enumerate(unit):
+            around = [int(unit[j]) if 0 <= j < len(unit) else L.BORDER for j in (i - 2, i - 1, i + 1, i + 2)]
+            want[(tuple(around), int(net.classes[u]))] += 1
+    assert Counter({(tuple(c), t): n for (c, t), n in got.items()}) == want
+
+
+def test_probabilities_sum_to_one_and_hang_on_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = L.dealt(docs)
+    net = L.fit(texts)
+    r = np.random.default_rng(1)
+    common = np.argsort(-net.share * (net.share < 1))[:50]
+    every = np.arange(L.UNITS)
+
+    def probabilities(context):
+        return np.exp(net.log_unit(every, np.repeat(context, L.UNITS, 0))) * np.exp(net.log_class(context)[2])[0, net.classes[: L.UNITS]]
 
+    for _ in range(3):
+        context = r.choice(common, (1, 2 * L.REACH))
+        assert np.isclose(probabilities(context).sum(), 1, atol=1e-3)
+        for side in range(2 * L.REACH):  # another word on any place changes them
+            other = context.copy()
+            other[0, side] = r.choice(np.setdiff1d(common, context[0, side]))
+            assert not np.allclose(probabilities(context), probabilities(other), rtol=1e-4, atol=0)
+    assert np.isclose(np.bincount(net.unit, np.exp(net.log_share.astype(float)), L.UNITS)[net.unit[0]], 1, atol=1e-3)
 
-def test_scores_sum_over_all_words_and_prefer_the_language(spark):
+
+def test_scores_are_the_same_for_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_BYTES", 100_000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    net = L.fit(docs)
-    share = np.bincount(net.classes, np.exp(net.log_share), L.CLASSES)
-    assert np.allclose(share[np.unique(net.classes)], 1)  # shares of a class sum to one
-    rows = docs.limit(20).collect()
-    got = {r.doc_id: r for r in L.score(docs.withColumn("id", F.lit(1)), net).collect()}
-    for r in rows:
+    got = []
+    for n in (1, 4, 16):
+        monkeypatch.setattr(L, "width", lambda _, n=n: n)
+        got.append(np.array([r.pseudo_log_likelihood for r in L.scored(docs.repartition(n)).orderBy("doc_id").collect()]))
+    assert np.allclose(got[0], got[1], rtol=1e-5) and np.allclose(got[0], got[2], rtol=1e-5)
+
+
+def test_scores_sum_over_all_words_and_prefer_the_language(spark):
+    schema = "doc_id long, text string"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(90_001, " ".join("qzx%d" % i for i in range(50))), (90_002, None), (90_002, ""), (None, "x " * 200_000)], schema)
+    texts = L.dealt(docs.union(odd).withColumn("words", F.lit(1)))
+    net = L.fit(texts)
+    got = {}
+    for r in L.score(texts, net).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for r in docs.limit(20).collect():
         for _, data, at in pieces(pa.array([r.text])):
             word, of = L.bins(data, at)
-        want = 0.0
+        unit, want = net.unit[word], 0.0
         for i in range(len(word)):
-            context = [net.classes[word[j]] if 0 <= j < len(word) else L.CLASSES for j in (i - 2, i - 1, i + 1, i + 2)]
-            want += net.log_class(np.array([context]))[1][0, net.classes[word[i]]] + net.log_share[word[i]]
-        assert got[r.doc_id].n_tokens == len(r.text.split()) and np.isclose(got[r.doc_id].pseudo_log_likelihood, want, rtol=1e-4)
-    odd = spark.createDataFrame([(1, " ".join("qzx%d" % i for i in range(50))), (2, None), (2, "")], "doc_id long, text string")
-    strange = {r.doc_id: r for r in L.score(odd, net).collect()}
-    assert strange[2].pseudo_log_likelihood == 0 and strange[1].mean_log_likelihood < np.mean([r.mean_log_likelihood for r in got.values()])
+            context = np.array([[unit[j] if 0 <= j < len(unit) else L.BORDER for j in (i - 2, i - 1, i + 1, i + 2)]])
+            want += net.log_class(context)[2][0, net.classes[unit[i]]] + net.log_unit(unit[i : i + 1], context)[0] + net.log_share[word[i]]
+        own = got[r.doc_id][0]
+        assert own.n_tokens == len(r.text.split()) and np.isclose(own.pseudo_log_likelihood, want, rtol=1e-4)
+    assert [r.pseudo_log_likelihood for r in got[90_002]] == [0, 0] and got[None][0].n_tokens == 200_000
+    assert got[90_001][0].mean_log_likelihood < np.mean([x[0].mean_log_likelihood for i, x in got.items() if i is not None and i < 90_000])
     empty = docs.limit(0)
-    assert L.score(empty, L.fit(empty)).count() == 0
+    assert L.scored(empty).count() == 0
