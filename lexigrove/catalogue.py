@@ -127,8 +127,7 @@ def prior_blend_top_docs(spark, d):
 
 @query("SELECT doc_id, source, coalesce(CAST(quality AS VARCHAR), 'NaN') quality, coalesce(CAST(toxic AS VARCHAR), 'NaN') toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def doc_meta_lookup(spark, d):
-    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", "source", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in ("quality", "toxic")])
+    return search.with_metadata(_t(spark, d, "documents").select("doc_id", "source"), _t(spark, d, "labels"), "doc_id")
 
 
 _PARS = "pars AS (SELECT doc_id, unnest(p) text, generate_subscripts(p, 1) - 1 par_idx, doc_id || '/' || (generate_subscripts(p, 1) - 1) par FROM (SELECT doc_id, string_split(text, chr(10)) p FROM documents))"
@@ -335,9 +334,8 @@ def _turns(spark, d):
 @query("WITH c AS (SELECT DISTINCT lower(trim(text)) a FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN text IN (SELECT a FROM c) OR lower(text) IN (SELECT a FROM c) THEN text ELSE '' END answer FROM conversations")
 def candidate_semi_filter(spark, d):
     rows = _t(spark, d, "conversations")
-    known = rows.filter("role = 'user'").select(F.lower(F.trim("text")).alias("a")).distinct().withColumn("is", F.lit(True))
-    found = rows.join(known.select("a", F.col("is").alias("raw")), F.col("text") == F.col("a"), "left").drop("a").join(known, F.lower("text") == F.col("a"), "left")
-    return found.select("conv_id", "turn", F.when(F.coalesce("raw", "is", F.lit(False)), F.col("text")).otherwise("").alias("answer"))
+    known = rows.filter("role = 'user'").select(F.lower(F.trim("text")).alias("answer"))
+    return search.among_candidates(rows.select("conv_id", "turn", F.col("text").alias("answer")), known, "answer")
 
 
 _WINDOWS = f"""n AS (SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) n FROM documents), c AS (SELECT doc_id, n, CASE WHEN n <= 64 THEN 1 ELSE 1 + ceil((n - 64) / 32.0)::BIGINT END k FROM n WHERE n > 0),
@@ -395,11 +393,14 @@ def topk_em_f1(spark, d):
     """Each conversation's answers as predictions; the truth of each is its own question."""
     turns = _turns(spark, d)
     order = Window.partitionBy("conv_id").orderBy("turn")
-    ranked = turns.withColumn("rank", F.row_number().over(order))
-    scored = ranked.filter("rank <= 10").select("conv_id", "rank", evaluate.exact_match(F.col("answer"), F.col("question")).cast("int").alias("em"), evaluate.token_f1(F.col("answer"), F.col("question"))["f1"].alias("f1"))
+    key = F.struct("conv_id", "turn")
+    predictions = turns.select(key.alias("qid"), F.row_number().over(order).alias("rank"), F.col("answer").alias("prediction"))
+    found = evaluate.best_over_truths(predictions, turns.select(key.alias("qid"), F.col("question").alias("truth")), 10)
+    ranks = predictions.select("qid", "rank")
+    by = found.join(ranks, "qid").select(F.col("qid.conv_id").alias("qid"), "rank", "em_topk", "f1_topk")
     first = F.col("rank") == 1
-    return scored.groupBy(F.col("conv_id").alias("qid")).agg(
-        F.max(F.when(first, F.col("em")).otherwise(0)).alias("em_top1"), F.max("em").alias("em_topk"), F.round(F.max(F.when(first, F.col("f1")).otherwise(0.0)), 6).alias("f1_top1"), F.round(F.max("f1"), 6).alias("f1_topk")
+    return by.groupBy("qid").agg(
+        F.max(F.when(first, F.col("em_topk")).otherwise(0)).alias("em_top1"), F.max("em_topk").alias("em_topk"), F.max(F.when(first, F.col("f1_topk")).otherwise(0.0)).alias("f1_top1"), F.max("f1_topk").alias("f1_topk")
     )
 
 
@@ -471,9 +472,7 @@ def highlight_spans(spark, d):
 @query("""WITH e AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END b FROM events),
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) g FROM e) SELECT user_id, g::BIGINT run, any_value(event_type) event_type, count(*) n, min(event_id) first_event FROM g GROUP BY user_id, g""")
 def entity_runs(spark, d):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = _t(spark, d, "events").withColumn("b", F.when(F.col("event_type") == F.lag("event_type").over(order), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = search.runs(_t(spark, d, "events"), "user_id", ("ts", "event_id"), "event_type")
     return rows.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
@@ -503,8 +502,7 @@ def cached_question_lookup(spark, d):
 
 @query(f"WITH {_SCORES}, r AS ({_top('scores', 5, 'item_id', 'score DESC, doc_id')}) SELECT item_id qid, count(DISTINCT doc_id) n_docs, round(avg(score), 4) mean_score FROM r GROUP BY item_id")
 def docs_per_question(spark, d):
-    rows = tfidf.top_docs(_t(spark, d, "benchmark"), _t(spark, d, "documents"), 5)
-    return rows.groupBy(F.col("item_id").alias("qid")).agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return search.documents_asked(tfidf.top_docs(_t(spark, d, "benchmark"), _t(spark, d, "documents"), 5).withColumnRenamed("item_id", "qid"))
 
 
 @query(None)
@@ -538,4 +536,4 @@ def kmeans_probe_topk(spark, d):
     return vindex.probed_top_k(vindex.assign(vectors, centroids), vindex.probe(_asked_vectors(spark, d), centroids, 12), 10)
 
 
-from lexigrove import catalogue_more  # noqa: E402, F401  its queries join those above
+from lexigrove import catalogue_inputs, catalogue_more  # noqa: E402, F401  their queries join those above

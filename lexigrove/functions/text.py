@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,13 +15,19 @@ TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
 
 # Words that are no terms.
 STOPWORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them "
-    "their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing "
-    "a an the and but if or because as until while of at by for with about against between into through during before after above below to from "
-    "up down in out on off over under again further then once here there when where why how all any both each few more most other some such no "
-    "nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma "
-    "mightn mustn needn shan shouldn wasn weren won wouldn 'll 're 've n't 's 'd 'm '' ``"
-).split()
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their",
+    "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up",
+    "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should",
+    "now", "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn", "hasn", "haven",
+    "isn", "ma", "mightn", "mustn", "needn", "shan", "shouldn", "wasn", "weren", "won", "wouldn", "'ll", "'re", "'ve",
+    "n't", "'s", "'d", "'m", "''", "``",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -87,20 +94,42 @@ def terms(text: Column, n: int = 2, mode: str = "any") -> Column:
     return F.get(F.transform(F.array(marked), both), F.lit(0))
 
 
-def _murmur3(data: bytes, seed: int = 0) -> int:
-    """MurmurHash3, 32 bits, unsigned (public domain algorithm)."""
-    h, n = seed, len(data) // 4 * 4
-    for i in range(0, n, 4):
-        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF
-        h ^= (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
-        h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
-    if tail := data[n:]:
-        k = int.from_bytes(tail, "little") * 0xCC9E2D51 & 0xFFFFFFFF
-        h ^= (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
-    h ^= len(data)
-    for mult, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13)):
-        h = (h ^ h >> shift) * mult & 0xFFFFFFFF
-    return h ^ h >> 16
+def murmur3(data: bytes | np.ndarray, seed: int = 0) -> np.ndarray:
+    """MurmurHash3 (public domain), 32 bits unsigned, of each row of bytes of one length."""
+    rows = np.frombuffer(data, np.uint8)[None, :] if isinstance(data, bytes) else data
+    n, length = rows.shape
+    mask = np.uint64(0xFFFFFFFF)
+
+    def turned(x: np.ndarray, k: int) -> np.ndarray:
+        return ((x << np.uint64(k)) | (x >> np.uint64(32 - k))) & mask
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        return turned(k * np.uint64(0xCC9E2D51) & mask, 15) * np.uint64(0x1B873593) & mask
+
+    whole = length // 4 * 4
+    blocks = np.ascontiguousarray(rows[:, :whole]).view("<u4").astype(np.uint64)
+    h = np.full(n, seed, np.uint64)
+    for i in range(whole // 4):
+        h = (turned(h ^ mixed(blocks[:, i]), 13) * np.uint64(5) + np.uint64(0xE6546B64)) & mask
+    if length > whole:
+        tail = np.zeros(n, np.uint64)
+        for i in range(length - whole):
+            tail |= rows[:, whole + i].astype(np.uint64) << np.uint64(8 * i)
+        h ^= mixed(tail)
+    h ^= np.uint64(length)
+    for factor, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor) & mask
+    return h ^ (h >> np.uint64(16))
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """Hashes of words, those of one length together."""
+    out = np.zeros(len(words), np.uint64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    for length in np.unique(lengths):
+        own = np.flatnonzero(lengths == length)
+        out[own] = murmur3(np.frombuffer(b"".join(words[i] for i in own), np.uint8).reshape(len(own), int(length)))
+    return out
 
 
 def term_bucket(term: Column, size: int = 1 << 24) -> Column:
@@ -109,7 +138,7 @@ def term_bucket(term: Column, size: int = 1 << 24) -> Column:
     @F.pandas_udf("long")
     def bucket(words: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(words)
-        made = pd.Series([_murmur3(w.encode()) % size for w in distinct], dtype="Int64")
+        made = pd.Series((_hashed([w.encode() for w in distinct]) % np.uint64(size)).astype(np.int64), dtype="Int64")
         return pd.Series(made.reindex(codes).array) if len(distinct) else pd.Series([pd.NA] * len(words), dtype="Int64")
 
     return bucket(term)
@@ -177,23 +206,39 @@ def word_pieces(word: str, vocab: dict[str, int], unknown: str = "[UNK]", longes
     return out
 
 
+#: Words whose pieces a worker remembers.
+REMEMBERED = 1 << 17
+
+
 def wordpiece_tokens(text: Column, vocab: dict[str, int], lower: bool = True) -> Column:
-    """Word pieces of a text; vocab is read in every worker, so pass a vocabulary, not data."""
+    """Word pieces of a text; vocab is read in every worker, so pass a vocabulary, not data. Words met before in a task are not cut again."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, list[str]] = {}
-        out = []
-        for t in texts:
-            pieces: list[str] = []
-            for w in basic_words(t or "", lower):
-                if w not in known:
-                    known[w] = word_pieces(w, vocab)
-                pieces += known[w]
-            out.append(pieces)
-        return pd.Series(out)
-
-    return run(text)
+        for texts in batches:
+            out = []
+            for t in texts:
+                pieces: list[str] = []
+                for w in basic_words(t or "", lower):
+                    if w not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[w] = word_pieces(w, vocab)
+                    pieces += known[w]
+                out.append(pieces)
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(text)
+
+
+def projected(piece_text: Column, original: Column, lower: bool = True) -> Column:
+    """project_span() for columns."""
+
+    @F.pandas_udf(StringType())
+    def run(pieces: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or t is None else project_span(p, t, lower) for p, t in zip(pieces, texts)], dtype=object)
+
+    return run(piece_text, original)
 
 
 def project_span(piece_text: str, original: str, lower: bool = True) -> str:

@@ -82,10 +82,10 @@ def cached_page(answers: DataFrame, most: int = 3) -> DataFrame:
     return answers.filter(F.col("rank") < most)
 
 
-def entity_request(question: Column, kind: Column, top: int, base: str, codes: dict[str, int]) -> Column:
-    """Address of a request to the entity service."""
+def entity_request(question: Column, kind: Column, top: int, base: str, codes: dict[str, int], fixed: str) -> Column:
+    """Address of a request to an entity service. fixed: parameters that every request has, up to the one of the entity type."""
     code = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in codes.items() for x in (k, str(v))]), F.lower(kind)), F.lit(""))
-    return F.concat(F.lit(base), F.lit("t=l&wt=xslt&tr=tmpl_170602.xsl&otype="), code, F.lit(f"&rows={top}&q="), F.replace(F.url_encode(question), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit(base), F.lit(fixed), code, F.lit(f"&rows={top}&q="), F.replace(F.url_encode(question), F.lit("+"), F.lit("%20")))
 
 
 def cache_name(url: Column, etag: Column | None = None) -> Column:
@@ -94,6 +94,18 @@ def cache_name(url: Column, etag: Column | None = None) -> Column:
     return name if etag is None else F.when(etag.isNull(), name).otherwise(F.concat(name, F.lit("."), F.sha2(etag.cast("binary"), 256)))
 
 
+def split_address(address: Column) -> Column:
+    """Struct (scheme, bucket, key) of an address; a missing part is empty."""
+    rest = F.substring_index(address, "://", -1)
+    bucket = F.substring_index(rest, "/", 1)
+    return F.struct(F.when(F.contains(address, F.lit("://")), F.substring_index(address, "://", 1)).otherwise("").alias("scheme"), bucket.alias("bucket"), F.substring(rest, F.length(bucket) + 2, F.length(rest)).alias("key"))
+
+
+def extension(path: Column, dot: bool = True) -> Column:
+    """What follows the last dot of a path's last part, in lower case, with the dot or without."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$" if dot else r"\.([^./]*)$", 1))
+
+
 def field(row: str, *path: str) -> Column:
     """A nested field by its path."""
     return F.col(".".join((row, *path)))

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 # Words of entity queries, entity types in the order they are looked for, codes of the entity service.
 ENTITY_WORDS = (
-    "COVID-19 SARS-CoV-2 hypertension diabetes heart disease obese death HCoV-19 HCoV coronavirus symptoms incubation periods period quarantine "
-    "asymptomatic transmissions fecal excretion decline Wuhan mortality patients stay reproduction risk factor factors pregnancy interval absent "
-    "reported length diagnosed United States isolated CDC WHO vaccine negative animals airbone spread blood sanitizer controlled illness friends"
-).split()
+    "COVID-19", "SARS-CoV-2", "hypertension", "diabetes", "heart", "disease", "obese", "death", "HCoV-19", "HCoV",
+    "coronavirus", "symptoms", "incubation", "periods", "period", "quarantine", "asymptomatic", "transmissions",
+    "fecal", "excretion", "decline", "Wuhan", "mortality", "patients", "stay", "reproduction", "risk", "factor",
+    "factors", "pregnancy", "interval", "absent", "reported", "length", "diagnosed", "United", "States", "isolated",
+    "CDC", "WHO", "vaccine", "negative", "animals", "airbone", "spread", "blood", "sanitizer", "controlled",
+    "illness", "friends",
+)
 ENTITY_TYPES = ("gene", "drug", "chemical compound", "target", "disease", "toxin", "transcription factor", "mirna", "pathway", "mutation")
 ENTITY_CODES = {
     "gene": 8, "drug": 5, "chemical compound": 3, "target": 14, "disease": 4, "toxin": 15, "transcription factor": 16, "mirna": 10, "pathway": 12, "mutation": 17,
@@ -25,7 +28,7 @@ def entity_type(question: Column) -> Column:
     return out
 
 
-def entity_query(words: Column, known: tuple[str, ...] = tuple(ENTITY_WORDS), fallback: str = "COVID-19") -> Column:
+def entity_query(words: Column, known: tuple[str, ...] = ENTITY_WORDS, fallback: str = "COVID-19") -> Column:
     """Words of the question that are known entity words in lower case and no stopwords, or the fallback."""
     from lexigrove.functions.text import STOPWORDS
 
@@ -46,15 +49,21 @@ def mark_answer(context: Column, sent_start: Column, sent_end: Column, start: Co
     return text
 
 
+# Addresses of entity pages.
+CHEMICAL_PAGE = "http://ctdbase.org/detail.go?type=chem&acc="
+DISEASE_PAGE = "http://ctdbase.org/detail.go?type=disease&acc="
+GENE_PAGE = "http://ctdbase.org/detail.go?type=gene&acc="
+TAXON_PAGE = "https://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?mode=Info&id="
+
+
 def entity_url(identifier: Column, kind: Column) -> Column:
     """Address of an entity's page; null for identifiers without one."""
-    chem, base = "http://ctdbase.org/detail.go?type=chem&acc=", "http://ctdbase.org/detail.go?type="
     after = lambda mark: F.substring_index(identifier, mark, -1)
     return (
-        F.when(F.contains(identifier, F.lit("MESH")) & (kind == "drug"), F.concat(F.lit(chem), after("MESH:")))
-        .when(identifier.rlike("MESH|OMIM"), F.concat(F.lit(base + "disease&acc="), identifier))
-        .when(F.contains(identifier, F.lit("NCBI:txid")), F.concat(F.lit("https://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?mode=Info&id="), after("NCBI:txid")))
-        .when(F.contains(identifier, F.lit("NCBI:gene")), F.concat(F.lit(base + "gene&acc="), after("NCBI:gene")))
+        F.when(F.contains(identifier, F.lit("MESH")) & (kind == "drug"), F.concat(F.lit(CHEMICAL_PAGE), after("MESH:")))
+        .when(identifier.rlike("MESH|OMIM"), F.concat(F.lit(DISEASE_PAGE), identifier))
+        .when(F.contains(identifier, F.lit("NCBI:txid")), F.concat(F.lit(TAXON_PAGE), after("NCBI:txid")))
+        .when(F.contains(identifier, F.lit("NCBI:gene")), F.concat(F.lit(GENE_PAGE), after("NCBI:gene")))
     )
 
 
