@@ -13,7 +13,7 @@ Equal vectors of one label collapse before and count by their number.
 
 Vectors link only with those of their label and number of components. Without a label, or if
 null, zero, or with null or non-finite components, they link with nothing. Ids may repeat or
-be null; rows count each, and components take the least id there is.
+be null; rows count each, and components take the least id there is. Labels are of any type that is written as text.
 """
 
 from __future__ import annotations
@@ -163,7 +163,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     vector = F.col(vector_col).cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
     usable = F.coalesce(F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & finite, F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), vector.alias("vector"), usable.alias("usable"))
+    label = F.xxhash64(F.col(label_col).cast("string"))  # stands for labels of any type
+    rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), vector.alias("vector"), usable.alias("usable"))
     rows = rows.withColumn("k", F.when(F.col("usable"), F.xxhash64("label", F.size("vector"), "vector")))
     classes = rows.filter("usable").groupBy("k").agg(F.first("label").alias("label"), F.first(F.size("vector")).alias("size"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
     classes = table(classes, "vectors")

@@ -63,3 +63,22 @@ def test_a_table(spark, sf):
 def test_hadamard_is_orthogonal():
     h = E.hadamard(np.eye(16))
     assert np.array_equal(h @ h.T, 16 * np.eye(16)) and set(h.ravel()) == {1.0, -1.0}
+
+
+@pytest.mark.parametrize("functions", [1, 2, 3])
+def test_recall_at_the_threshold(functions):
+    """Pairs of 64 dimensions at cosine 0.98 share a bucket, for as many functions as large tables take."""
+    r = np.random.default_rng(functions)
+    x, y = r.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * y
+    a, b = (E.bucket_keys(v, functions, np.zeros(len(v), np.int64)) for v in (x, y))
+    assert (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() >= 0.999
+
+
+def test_labels_are_of_any_type(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0], None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert sorted(map(tuple, E.near_duplicates(frame).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
