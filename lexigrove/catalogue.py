@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from lexigrove.functions import text as X
 from lexigrove.functions import vector as V
 from lexigrove.operators import evaluate, features, render, search, tfidf, vindex, windows
-from lexigrove.sources import writers
+from lexigrove.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return readers.spread(rows) if name == "documents" else rows
 
 
 def query(sql: str | None):

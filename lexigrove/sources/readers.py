@@ -12,6 +12,13 @@ PARAGRAPH = f"struct<context:string,context_sent_idx:array<array<int>>,context_e
 ARTICLE = f"struct<title:string,cord_uid:string,pubmed_id:string,publish_time:struct<year:string,month:string>,journal:string,authors:string,paragraphs:array<{PARAGRAPH}>>"
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A table of fewer splits than the session has cores, dealt out over all of them; larger tables stay as they are, without a shuffle."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    splits = frame._jdf.queryExecution().toRdd().getNumPartitions()
+    return frame.repartition(cores) if splits < cores else frame
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row for each article: file, position and all fields. doc_id follows the sorted paths and the place within.
 
