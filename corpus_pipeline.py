@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexigrove.llm import jaccard_join, packing, secret_scan, suffix_dedup, toxicity
 from lexigrove.llm.queries import tokenizer_path
 from lexigrove.llm.shared import table
+from lexigrove.sources.readers import spread
 
 #: Documents with at least this score are rejected.
 TOXIC = 0.7
@@ -64,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
