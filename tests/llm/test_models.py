@@ -124,6 +124,26 @@ def test_probabilities_sum_to_one_and_hang_on_words(spark):
     assert np.isclose(np.bincount(net.unit, np.exp(net.log_share.astype(float)), L.UNITS)[net.unit[0]], 1, atol=1e-3)
 
 
+def test_contexts_of_other_texts_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.choice(list("abcde"), int(n))) for n in r.integers(0, 40, 30)] + ["one two three four five six"] * 2 + [None, "alone"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    cut = L.dealt(docs)
+    got = {x.id: x for x in L.by_other_texts(cut, 1).join(cut.select("id", "h"), "h").collect()}
+    places = []
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        places += [(i, (w[k - 1] if k else None, w[k + 1] if k + 1 < len(w) else None), w[k]) for k in range(len(w))]
+    for i in range(len(texts)):
+        own = [(c, w) for j, c, w in places if j == i]
+        if not own:
+            assert i not in got
+            continue
+        p = [(sum(j != i and (c, w) == x for j, *x in [(j, c2, w2) for j, c2, w2 in places] for x in [tuple(x)]) + 2.0**-L.BIN_BITS) / (sum(j != i and c2 == c for j, c2, _ in places) + 1) for c, w in own]
+        assert got[i].n_contexts == len(own) and np.isclose(got[i].context_log_likelihood, np.mean(np.log(p)))
+    assert got[30].context_log_likelihood > -1 > got[len(texts) - 1].context_log_likelihood
+
+
 def test_scores_are_the_same_for_any_partitions(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARD_BYTES", 100_000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
