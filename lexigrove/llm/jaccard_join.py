@@ -40,9 +40,9 @@ WORDS = 5
 #: Sizes of a band: from a power of RATIO to the next. Partitions of a group, and partitions for each element of a band's smallest set.
 RATIO, GROUP, EACH = 4, 3, 2.5
 #: A signature of so many sets is passed over; at most so many are; a task reports those it met so often.
-COMMON, MOST_COMMON, REPORTED = 64, 100_000, 4
-#: Signatures held by a task, signatures of a bucket about, parity bits for each element, sets of a list that one task compares.
-HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 19, 1 << 18, 2, 8, 1024
+COMMON, MOST_COMMON, REPORTED = 64, 100_000, 3
+#: Signatures that a task counts together and that it holds for dealing out, signatures of a bucket about, parity bits for each element, sets of a list that one task compares.
+COUNTED, HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 21, 1 << 19, 1 << 18, 2, 8, 1024
 #: Edges that a task holds before it looks for those that span them.
 EDGES = 1 << 18
 
@@ -159,7 +159,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names)
         if len(seen) > 1 << 18:
             seen = set()
-        if n_held > HELD:
+        if n_held > COUNTED:
             yield frequent()
             held, n_held = [], 0
     yield frequent()
@@ -302,16 +302,18 @@ class _Members:
             yield (i, j) if meets.all() else (i[meets], j[meets])
 
     def _pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Near places first, of all lists of one length together."""
         first = np.cumsum(self.length) - self.length
         for m in np.unique(self.length).tolist():
             own = first[self.length == m]
-            rows = max(1, most // max(1, m))
-            for r in range(0, m, rows):
-                i, j = np.nonzero(np.arange(r, min(m, r + rows))[:, None] < np.arange(m)[None, :])
-                i += r
-                step = max(1, most // max(1, len(i)))
-                for k in range(0, len(own) if len(i) else 0, step):
-                    yield (own[k : k + step, None] + i).ravel(), (own[k : k + step, None] + j).ravel()
+            step = max(1, most // max(1, m))
+            for d in range(1, m, step):
+                apart = np.arange(d, min(m, d + step))
+                i = np.concatenate([np.arange(m - k) for k in apart])
+                j = i + np.repeat(apart, m - apart)
+                lists = max(1, most // len(i))
+                for k in range(0, len(own), lists):
+                    yield (own[k : k + lists, None] + i).ravel(), (own[k : k + lists, None] + j).ravel()
 
 
 def _emit(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -345,45 +347,66 @@ def spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 class _Spanned:
-    """Edges of a task, and those that span them as soon as there are many."""
+    """Edges of a task that span all it has met: of an edge within a component nothing is kept."""
 
     def __init__(self) -> None:
-        self.edges, self.size = [np.zeros((0, 2), np.int64)], 0
+        self.edges: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        self.size = 0
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        """The component of each node so far: its least node."""
+        whole = self.reduce()
+        known, root = forest(whole[:, 0], whole[:, 1])
+        return _replaced(nodes, known, root)
 
     def add(self, edges: np.ndarray) -> None:
         self.edges.append(edges)
         self.size += len(edges)
-        if self.size > EDGES:
-            self.reduce()
 
     def reduce(self) -> np.ndarray:
         found = np.concatenate(self.edges)
         found = found[spanning(found[:, 0], found[:, 1])]
-        self.edges, self.size = [found], 0
+        self.edges, self.size = [found], len(found)
         return found
 
 
+def _replaced(values: np.ndarray, known: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Values, those in known (sorted) replaced."""
+    if not len(known):
+        return values
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, by[at], values)
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible links that connect all that possible links within the task's lists connect; and (set, set) of every set with one."""
+    """Possible links that connect all that possible links within the task's lists connect; and (set, set) of every set with one.
+
+    Pairs whose sets are connected already are not compared, so a group of near copies costs little more than a chain.
+    """
     held = _Spanned()
-    linked: list[np.ndarray] = [np.zeros(0, np.int64)]
 
     def closed() -> pa.RecordBatch:
-        some = np.unique(np.concatenate(linked))
-        return _emit([held.reduce(), np.stack([some, some], 1)])
+        found = held.reduce()
+        some = np.unique(found)
+        return _emit([found, np.stack([some, some], 1)])
 
     for batch in batches:
         own = _Members(batch)
-        mark = np.zeros(len(own.sets), bool)
+        ids, at = np.unique(own.sets, return_inverse=True)
+        label = held.roots(ids)
         for i, j in own.pairs():
+            open_ones = label[at[i]] != label[at[j]]
+            i, j = i[open_ones], j[open_ones]
             keep = own.may_link(i, j)
             i, j = i[keep], j[keep]
-            mark[i] = mark[j] = True
-            held.add(_pairs(own.sets[i], own.sets[j]))
-        linked = [np.unique(np.concatenate([*linked, own.sets[mark]]))]
-        if len(linked[0]) > EDGES:
+            if len(i):
+                edges = _pairs(own.sets[i], own.sets[j])
+                pick = spanning(edges[:, 0], edges[:, 1])
+                held.add(edges[pick])
+                label = _replaced(label, *forest(label[at[i[pick]]], label[at[j[pick]]]))
+        if held.size > EDGES:
             yield closed()
-            held, linked = _Spanned(), [np.zeros(0, np.int64)]
+            held = _Spanned()
     yield closed()
 
 
@@ -477,14 +500,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def gathered(rows_of: DataFrame, more: str) -> DataFrame:
         """Lists of two or more sets; of longer ones than BLOCK every pair of blocks. side: the block of a set where two meet, else -1."""
-        counted = rows_of.groupBy("g").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-        dealt_out = rows_of.join(counted, "g").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+        long = rows_of.groupBy("g").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK)
+        dealt_out = rows_of.join(long, "g", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1)).cast("int"))
         dealt_out = dealt_out.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int"))
         dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side")
         one = F.struct("set", "n", "counts", F.col(more).alias("more"), side)
         listed = dealt_out.groupBy("g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(one).alias("x"))
-        return listed.select("g", "x.set", "x.n", "x.counts", "x.more", "x.side")
+        return listed.filter(F.size("x") > 1).select("g", "x.set", "x.n", "x.counts", "x.more", "x.side")
 
     likely = table(arrow(gathered(members, "n"), _trees, "a long, b long").distinct(), "likely")
     involved = likely.filter("a = b").select(F.col("a").alias("set"))
