@@ -63,12 +63,17 @@ def _top(table: str, k: int, by: str, order: str) -> str:
 @query(f"SELECT doc_id, len(t)::BIGINT n_tokens, coalesce(list_sum(list_transform(t, lambda w: length(w))), 0)::BIGINT n_visible FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') t FROM documents)")
 def tokenize_counts(spark, d):
     t = X.tokens(F.col("text"))
-    return _t(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.aggregate(t, F.lit(0), lambda s, w: s + F.length(w)).cast("long").alias("n_visible"))
+    return _t(spark, d, "documents").select(
+        "doc_id", F.size(t).cast("long").alias("n_tokens"),
+        F.aggregate(t, F.lit(0), lambda s, w: s + F.length(w)).cast("long").alias("n_visible"),
+    )
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, count(*) FILTER (WHERE NOT f) kept, count(*) FILTER (WHERE f) dropped FROM d_flag GROUP BY doc_id")
 def filtered_unigrams(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("w")).select("doc_id", X.is_filtered(F.col("w")).alias("f"))
+    rows = _t(spark, d, "documents").select(
+        "doc_id", F.explode(X.tokens(F.col("text"))).alias("w"),
+    ).select("doc_id", X.is_filtered(F.col("w")).alias("f"))
     return rows.groupBy("doc_id").agg(F.count_if(~F.col("f")).alias("kept"), F.count_if("f").alias("dropped"))
 
 
@@ -174,13 +179,18 @@ SELECT vec_id, list_sum(q)::BIGINT total, round(list_max(list_transform(range(1,
 def quantize_roundtrip(spark, d):
     q = V.quantize(F.col("embedding"))
     error = F.array_max(F.zip_with(V.dequantize(q), "embedding", lambda a, b: F.abs(a - b.cast("double"))))
-    return _t(spark, d, "embeddings").select("vec_id", F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.round(error, 6).alias("max_error"))
+    return _t(spark, d, "embeddings").select(
+        "vec_id", F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"),
+        F.round(error, 6).alias("max_error"),
+    )
 
 
 @query(f"SELECT label, count(*) n, count(*) FILTER (WHERE n2 <= 1.0) n_within, round(max(n2) * 1.1, 6) bound FROM (SELECT label, sqrt(list_inner_product({_D}, {_D})) n2 FROM embeddings) GROUP BY label")
 def norm_filter_stats(spark, d):
     n = V.norm(F.col("embedding"))
-    return _t(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(n <= 1.0).alias("n_within"), F.round(F.max(n) * 1.1, 6).alias("bound"))
+    return _t(spark, d, "embeddings").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(n <= 1.0).alias("n_within"), F.round(F.max(n) * 1.1, 6).alias("bound"),
+    )
 
 
 @query(f"""WITH {_Q}, parts AS (SELECT label, unnest({_D}) x, generate_subscripts(embedding, 1) i FROM embeddings), means AS (SELECT label, i, avg(x) x FROM parts GROUP BY ALL),
@@ -288,7 +298,11 @@ def end_selection(spark, d):
     rows = _t(spark, d, "embeddings").withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
     rows = rows.select("label", "pos", F.slice("embedding", 1, 32).alias("s"), F.slice("embedding", 33, 32).alias("e"))
     asked = rows.filter("pos = 0").select("label", F.col("s").alias("qs"), F.col("e").alias("qe"))
-    starts = rows.join(asked, "label").select(F.lit(0).alias("qid"), F.col("label").alias("group"), F.col("pos").alias("start_idx"), F.round(V.dot(F.col("s"), F.col("qs")), 6).alias("score"), F.col("qe").alias("end_query"), F.array().cast("array<double>").alias("span"))
+    starts = rows.join(asked, "label").select(
+        F.lit(0).alias("qid"), F.col("label").alias("group"), F.col("pos").alias("start_idx"),
+        F.round(V.dot(F.col("s"), F.col("qs")), 6).alias("score"), F.col("qe").alias("end_query"),
+        F.array().cast("array<double>").alias("span"),
+    )
     found = search.select_ends(starts, rows.select(F.col("label").alias("group"), F.col("pos").alias("end_idx"), F.col("e").alias("end_vec")))
     return found.select(F.col("group").alias("label"), "start_idx", "score", "end_idx", "end_score")
 
@@ -306,13 +320,21 @@ def sentence_localise(spark, d):
 @query(f"WITH {_SENT} SELECT doc_id, length(s)::BIGINT segment_chars, md5(s) segment_md5, greatest(start_pos - lo, 0)::BIGINT start_pos FROM sent WHERE start_pos >= lo AND start_pos < hi AND start_pos < lo + length(s)")
 def par_segment_adjust(spark, d):
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = _t(spark, d, "documents").withColumn("s", windows.enclosing_segment(F.col("text"), half, half, "\n")).filter(F.substring(F.col("text"), half + 1, F.lit(1)) != "\n")
-    return rows.select("doc_id", F.length("s.segment").cast("long").alias("segment_chars"), F.md5(F.col("s.segment").cast("binary")).alias("segment_md5"), "s.start_pos")
+    rows = _t(spark, d, "documents").withColumn(
+        "s", windows.enclosing_segment(F.col("text"), half, half, "\n"),
+    ).filter(F.substring(F.col("text"), half + 1, F.lit(1)) != "\n")
+    return rows.select(
+        "doc_id", F.length("s.segment").cast("long").alias("segment_chars"),
+        F.md5(F.col("s.segment").cast("binary")).alias("segment_md5"), "s.start_pos",
+    )
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE length(text) - length(replace(text, '?', '')) <= 3 AND length(text) - length(replace(text, '!', '')) <= 5 AND length(text) // 4 + 1 < 500")
 def answer_post_filter(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", "n_chars", F.col("text").alias("context"), F.col("n_chars").cast("double").alias("score"), F.lit(0).alias("start_pos"), F.floor(F.length("text") / 4).alias("end_pos"))
+    rows = _t(spark, d, "documents").select(
+        "doc_id", "n_chars", F.col("text").alias("context"), F.col("n_chars").cast("double").alias("score"),
+        F.lit(0).alias("start_pos"), F.floor(F.length("text") / 4).alias("end_pos"),
+    )
     return search.without_noise(search.valid_answers(rows)).select("doc_id", "n_chars")
 
 
@@ -353,7 +375,9 @@ def token_windows(spark, d):
 m AS (SELECT doc_id, p, i FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY least(p - lo, hi - 1 - p) + 0.01 * (hi - lo) DESC, i) = 1) SELECT doc_id, i::BIGINT window_idx, count(*) n_best FROM m GROUP BY ALL""")
 def max_context_window(spark, d):
     best = windows.best_window(F.size(X.tokens(F.col("text"))), 64, 32)
-    return _t(spark, d, "documents").select("doc_id", F.explode(best).alias("w")).groupBy("doc_id", F.col("w").cast("long").alias("window_idx")).agg(F.count(F.lit(1)).alias("n_best"))
+    return _t(spark, d, "documents").select("doc_id", F.explode(best).alias("w")).groupBy(
+        "doc_id", F.col("w").cast("long").alias("window_idx"),
+    ).agg(F.count(F.lit(1)).alias("n_best"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(p) w, generate_subscripts(p, 1) i FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\t\\r\\n ]') p FROM documents)),
@@ -386,7 +410,10 @@ f1 AS (SELECT conv_id, turn, (p = t)::INT em, CASE WHEN s IS NULL OR ((p IN ('ye
 @query(f"WITH {_F1} SELECT conv_id, turn, em, round(f1, 6) f1 FROM f1")
 def em_f1_pairs(spark, d):
     p, t = F.col("answer"), F.col("question")
-    return _turns(spark, d).select("conv_id", "turn", evaluate.exact_match(p, t).cast("int").alias("em"), F.round(evaluate.token_f1(p, t)["f1"], 6).alias("f1"))
+    return _turns(spark, d).select(
+        "conv_id", "turn", evaluate.exact_match(p, t).cast("int").alias("em"),
+        F.round(evaluate.token_f1(p, t)["f1"], 6).alias("f1"),
+    )
 
 
 @query(f"WITH {_F1}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) r FROM f1) SELECT conv_id qid, max(CASE WHEN r = 1 THEN em ELSE 0 END) em_top1, max(em) em_topk, round(max(CASE WHEN r = 1 THEN f1 ELSE 0.0 END), 6) f1_top1, round(max(f1), 6) f1_topk FROM r WHERE r <= 10 GROUP BY conv_id")
@@ -415,7 +442,9 @@ m AS (SELECT item_id, max(CASE WHEN rank = 1 THEN hit ELSE 0 END) r1, max(hit) r
 SELECT item_id qid, coalesce(r1, 0)::INT recall_1, coalesce(rk, 0)::INT recall_k, round(coalesce(p, 0.0), 6) precision_50, round(coalesce(1.0 / f, 0.0), 6) mrr FROM benchmark LEFT JOIN m USING (item_id)""")
 def sentence_recall_mrr(spark, d):
     docs, questions = _t(spark, d, "documents"), _t(spark, d, "benchmark")
-    ranked = tfidf.top_docs(questions, docs, 50).join(docs.select("doc_id", F.col("text").alias("sentence")), "doc_id").withColumnRenamed("item_id", "qid")
+    ranked = tfidf.top_docs(questions, docs, 50).join(
+        docs.select("doc_id", F.col("text").alias("sentence")), "doc_id",
+    ).withColumnRenamed("item_id", "qid")
     asked = questions.select(F.col("item_id").alias("qid"), F.col("text").alias("truth"))
     return evaluate.sentence_metrics(ranked, asked, asked)
 
@@ -448,7 +477,9 @@ def title_dedupe(spark, d):
     return features.numbered_copies(_t(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-_KNOWN = sorted({"the", "of", "answer", "question", "disease", "risk", "please", "what"} - set(X.STOPWORDS) | {w.lower() for w in render.ENTITY_WORDS} - set(X.STOPWORDS))
+_KNOWN = sorted({
+    "the", "of", "answer", "question", "disease", "risk", "please", "what",
+} - set(X.STOPWORDS) | {w.lower() for w in render.ENTITY_WORDS} - set(X.STOPWORDS))
 _KNOWN_SQL = ", ".join(f"'{w}'" for w in _KNOWN)
 
 
@@ -458,7 +489,10 @@ def _kind_sql(c: str) -> str:
 
 @query(f"SELECT conv_id, turn, {_kind_sql('text')} entity_type, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE 'COVID-19' END entity_query FROM (SELECT conv_id, turn, text, list_filter(regexp_extract_all(text, '{_TOKEN}'), lambda x: x IN ({_KNOWN_SQL})) w FROM conversations)")
 def entity_query_rewrite(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", render.entity_type(F.col("text")).alias("entity_type"), render.entity_query(X.tokens(F.col("text")), tuple(_KNOWN)).alias("entity_query"))
+    return _t(spark, d, "conversations").select(
+        "conv_id", "turn", render.entity_type(F.col("text")).alias("entity_type"),
+        render.entity_query(X.tokens(F.col("text")), tuple(_KNOWN)).alias("entity_query"),
+    )
 
 
 @query("""WITH b AS (SELECT doc_id, text, length(text) n FROM documents WHERE length(text) >= 10)
@@ -474,14 +508,19 @@ def highlight_spans(spark, d):
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) g FROM e) SELECT user_id, g::BIGINT run, any_value(event_type) event_type, count(*) n, min(event_id) first_event FROM g GROUP BY user_id, g""")
 def entity_runs(spark, d):
     rows = search.runs(_t(spark, d, "events"), "user_id", ("ts", "event_id"), "event_type")
-    return rows.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    return rows.groupBy("user_id", "run").agg(
+        F.first("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"),
+    )
 
 
 @query("""WITH p AS (SELECT doc_id, par_idx orig_idx, length(text)::DOUBLE logit FROM (SELECT doc_id, unnest(p) text, generate_subscripts(p, 1) - 1 par_idx FROM (SELECT doc_id, string_split(text, chr(10)) p FROM documents))),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY orig_idx) - 1 idx FROM p WHERE logit > 80) SELECT k.doc_id, k.orig_idx::BIGINT orig_idx, k.idx, coalesce(e.idx, -1) end_idx FROM k LEFT JOIN k e ON k.doc_id = e.doc_id AND e.orig_idx = k.orig_idx + 1""")
 def phrase_filter_remap(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("orig_idx", "p"))
-    kept = search.filter_phrases(rows.select("doc_id", F.col("orig_idx").cast("long").alias("orig_idx"), F.length("p").cast("double").alias("logit")), 80)
+    kept = search.filter_phrases(
+        rows.select("doc_id", F.col("orig_idx").cast("long").alias("orig_idx"), F.length("p").cast("double").alias("logit")),
+        80,
+    )
     return search.remap_ends(kept.withColumn("end_orig", F.col("orig_idx") + 1), kept).select("doc_id", "orig_idx", "idx", "end_idx")
 
 
@@ -515,7 +554,9 @@ def hashed_tf(spark, d):
 
 @query(None)
 def nfd_terms(spark, d):
-    return _t(spark, d, "documents").withColumn("text", X.nfd(F.col("text"))).select("doc_id", F.size(X.terms(F.col("text"))).cast("long").alias("n_terms"))
+    return _t(spark, d, "documents").withColumn("text", X.nfd(F.col("text"))).select(
+        "doc_id", F.size(X.terms(F.col("text"))).cast("long").alias("n_terms"),
+    )
 
 
 def _letters() -> dict[str, int]:

@@ -44,7 +44,10 @@ def _letters_of(c: str = "text"):
 def question_inputs(spark, d):
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), _letters_of().alias("pieces"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    return features.question_inputs(asked, _ONE).select("qid", F.size("input_ids").cast("long").alias("n"), total("input_mask").alias("n_mask"), total("input_ids").alias("total"))
+    return features.question_inputs(asked, _ONE).select(
+        "qid", F.size("input_ids").cast("long").alias("n"), total("input_mask").alias("n_mask"),
+        total("input_ids").alias("total"),
+    )
 
 
 @query(f"""WITH p AS (SELECT item_id doc_id, {_CHARS} p FROM benchmark), k AS (SELECT doc_id, p, len(p) n, CASE WHEN len(p) <= 62 THEN 1 ELSE 1 + ceil((len(p) - 62) / 30.0)::BIGINT END k FROM p WHERE len(p) > 0),
@@ -52,7 +55,10 @@ w AS (SELECT doc_id, p, n, unnest(range(k)) i FROM k) SELECT doc_id, i::BIGINT w
 def context_inputs(spark, d):
     rows = features.context_inputs(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), _letters_of().alias("pieces")), _ONE, 64, 30)
     total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)
-    return rows.select("doc_id", F.col("window_idx").cast("long").alias("window_idx"), F.col("start").cast("long").alias("start"), F.size("input_ids").cast("long").alias("n"), total.alias("total"))
+    return rows.select(
+        "doc_id", F.col("window_idx").cast("long").alias("window_idx"), F.col("start").cast("long").alias("start"),
+        F.size("input_ids").cast("long").alias("n"), total.alias("total"),
+    )
 
 
 @query("""WITH b AS (SELECT item_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) t FROM benchmark), p AS (SELECT item_id, t, lower(string_split(t, ' ')[2] || ' ' || string_split(t, ' ')[3]) p FROM b)
@@ -88,7 +94,10 @@ def joined_paragraph_segment(spark, d):
     """Paragraphs joined by the mark; a place in the second one is moved to it."""
     parts = F.split("text", "\n")
     rows = _t(spark, d, "documents").filter(F.size(parts) > 1).filter((F.length(parts[1]) > 1) & ~F.contains("text", F.lit("[PAR]")))
-    rows = rows.select("doc_id", F.array_join(parts, " [PAR] ").alias("t"), (F.length(parts[0]) + 8).alias("a"), (F.length(parts[0]) + 7 + F.length(parts[1])).alias("b"))
+    rows = rows.select(
+        "doc_id", F.array_join(parts, " [PAR] ").alias("t"), (F.length(parts[0]) + 8).alias("a"),
+        (F.length(parts[0]) + 7 + F.length(parts[1])).alias("b"),
+    )
     s = rows.select("doc_id", windows.enclosing_segment(F.col("t"), F.col("a"), F.col("b")).alias("s"))
     return s.select("doc_id", F.md5(F.col("s.segment").cast("binary")).alias("segment_md5"), "s.start_pos", "s.end_pos")
 
@@ -104,7 +113,9 @@ SELECT doc_id, md5(substr(t, 1, 2) || '<a href=''' || u || ''' target=''_blank''
 def entity_links(spark, d):
     """Two places of each text are entities; a third one within the first is passed over."""
     number = F.col("doc_id").cast("string")
-    identifier = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("MESH:"), number)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("OMIM:"), number)).otherwise(F.concat(F.lit("NCBI:gene"), number))
+    identifier = F.when(
+        F.col("doc_id") % 3 == 0, F.concat(F.lit("MESH:"), number),
+    ).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("OMIM:"), number)).otherwise(F.concat(F.lit("NCBI:gene"), number))
     rows = _t(spark, d, "documents").filter(F.length("text") > 20).withColumn("u", render.entity_url(identifier, F.lit("drug")))
     places = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.col("u").alias("url")) for a, b in ((11, 14), (2, 6), (4, 8))])
     return rows.select("doc_id", F.md5(render.highlight(F.col("text"), places, "e").cast("binary")).alias("marked_md5"))
@@ -127,7 +138,10 @@ substr(split_part(url, '://', 2), length(split_part(split_part(url, '://', 2), '
 def page_addresses(spark, d):
     rows = _t(spark, d, "pages").withColumn("a", features.split_address(F.col("url")))
     request = features.entity_request(F.col("url"), F.lit("Drug"), 7, "http://h/?", render.ENTITY_CODES, "kind=3&otype=")
-    return rows.select("page_id", features.cache_name(F.col("url"), F.lit("tag")).alias("cache_name"), "a.scheme", "a.bucket", "a.key", request.alias("request"))
+    return rows.select(
+        "page_id", features.cache_name(F.col("url"), F.lit("tag")).alias("cache_name"), "a.scheme", "a.bucket", "a.key",
+        request.alias("request"),
+    )
 
 
 # --- samples, shards, resuming ---------------------------------------------------------------
@@ -144,7 +158,10 @@ def merged_shards(spark, d):
     """Three parts of the vectors, with their columns in different orders, as one index."""
     rows = _t(spark, d, "embeddings")
     parts = [rows.filter(F.col("vec_id") % 3 == k).select(*(rows.columns if k else reversed(rows.columns))) for k in range(3)]
-    return vindex.merge_shards(*parts).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))), 4).alias("total"))
+    return vindex.merge_shards(*parts).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))), 4).alias("total"),
+    )
 
 
 @query("SELECT true known, true some_left_out, true with_repeats, 12::BIGINT n_draft")

@@ -68,7 +68,9 @@ _SENTENCES = ORACLES["sentence_recall_mrr"]
 
 def _sentence_scores(spark, d) -> DataFrame:
     docs, questions = _t(spark, d, "documents"), _t(spark, d, "benchmark")
-    ranked = tfidf.top_docs(questions, docs, 50).join(docs.select("doc_id", F.col("text").alias("sentence")), "doc_id").withColumnRenamed("item_id", "qid")
+    ranked = tfidf.top_docs(questions, docs, 50).join(
+        docs.select("doc_id", F.col("text").alias("sentence")), "doc_id",
+    ).withColumnRenamed("item_id", "qid")
     asked = questions.select(F.col("item_id").alias("qid"), F.col("text").alias("truth"))
     return evaluate.sentence_metrics(ranked, asked, asked)
 
@@ -117,7 +119,10 @@ def _cut(spark, d) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
     rows = docs.select("doc_id", "t", F.explode(windows.window_bounds(F.size("t"), 64, 48)).alias("w"))
     own = F.slice("t", F.col("w.start") + 1, F.col("w.stop") - F.col("w.start"))
-    return rows.select("doc_id", F.col("w.window").cast("long").alias("window_idx"), F.col("w.start").cast("long").alias("start"), F.col("w.stop").cast("long").alias("stop"), own.alias("tokens"))
+    return rows.select(
+        "doc_id", F.col("w.window").cast("long").alias("window_idx"), F.col("w.start").cast("long").alias("start"),
+        F.col("w.stop").cast("long").alias("stop"), own.alias("tokens"),
+    )
 
 
 @query(f"WITH {_WIN} SELECT doc_id, i::BIGINT window_idx, last - (hi - lo) AS \"first\", last AS \"last\" FROM off")
@@ -129,14 +134,19 @@ def window_prefix_sums(spark, d):
 @query(f"WITH {_WIN}, s AS (SELECT doc_id, unnest(range(0, max(last), 50)) start_idx FROM off GROUP BY doc_id) SELECT s.doc_id, start_idx::BIGINT start_idx, i::BIGINT window_idx FROM s JOIN off ON s.doc_id = off.doc_id AND start_idx >= last - (hi - lo) AND start_idx < last")
 def start_windows(spark, d):
     offsets = phrase.window_offsets(_cut(spark, d).select("doc_id", "window_idx", F.size("tokens").alias("n")))
-    starts = offsets.groupBy("doc_id").agg(F.max("last").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(50).cast("long"))).alias("start_idx"))
+    starts = offsets.groupBy("doc_id").agg(F.max("last").alias("n")).select(
+        "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(50).cast("long"))).alias("start_idx"),
+    )
     return phrase.window_of(starts, offsets).select("doc_id", "start_idx", "window_idx")
 
 
 @query(f"WITH {_WIN}, e AS (SELECT doc_id, i, last, last - (hi - lo) fst, unnest(t[lo + 1:hi]) token, generate_subscripts(t[lo + 1:hi], 1) - 1 pos FROM off) SELECT doc_id, i::BIGINT window_idx, count(*) n, sum(fst + pos)::BIGINT places, sum(length(token))::BIGINT chars, sum(least(fst + pos + 20, last) - fst - pos)::BIGINT n_ends FROM e GROUP BY doc_id, i")
 def phrase_metadata(spark, d):
     rows = phrase.assembled(_cut(spark, d))
-    return rows.groupBy("doc_id", "window_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("places"), F.sum(F.length("token")).alias("chars"), F.sum(F.size("start2end")).cast("long").alias("n_ends"))
+    return rows.groupBy("doc_id", "window_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("idx").alias("places"), F.sum(F.length("token")).alias("chars"),
+        F.sum(F.size("start2end")).cast("long").alias("n_ends"),
+    )
 
 
 @query(f"""WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 pos, ({_D})[1:32] s, ({_D})[33:64] e FROM embeddings), q AS (SELECT label, s qs, e qe FROM e WHERE pos = 0),
@@ -150,7 +160,10 @@ def ends_through_start2end(spark, d):
     rows = rows.select(F.col("label").alias("doc_id"), "pos", F.slice("embedding", 1, 32).alias("s"), F.slice("embedding", 33, 32).alias("e"))
     asked = rows.filter("pos = 0").select("doc_id", F.col("s").alias("qs"), F.col("e").alias("qe"))
     steps = F.sequence(F.lit(0), F.lit(14))
-    named = F.transform(steps, lambda k: F.when(((F.col("pos") + k) % 3 == 0) & (F.col("pos") % 7 != 0), F.col("pos") + k).otherwise(F.lit(-1).cast("long")))
+    named = F.transform(
+        steps,
+        lambda k: F.when(((F.col("pos") + k) % 3 == 0) & (F.col("pos") % 7 != 0), F.col("pos") + k).otherwise(F.lit(-1).cast("long")),
+    )
     starts = rows.join(asked, "doc_id").select(
         F.lit(0).alias("qid"), "doc_id", F.col("pos").alias("start_idx"), F.round(V.dot(F.col("s"), F.col("qs")), 6).alias("score"), F.col("qe").alias("end_query"),
         named.alias("start2end"), F.transform(steps, lambda k: k / 10.0).alias("span"),
@@ -174,7 +187,10 @@ def token_ids(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", ids.alias("ids"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     size = lambda of_question: F.size(F.filter("ids", lambda x: phrase.text_ids(x, of_question))).cast("long")
-    return rows.select("doc_id", size(False).alias("n_context"), size(True).alias("n_question"), total(search.bigram_ids(F.col("ids"))).alias("bigrams"), total(phrase.bigram_values(F.col("ids"))).alias("trimmed"))
+    return rows.select(
+        "doc_id", size(False).alias("n_context"), size(True).alias("n_question"),
+        total(search.bigram_ids(F.col("ids"))).alias("bigrams"), total(phrase.bigram_values(F.col("ids"))).alias("trimmed"),
+    )
 
 
 @query(f"WITH {_WIN}, a AS (SELECT doc_id, n // 2 f, n // 2 + 4 l FROM cnt) SELECT doc_id, i::BIGINT AS \"window\", (f - lo)::BIGINT AS \"first\", (l - lo)::BIGINT AS \"last\" FROM win JOIN a USING (doc_id) WHERE f >= lo AND l < hi")
@@ -196,7 +212,10 @@ def token_spans(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", X.token_spans(F.col("text")).alias("t")).filter(F.size("t") > 0)
     total = lambda c: F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x[c])
     text = X.untokenized(F.transform("t", lambda x: x["text"]), F.transform("t", lambda x: x["after"]))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n"), total("end").alias("ends"), total("start").alias("starts"), F.md5(text.cast("binary")).alias("text_md5"))
+    return rows.select(
+        "doc_id", F.size("t").cast("long").alias("n"), total("end").alias("ends"), total("start").alias("starts"),
+        F.md5(text.cast("binary")).alias("text_md5"),
+    )
 
 
 # --- model inputs ----------------------------------------------------------------------------
@@ -219,7 +238,10 @@ def _letter_shares(texts: list[str]) -> np.ndarray:
 def encoder_plugin(spark, d):
     rows = encode.encoded(_t(spark, d, "benchmark"), _letter_shares)
     parts = rows.select("item_id", encode.phrase_vectors(F.col("vector"), 1).alias("v"))
-    return parts.select("item_id", *[F.get("v.start", F.lit(i)).alias(f"{c}_count") for i, c in enumerate("etao")], F.get("v.span", F.lit(0)).alias("n"))
+    return parts.select(
+        "item_id", *[F.get("v.start", F.lit(i)).alias(f"{c}_count") for i, c in enumerate("etao")],
+        F.get("v.span", F.lit(0)).alias("n"),
+    )
 
 
 @query(f"SELECT conv_id, turn, round(list_sum({_D}), 6) total FROM conversations c LEFT JOIN (SELECT lower(text) k, min(item_id) item_id FROM benchmark GROUP BY 1) b ON lower(c.text) = b.k LEFT JOIN embeddings e ON e.vec_id = b.item_id")
@@ -242,7 +264,9 @@ def phrase_store(spark, d):
     fresh = rows.filter("doc_id % 3 = 0").withColumn("version", F.lit("new"))
     writers.write_phrases(writers.upsert(rows, fresh), f"{path}-next", 100)
     found = readers.phrase_table(spark, f"{path}-next", (150, 450), 100)
-    return found.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("version") == "new").alias("fresh"))
+    return found.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("version") == "new").alias("fresh"),
+    )
 
 
 @query(f"WITH {_DOCS}, tf AS (SELECT doc_id, term, count(*) tf FROM d_gram GROUP BY ALL) SELECT doc_id, count(*) n_terms, sum(tf)::BIGINT total FROM tf GROUP BY doc_id")
@@ -257,7 +281,10 @@ def paragraph_store(spark, d):
     """Paragraphs of even documents are written again, in place of the first."""
     path = scratch.folder(spark, "paragraphs")
     rows = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_idx", "p"))
-    rows = rows.select("doc_id", F.col("par_idx").cast("long").alias("par_idx"), F.lit("n").alias("term"), F.length("p").cast("double").alias("weight"))
+    rows = rows.select(
+        "doc_id", F.col("par_idx").cast("long").alias("par_idx"), F.lit("n").alias("term"),
+        F.length("p").cast("double").alias("weight"),
+    )
     writers.write_paragraphs(rows, path, 100)
     writers.write_paragraphs(rows.filter("doc_id % 2 = 0").withColumn("weight", 2 * F.col("weight")), path, 100)
     return readers.paragraph_postings(spark, path, (0, 400), 100).select("doc_id", "par_idx", "weight")
@@ -283,13 +310,19 @@ def index_parameters(spark, d):
     path = scratch.folder(spark, "index")
     index_store.build(vectors.withColumnRenamed("label", "cluster_id"), path, vindex.mean_centroids(vectors), norm_factor=1.1)
     found = index_store.load(spark, path)
-    return found.lists.agg(F.lit(round(found.max_norm, 6)).alias("max_norm"), F.count(F.lit(1)).alias("n"), F.countDistinct("cluster_id").alias("n_lists"))
+    return found.lists.agg(
+        F.lit(round(found.max_norm, 6)).alias("max_norm"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("cluster_id").alias("n_lists"),
+    )
 
 
 @query(f"SELECT count(*) n, round(sum(list_sum({_D})), 4) total FROM embeddings WHERE sqrt(list_inner_product({_D}, {_D})) <= 1.0")
 def within_norm(spark, d):
     rows = vindex.within_norm(_t(spark, d, "embeddings"), 1.0)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))), 4).alias("total"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))), 4).alias("total"),
+    )
 
 
 # --- readers ---------------------------------------------------------------------------------
@@ -312,7 +345,11 @@ def _corpus(spark: SparkSession, d: str) -> str:
     """Folder of files of up to 100 documents each, with names of four digits."""
     path = scratch.folder(spark, "corpus")
     paragraphs = F.transform(F.split("text", "\n"), lambda p: F.struct(p.alias("context")))
-    rows = _t(spark, d, "documents").select("doc_id", F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 4, "0").alias("file"), F.concat("source", F.lit(" "), "lang").alias("title"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("cord_uid"), paragraphs.alias("paragraphs"))
+    rows = _t(spark, d, "documents").select(
+        "doc_id", F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 4, "0").alias("file"),
+        F.concat("source", F.lit(" "), "lang").alias("title"),
+        F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("cord_uid"), paragraphs.alias("paragraphs"),
+    )
     files = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("doc_id", "title", "cord_uid", "paragraphs"))).alias("data"))
     files.select("file", F.to_json(F.struct("data")).alias("value")).repartition("file").write.partitionBy("file").text(path)
     return path
@@ -322,7 +359,9 @@ def _corpus(spark: SparkSession, d: str) -> str:
 def corpus_scan(spark, d):
     articles = readers.corpus(spark, _corpus(spark, d))
     text = readers.joined_text(articles)
-    return articles.select("doc_id", "cord_uid", "title", F.size("paragraphs").alias("n_paragraphs")).join(text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")), "doc_id")
+    return articles.select("doc_id", "cord_uid", "title", F.size("paragraphs").alias("n_paragraphs")).join(
+        text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")), "doc_id",
+    )
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(p) c, generate_subscripts(p, 1) - 1 par_idx, source || ' ' || lang title FROM (SELECT *, string_split(text, chr(10)) p FROM documents)) SELECT doc_id, par_idx::BIGINT par_idx, md5('[ ' || title || ' ] ' || c) context_md5 FROM p""")
@@ -342,15 +381,23 @@ def numbered_corpus_scan(spark, d):
 
 @query("SELECT 'q' || item_id id, replace(text || ' [MASK] .', '[MASK] .', '_') question, 1::INT n_answers FROM benchmark")
 def question_scan(spark, d):
-    rows = _t(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), F.concat("text", F.lit(" [MASK] .")).alias("question"), F.array("text").alias("answers"))
+    rows = _t(spark, d, "benchmark").select(
+        F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"),
+        F.concat("text", F.lit(" [MASK] .")).alias("question"), F.array("text").alias("answers"),
+    )
     return readers.questions(spark, _json(rows, "questions", "id")).select("id", "question", F.size("answers").alias("n_answers"))
 
 
 @query("SELECT item_id::VARCHAR qid, trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) question FROM benchmark")
 def topic_scan(spark, d):
     plain = F.trim(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""))
-    line = F.concat(F.lit('<topic number="'), F.col("item_id").cast("string"), F.lit('"><query>x</query><question>'), plain, F.lit("</question></topic>"))
-    rows = _t(spark, d, "benchmark").agg(F.concat(F.lit("<topics>\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n</topics>")).alias("value"))
+    line = F.concat(
+        F.lit('<topic number="'), F.col("item_id").cast("string"), F.lit('"><query>x</query><question>'), plain,
+        F.lit("</question></topic>"),
+    )
+    rows = _t(spark, d, "benchmark").agg(F.concat(
+        F.lit("<topics>\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n</topics>"),
+    ).alias("value"))
     return readers.topics(spark, _saved(rows, "topics"))
 
 
@@ -367,14 +414,20 @@ def _priors(spark, d, field: str, value) -> str:
 
 @query("SELECT 'q' || (doc_id % (SELECT count(*) FROM benchmark)) question, doc_id, max(quality / 10.0)::DOUBLE prior FROM labels GROUP BY ALL")
 def prior_scan(spark, d):
-    path = _priors(spark, d, "priors", lambda x: (F.transform(x, lambda r: F.concat(F.lit("u"), r["doc_id"].cast("string"))).alias("cord_uid"), F.transform(x, lambda r: r["quality"] / F.lit(10.0)).alias("score")))
+    path = _priors(
+        spark, d, "priors",
+        lambda x: (F.transform(x, lambda r: F.concat(F.lit("u"), r["doc_id"].cast("string"))).alias("cord_uid"), F.transform(x, lambda r: r["quality"] / F.lit(10.0)).alias("score")),
+    )
     articles = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("cord_uid"))
     return features.priors_by_document(readers.prior_scores(spark, path), articles)
 
 
 @query("SELECT 'q' || (doc_id % (SELECT count(*) FROM benchmark)) question, 'p' || doc_id pmid, 1.0::DOUBLE prior FROM labels GROUP BY ALL")
 def prior_id_scan(spark, d):
-    path = _priors(spark, d, "prior-ids", lambda x: (F.transform(x, lambda r: F.array(F.concat(F.lit("p"), r["doc_id"].cast("string")))).alias("pmid"),))
+    path = _priors(
+        spark, d, "prior-ids",
+        lambda x: (F.transform(x, lambda r: F.array(F.concat(F.lit("p"), r["doc_id"].cast("string")))).alias("pmid"),),
+    )
     return readers.prior_ids(spark, path).select("question", "pmid", "prior")
 
 
@@ -403,7 +456,10 @@ def line_set_scan(spark, d):
 @query("WITH e AS (SELECT lower(text) question, item_id::VARCHAR id, 'e' || (item_id % 3) entity FROM benchmark) SELECT question, array_to_string(list_sort(list_distinct(list(id))), ',') ids, array_to_string(list_sort(list_distinct(list(entity))), ',') entity_ids FROM e GROUP BY question")
 def example_scan(spark, d):
     one = F.struct(F.concat(F.lit("e"), (F.col("item_id") % 3).cast("string")).alias("id"), F.lit(0).alias("start"), F.lit(1).alias("end"))
-    rows = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.create_map(F.lit("x"), F.array(one)).alias("question_entities"))
+    rows = _t(spark, d, "benchmark").select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"),
+        F.create_map(F.lit("x"), F.array(one)).alias("question_entities"),
+    )
     found = readers.by_head_question(readers.examples(spark, _json(rows, "examples", "id")))
     return found.select("question", F.array_join("ids", ",").alias("ids"), F.array_join("entity_ids", ",").alias("entity_ids"))
 
@@ -422,9 +478,14 @@ def cached_scan(spark, d):
 @query("SELECT item_id::INT rank, 'entity ' || item_id entity, (item_id / 4.0)::DOUBLE score, (item_id % 3)::INT articles, CASE WHEN item_id % 3 > 0 THEN 'p' || item_id ELSE '' END pmids FROM benchmark WHERE item_id > 0")
 def entity_protocol_scan(spark, d):
     item = F.col("item_id").cast("string")
-    head = F.concat(item, F.lit(" | entity "), item, F.lit(" | "), (F.col("item_id") / 4.0).cast("string"), F.lit(" | "), (F.col("item_id") % 3).cast("string"))
+    head = F.concat(
+        item, F.lit(" | entity "), item, F.lit(" | "), (F.col("item_id") / 4.0).cast("string"), F.lit(" | "),
+        (F.col("item_id") % 3).cast("string"),
+    )
     body = F.when(F.col("item_id") % 3 > 0, F.concat(head, F.lit("\n@@@p"), item, F.lit("###an abstract"))).otherwise(head)
-    rows = _t(spark, d, "benchmark").filter("item_id > 0").agg(F.concat(F.lit("rank | name | score | articles\n"), F.array_join(F.collect_list(body), "\n")).alias("value"))
+    rows = _t(spark, d, "benchmark").filter("item_id > 0").agg(F.concat(
+        F.lit("rank | name | score | articles\n"), F.array_join(F.collect_list(body), "\n"),
+    ).alias("value"))
     found = readers.entity_results(spark, _saved(rows, "entities"))
     return found.select("rank", "entity", "score", "articles", F.array_join("pmids", ",").alias("pmids"))
 
@@ -439,11 +500,19 @@ def request_batch(spark, d):
 @query("SELECT doc_id, text LIKE '%the%' AND len(string_split(text, ' ')) <> 1 keeps FROM documents")
 def recoverable_answers(spark, d):
     """Questions whose answer is in the context; here each document asks for the."""
-    qas = F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.array(F.struct(F.lit("the").alias("text"), F.lit(0).alias("answer_start"))).alias("answers")))
-    paragraph = F.struct(F.col("text").alias("context"), F.lit(None).cast("array<array<int>>").alias("context_sent_idx"), F.lit(None).cast(f"map<string,array<{readers.ENTITY}>>").alias("context_entities"), qas.alias("qas"))
+    qas = F.array(F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"),
+        F.array(F.struct(F.lit("the").alias("text"), F.lit(0).alias("answer_start"))).alias("answers"),
+    ))
+    paragraph = F.struct(
+        F.col("text").alias("context"), F.lit(None).cast("array<array<int>>").alias("context_sent_idx"),
+        F.lit(None).cast(f"map<string,array<{readers.ENTITY}>>").alias("context_entities"), qas.alias("qas"),
+    )
     docs = _t(spark, d, "documents")
     found = readers.contexts_questions(docs.select("doc_id", F.lit("t").alias("title"), F.array(paragraph).alias("paragraphs")))
-    return docs.select("doc_id").join(found.select("doc_id", F.lit(True).alias("k")), "doc_id", "left").select("doc_id", F.coalesce("k", F.lit(False)).alias("keeps"))
+    return docs.select("doc_id").join(
+        found.select("doc_id", F.lit(True).alias("k")), "doc_id", "left",
+    ).select("doc_id", F.coalesce("k", F.lit(False)).alias("keeps"))
 
 
 # --- queries of catalogue.py whose SQL is long -------------------------------------------------
@@ -498,16 +567,32 @@ def answer_search(spark, d):
     """Hybrid candidates with priors and probed lists, named ends, sentences, one answer for each source. A vector is a phrase of the document of its number."""
     vectors, docs = _t(spark, d, "embeddings"), _t(spark, d, "documents")
     named = F.array(F.col("label"), F.col("label") + 1, F.lit(-1), F.col("label") + 3)
-    starts = vectors.select("vec_id", "embedding", F.col("label").alias("cluster_id"), F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("start_idx"), F.transform(named, lambda x: x.cast("long")).alias("start2end"))
-    ends = vectors.select(F.col("vec_id").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))).alias("k"), "label", "embedding")
-    ends = ends.select("doc_id", (F.col("label") + F.col("k")).cast("long").alias("end_idx"), F.slice(F.col("embedding"), F.col("k") + 1, F.lit(8)).alias("end_vec"))
+    starts = vectors.select(
+        "vec_id", "embedding", F.col("label").alias("cluster_id"), F.col("vec_id").alias("doc_id"),
+        F.col("label").cast("long").alias("start_idx"), F.transform(named, lambda x: x.cast("long")).alias("start2end"),
+    )
+    ends = vectors.select(
+        F.col("vec_id").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))).alias("k"), "label",
+        "embedding",
+    )
+    ends = ends.select(
+        "doc_id", (F.col("label") + F.col("k")).cast("long").alias("end_idx"),
+        F.slice(F.col("embedding"), F.col("k") + 1, F.lit(8)).alias("end_vec"),
+    )
     order = Window.partitionBy("doc_id").orderBy("start")
     words = windows.word_offsets(docs)
-    tokens = words.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), F.col("start").alias("char_start"), (F.col("start") + F.length("word")).alias("char_end"))
+    tokens = words.select(
+        "doc_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), F.col("start").alias("char_start"),
+        (F.col("start") + F.length("word")).alias("char_end"),
+    )
     n = _t(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n"))
-    prior = _t(spark, d, "labels").crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("qid"), "doc_id", (F.col("quality") * F.lit(0.1)).alias("prior"))
+    prior = _t(spark, d, "labels").crossJoin(F.broadcast(n)).select(
+        (F.col("doc_id") % F.col("n")).alias("qid"), "doc_id", (F.col("quality") * F.lit(0.1)).alias("prior"),
+    )
     corpus = answer.Corpus(starts, vindex.mean_centroids(vectors), ends, tokens, docs.withColumn("article", F.col("source")), prior=prior)
     asked = _t(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id"))
     asked = asked.select(F.col("item_id").alias("qid"), "text", F.col("embedding").alias("query"), F.slice("embedding", 1, 8).alias("end_query"))
     p = answer.parameters("command", strategy="hybrid", start_top_k=50, nprobe=6, aggregate=True)
-    return answer.answer_questions(corpus, asked, p=p).select("qid", "doc_id", "start_idx", "start_pos", "end_pos", "sent_start", "answer", "score", "rank")
+    return answer.answer_questions(corpus, asked, p=p).select(
+        "qid", "doc_id", "start_idx", "start_pos", "end_pos", "sent_start", "answer", "score", "rank",
+    )

@@ -73,7 +73,9 @@ def ngrams(words: Column, n: int = 2, mode: str | None = "any", keep: Callable[[
                 grams = F.filter(grams, lambda g: keeps_ngram(F.transform(g, lambda x: x["f"]), mode))
             return F.transform(grams, lambda g: F.lower(F.array_join(F.transform(g, lambda x: x["w"]), " ")))
 
-        return F.when(F.size(all_of) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(all_of) - 1), at))).otherwise(F.array().cast("array<string>"))
+        return F.when(
+            F.size(all_of) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(all_of) - 1), at)),
+        ).otherwise(F.array().cast("array<string>"))
 
     return F.get(F.transform(F.array(marked), from_start), F.lit(0))
 
@@ -88,7 +90,10 @@ def terms(text: Column, n: int = 2, mode: str = "any") -> Column:
         single = F.transform(F.filter(m, lambda x: ~x["f"]), lambda x: x["w"])
         if n == 1:
             return single
-        pair = F.zip_with(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), lambda a, b: F.when(~a["f"] & ~b["f"], F.concat(a["w"], F.lit(" "), b["w"])))
+        pair = F.zip_with(
+            F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))),
+            lambda a, b: F.when(~a["f"] & ~b["f"], F.concat(a["w"], F.lit(" "), b["w"])),
+        )
         return F.concat(single, F.filter(pair, lambda x: x.isNotNull()))
 
     return F.get(F.transform(F.array(marked), both), F.lit(0))
@@ -160,7 +165,10 @@ def _is_punctuation(c: str) -> bool:
 
 
 # Blocks of CJK ideographs.
-CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+CJK = (
+    (0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF),
+    (0xF900, 0xFAFF), (0x2F800, 0x2FA1F),
+)
 
 
 def basic_words(text: str, lower: bool = True, keep: tuple[str, ...] = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")) -> list[str]:

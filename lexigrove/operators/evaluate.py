@@ -35,7 +35,10 @@ def token_f1(prediction: Column, truth: Column) -> Column:
     def figures(s: Column) -> Column:
         precision, recall = F.try_divide(s["same"], s["np"]), F.try_divide(s["same"], s["nt"])
         pick = lambda c: F.when(s["same"] == 0, F.lit(0.0)).otherwise(c)
-        return F.struct(pick(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).alias("f1"), pick(precision).alias("precision"), pick(recall).alias("recall"))
+        return F.struct(
+            pick(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).alias("f1"),
+            pick(precision).alias("precision"), pick(recall).alias("recall"),
+        )
 
     pair = F.array(F.struct(normalize_answer(prediction).alias("p"), normalize_answer(truth).alias("t")))
     return F.get(F.transform(F.transform(pair, scored), figures), F.lit(0))
@@ -54,7 +57,9 @@ def nfd_match(prediction: Column, truth: Column) -> Column:
 MATCHES: dict[str, Callable[[Column, Column], Column]] = {"exact": exact_match, "nfd": nfd_match, "regex": matches_pattern}
 
 
-def best_over_truths(predictions: DataFrame, truths: DataFrame, top_k: int = 10, match: str | Callable[[Column, Column], Column] = "exact") -> DataFrame:
+def best_over_truths(
+    predictions: DataFrame, truths: DataFrame, top_k: int = 10, match: str | Callable[[Column, Column], Column] = "exact",
+) -> DataFrame:
     """qid, em_top1, em_topk, f1_top1, f1_topk: best over predictions up to the rank and over all truths; 0 without any.
 
     match: a name of MATCHES, or a function of the columns of predictions and truths.
@@ -107,7 +112,10 @@ def joint_means(answers: DataFrame, supports: DataFrame, key: str = "qid") -> Da
     other = supports.select(key, *[F.col(c).alias(f"s_{c}") for c in ("em", "precision", "recall", "f1")])
     rows = own.join(other, key, "left").fillna(0.0).fillna(0)
     p, r = F.col("a_precision") * F.col("s_precision"), F.col("a_recall") * F.col("s_recall")
-    joint = {"joint_em": F.col("a_em") * F.col("s_em"), "joint_precision": p, "joint_recall": r, "joint_f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}
+    joint = {
+        "joint_em": F.col("a_em") * F.col("s_em"), "joint_precision": p, "joint_recall": r,
+        "joint_f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)),
+    }
     single = {name: F.col(f"{k}_{c}") for k, prefix in (("a", ""), ("s", "sp_")) for c in ("em", "f1", "precision", "recall") for name in (prefix + c,)}
     return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(name) for name, c in (single | joint).items()])
 
@@ -134,12 +142,18 @@ def set_scores_by(members: DataFrame, by: str) -> DataFrame:
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return counts.select(by, (F.col("fp") + F.col("fn") == 0).cast("int").alias("em"), f1.alias("f1"), precision.alias("precision"), recall.alias("recall"))
+    return counts.select(
+        by, (F.col("fp") + F.col("fn") == 0).cast("int").alias("em"), f1.alias("f1"), precision.alias("precision"),
+        recall.alias("recall"),
+    )
 
 
 def trec_lines(ranked: DataFrame, tag: str) -> DataFrame:
     """Lines of a run file; ranks begin at 0."""
-    return ranked.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), (F.col("rank") - 1).cast("string"), F.format_string("%.6f", F.col("score")), F.lit(tag)).alias("line"))
+    return ranked.select(F.concat_ws(
+        " ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), (F.col("rank") - 1).cast("string"),
+        F.format_string("%.6f", F.col("score")), F.lit(tag),
+    ).alias("line"))
 
 
 def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

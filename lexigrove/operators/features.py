@@ -11,7 +11,10 @@ from lexigrove.operators.windows import window_bounds
 def piece_ids(pieces: Column, vocab: dict[str, int]) -> Column:
     """Ids of pieces; a piece that the vocabulary lacks is an error."""
     table = F.create_map(*[F.lit(x) for pair in vocab.items() for x in pair])
-    return F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), F.raise_error(F.concat(F.lit("not in the vocabulary: "), p)).cast("int")))
+    return F.transform(
+        pieces,
+        lambda p: F.coalesce(F.try_element_at(table, p), F.raise_error(F.concat(F.lit("not in the vocabulary: "), p)).cast("int")),
+    )
 
 
 def question_inputs(questions: DataFrame, vocab: dict[str, int], most: int = 64) -> DataFrame:
@@ -19,13 +22,19 @@ def question_inputs(questions: DataFrame, vocab: dict[str, int], most: int = 64)
     cut = F.concat(F.array(F.lit("[CLS]")), F.slice("pieces", 1, most), F.array(F.lit("[SEP]")))
     rows = questions.select("qid", piece_ids(cut, vocab).alias("ids"))
     gap = F.lit(most + 2) - F.size("ids")
-    return rows.select("qid", F.concat("ids", F.array_repeat(F.lit(0), gap)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), gap)).alias("input_mask"))
+    return rows.select(
+        "qid", F.concat("ids", F.array_repeat(F.lit(0), gap)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), gap)).alias("input_mask"),
+    )
 
 
 def context_inputs(contexts: DataFrame, vocab: dict[str, int], max_seq_length: int = 512, stride: int = 128) -> DataFrame:
     """doc_id, window_idx, start, input_ids of sliding windows between [CLS] and [SEP]. contexts: doc_id, pieces."""
     rows = contexts.select("doc_id", "pieces", F.explode(window_bounds(F.size("pieces"), max_seq_length - 2, stride)).alias("w"))
-    part = F.concat(F.array(F.lit("[CLS]")), F.slice(F.col("pieces"), F.col("w.start") + 1, F.col("w.stop") - F.col("w.start")), F.array(F.lit("[SEP]")))
+    part = F.concat(
+        F.array(F.lit("[CLS]")), F.slice(F.col("pieces"), F.col("w.start") + 1, F.col("w.stop") - F.col("w.start")),
+        F.array(F.lit("[SEP]")),
+    )
     return rows.select("doc_id", F.col("w.window").alias("window_idx"), F.col("w.start").alias("start"), piece_ids(part, vocab).alias("input_ids"))
 
 
@@ -98,7 +107,10 @@ def split_address(address: Column) -> Column:
     """Struct (scheme, bucket, key) of an address; a missing part is empty."""
     rest = F.substring_index(address, "://", -1)
     bucket = F.substring_index(rest, "/", 1)
-    return F.struct(F.when(F.contains(address, F.lit("://")), F.substring_index(address, "://", 1)).otherwise("").alias("scheme"), bucket.alias("bucket"), F.substring(rest, F.length(bucket) + 2, F.length(rest)).alias("key"))
+    return F.struct(
+        F.when(F.contains(address, F.lit("://")), F.substring_index(address, "://", 1)).otherwise("").alias("scheme"),
+        bucket.alias("bucket"), F.substring(rest, F.length(bucket) + 2, F.length(rest)).alias("key"),
+    )
 
 
 def extension(path: Column, dot: bool = True) -> Column:

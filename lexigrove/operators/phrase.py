@@ -63,9 +63,15 @@ def ends_through(starts: DataFrame, ends: DataFrame, max_answer_length: int = 20
 
     starts: qid, doc_id, start_idx, score, end_query, start2end, span (both by distance). ends: doc_id, end_idx, end_vec.
     """
-    near = starts.select("qid", "doc_id", "start_idx", "score", "end_query", "span", F.posexplode_outer(F.slice("start2end", 1, max_answer_length)).alias("step", "end_idx"))
+    near = starts.select(
+        "qid", "doc_id", "start_idx", "score", "end_query", "span",
+        F.posexplode_outer(F.slice("start2end", 1, max_answer_length)).alias("step", "end_idx"),
+    )
     pairs = near.withColumn("end_idx", F.when(F.col("end_idx") >= 0, F.col("end_idx"))).join(ends, ["doc_id", "end_idx"], "left")
-    total = F.round(F.col("score") + dot(F.col("end_query"), F.col("end_vec")) + span_weight * F.coalesce(F.get("span", F.col("step")), F.lit(0.0)), 6)
+    total = F.round(
+        F.col("score") + dot(F.col("end_query"), F.col("end_vec")) + span_weight * F.coalesce(F.get("span", F.col("step")), F.lit(0.0)),
+        6,
+    )
     known = F.col("end_vec").isNotNull()
     best = F.max_by(F.struct("end_idx", total.alias("total")), F.when(known, F.struct(total, -F.col("end_idx"))))
     chosen = pairs.groupBy("qid", "doc_id", "start_idx").agg(F.first("score").alias("score"), best.alias("b"))
@@ -75,7 +81,9 @@ def ends_through(starts: DataFrame, ends: DataFrame, max_answer_length: int = 20
 def answers_in_windows(windows: DataFrame, answers: DataFrame) -> DataFrame:
     """Windows (doc_id, window, start, stop) that hold a document's answer (first, last token) whole, with its places within."""
     inside = (F.col("first") >= F.col("start")) & (F.col("last") < F.col("stop"))
-    return windows.join(answers, "doc_id").filter(inside).select("doc_id", "window", (F.col("first") - F.col("start")).alias("first"), (F.col("last") - F.col("start")).alias("last"))
+    return windows.join(answers, "doc_id").filter(inside).select(
+        "doc_id", "window", (F.col("first") - F.col("start")).alias("first"), (F.col("last") - F.col("start")).alias("last"),
+    )
 
 
 def known_entities(rows: DataFrame, entity: str, asked: str) -> DataFrame:

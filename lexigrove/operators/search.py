@@ -26,7 +26,9 @@ def phrases_of(starts: DataFrame, questions: DataFrame, documents: DataFrame, di
 
 def sparse_first(phrases: DataFrame, doc_scores: DataFrame, doc_top_k: int = 5, sparse_weight: float = 0.05) -> DataFrame:
     """All phrases of the best documents of each question. phrases: qid, doc_id, start_idx, dense."""
-    return phrases.join(best_documents(doc_scores, doc_top_k), ["qid", "doc_id"]).select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.col("doc_score"), 9).alias("score"))
+    return phrases.join(best_documents(doc_scores, doc_top_k), ["qid", "doc_id"]).select(
+        "qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.col("doc_score"), 9).alias("score"),
+    )
 
 
 def dense_first(phrases: DataFrame, doc_scores: DataFrame, start_top_k: int = 1000, sparse_weight: float = 0.05) -> DataFrame:
@@ -34,7 +36,10 @@ def dense_first(phrases: DataFrame, doc_scores: DataFrame, start_top_k: int = 10
     order = Window.partitionBy("qid").orderBy(F.desc("dense"), "doc_id", "start_idx")
     best = phrases.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= start_top_k)
     scored = best.join(doc_scores, ["qid", "doc_id"], "left")
-    return scored.select("qid", "doc_id", "start_idx", F.round(F.col("dense") + sparse_weight * F.coalesce("doc_score", F.lit(0.0)), 9).alias("score"))
+    return scored.select(
+        "qid", "doc_id", "start_idx",
+        F.round(F.col("dense") + sparse_weight * F.coalesce("doc_score", F.lit(0.0)), 9).alias("score"),
+    )
 
 
 def hybrid(phrases: DataFrame, doc_scores: DataFrame, start_top_k: int = 1000, doc_top_k: int = 5, sparse_weight: float = 0.05) -> DataFrame:
@@ -57,17 +62,30 @@ def token_match(questions: DataFrame, passages: DataFrame, key: str = "token") -
 def bigram_ids(ids: Column, size: int = 30522) -> Column:
     """a * size + b of neighbours."""
     wide = F.transform(ids, lambda x: x.cast("long"))
-    return F.zip_with(F.slice(wide, 1, F.greatest(F.size(ids) - 1, F.lit(0))), F.slice(wide, 2, F.greatest(F.size(ids) - 1, F.lit(0))), lambda a, b: a * size + b)
+    return F.zip_with(
+        F.slice(wide, 1, F.greatest(F.size(ids) - 1, F.lit(0))), F.slice(wide, 2, F.greatest(F.size(ids) - 1, F.lit(0))),
+        lambda a, b: a * size + b,
+    )
 
 
 def select_ends(starts: DataFrame, ends: DataFrame, max_answer_length: int = 20, span_weight: float = 1.0) -> DataFrame:
     """For each start the end of largest score. starts: qid, group, start_idx, score, end_query, span (array by distance); ends: group, end_idx, end_vec."""
-    near = starts.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_answer_length - 1))).alias("step")).withColumn("end_idx", F.col("start_idx") + F.col("step"))
+    near = starts.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(max_answer_length - 1))).alias("step"),
+    ).withColumn("end_idx", F.col("start_idx") + F.col("step"))
     pairs = near.join(ends, ["group", "end_idx"], "left")
-    total = F.round(F.col("score") + dot(F.col("end_query"), F.col("end_vec")) + span_weight * F.coalesce(F.get("span", F.col("step")), F.lit(0.0)), 6)
+    total = F.round(
+        F.col("score") + dot(F.col("end_query"), F.col("end_vec")) + span_weight * F.coalesce(F.get("span", F.col("step")), F.lit(0.0)),
+        6,
+    )
     best = F.max_by(F.struct("end_idx", total.alias("total")), F.struct(total, -F.col("end_idx")))
-    chosen = pairs.groupBy("qid", "group", "start_idx").agg(F.first("score").alias("score"), F.max(F.when(F.col("end_vec").isNotNull(), 1)).alias("any"), best.alias("b"))
-    return chosen.select("qid", "group", "start_idx", "score", F.when(F.col("any") == 1, F.col("b.end_idx")).alias("end_idx"), F.when(F.col("any") == 1, F.col("b.total")).alias("end_score"))
+    chosen = pairs.groupBy("qid", "group", "start_idx").agg(
+        F.first("score").alias("score"), F.max(F.when(F.col("end_vec").isNotNull(), 1)).alias("any"), best.alias("b"),
+    )
+    return chosen.select(
+        "qid", "group", "start_idx", "score", F.when(F.col("any") == 1, F.col("b.end_idx")).alias("end_idx"),
+        F.when(F.col("any") == 1, F.col("b.total")).alias("end_score"),
+    )
 
 
 def among_candidates(predictions: DataFrame, candidates: DataFrame, prediction: str = "prediction") -> DataFrame:
@@ -91,7 +109,9 @@ def runs(rows: DataFrame, by: str, order: tuple[str, ...], value: str) -> DataFr
     """rows with run: a number within by, one more where the value is not that of the row before."""
     within = Window.partitionBy(by).orderBy(*order)
     begins = F.when(F.col(value) == F.lag(value).over(within), 0).otherwise(1)
-    return rows.withColumn("_begins", begins).withColumn("run", F.sum("_begins").over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
+    return rows.withColumn("_begins", begins).withColumn(
+        "run", F.sum("_begins").over(within.rowsBetween(Window.unboundedPreceding, 0)),
+    ).drop("_begins")
 
 
 def documents_asked(candidates: DataFrame) -> DataFrame:

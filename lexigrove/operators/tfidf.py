@@ -43,7 +43,9 @@ def doc_scores_all(questions: DataFrame, docs: DataFrame, qid: str = "item_id",
     """qid, doc, score of every document that shares a term of positive weight with the question."""
     asked = term_counts(questions, qid, n=n)
     counted = term_counts(docs, did, n=n, only=asked.select("term").distinct())
-    found = document_frequencies(counted).crossJoin(F.broadcast(corpus_size(docs))).select("term", idf(F.col("df"), F.col("n_docs")).alias("idf")).filter("idf > 0")
+    found = document_frequencies(counted).crossJoin(F.broadcast(corpus_size(docs))).select(
+        "term", idf(F.col("df"), F.col("n_docs")).alias("idf"),
+    ).filter("idf > 0")
     asked = asked.join(found, "term").select(qid, "term", (F.log1p("tf") * F.col("idf") * F.col("idf")).alias("qw"))
     pairs = counted.join(asked, "term").select(qid, did, (F.log1p("tf") * F.col("qw")).alias("part"))
     return pairs.groupBy(qid, did).agg(F.round(F.sum("part"), 6).alias("score"))
@@ -76,5 +78,7 @@ def requested_scores(scores: DataFrame, requested: DataFrame) -> DataFrame:
 def paragraph_weights(docs: DataFrame, n: int = 2, delimiter: str = "\n") -> DataFrame:
     """doc_id, par_idx, term, tf, weight: terms of paragraphs, weighed by document frequencies of the whole corpus."""
     paragraphs = docs.select("doc_id", F.posexplode(F.split("text", delimiter)).alias("par_idx", "text"))
-    counts = paragraphs.select("doc_id", "par_idx", F.explode(terms(F.col("text"), n)).alias("term")).groupBy("doc_id", "par_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = paragraphs.select(
+        "doc_id", "par_idx", F.explode(terms(F.col("text"), n)).alias("term"),
+    ).groupBy("doc_id", "par_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
     return weights(counts, document_frequencies(term_counts(docs, n=n)), corpus_size(docs))

@@ -64,7 +64,10 @@ def word_offsets(docs: DataFrame) -> DataFrame:
 def sentences(text: Column, delimiter: str = "\n") -> Column:
     """Half-open bounds of the parts between delimiters; each part ends with its delimiter."""
     lengths = F.transform(F.split(text, delimiter), lambda p: F.length(p) + 1)
-    return scanned(lengths, F.lit(0), "array<struct<start:int,stop:int>>", lambda at, n: (at + n, F.struct(at.alias("start"), (at + n).alias("stop"))))
+    return scanned(
+        lengths, F.lit(0), "array<struct<start:int,stop:int>>",
+        lambda at, n: (at + n, F.struct(at.alias("start"), (at + n).alias("stop"))),
+    )
 
 
 def sentence_at(bounds: Column, position: Column, n: Column) -> Column:
@@ -85,7 +88,10 @@ def sentence_at(bounds: Column, position: Column, n: Column) -> Column:
 
 def localize(docs: DataFrame, position: Column) -> DataFrame:
     """doc_id, start_pos, its sentence's bounds, and the context from the former sentence to the next one. No shuffle."""
-    rows = docs.select("doc_id", position.cast("long").alias("start_pos"), sentence_at(sentences(F.col("text")), position, F.length("text")).alias("s"))
+    rows = docs.select(
+        "doc_id", position.cast("long").alias("start_pos"),
+        sentence_at(sentences(F.col("text")), position, F.length("text")).alias("s"),
+    )
     return rows.select("doc_id", "start_pos", "s.*")
 
 
@@ -96,4 +102,7 @@ def enclosing_segment(text: Column, start: Column, end: Column, delimiter: str =
     low = F.when(back > 0, F.length(head) - back + 1).otherwise(F.lit(0))
     after = F.locate(delimiter, F.substring(text, start + 1, F.length(text)))
     high = F.when(after > 0, start + after - 1).otherwise(F.length(text))
-    return F.struct(F.substring(text, low + 1, high - low).alias("segment"), (start - low).cast("long").alias("start_pos"), (end - low).cast("long").alias("end_pos"))
+    return F.struct(
+        F.substring(text, low + 1, high - low).alias("segment"), (start - low).cast("long").alias("start_pos"),
+        (end - low).cast("long").alias("end_pos"),
+    )

@@ -61,7 +61,9 @@ class Corpus:
             return self.doc_scores(questions)
         found = tfidf.doc_scores_all(questions.select("qid", "text"), self.documents, "qid")
         if self.prior is not None:
-            found = tfidf.blend_prior(found.withColumnRenamed("qid", "item_id"), self.prior.withColumnRenamed("qid", "item_id"), meta_scale).withColumnRenamed("item_id", "qid")
+            found = tfidf.blend_prior(
+                found.withColumnRenamed("qid", "item_id"), self.prior.withColumnRenamed("qid", "item_id"), meta_scale,
+            ).withColumnRenamed("item_id", "qid")
         return found.withColumnRenamed("score", "doc_score")
 
 
@@ -84,7 +86,10 @@ def found_by(corpus: Corpus, questions: DataFrame, p: Parameters) -> DataFrame:
     if p.strategy != "sparse_first":
         near = vindex.probed_top_k(corpus.starts, vindex.probe(questions.select("qid", "query"), corpus.centroids, p.nprobe), p.start_top_k)
         near = near.join(corpus.starts.select("vec_id", "doc_id", "start_idx"), "vec_id")
-        parts.append(search.dense_first(near.select("qid", "doc_id", "start_idx", F.col("score").alias("dense")), doc_scores, p.start_top_k, p.sparse_weight))
+        parts.append(search.dense_first(
+            near.select("qid", "doc_id", "start_idx", F.col("score").alias("dense")), doc_scores, p.start_top_k,
+            p.sparse_weight,
+        ))
     if p.strategy != "dense_first":
         starts = corpus.starts.select("doc_id", "start_idx", F.col("embedding").alias("start_vec"))
         own = search.phrases_of(starts, questions, search.best_documents(doc_scores, p.doc_top_k))
@@ -105,10 +110,14 @@ def finished(
     if "start2end" in asked.columns:
         ended = phrase.ends_through(found, ends, p.max_answer_length)
     else:
-        ended = search.select_ends(found.withColumnRenamed("doc_id", "group"), ends.withColumnRenamed("doc_id", "group"), p.max_answer_length).withColumnRenamed("group", "doc_id")
+        ended = search.select_ends(
+            found.withColumnRenamed("doc_id", "group"), ends.withColumnRenamed("doc_id", "group"), p.max_answer_length,
+        ).withColumnRenamed("group", "doc_id")
     first = tokens.select("doc_id", F.col("idx").alias("start_idx"), F.col("char_start").alias("start_pos"), F.col("char_end").alias("own_end"))
     last = tokens.select("doc_id", F.col("idx").alias("end_idx"), F.col("char_end").alias("end_pos"))
-    placed = ended.join(first, ["doc_id", "start_idx"]).join(last, ["doc_id", "end_idx"], "left").withColumn("end_pos", F.coalesce("end_pos", "own_end")).drop("own_end")
+    placed = ended.join(first, ["doc_id", "start_idx"]).join(last, ["doc_id", "end_idx"], "left").withColumn(
+        "end_pos", F.coalesce("end_pos", "own_end"),
+    ).drop("own_end")
     placed = placed.join(documents.select("doc_id", F.col("text").alias("context"), "article"), "doc_id")
     placed = placed.withColumn("s", sentence_at(sentences(F.col("context")), F.col("start_pos"), F.length("context")))
     answer = F.substring(F.col("context"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
@@ -121,7 +130,10 @@ def finished(
     return search.keep_top(kept, p.top_k)
 
 
-def answers(phrases: DataFrame, doc_scores: DataFrame, tokens: DataFrame, documents: DataFrame, ends: DataFrame, paragraph_scores: DataFrame | None = None, p: Parameters = Parameters()) -> DataFrame:
+def answers(
+    phrases: DataFrame, doc_scores: DataFrame, tokens: DataFrame, documents: DataFrame, ends: DataFrame,
+    paragraph_scores: DataFrame | None = None, p: Parameters = Parameters(),
+) -> DataFrame:
     """Ranked answers with their places in the text, from phrases that are scored already.
 
     phrases: qid, doc_id, start_idx, dense, end_query, span. doc_scores: qid, doc_id, doc_score.
@@ -138,6 +150,8 @@ def answer_questions(corpus: Corpus, questions: DataFrame, paragraph_scores: Dat
     known = [F.col(c) if c in corpus.starts.columns else F.array().cast("array<double>").alias(c) for c in ("span",)]
     named = ["start2end"] if "start2end" in corpus.starts.columns else []
     found = found_by(corpus, questions, p)
-    asked = found.select("qid", "doc_id", "start_idx").distinct().join(corpus.starts.select("doc_id", "start_idx", *known, *named), ["doc_id", "start_idx"])
+    asked = found.select("qid", "doc_id", "start_idx").distinct().join(
+        corpus.starts.select("doc_id", "start_idx", *known, *named), ["doc_id", "start_idx"],
+    )
     asked = asked.join(questions.select("qid", "end_query"), "qid")
     return finished(found, asked, corpus.ends, corpus.tokens, corpus.documents, paragraph_scores, p)

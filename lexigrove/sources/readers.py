@@ -24,7 +24,9 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
     Sums over the files before run in one task, with one row for each file: fit for millions of files; numbered_corpus needs no such sums.
     """
-    raw = spark.read.schema(f"data array<{ARTICLE}>").option("recursiveFileLookup", "true").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), "data")
+    raw = spark.read.schema(f"data array<{ARTICLE}>").option("recursiveFileLookup", "true").json(path, multiLine=True).select(
+        F.col("_metadata.file_path").alias("file"), "data",
+    )
     sizes = raw.groupBy("file").agg(F.sum(F.size("data")).alias("n"))
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     base = sizes.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
@@ -45,7 +47,11 @@ def paragraphs(articles: DataFrame, append_title: bool = False) -> DataFrame:
     """doc_id, par_idx, context and what belongs to it; with append_title the title in brackets comes first."""
     rows = articles.select("doc_id", "title", F.posexplode("paragraphs").alias("par_idx", "p"))
     head = F.concat(F.lit("[ "), F.col("title"), F.lit(" ] ")) if append_title else F.lit("")
-    return rows.select("doc_id", "title", "par_idx", F.concat(head, F.col("p.context")).alias("context"), F.col("p.context_sent_idx").alias("sentences"), F.col("p.context_entities").alias("entities"), F.col("p.qas").alias("qas"))
+    return rows.select(
+        "doc_id", "title", "par_idx", F.concat(head, F.col("p.context")).alias("context"),
+        F.col("p.context_sent_idx").alias("sentences"), F.col("p.context_entities").alias("entities"),
+        F.col("p.qas").alias("qas"),
+    )
 
 
 def joined_text(articles: DataFrame, separator: str = " ") -> DataFrame:
@@ -65,19 +71,25 @@ def contexts_questions(articles: DataFrame, boilerplate: str = "") -> DataFrame:
 def questions(spark: SparkSession, path: str, draft: int | None = None) -> DataFrame:
     """id, question, answers of an evaluation file; a mask at the end becomes a blank."""
     raw = spark.read.schema("data array<struct<id:string,question:string,answers:array<string>>>").json(path, multiLine=True)
-    rows = raw.select(F.explode("data").alias("d")).select("d.id", F.replace("d.question", F.lit("[MASK] ."), F.lit("_")).alias("question"), "d.answers")
+    rows = raw.select(F.explode("data").alias("d")).select(
+        "d.id", F.replace("d.question", F.lit("[MASK] ."), F.lit("_")).alias("question"), "d.answers",
+    )
     return rows.limit(draft) if draft else rows
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
     """qid and question of an XML topic file."""
-    return spark.read.format("xml").option("rowTag", "topic").schema("_number string, question string, query string").load(path).select(F.col("_number").alias("qid"), "question")
+    return spark.read.format("xml").option("rowTag", "topic").schema("_number string, question string, query string").load(path).select(
+        F.col("_number").alias("qid"), "question",
+    )
 
 
 def prior_scores(spark: SparkSession, path: str) -> DataFrame:
     """question, cord_uid, prior of a file of outside scores."""
     raw = spark.read.schema("question string, cord_uid array<string>, score array<double>").json(path, multiLine=True)
-    return raw.select("question", F.explode(F.arrays_zip("cord_uid", "score")).alias("z")).select("question", "z.cord_uid", F.col("z.score").alias("prior"))
+    return raw.select(
+        "question", F.explode(F.arrays_zip("cord_uid", "score")).alias("z"),
+    ).select("question", "z.cord_uid", F.col("z.score").alias("prior"))
 
 
 def prior_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +130,9 @@ def paragraph_postings(spark: SparkSession, path: str, documents: tuple[int, int
 def by_head_question(examples: DataFrame) -> DataFrame:
     """Examples of one head question (of equal text without case) as one row: its ids and distinct entity ids."""
     rows = examples.withColumn("entity", F.explode_outer("entity_ids"))
-    return rows.groupBy(F.lower("question").alias("question")).agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("entity")).alias("entity_ids"))
+    return rows.groupBy(F.lower("question").alias("question")).agg(
+        F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("entity")).alias("entity_ids"),
+    )
 
 
 def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
@@ -141,12 +155,20 @@ def entity_results(spark: SparkSession, path: str) -> DataFrame:
     group = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("g", F.sum((~detail).cast("int")).over(group))
     field = F.split("line", r" \| ")
-    heads = rows.filter(~detail).select("file", "g", F.trim(field[0]).cast("int").alias("rank"), F.trim(field[1]).alias("entity"), F.trim(field[2]).cast("double").alias("score"), F.trim(field[3]).cast("int").alias("articles"))
+    heads = rows.filter(~detail).select(
+        "file", "g", F.trim(field[0]).cast("int").alias("rank"), F.trim(field[1]).alias("entity"),
+        F.trim(field[2]).cast("double").alias("score"), F.trim(field[3]).cast("int").alias("articles"),
+    )
     part = F.split(F.trim(F.substring("line", 4, 1 << 30)), "###")
-    body = rows.filter(detail).groupBy("file", "g").agg(F.array_sort(F.collect_list(F.struct("i", part[0].alias("pmid"), part[1].alias("abstract")))).alias("d"))
+    body = rows.filter(detail).groupBy("file", "g").agg(F.array_sort(F.collect_list(F.struct(
+        "i", part[0].alias("pmid"), part[1].alias("abstract"),
+    ))).alias("d"))
     none = F.array().cast("array<string>")
     out = heads.join(body, ["file", "g"], "left")
-    return out.select("file", "rank", "entity", "score", "articles", F.coalesce(F.transform("d", lambda x: x["pmid"]), none).alias("pmids"), F.coalesce(F.transform("d", lambda x: x["abstract"]), none).alias("abstracts"))
+    return out.select(
+        "file", "rank", "entity", "score", "articles", F.coalesce(F.transform("d", lambda x: x["pmid"]), none).alias("pmids"),
+        F.coalesce(F.transform("d", lambda x: x["abstract"]), none).alias("abstracts"),
+    )
 
 
 def examples(spark: SparkSession, path: str) -> DataFrame:

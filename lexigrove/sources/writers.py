@@ -31,7 +31,9 @@ def write_postings(postings: DataFrame, path: str, ngram: int = 2, size: int | N
     """Postings and, beside them, a row with their parameters."""
     postings.write.mode("overwrite").parquet(f"{path}/postings")
     spark = postings.sparkSession
-    spark.createDataFrame([(ngram, size, "simple")], "ngram int, hash_size long, tokenizer string").write.mode("overwrite").parquet(f"{path}/parameters")
+    spark.createDataFrame(
+        [(ngram, size, "simple")], "ngram int, hash_size long, tokenizer string",
+    ).write.mode("overwrite").parquet(f"{path}/parameters")
 
 
 def write_paragraphs(weights: DataFrame, path: str, each: int = 1000) -> None:
