@@ -87,7 +87,10 @@ def _keyed(functions: int):
                 keys = bucket_keys(x, functions, part.column(1).to_numpy())
                 of = np.repeat(np.arange(len(x)), keys.shape[1])
                 taken = part.take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(taken.column(i) for i in (0, 1, 3, 4))], ["bucket", "k", "label", "vector", "copies"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), *(taken.column(i) for i in (0, 1, 3, 4))],
+                    ["bucket", "k", "label", "vector", "copies"],
+                )
 
     return run
 
@@ -157,7 +160,9 @@ def _links(least: float, functions: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+) -> DataFrame:
     """id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
     vector = F.col(vector_col).cast("array<double>")
@@ -166,24 +171,41 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     label = F.xxhash64(F.col(label_col).cast("string"))  # stands for labels of any type
     rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), vector.alias("vector"), usable.alias("usable"))
     rows = rows.withColumn("k", F.when(F.col("usable"), F.xxhash64("label", F.size("vector"), "vector")))
-    classes = rows.filter("usable").groupBy("k").agg(F.first("label").alias("label"), F.first(F.size("vector")).alias("size"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.filter("usable").groupBy("k").agg(
+        F.first("label").alias("label"), F.first(F.size("vector")).alias("size"), F.first("vector").alias("vector"),
+        F.count(F.lit(1)).alias("copies"),
+    )
     classes = table(classes, "vectors")
     most = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("d")).agg(F.max("n"), F.max("d")).first()
     functions = max(1, math.ceil(math.log(max(1, (most[0] or 1) / BUCKET)) / math.log(2 * (1 << max(1, (most[1] or 2) - 1).bit_length()))))
-    dealt = arrow(classes.select("k", "label", "size", "vector", "copies"), _keyed(functions), "bucket long, k long, label long, vector array<double>, copies long")
+    dealt = arrow(
+        classes.select("k", "label", "size", "vector", "copies"), _keyed(functions),
+        "bucket long, k long, label long, vector array<double>, copies long",
+    )
     dealt = table(dealt, "buckets")
     large = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     dealt = dealt.join(large, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "k", "label", "vector", "copies", "own")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col("k"), F.lit(3)), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)),
+    )
+    dealt = dealt.select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "k", "label", "vector",
+        "copies", "own",
+    )
     dealt = dealt.repartition(width(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     found = table(arrow(dealt, _links(least, functions), "kind tinyint, a long, b long"), "links")
     degree = found.filter("kind = 0").groupBy(F.col("a").alias("k")).agg(F.sum("b").alias("others"))
     whole = components(found.filter("kind = 1").select("a", "b"))
     known = classes.select("k", "copies").join(degree, "k", "left").join(whole.withColumnRenamed("node", "k"), "k", "left")
-    known = known.select("k", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "k").alias("component"))
+    known = known.select(
+        "k", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "k").alias("component"),
+    )
     grouped = rows.select("id", "k").join(known, "k", "left")
     lowest = grouped.filter("k IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
     out = grouped.join(lowest, "component", "left")
     component = F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
+    )

@@ -75,17 +75,26 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, fraction: float) -> D
     follow the hash of their texts, so a frequent id is dealt out as well.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    rows = docs.select(
+        F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
+    ).withColumn("_tie", F.xxhash64("_text"))
     borders = _borders(rows.select("_id", "_tie"), width(spark))
     n = max(1, len(borders))
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.struct("_id", "_tie")
-    table = F.from_json(F.lit(json.dumps([{"_id": i, "_tie": t} for i, t in borders])), "array<struct<_id:string,_tie:bigint>>").cast(f"array<struct<_id:{kind},_tie:bigint>>")
+    table = F.from_json(
+        F.lit(json.dumps([{"_id": i, "_tie": t} for i, t in borders])), "array<struct<_id:string,_tie:bigint>>",
+    ).cast(f"array<struct<_id:{kind},_tie:bigint>>")
     steps = [1 << k for k in reversed(range(max(1, n.bit_length())))]
     # binary search: how many borders but the first are at or before the key
-    part = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when((at + s < n) & (F.get(table, at + s) <= key), s).otherwise(0))
+    part = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, s: at + F.when((at + s < n) & (F.get(table, at + s) <= key), s).otherwise(0),
+    )
     rows = rows.withColumn("_part", part)
-    own, before = F.struct(F.col("_part").alias("p"), F.lit(0).alias("s")), F.struct(F.pmod(F.col("_part") - 1, F.lit(n)).alias("p"), F.lit(1).alias("s"))
+    own, before = F.struct(F.col("_part").alias("p"), F.lit(0).alias("s")), F.struct(
+        F.pmod(F.col("_part") - 1, F.lit(n)).alias("p"), F.lit(1).alias("s"),
+    )
     leads = F.coalesce(F.get(table, F.col("_part")) == key, F.lit(False))
     rows = rows.select("_id", "_text", "_tie", F.explode(F.when(leads, F.array(own, before)).otherwise(F.array(own))).alias("_at"))
     rows = rows.select("_id", "_text", "_tie", F.col("_at.p").alias("_part"), F.col("_at.s").alias("_copy"))

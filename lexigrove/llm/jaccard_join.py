@@ -134,7 +134,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = count >= REPORTED
         k = int(often.sum())
-        columns = [pa.array([1] * k, pa.int8()), pa.nulls(k, id_type), pa.array(value[often].view(np.int64)), pa.array(count[often], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())]
+        columns = [
+            pa.array([1] * k, pa.int8()), pa.nulls(k, id_type), pa.array(value[often].view(np.int64)),
+            pa.array(count[often], pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
+        ]
         return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["kind", "id", "a", "b", "counts", "fine"]
@@ -155,7 +158,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         value, there = subsets(s, scheme)
                         held.append(value[there])
                         n_held += len(held[-1])
-        columns = [pa.array([0] * len(ids), pa.int8()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())]
+        columns = [
+            pa.array([0] * len(ids), pa.int8()), batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
+            pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names)
         if len(seen) > 1 << 18:
             seen = set()
@@ -188,7 +194,10 @@ def _second_pass(common, buckets: int):
             if not k:
                 signature = (signature >> np.uint64(32)).astype(np.uint32)
             blobs = [(signature[a:b].tobytes(), member[a:b].tobytes()) for a, b in zip(first, last)]
-            columns = [pa.array(bucket[first]), pa.array([bool(k)] * len(first)), pa.array([x for x, _ in blobs], pa.binary()), pa.array([x for _, x in blobs], pa.binary())]
+            columns = [
+                pa.array(bucket[first]), pa.array([bool(k)] * len(first)), pa.array([x for x, _ in blobs], pa.binary()),
+                pa.array([x for _, x in blobs], pa.binary()),
+            ]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "single", "signatures", "members"])
 
         def closed() -> Iterator[pa.RecordBatch]:
@@ -458,7 +467,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.sort(np.r_[np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
             shared = int((both[1:] == both[:-1]).sum())
             keep.append(100 * shared >= 75 * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))],
+            ["a", "b"],
+        )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -488,7 +500,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     often = [r["a"] for r in often.orderBy(F.desc("n"), "a").limit(MOST_COMMON).select("a").collect()]
     common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
     owned = first.filter("kind = 0").select("id", F.col("a").alias("set"), F.col("b").alias("n_shingles"))
-    sizes = first.filter("kind = 0 AND b > 0").groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("counts").alias("counts"), F.min("id").alias("one"))
+    sizes = first.filter("kind = 0 AND b > 0").groupBy(F.col("a").alias("set")).agg(
+        F.first("b").alias("n"), F.first("counts").alias("counts"), F.min("id").alias("one"),
+    )
     parts = width(spark)
     total = sizes.agg(F.sum(F.col("n") * 0.6 + 2)).first()[0] or 0
     buckets = max(parts, int(total // BUCKET) + 1)
@@ -506,7 +520,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side")
         one = F.struct("set", "n", "counts", F.col(more).alias("more"), side)
-        listed = dealt_out.groupBy("g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(one).alias("x"))
+        listed = dealt_out.groupBy(
+            "g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        ).agg(F.collect_list(one).alias("x"))
         return listed.filter(F.size("x") > 1).select("g", "x.set", "x.n", "x.counts", "x.more", "x.side")
 
     likely = table(arrow(gathered(members, "n"), _trees, "a long, b long").distinct(), "likely")
@@ -528,7 +544,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     grouped = owned.join(final, owned["set"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "set").alias("component"))
     least = grouped.filter("n_shingles > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     out = grouped.join(least, "component", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,7 +99,10 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[tuple[int, i
     return [w for w in windows if w]
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    keep_ids: bool = False,
+) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with keep_ids, ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", ids array<int>" if keep_ids else ""

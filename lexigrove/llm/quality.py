@@ -124,7 +124,9 @@ def rows_of(ratios: np.ndarray, of: np.ndarray, feature: np.ndarray) -> tuple[np
     total = np.maximum(np.bincount(of, minlength=n), 1)
     text = key >> BITS
     step = np.floor(np.log2(np.maximum(ratios, 1e-4)) * 1.5).astype(np.int64) + 64
-    stepped = (mix((np.arange(ratios.shape[1], dtype=np.uint64)[None, :] * np.uint64(1024) + step.astype(np.uint64)).ravel(), 97) >> np.uint64(64 - BITS)).astype(np.int64)
+    stepped = (mix(
+        (np.arange(ratios.shape[1], dtype=np.uint64)[None, :] * np.uint64(1024) + step.astype(np.uint64)).ravel(), 97,
+    ) >> np.uint64(64 - BITS)).astype(np.int64)
     return (
         np.r_[text, np.repeat(np.arange(n), ratios.shape[1])],
         np.r_[key & ((1 << BITS) - 1), stepped],
@@ -180,7 +182,10 @@ def _survey(limit: int):
                         own.append(int(pattern[i]))
                         feature.append(f[mine].astype(np.int32).tobytes())
                         value.append(v[mine].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(own), pa.int8()), pa.array(own, pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(feature, pa.binary()), pa.array(value, pa.binary())], ["kind", "pattern", "n", "feature", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([1] * len(own), pa.int8()), pa.array(own, pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(feature, pa.binary()), pa.array(value, pa.binary())],
+                ["kind", "pattern", "n", "feature", "value"],
+            )
         yield pa.RecordBatch.from_arrays(
             [pa.array([0] * len(total), pa.int8()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64()), pa.nulls(len(total), pa.binary()), pa.nulls(len(total), pa.binary())],
             ["kind", "pattern", "n", "feature", "value"],
@@ -218,7 +223,10 @@ def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
                 ratios, of, shapes = measures(data, at)
                 score[first : first + n] = own.score(*rows_of(ratios, of, shapes), n)
                 weak[first : first + n] = table_of[patterns(votes(ratios))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(weak), pa.array(score >= threshold)], ["id", "score", "weak_label", "keep"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score), pa.array(weak), pa.array(score >= threshold)],
+                ["id", "score", "weak_label", "keep"],
+            )
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return arrow(frame, run, f"id {kind}, score double, weak_label double, keep boolean").withColumnRenamed("id", id_col)

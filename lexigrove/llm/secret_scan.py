@@ -67,7 +67,10 @@ def _appended(items: Column, start: Column, kind: str, step: Callable[[Column, C
         return F.struct(at.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
 
     def outer(all_items: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_items, b * BLOCK + 1, BLOCK))
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int")),
+            lambda b: F.slice(all_items, b * BLOCK + 1, BLOCK),
+        )
 
         def block(acc: Column, part: Column) -> Column:
             made = F.aggregate(part, F.struct(acc["at"].alias("at"), _empty(kind).alias("out")), inner)
@@ -117,7 +120,9 @@ def _bits(word: Column) -> Column:
     hexa = word.rlike("^[0-9a-fA-F]+$") & word.rlike("[0-9]") & word.rlike("[a-fA-F]")
     digits = F.length(F.regexp_replace(word, "[^0-9]", ""))
     mixed = word.rlike("[0-9]") & word.rlike("[a-z]") & word.rlike("[A-Z]") | word.rlike("[a-z]{2}|[A-Z]{2}") & (digits >= 4)
-    return F.when(F.length(word) < SHORTEST, F.lit(None).cast("double")).when(hexa, F.lit(HEX_BITS)).when(mixed, F.lit(MIXED_BITS)).when(word.rlike("[A-Za-z]"), F.lit(LETTER_BITS))
+    return F.when(
+        F.length(word) < SHORTEST, F.lit(None).cast("double"),
+    ).when(hexa, F.lit(HEX_BITS)).when(mixed, F.lit(MIXED_BITS)).when(word.rlike("[A-Za-z]"), F.lit(LETTER_BITS))
 
 
 def _entropy_runs(word: Column, bits: Column) -> Column:
@@ -141,7 +146,10 @@ def _entropy_runs(word: Column, bits: Column) -> Column:
 
     def move(own: Column, gone: Column) -> Column:
         change = F.zip_with(F.get(ones, own["code"]), F.coalesce(F.get(ones, gone["code"]), nothing), lambda a, b: a - b)
-        return F.struct(own.alias("own"), gone.alias("gone"), F.coalesce(own["code"] == gone["code"], F.lit(False)).cast("int").alias("same"), change.alias("change"))
+        return F.struct(
+            own.alias("own"), gone.alias("gone"),
+            F.coalesce(own["code"] == gone["code"], F.lit(False)).cast("int").alias("same"), change.alias("change"),
+        )
 
     def step(acc: Column, x: Column) -> Column:
         """x: the character that enters, the one that leaves (null: none), whether they are equal, and how the counts change."""
@@ -190,7 +198,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     text = F.col("_text")
     none = _empty(_SPAN)
     value = F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2))
-    assign = F.filter(F.zip_with(_spans(text, ASSIGN, F.col("_a"), 0), value, lambda s, v: F.struct(s.alias("s"), F.length(v).alias("n"))), lambda x: x["n"] >= 8)
+    assign = F.filter(
+        F.zip_with(_spans(text, ASSIGN, F.col("_a"), 0), value, lambda s, v: F.struct(s.alias("s"), F.length(v).alias("n"))),
+        lambda x: x["n"] >= 8,
+    )
     assign = F.when(F.size("_a") > 0, F.transform(assign, lambda x: x["s"])).otherwise(none)
 
     def scored(part: Column) -> Column:
@@ -205,12 +216,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     placed = F.flatten(F.zip_with(_spans(text, CANDIDATE, F.col("_c"), 3), F.col("_c"), lambda s, c: _parts(c, s["start"])))
     entropy = F.when(F.size("_c") > 0, F.flatten(F.transform(placed, scored))).otherwise(none)
     spans = F.concat(assign, _spans(text, ACCESS, F.col("_k"), 1), _spans(text, HEX, F.col("_h"), 2), entropy)
-    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), *[F.col(f"_keep.{c}").alias(c) for c in keep], F.array_sort(spans).alias("found"))
+    return out.select(
+        F.col("_id").alias(id_col), F.col("_text").alias(text_col), *[F.col(f"_keep.{c}").alias(c) for c in keep],
+        F.array_sort(spans).alias("found"),
+    )
 
 
 def _written(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -192,9 +192,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     """k1, k2 and spans (start, stop) of bytes to remove; spans may overlap."""
     spark = keyed.sparkSession
     texts = keyed.select("k1", "k2", "text")
-    cuts = arrow(texts.filter(F.octet_length("text") >= length), _cut_all(length, gram), "k1 long, k2 long, minimizer long, digest long, place long, n long, anchor long")
+    cuts = arrow(
+        texts.filter(F.octet_length("text") >= length), _cut_all(length, gram),
+        "k1 long, k2 long, minimizer long, digest long, place long, n long, anchor long",
+    )
     cuts = table(cuts, "pieces")
-    counted = cuts.groupBy("minimizer", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "place", "n", "anchor")).alias("one"))
+    counted = cuts.groupBy("minimizer", "digest").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "place", "n", "anchor")).alias("one"),
+    )
     counted = table(counted, "counted")
     whole = cuts.join(counted.filter("copies > 1").select("minimizer", "digest"), ["minimizer", "digest"])
     whole = whole.select("k1", "k2", F.col("place").alias("start"), (F.col("place") + F.col("n") - 1 + length).alias("stop"))
@@ -210,7 +215,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     spans = whole.unionByName(arrow(few, _insert(length, gram), _OUT))
     many = strings.filter(F.col("kinds") > most)
     if many.limit(1).count():
-        each = arrow(many.select("k1", "k2", "place", "n", "alone", "bytes"), _each_string(length), "k1 long, k2 long, start long, alone boolean, digest binary")
+        each = arrow(
+            many.select("k1", "k2", "place", "n", "alone", "bytes"), _each_string(length),
+            "k1 long, k2 long, start long, alone boolean, digest binary",
+        )
         each = table(each, "each")
         twice = each.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest")
         hot = each.filter("alone").join(twice, "digest")
@@ -241,7 +249,10 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(3), *made], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_PIECES, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """row (the input row), n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left) and kept (their text, without parts of cut characters)."""
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_spans(keyed, length, gram, most)

@@ -112,7 +112,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, prior: float, seed: int =
     return machine
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample: int = SAMPLE,
+) -> Machine:
     """Machine from a sample of at most so many labelled texts of each class."""
     spark = docs.sparkSession
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))

@@ -45,8 +45,14 @@ def test_equals_brute_force(spark, monkeypatch, bucket, block):
     for i in range(220):
         v = centre[r.integers(6)] + r.normal(size=20) * r.choice([0, 0.05, 0.1, 0.15, 3])
         rows.append((i, [float(np.float32(x)) for x in v * r.choice([1, 1, 2])], int(r.integers(3))))
-    rows += [(300, None, 1), (301, [0.0] * 20, 1), (302, [None] * 20, 1), (303, [float("nan")] * 20, 1), (304, [float("inf")] + [1.0] * 19, 1), (305, rows[0][1], None)]
-    rows += [(306, [1.0, 2.0], 1), (307, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (308, [], 1), (309, [3.0], 2), (310, [-3.0], 2), (310, rows[5][1], rows[5][2]), (310, rows[5][1], rows[5][2])]
+    rows += [
+        (300, None, 1), (301, [0.0] * 20, 1), (302, [None] * 20, 1), (303, [float("nan")] * 20, 1),
+        (304, [float("inf")] + [1.0] * 19, 1), (305, rows[0][1], None),
+    ]
+    rows += [
+        (306, [1.0, 2.0], 1), (307, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (308, [], 1), (309, [3.0], 2), (310, [-3.0], 2),
+        (310, rows[5][1], rows[5][2]), (310, rows[5][1], rows[5][2]),
+    ]
     frame = spark.createDataFrame([(*x, 0) for x in rows], "vec_id long, embedding array<float>, label int, k int").repartition(3)
     assert sorted(map(tuple, E.near_duplicates(frame).collect()), key=str) == brute(rows)
 

@@ -53,7 +53,10 @@ def near_copies(seed, n):
     r = random.Random(seed)
     passage = " ".join(f"p{i}" for i in range(60))
     base = [[f"w{r.randrange(10**6)}" for _ in range(r.choice([3, 8, 30, 70, 260, 300, 340, 1100]))] for _ in range(14)]
-    rows = [(None, "A b c d E f"), (None, None), (5000, "a B c d e f"), (5001, ""), (5002, " \n"), (5003, "Ä b c d e f"), (7, "same id"), (7, "same id"), (7, "other words under that id")]
+    rows = [
+        (None, "A b c d E f"), (None, None), (5000, "a B c d e f"), (5001, ""), (5002, " \n"), (5003, "Ä b c d e f"),
+        (7, "same id"), (7, "same id"), (7, "other words under that id"),
+    ]
     rows += [(6000 + i, " ".join([w, w, w, "b", "c", w])) for i, w in enumerate(thue_morse())]
     for i in range(n):
         words = list(r.choice(base))

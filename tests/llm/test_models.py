@@ -68,7 +68,10 @@ def test_network_gradients():
         return -net.log_class(context)[2][np.arange(5), target].mean()
 
     each, (places, hidden, output, bias) = trainer.gradients(context, target)
-    wanted = [(trainer.vectors, each[7], (context[1, 3], 4)), (trainer.dense[0], places, (2, 5)), (trainer.dense[1], hidden, (4,)), (trainer.dense[2], output, (3, 7)), (trainer.dense[3], bias, (7,))]
+    wanted = [
+        (trainer.vectors, each[7], (context[1, 3], 4)), (trainer.dense[0], places, (2, 5)), (trainer.dense[1], hidden, (4,)),
+        (trainer.dense[2], output, (3, 7)), (trainer.dense[3], bias, (7,)),
+    ]
     for x, g, i in wanted:
         before = loss()
         x[i] += 1e-5
@@ -85,7 +88,10 @@ def test_every_place_of_every_text_is_trained_on_whatever_the_batches(monkeypatc
     texts = ["one", "", "two words", " ".join("w%d" % (i % 90) for i in range(1001)), "a b c", " ".join("v%d" % i for i in range(3000))]
     shards = [0, 0, 0, 1, 1, 1]
     net, steps = network(3), []
-    monkeypatch.setattr(L.Trainer, "step", lambda self, context, target: steps.append((context.tolist(), target.tolist())) or setattr(self, "places", self.places + len(target)))
+    monkeypatch.setattr(
+        L.Trainer, "step",
+        lambda self, context, target: steps.append((context.tolist(), target.tolist())) or setattr(self, "places", self.places + len(target)),
+    )
     whole = blobs(texts, shards)
     for cut in ([0, 6], [0, 1, 3, 4, 6]):
         steps.clear()

@@ -64,7 +64,10 @@ def test_secret_scan_equals_brute_force(spark, sf):
 
 
 def test_entropy_runs_equal_brute_force(spark):
-    words = ["q8Zr2LmN0pXw7Tb4Vk9Yc1Hd6Gj3Fs5", "aaaaaaaaaaaaaaaaaaaaaaaaq8Zr2LmN0pXw7Tb4Vk9Yc1Hd6Gj3Fs5aaaaaaaaaaaaaaaaaaaaaaaaaaaaq8Zr2LmN0pXw7Tb4Vk9Y", "short"]
+    words = [
+        "q8Zr2LmN0pXw7Tb4Vk9Yc1Hd6Gj3Fs5",
+        "aaaaaaaaaaaaaaaaaaaaaaaaq8Zr2LmN0pXw7Tb4Vk9Yc1Hd6Gj3Fs5aaaaaaaaaaaaaaaaaaaaaaaaaaaaq8Zr2LmN0pXw7Tb4Vk9Y", "short",
+    ]
     frame = spark.createDataFrame([(w,) for w in words], "w string")
     for r in frame.select("w", secret_scan._entropy_runs(F.col("w"), F.lit(3.75)).alias("r")).collect():
         assert [[x.start, x.end] for x in r.r] == runs(r.w, 3.75)
@@ -115,7 +118,10 @@ def test_allow_list_hides_no_secret_beside_it(spark):
 
 
 def test_redaction_keeps_columns_and_other_text(spark):
-    docs = spark.createDataFrame([(1, "a token=abcdefgh b", "s"), (2, None, "s"), (3, "clean", "s"), (1, "a token=abcdefgh b", "s")], "doc_id long, text string, _text string")
+    docs = spark.createDataFrame(
+        [(1, "a token=abcdefgh b", "s"), (2, None, "s"), (3, "clean", "s"), (1, "a token=abcdefgh b", "s")],
+        "doc_id long, text string, _text string",
+    )
     got = sorted(map(tuple, secret_scan.redact(docs).collect()), key=str)
     assert got == sorted([(1, "a [SECRET] b", "s"), (1, "a [SECRET] b", "s"), (2, None, "s"), (3, "clean", "s")], key=str)
 
@@ -132,7 +138,9 @@ def shingles(text):
 
 def test_fingerprints_of_string_ids_and_a_frequent_id(spark, monkeypatch):
     """Rows of one id follow the hash of their texts, in as many ranges as there are; results don't hang on the ranges."""
-    rows = [("k", f"text {i} with some more words in it {i % 7}") for i in range(60)] + [(None, f"none {i}") for i in range(30)] + [(f"k{i:02d}", "a b c d e f") for i in range(20)]
+    rows = [(
+        "k", f"text {i} with some more words in it {i % 7}",
+    ) for i in range(60)] + [(None, f"none {i}") for i in range(30)] + [(f"k{i:02d}", "a b c d e f") for i in range(20)]
     docs = spark.createDataFrame(rows, "name string, body string")
     got = []
     for n in (1, 5, 40):

@@ -54,7 +54,10 @@ def redacted(text):
 
 def test_stages_equal_brute_force(spark, sf, library):
     first = spark.read.parquet(f"{sf}/documents.parquet")
-    planted = [(9001, "key token=abcdefgh12345 and more words follow here " + "q8Zr2LmN0pXw7Tb4Vk9Yc1Hd6Gj3Fs5", "en", "s", 1), (9002, None, "en", "s", 0), (9003, "", None, None, None)]
+    planted = [
+        (9001, "key token=abcdefgh12345 and more words follow here " + "q8Zr2LmN0pXw7Tb4Vk9Yc1Hd6Gj3Fs5", "en", "s", 1),
+        (9002, None, "en", "s", 0), (9003, "", None, None, None),
+    ]
     docs = first.unionAll(spark.createDataFrame(planted, first.schema)).cache()
     names = docs.columns
     state = {r.doc_id: r.text for r in docs.collect()}
