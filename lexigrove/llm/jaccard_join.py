@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
@@ -40,7 +40,7 @@ WORDS = 5
 #: Sizes of a band: from a power of RATIO to the next. Partitions of a group, and partitions for each element of a band's smallest set.
 RATIO, GROUP, EACH = 4, 3, 2.5
 #: A signature of so many sets is passed over; at most so many are; a task reports those it met so often.
-COMMON, MOST_COMMON, REPORTED = 64, 100_000, 3
+COMMON, MOST_COMMON, REPORTED = 64, 100_000, 2
 #: Signatures that a task counts together and that it holds for dealing out, signatures of a bucket about, parity bits for each element, sets of a list that one task compares.
 COUNTED, HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 21, 1 << 19, 1 << 18, 2, 8, 1024
 #: Edges that a task holds before it looks for those that span them.
@@ -356,27 +356,18 @@ def spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 class _Spanned:
-    """Edges of a task that span all it has met: of an edge within a component nothing is kept."""
+    """Links of a task (rows of two sets and of their components) that connect all components which any links connect."""
 
     def __init__(self) -> None:
-        self.edges: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        self.size = 0
+        self.links = np.zeros((0, 4), np.int64)
 
-    def roots(self, nodes: np.ndarray) -> np.ndarray:
-        """The component of each node so far: its least node."""
-        whole = self.reduce()
-        known, root = forest(whole[:, 0], whole[:, 1])
-        return _replaced(nodes, known, root)
+    def roots(self, components: np.ndarray) -> np.ndarray:
+        """Each component's least one among those connected so far."""
+        return _replaced(components, *forest(self.links[:, 2], self.links[:, 3]))
 
-    def add(self, edges: np.ndarray) -> None:
-        self.edges.append(edges)
-        self.size += len(edges)
-
-    def reduce(self) -> np.ndarray:
-        found = np.concatenate(self.edges)
-        found = found[spanning(found[:, 0], found[:, 1])]
-        self.edges, self.size = [found], len(found)
-        return found
+    def add(self, links: np.ndarray) -> None:
+        both = np.concatenate([self.links, links])
+        self.links = both[spanning(both[:, 2], both[:, 3])]
 
 
 def _replaced(values: np.ndarray, known: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -388,35 +379,31 @@ def _replaced(values: np.ndarray, known: np.ndarray, by: np.ndarray) -> np.ndarr
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible links that connect all that possible links within the task's lists connect; and (set, set) of every set with one.
+    """Possible links between sets of different components (more) that connect all that possible links within the task's lists connect.
 
-    Pairs whose sets are connected already are not compared, so a group of near copies costs little more than a chain.
+    Pairs whose components are connected already are not compared, so a group of near copies costs little more than a chain.
     """
     held = _Spanned()
-
-    def closed() -> pa.RecordBatch:
-        found = held.reduce()
-        some = np.unique(found)
-        return _emit([found, np.stack([some, some], 1)])
-
     for batch in batches:
         own = _Members(batch)
-        ids, at = np.unique(own.sets, return_inverse=True)
+        ids, at = np.unique(own.more, return_inverse=True)
         label = held.roots(ids)
+        found = [np.zeros((0, 4), np.int64)]
         for i, j in own.pairs():
             open_ones = label[at[i]] != label[at[j]]
             i, j = i[open_ones], j[open_ones]
             keep = own.may_link(i, j)
             i, j = i[keep], j[keep]
             if len(i):
-                edges = _pairs(own.sets[i], own.sets[j])
-                pick = spanning(edges[:, 0], edges[:, 1])
-                held.add(edges[pick])
-                label = _replaced(label, *forest(label[at[i[pick]]], label[at[j[pick]]]))
-        if held.size > EDGES:
-            yield closed()
+                x, y = label[at[i]], label[at[j]]
+                pick = spanning(x, y)
+                found.append(np.concatenate([_pairs(own.sets[i[pick]], own.sets[j[pick]]), np.stack([own.more[i[pick]], own.more[j[pick]]], 1)], 1))
+                label = _replaced(label, *forest(x[pick], y[pick]))
+        held.add(np.concatenate(found))
+        if len(held.links) > EDGES:
+            yield _emit([held.links[:, :2]])
             held = _Spanned()
-    yield closed()
+    yield _emit([held.links[:, :2]])
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,36 +496,46 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     dealt = arrow(rows.select("text"), _second_pass(common, buckets), "bucket int, single boolean, signatures binary, members binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
     lists = arrow(dealt, _groups, "g long, members array<long>").distinct()
-    members = lists.select("g", F.explode("members").alias("set"))
-    members = table(members.join(sizes.drop("one"), "set"), "members")
+    members = table(lists.select("g", F.explode("members").alias("set")), "members")
+
+    def unsettled(rows_of: DataFrame, whole: DataFrame) -> DataFrame:
+        """Rows (g, set) of the lists with sets of two components or more, with the component of each."""
+        labelled = rows_of.join(whole.withColumnRenamed("node", "set"), "set", "left").select("g", "set", F.coalesce("component", "set").alias("component"))
+        several = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        return labelled.join(several.select("g"), "g")
+
+    def gathered(rows_of: DataFrame, known: DataFrame, more: Column) -> DataFrame:
+        """Lists of two or more sets with their sizes and parities (known); of longer ones than BLOCK every pair of blocks.
 
-    def gathered(rows_of: DataFrame, more: str) -> DataFrame:
-        """Lists of two or more sets; of longer ones than BLOCK every pair of blocks. side: the block of a set where two meet, else -1."""
+        side: the block of a set where two meet, else -1. Sizes and parities join last, so they are shuffled once.
+        """
         long = rows_of.groupBy("g").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK)
-        dealt_out = rows_of.join(long, "g", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1)).cast("int"))
+        blocks = F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1)).cast("int")
+        dealt_out = rows_of.withColumn("more", more).join(long, "g", "left").withColumn("blocks", blocks)
         dealt_out = dealt_out.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int"))
         dealt_out = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side")
-        one = F.struct("set", "n", "counts", F.col(more).alias("more"), side)
-        listed = dealt_out.groupBy(
-            "g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        ).agg(F.collect_list(one).alias("x"))
+        side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+        dealt_out = dealt_out.select("g", "set", "more", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"))
+        one = F.struct("set", "n", "counts", "more", "side")
+        listed = dealt_out.join(known.select("set", "n", "counts"), "set").groupBy("g", "low", "high").agg(F.collect_list(one).alias("x"))
         return listed.filter(F.size("x") > 1).select("g", "x.set", "x.n", "x.counts", "x.more", "x.side")
 
-    likely = table(arrow(gathered(members, "n"), _trees, "a long, b long").distinct(), "likely")
-    involved = likely.filter("a = b").select(F.col("a").alias("set"))
+    # a first look at two lists of each set connects most near copies; lists within what it connects need no more looks
+    some = members.groupBy("set").agg(F.array_distinct(F.array(F.min("g"), F.max("g"))).alias("g")).select(F.explode("g").alias("g"), "set")
+    near = table(arrow(gathered(some, sizes, F.col("set")), _trees, "a long, b long").distinct(), "near")
+    likely = near.union(arrow(gathered(unsettled(members, components(near)), sizes, F.col("component")), _trees, "a long, b long"))
+    likely = table(likely.distinct(), "likely")
+    involved = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     texts = rows.join(sizes.join(involved, "set").select("set", "one"), F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
     sets = arrow(texts, _elements, "set long, elements binary")
     sets = table(sets.groupBy("set").agg(F.first("elements").alias("elements")), "elements")
-    links = table(_verified(likely.filter("a < b"), sets), "links")
-    known = table(components(links), "components").withColumnRenamed("node", "set")
-    members = members.join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    open_ones = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("g")
-    apart = table(arrow(gathered(members.join(open_ones, "g"), "component"), _apart, "g long, set long"), "apart")
+    links = table(_verified(likely, sets), "links")
+    known = table(components(links), "components")
+    apart = gathered(unsettled(members, known), sizes, F.col("component"))
+    apart = table(arrow(apart, _apart, "g long, set long").distinct(), "apart")
     fine = first.filter("kind = 0 AND b > 0").join(apart.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
     fine = fine.groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("fine").alias("counts"))
-    closer = apart.join(fine, "set").join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    rest = arrow(gathered(closer, "component"), _across, "a long, b long").distinct()
+    rest = arrow(gathered(unsettled(apart, known), fine, F.col("component")), _across, "a long, b long").distinct()
     more = table(_verified(rest.join(likely, ["a", "b"], "left_anti"), sets), "links")
     final = table(components(links.union(more)), "components")
     grouped = owned.join(final, owned["set"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "set").alias("component"))
