@@ -276,8 +276,14 @@ SELECT qid, pid, round(sum(q.v * p.v), 6) score FROM q JOIN p USING (term) WHERE
 
 
 def _matches(spark, d, pairs: bool):
-    own = lambda name, key, to, by: tfidf.term_counts(_t(spark, d, name), key).filter(F.contains("term", F.lit(" ")) == pairs).select(F.col(key).alias(to), F.col("term").alias("token"), (F.col("tf") / by).alias("value"))
-    return search.token_match(own("benchmark", "item_id", "qid", 4.0), own("documents", "doc_id", "pid", 8.0))
+    """Tokens are counted in documents only where a question has them."""
+
+    def valued(counts: DataFrame, key: str, to: str, by: float) -> DataFrame:
+        return counts.select(F.col(key).alias(to), F.col("term").alias("token"), (F.col("tf") / by).alias("value"))
+
+    asked = tfidf.term_counts(_t(spark, d, "benchmark"), "item_id").filter(F.contains("term", F.lit(" ")) == pairs)
+    counted = tfidf.term_counts(_t(spark, d, "documents"), only=asked.select("term").distinct())
+    return search.token_match(valued(asked, "item_id", "qid", 4.0), valued(counted, "doc_id", "pid", 8.0))
 
 
 @query(_MATCH.replace("@NOT@", "NOT "))

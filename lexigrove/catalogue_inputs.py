@@ -30,6 +30,15 @@ def ngram_modes(spark, d):
     return rows
 
 
+@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') t FROM documents), e AS (SELECT doc_id, unnest(t) w, generate_subscripts(t, 1) i FROM t),
+flag AS (SELECT doc_id, i, lower(w) w, (regexp_full_match(w, '\\p{{P}}+') OR lower(w) IN ({_STOP})) f FROM e), two AS (SELECT *, lead(w) OVER o w2, lead(f) OVER o f2 FROM flag WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, w term FROM flag WHERE NOT f UNION ALL SELECT doc_id, w || ' ' || w2 FROM two WHERE NOT f AND NOT f2) SELECT doc_id, count(*) n_terms, sum(length(term))::BIGINT chars FROM g GROUP BY doc_id""")
+def whitespace_terms(spark, d):
+    """Terms by another tokenizer."""
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(X.terms(F.col("text"), tokenizer=X.whitespace_tokens)).alias("term"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.length("term")).alias("chars"))
+
+
 # --- model inputs ----------------------------------------------------------------------------
 
 _ONE = {"[PAD]": 0, "[CLS]": 1, "[SEP]": 2} | {chr(c): c - 94 for c in range(97, 123)}

@@ -80,11 +80,11 @@ def ngrams(words: Column, n: int = 2, mode: str | None = "any", keep: Callable[[
     return F.get(F.transform(F.array(marked), from_start), F.lit(0))
 
 
-def terms(text: Column, n: int = 2, mode: str = "any") -> Column:
-    """Terms of a text for n up to 2 in the common mode without nested arrays; otherwise by ngrams()."""
+def terms(text: Column, n: int = 2, mode: str = "any", tokenizer: Callable[[Column], Column] = tokens) -> Column:
+    """Terms of a text for n up to 2 in the common mode without nested arrays; otherwise by ngrams(). tokenizer: what cuts the text into words."""
     if n > 2 or mode != "any":
-        return ngrams(tokens(text), n, mode)
-    marked = F.transform(tokens(text), lambda w: F.struct(F.lower(w).alias("w"), is_filtered(w).alias("f")))
+        return ngrams(tokenizer(text), n, mode)
+    marked = F.transform(tokenizer(text), lambda w: F.struct(F.lower(w).alias("w"), is_filtered(w).alias("f")))
 
     def both(m: Column) -> Column:
         single = F.transform(F.filter(m, lambda x: ~x["f"]), lambda x: x["w"])
