@@ -18,7 +18,7 @@ def test_scanned_is_a_running_fold(spark):
 
 
 def test_token_f1_of_repeated_words(spark):
-    rows = [("a b b c c c", "b b b c d", 2 * 3 / 10), ("", "x", 0.0), ("yes", "yes yes", 0.0), ("x " * 300, "x " * 200, 2 * 200 / 500), (None, "x", None)]
+    rows = [("a b b c c c", "b b b c d", 2 * 3 / 11), ("", "x", 0.0), ("yes", "yes yes", 0.0), ("x " * 300, "x " * 200, 2 * 200 / 500), (None, "x", None)]
     frame = spark.createDataFrame(rows, "p string, t string, f double")
     for r in frame.select("f", evaluate.token_f1(F.regexp_replace("p", r"\ba\b", "e"), F.col("t"))["f1"].alias("got")).collect():
         assert r.f is None or np.isclose(r.got, r.f)
@@ -49,9 +49,9 @@ def test_index_of_trained_centroids(spark, sf):
     index_store.build(vectors, path, clusters=8)
     index = index_store.load(spark, path)
     queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    exact = {(r.qid, r.vec_id) for r in vindex.exact_top_k(vectors, queries, 10).collect()}
-    found = {(r.qid, r.vec_id) for r in index.search(queries, 10, 8).collect()}
-    assert index.lists.count() == vectors.count() and len(exact & found) >= 0.9 * len(exact)
+    exact = sorted((r.qid, r.vec_id, r.score) for r in vindex.exact_top_k(index.vectors(), queries, 10).collect())
+    found = sorted((r.qid, r.vec_id, r.score) for r in index.search(queries, 10, 8).collect())
+    assert index.lists.count() == vectors.count() and np.allclose(exact, found, atol=2e-6)
 
 
 def test_query_blocks_change_nothing(spark, sf, monkeypatch):
