@@ -42,7 +42,11 @@ RATIO, GROUP, EACH = 4, 3, 2.5
 #: A signature of so many sets is passed over; at most so many are; a task reports those it met so often.
 COMMON, MOST_COMMON, REPORTED = 64, 100_000, 2
 #: Signatures that a task counts together and that it holds for dealing out, signatures of a bucket about, parity bits for each element, sets of a list that one task compares.
-COUNTED, HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 21, 1 << 19, 1 << 18, 2, 8, 1024
+COUNTED, HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 21, 1 << 20, 1 << 15, 1, 2, 1024
+#: Parity bits of a set for each of these at most: beyond about twice as many elements they rule nothing out.
+MOST_BITS = 1 << 13
+#: Rows (set and id) that are sent to all tasks at most, so that texts need not be shuffled for few sets.
+SMALL = 1 << 20
 #: Edges that a task holds before it looks for those that span them.
 EDGES = 1 << 18
 
@@ -439,9 +443,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parities(s: np.ndarray, each: int) -> bytes:
-    """Whether the number of elements in each of at least each * len(s) buckets is odd: as many bits, a power of two."""
-    bits = 128 * each // 2
-    while bits < each * len(s):
+    """Whether the number of elements in each of at least each * len(s) buckets is odd: as many bits, a power of two, MOST_BITS * each at most."""
+    bits = 128 * each
+    while bits < min(each * len(s), each * MOST_BITS):
         bits *= 2
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
@@ -517,7 +521,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
         dealt_out = dealt_out.select("g", "set", "more", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"))
         one = F.struct("set", "n", "counts", "more", "side")
-        listed = dealt_out.join(known.select("set", "n", "counts"), "set").groupBy("g", "low", "high").agg(F.collect_list(one).alias("x"))
+        # rows of one set stay side by side, which packs its parities well
+        whole = dealt_out.join(known.select("set", "n", "counts"), "set").repartition(parts, "g", "low", "high")
+        listed = whole.groupBy("g", "low", "high").agg(F.collect_list(one).alias("x"))
         return listed.filter(F.size("x") > 1).select("g", "x.set", "x.n", "x.counts", "x.more", "x.side")
 
     # a first look at two lists of each set connects most near copies; lists within what it connects need no more looks
@@ -526,12 +532,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     likely = near.union(arrow(gathered(unsettled(members, components(near)), sizes, F.col("component")), _trees, "a long, b long"))
     likely = table(likely.distinct(), "likely")
     involved = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    texts = rows.join(sizes.join(involved, "set").select("set", "one"), F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
+    involved = table(sizes.join(involved, "set").select("set", "one"), "involved")
+    if involved.count() <= SMALL:
+        involved = F.broadcast(involved)
+    texts = rows.join(involved, F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
     sets = arrow(texts, _elements, "set long, elements binary")
     sets = table(sets.groupBy("set").agg(F.first("elements").alias("elements")), "elements")
     links = table(_verified(likely, sets), "links")
     known = table(components(links), "components")
-    apart = gathered(unsettled(members, known), sizes, F.col("component"))
+    # possible links lie within what possible links connect: only there can links to another component be left
+    possible = components(likely).select(F.col("node").alias("set"), F.col("component").alias("within"))
+    inside = members.join(possible, "set").select(F.xxhash64("g", "within").alias("g"), "set")
+    apart = gathered(unsettled(inside, known), sizes, F.col("component"))
     apart = table(arrow(apart, _apart, "g long, set long").distinct(), "apart")
     fine = first.filter("kind = 0 AND b > 0").join(apart.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
     fine = fine.groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("fine").alias("counts"))
