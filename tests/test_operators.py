@@ -31,7 +31,7 @@ def test_query_equals_its_sql(spark, sf, name):
         assert got
         return
     con = duckdb.connect()
-    for t in "documents benchmark labels embeddings conversations events".split():
+    for t in "documents benchmark labels embeddings conversations events pages".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.execute(catalogue.ORACLES[name])
     place = [[d[0] for d in found.description].index(n) for n in names]
