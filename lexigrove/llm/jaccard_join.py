@@ -42,11 +42,9 @@ RATIO, GROUP, EACH = 4, 3, 2.5
 #: A signature of so many sets is passed over; at most so many are; a task reports those it met so often.
 COMMON, MOST_COMMON, REPORTED = 64, 100_000, 2
 #: Signatures that a task counts together and that it holds for dealing out, signatures of a bucket about, parity bits for each element, sets of a list that one task compares.
-COUNTED, HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 21, 1 << 20, 1 << 15, 1, 2, 1024
+COUNTED, HELD, BUCKET, COARSE, FINE, BLOCK = 1 << 21, 1 << 20, 1 << 15, 1, 8, 1024
 #: Parity bits of a set for each of these at most: beyond about twice as many elements they rule nothing out.
 MOST_BITS = 1 << 13
-#: Rows (set and id) that are sent to all tasks at most, so that texts need not be shuffled for few sets.
-SMALL = 1 << 20
 #: Edges that a task holds before it looks for those that span them.
 EDGES = 1 << 18
 
@@ -532,9 +530,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     likely = near.union(arrow(gathered(unsettled(members, components(near)), sizes, F.col("component")), _trees, "a long, b long"))
     likely = table(likely.distinct(), "likely")
     involved = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    involved = table(sizes.join(involved, "set").select("set", "one"), "involved")
-    if involved.count() <= SMALL:
-        involved = F.broadcast(involved)
+    involved = sizes.join(involved, "set").select("set", "one")
     texts = rows.join(involved, F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
     sets = arrow(texts, _elements, "set long, elements binary")
     sets = table(sets.groupBy("set").agg(F.first("elements").alias("elements")), "elements")
