@@ -524,6 +524,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         listed = whole.groupBy("g", "low", "high").agg(F.collect_list(one).alias("x"))
         return listed.filter(F.size("x") > 1).select("g", "x.set", "x.n", "x.counts", "x.more", "x.side")
 
+    def merged(rows_of: DataFrame, whole: DataFrame) -> DataFrame:
+        """Rows (g, set), where all sets of what possible links connect (within) stand as one list if that has fewer pairs than its lists have together."""
+        placed = table(rows_of.join(whole, "set").select("g", "set", "within"), "placed")
+        lists_of = placed.groupBy("within", "g").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        cost = lists_of.groupBy("within").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+        size = placed.select("within", "set").distinct().groupBy("within").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        cheaper = cost.join(size, "within").filter(F.col("m") * F.col("m") <= F.col("cost")).select("within")
+        one = placed.join(cheaper, "within").select(F.xxhash64(F.lit(5), "within").alias("g"), "set").distinct()
+        return one.unionByName(placed.join(cheaper, "within", "left_anti").select("g", "set"))
+
     # a first look at two lists of each set connects most near copies; lists within what it connects need no more looks
     some = members.groupBy("set").agg(F.array_distinct(F.array(F.min("g"), F.max("g"))).alias("g")).select(F.explode("g").alias("g"), "set")
     near = table(arrow(gathered(some, sizes, F.col("set")), _trees, "a long, b long").distinct(), "near")
@@ -543,7 +553,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     apart = table(arrow(apart, _apart, "g long, set long").distinct(), "apart")
     fine = first.filter("kind = 0 AND b > 0").join(apart.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
     fine = fine.groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("fine").alias("counts"))
-    rest = arrow(gathered(unsettled(apart, known), fine, F.col("component")), _across, "a long, b long").distinct()
+    rest = arrow(gathered(unsettled(merged(apart, possible), known), fine, F.col("component")), _across, "a long, b long").distinct()
     more = table(_verified(rest.join(likely, ["a", "b"], "left_anti"), sets), "links")
     final = table(components(links.union(more)), "components")
     grouped = owned.join(final, owned["set"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "set").alias("component"))
