@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.llm import suffix_dedup as S
+from lexigrove.llm.shared import table
 
 
 def brute(texts, length):
@@ -61,3 +64,27 @@ def test_texts_keep_their_columns(spark):
     got = sorted(map(tuple, S.without_repeats(docs).collect()))
     assert [g[0::2] for g in got] == [(1, "s"), (2, None), (3, "x")] and got[2][1] is None and len(got[0][1]) < 20
     assert S.report(docs.limit(0)).count() == 0
+
+
+def test_row_comes_back_and_only_spans_stay(spark):
+    same = "word and more " * 40
+    rows = [(1, "one " + same), (2, "two " + same), (3, None), (4, "")]
+    keyed = S._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {r.row.text for r in keyed.collect()} == {None, ""}  # shuffled once, as text
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in folder.iterdir()}
+    got = S.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r.row) for r in got.collect()) == rows
+    assert [p.name.split("-")[0] for p in folder.iterdir() if p.name not in before] == ["spans"]
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    folder = Path(spark.sparkContext.getConf().get("spark.local.dir", "/tmp"))
+    files = lambda: {str(p) for p in folder.glob("blockmgr-*/*/shuffle_*")}
+    before = files()
+    table(spark.range(1000).repartition(3, "id"), "dealt")
+    for _ in range(50):  # files go in the background
+        if not (left := {f for f in files() - before if f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
