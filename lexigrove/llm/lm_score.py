@@ -15,11 +15,12 @@ texts. Every shard trains from common weights on each place of each of its texts
 averaged by places, vectors by how often their unit was seen. Counts and weights are summed in segments by
 task, then over tasks, so results don't depend on the partitions (but for the rounding of sums), and what is gathered grows with the input.
 
-Beside the network's scores stands what the other texts tell: of the places whose two neighbours' hash falls into one of
-SAMPLED parts, the mean log-probability of the word by its count between the same neighbours, without the text's own
-places. This is a deleted estimate from counts over all texts, which grow with the input and stay distributed; texts that occur twice stand out.
+Beside the network's scores stands what the other texts tell: over all places, the mean log-probability of the word by its
+count between the same neighbours, without the text's own places. This is a deleted estimate from counts of every place of all
+texts, which grow with the input and stay distributed; texts that occur twice stand out. All places of two neighbours are counted in one
+task, but those of frequent neighbours, which are dealt out by the word between them; words that are frequent there are counted before.
 
-Null and empty texts have no words and score 0; texts without sampled places are as likely there as a uniform choice. Each row is scored alone; repeated rows
+Null and empty texts have no words and score 0; they are as likely there as a uniform choice. Each row is scored alone; repeated rows
 count as often as they occur in the counts and in training. Ids may repeat or be null.
 """
 
@@ -30,18 +31,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow, table, width
+from .shared import arrow, drop_table, shuffles_removed, table, width
 from .textwords import LOWER, WHITE, mix, pieces, spans, word_hashes
 
 BIN_BITS, WORDS, RARE, CLUSTERS, WIDTH, REACH = 20, 1 << 14, 16, 48, 32, 2
 UNITS, CLASSES, BORDER = WORDS + RARE, CLUSTERS + RARE, WORDS + RARE
 #: Bytes of text of a shard; places of a step; size of a step; weight of a unit's share against counts beside a class.
 SHARD_BYTES, BATCH, STEP, SMOOTH = 4 << 20, 2048, 0.1, 20.0
-#: One of so many contexts is counted between its neighbours; weight of a uniform choice of bins there.
-SAMPLED, UNIFORM = 16, 1.0
+#: Weight of a uniform choice of bins between two neighbours; binary places of log-probabilities there.
+UNIFORM, FRACTION = 1.0, 30
+#: Places that are counted together, about, and that are dealt out at once; cells among which frequent contexts are looked for.
+PART_PLACES, GROUP, CELL_BITS = 1 << 21, 1 << 21, 16
 #: Neighbours that k-means tells apart on either side, its rounds; numbers of a segment.
 NEAR, MEANS_ROUNDS, SEGMENT = 64, 15, 1 << 14
 
@@ -250,7 +254,9 @@ def _gathered(frame: DataFrame, shapes: list[tuple[int, ...]]) -> list[np.ndarra
     """Sums over all tasks. Their size is that of the model, whatever the input."""
     spread = frame.repartition(width(frame.sparkSession), "name", "segment").sortWithinPartitions("name", "segment")
     out = [np.zeros(int(np.prod(s))) for s in shapes]
-    for r in arrow(spread, _added, _SUMS).collect():
+    with shuffles_removed(frame.sparkSession):
+        rows = arrow(spread, _added, _SUMS).collect()
+    for r in rows:
         part = np.frombuffer(r["sums"], np.float64)
         out[r["name"]][r["segment"] * SEGMENT : r["segment"] * SEGMENT + len(part)] = part
     return [x.reshape(s) for x, s in zip(out, shapes)]
@@ -407,42 +413,258 @@ def score(texts: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame:
     return out.withColumnRenamed("id", id_col)
 
 
-def _between(sampled: int):
+def _keys(word: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Both neighbours' bins and the word's as one number for each place: no two triples share one. of: the texts of the places, sorted."""
+    left, right = (np.full(len(word), 1 << BIN_BITS, np.uint64) for _ in range(2))
+    same = np.flatnonzero(of[1:] == of[:-1])
+    left[same + 1], right[same] = word[same], word[same + 1]
+    return ((left * np.uint64((1 << BIN_BITS) + 1) + right) << np.uint64(BIN_BITS)) | word.astype(np.uint64)
+
+
+_WORD_BITS = np.uint64(BIN_BITS)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """h of each text, key and text of each place, for about GROUP places at once."""
+    held: list[tuple] = []
+
+    def closed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = np.cumsum([0, *(len(h) for h, _, _ in held)])
+        return np.concatenate([h for h, _, _ in held]), np.concatenate([k for _, k, _ in held]), np.concatenate([o + a for (_, _, o), a in zip(held, first)])
+
+    for batch in batches:
+        word, of = _texts(batch, 1)
+        if held and (sum(len(k) for _, k, _ in held) + len(word) > GROUP or sum(len(h) for h, _, _ in held) + batch.num_rows >= 1 << 16):
+            yield closed()
+            held = []
+        held.append((batch.column(0).to_numpy(), _keys(word, of), of))
+    if held:
+        yield closed()
+
+
+def _cells(context: np.ndarray) -> np.ndarray:
+    return (mix(context, 11) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for _, key, _ in _groups(batches):
+        counts += np.bincount(_cells(key >> _WORD_BITS), minlength=len(counts))
+    yield from _parts(list(_segments(0, counts)))
+
+
+def _in_full_cells(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys whose contexts lie in full cells, and their counts in a group."""
+        for _, key, _ in _groups(batches):
+            key, n = np.unique(key[shared.value[_cells(key >> _WORD_BITS)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return run
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of the numbers by their place within a number, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _sizes(new: np.ndarray) -> np.ndarray:
+    """Of each place, the size of its run. new: whether a run begins."""
+    size = np.diff(np.r_[np.flatnonzero(new), len(new)])
+    return np.repeat(size, size)
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.r_[np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]
+
+
+def _times(code: np.ndarray) -> np.ndarray:
+    """How often each number occurs."""
+    order = np.sort(code)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return np.ones(len(code), np.int64)
+    value, n = np.unique(twice, return_counts=True)
+    at = np.minimum(np.searchsorted(value, code), len(value) - 1)
+    return np.where(value[at] == code, n[at] + 1, 1)
+
+
+def _among(sorted_ones: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each is one of the sorted ones, and which."""
+    if not len(sorted_ones):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(sorted_ones, x), len(sorted_ones) - 1)
+    return sorted_ones[at] == x, at
+
+
+def _log_shares(of_word: np.ndarray, n: np.ndarray, of_context: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Log-probabilities of words by the places of other texts, in units of 2**-FRACTION: whole numbers, whose sums don't depend on their order."""
+    return np.rint((np.log(of_word - n + UNIFORM / (1 << BIN_BITS)) - np.log(of_context - m + UNIFORM)) * (1 << FRACTION))
+
+
+_DEALT = "part int, group long, n int, texts binary, keys binary, places binary, own binary, sums binary"
+_ADDED = "group long, n int, texts binary, places binary, sums binary, own binary"
+
+
+def _deal(shared, parts: int):
+    """Places of each group by the part that counts them: a context's as a whole, those of a frequent context by word too, which bring
+    how often their text has the context. Places whose word is frequent between its neighbours are scored here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sampled contexts: context, word, text, how often the text has both, and how often the context."""
+        contexts, context_counts, pairs, pair_counts = shared.value
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+
+        def rows(number: int, key: np.ndarray, of: np.ndarray, by: np.ndarray, own: np.ndarray | None) -> Iterator[tuple]:
+            order = np.argsort(key, kind="stable")
+            part = ((mix(by[order], 13) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+            to = np.argsort(part, kind="stable")
+            order, part = order[to], part[to]
+            edges = np.flatnonzero(np.r_[_changes(part), True]).tolist() if len(part) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                mine = order[a:b]
+                yield (
+                    int(part[a]), number, b - a, None, _pack(np.diff(key[mine], prepend=np.uint64(0))), _pack(of[mine].astype(np.uint16)),
+                    None if own is None else _pack(own[mine].astype(np.uint32)), None,
+                )
+
+        for i, (h, key, of) in enumerate(_groups(batches)):
+            number = (task << 32) + i
+            context = key >> _WORD_BITS
+            sums = np.zeros(len(h))
+            out: list[tuple] = []
+            many, at = _among(contexts, context)
+            if many.any():
+                hot, hot_of, at = key[many], of[many], at[many]
+                own = _times(at.astype(np.uint64) << np.uint64(16) | hot_of.astype(np.uint64))
+                known, pair = _among(pairs, hot)
+                if known.any():
+                    n = _times(pair[known].astype(np.uint64) << np.uint64(16) | hot_of[known].astype(np.uint64))
+                    sums = np.bincount(hot_of[known], _log_shares(pair_counts[pair[known]], n, context_counts[at[known]], own[known]), len(h))
+                rest = ~known
+                out += rows(number, hot[rest], hot_of[rest], hot[rest], own[rest])
+                few = ~many
+                out += rows(number, key[few], of[few], context[few], None)
+            else:
+                out += rows(number, key, of, context, None)
+            places = np.bincount(of, minlength=len(h)).astype(np.int64)
+            out.append((number % parts, number, len(h), h.tobytes(), None, None, _pack(places), _pack(sums.astype(np.int64))))
+            for a in range(0, len(out), 32):
+                yield _batch(out[a : a + 32], _DEALT)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), types)], list(names))
+
+
+def _count_parts(shared):
+    """Sums of each group's texts over the places of a part, of which a task has all. What has been scored passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, context_counts = shared.value[:2]
+        held: dict[bool, list[tuple]] = {False: [], True: []}
         for batch in batches:
-            word, of = _texts(batch, 1)
-            around = contexts(word, of, 1 << BIN_BITS)[:, REACH - 1 : REACH + 1].astype(np.uint64)
-            context = mix(mix(around[:, 0], 7) + around[:, 1] * np.uint64(0x9E3779B97F4A7C15), 8)
-            mine = np.flatnonzero(context % np.uint64(sampled) == 0)
-            context, word, of = context[mine].view(np.int64), word[mine], of[mine]
-            order = np.lexsort((word, context, of))
-            context, word, of = context[order], word[order], of[order]
-            new = lambda *columns: np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], 0)]) if len(of) else np.zeros(0, np.int64)
-            first, block = new(of, context, word), new(of, context)
-            n = np.diff(np.r_[first, len(of)])
-            m = np.diff(np.r_[block, len(of)])[np.searchsorted(block, first, "right") - 1] if len(of) else n
-            h = batch.column(0).to_numpy()[of[first]]
-            columns = [
-                pa.array(context[first], pa.int64()), pa.array(word[first], pa.int32()), pa.array(h, pa.int64()),
-                pa.array(n, pa.int64()), pa.array(m, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["context", "word", "h", "n", "m"])
+            for _, group, n, texts, keys, places, own, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                if texts is not None:
+                    yield _batch([(group, n, texts, None, sums, own)], _ADDED)
+                else:
+                    held[own is not None].append((group, n, keys, places, own))
+        for hot, rows in held.items():
+            if not rows:
+                continue
+            key = np.concatenate([np.cumsum(_unpack(r[2], r[1], np.uint64), dtype=np.uint64) for r in rows])
+            place = [_unpack(r[3], r[1], np.uint16) for r in rows]
+            first = np.cumsum([0, *(int(x.max()) + 1 for x in place)])
+            text = np.concatenate([x.astype(np.uint32) + np.uint32(a) for x, a in zip(place, first)])
+            order = np.argsort(key, kind="stable")  # keys of a row come with ascending texts
+            key, text = key[order], text[order]
+            new = _changes(key)
+            of_word, n = _sizes(new), _sizes(new | _changes(text))
+            if hot:
+                of_context = context_counts[_among(contexts, key >> _WORD_BITS)[1]]
+                m = np.concatenate([_unpack(r[4], r[1], np.uint32) for r in rows])[order].astype(np.int64)
+            else:
+                new = _changes(key >> _WORD_BITS)
+                of_context = _sizes(new)
+                m = _times((np.cumsum(new).astype(np.uint64) << np.uint64(32)) | text.astype(np.uint64))
+            sums = np.bincount(text, _log_shares(of_word, n, of_context, m), first[-1]).astype(np.int64)
+            seen = np.bincount(text, minlength=first[-1]) > 0
+            out = []
+            for (group, *_), a, b in zip(rows, first[:-1].tolist(), first[1:].tolist()):
+                mine = np.flatnonzero(seen[a:b])
+                out.append((group, len(mine), None, _pack(mine.astype(np.uint16)), _pack(sums[a:b][mine]), None))
+            for a in range(0, len(out), 32):
+                yield _batch(out[a : a + 32], _ADDED)
 
     return run
 
 
-def by_other_texts(texts: DataFrame, sampled: int = SAMPLED) -> DataFrame:
-    """h, sampled places of the text, and the mean log-probability of their words by the places of all other texts with the same neighbours."""
-    pairs = table(arrow(texts.select("h", "words"), _between(sampled), "context long, word int, h long, n long, m long"), "contexts")
-    words = pairs.groupBy("context", "word").agg(F.sum("n").alias("of_word"))
-    whole = words.groupBy("context").agg(F.sum("of_word").alias("of_context"))
-    counts = words.join(whole, "context").filter("of_context > 1")
-    rows = pairs.join(counts, ["context", "word"], "left")
-    uniform = UNIFORM / (1 << BIN_BITS)
-    own = F.coalesce(F.col("of_word") - F.col("n"), F.lit(0)) + F.lit(uniform)
-    p = F.log(own / (F.coalesce(F.col("of_context") - F.col("m"), F.lit(0)) + F.lit(UNIFORM)))
-    return rows.groupBy("h").agg(F.sum("n").alias("n_contexts"), (F.sum(F.col("n") * p) / F.sum("n")).alias("context_log_likelihood"))
+def _add_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, number of places and mean of each text; the rows of a group come together."""
+    last, head, held = None, None, []
+
+    def closed() -> pa.RecordBatch:
+        n, texts, sums, own = head
+        total, places = _unpack(sums, n, np.int64), _unpack(own, n, np.int64)
+        for k, at, part in held:
+            total[_unpack(at, k, np.uint16)] += _unpack(part, k, np.int64)
+        some = places > 0
+        mean = total[some] / (1 << FRACTION) / places[some]
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(texts, np.int64)[some]), pa.array(places[some]), pa.array(mean)], ["h", "n", "mean"])
+
+    for batch in batches:
+        for group, n, texts, places, sums, own in zip(*(c.to_pylist() for c in batch.columns)):
+            if group != last and last is not None:
+                yield closed()
+                held = []
+            last = group
+            if texts is not None:
+                head = (n, texts, sums, own)
+            else:
+                held.append((n, places, sums))
+    if last is not None:
+        yield closed()
+
+
+def _frequent(texts: DataFrame, cells: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Contexts of more than so many places and their counts, and the same of contexts with a word. Only full cells can have any."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not (cells > least).any():
+        return *none, *none
+    full = texts.sparkSession.sparkContext.broadcast(cells > least)
+    pairs = arrow(texts.select("h", "words"), _in_full_cells(full), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = table(pairs, "pairs")
+    whole = pairs.groupBy(F.shiftright("key", BIN_BITS).alias("key")).agg(F.sum("n").alias("n"))
+    out: list[np.ndarray] = []
+    for frame in (whole, pairs):
+        rows = sorted(frame.filter(F.col("n") > least).collect())  # fewer than all places / least
+        out += [np.array([r["key"] for r in rows], np.uint64), np.array([r["n"] for r in rows], np.int64)]
+    drop_table(pairs)
+    return tuple(out)
+
+
+def by_other_texts(texts: DataFrame, parts: int | None = None) -> DataFrame:
+    """h, places of the text, and the mean log-probability of their words by the places of all other texts with the same neighbours. Every place counts."""
+    spark = texts.sparkSession
+    source = texts.select("h", "words")
+    (cells,) = _gathered(arrow(source, _cell_counts, _SUMS), [(1 << CELL_BITS,)])
+    parts = parts or max(width(spark), int(cells.sum()) // PART_PLACES + 1)
+    frequent = _frequent(texts, cells, int(cells.sum()) // (4 * parts))
+    shared = spark.sparkContext.broadcast(frequent)
+    dealt_out = arrow(source, _deal(shared, parts), _DEALT).repartitionById(parts, F.col("part"))
+    added = arrow(dealt_out, _count_parts(shared), _ADDED).repartition(width(spark), "group").sortWithinPartitions("group")
+    rows = arrow(added, _add_texts, "h long, n long, mean double")
+    # repeated rows have equal results
+    return table(rows.groupBy("h").agg(F.max("n").alias("n_contexts"), F.max("mean").alias("context_log_likelihood")), "by_others")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,3 +182,28 @@ def test_scores_sum_over_all_words_and_prefer_the_language(spark):
     assert got[90_001][0].mean_log_likelihood < np.mean([x[0].mean_log_likelihood for i, x in got.items() if i is not None and i < 90_000])
     empty = docs.limit(0)
     assert L.scored(empty).count() == 0
+
+
+def test_every_place_counts_between_its_neighbours_however_dealt(spark, monkeypatch):
+    """Frequent neighbours, frequent words between them, places of one text in several parts, and repeated rows."""
+    r = np.random.default_rng(9)
+    texts = [" ".join(r.choice(["a", "b", "c", "hot", "d%d" % (i % 7)], 40, p=[0.1, 0.1, 0.1, 0.6, 0.1])) for i in range(40)] + ["hot " * 30] * 2 + ["", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").repartition(5)
+    cut = L.dealt(docs)
+    bins = {x.id: np.frombuffer(x.words, np.int32).tolist() for x in cut.collect()}
+    places = [(i, (w[k - 1] if k else -1, w[k + 1] if k + 1 < len(w) else -1), w[k]) for i in [*range(len(texts)), 3.5] for w in [bins[int(i)]] for k in range(len(w))]
+    contexts, words = Counter(c for _, c, _ in places), Counter((c, w) for _, c, w in places)
+    own_contexts, own_words = Counter((i, c) for i, c, _ in places), Counter(places)
+    want = {}
+    for i in range(len(texts)):
+        p = [np.log((words[c, w] - own_words[i, c, w] + 2.0**-L.BIN_BITS) / (contexts[c] - own_contexts[i, c] + 1)) for j, c, w in places if j == i]
+        want[i] = (len(p), np.mean(p) if p else None)
+    for parts, group in ((1, 1 << 21), (3, 100), (70, 1)):
+        monkeypatch.setattr(L, "GROUP", group)
+        rows = L.by_other_texts(cut, parts).join(cut.select("id", "h").distinct(), "h").collect()
+        got = {x.id: (x.n_contexts, x.context_log_likelihood) for x in rows}
+        assert len(rows) == len(got) and set(got) == {i for i in want if want[i][0]}
+        assert all(got[i][0] == want[i][0] and np.isclose(got[i][1], want[i][1], atol=1e-7) for i in got)
+    scored = L.scored(docs).collect()
+    assert len(scored) == docs.count() and all(x.n_contexts == x.n_tokens == len(bins[x.doc_id]) for x in scored)
+    assert L.by_other_texts(cut.limit(0)).count() == 0
