@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow
+from .shared import arrow, give_back
 from .textwords import LOWER, hashes, mix, pieces, spans, sums, word_hashes
 
 BITS, FACTORS, SAMPLE, EPOCHS = 17, 4, 5000, 8
@@ -74,10 +74,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, prior: float, seed: int =
     if not positive or positive == len(labels):
         machine.bias = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (30.0 if prior else -30.0)
         return machine
-    flat_f = np.concatenate(rows)
-    each = np.repeat(labels, [len(r) for r in rows])
-    inside = np.bincount(flat_f[each == 1], minlength=size)
-    outside = np.bincount(flat_f[each == 0], minlength=size)
+    inside, outside = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for row, label in zip(rows, labels.tolist()):
+        np.add.at(inside if label else outside, row, 1)
     there = inside + outside
     share = positive / len(labels)
     surprise = (inside - there * share) / np.sqrt(np.maximum(there, 1) * share * (1 - share))
@@ -140,11 +139,14 @@ def fit(
                 out += [x.astype(np.int32).tobytes() for x in np.split(feature, cuts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "f"])
 
-    rows = arrow(texts, run, "y int, f binary").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["f"])))
+    rows = sorted((r["y"], bytes(r["f"])) for r in arrow(texts, run, "y int, f binary").collect())
     if not rows:
         return Machine(-30.0, np.zeros(1 << BITS), np.zeros((1 << BITS, FACTORS)))
-    return train([np.frombuffer(r["f"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows]), prior)
+    give_back()
+    machine = train([np.frombuffer(f, np.int32) for _, f in rows], np.array([y for y, _ in rows]), prior)
+    del rows
+    give_back()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:

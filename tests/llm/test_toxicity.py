@@ -105,3 +105,14 @@ def test_nulls_and_empty_tables(spark):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == 4 and all(r.score < 0.01 and r.predicted == 0 for r in got)
     assert toxicity.toxicity(spark.createDataFrame([], schema), labels).count() == 0
+
+
+def test_the_driver_trains_on_narrow_features_as_on_wide_ones(spark, monkeypatch):
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, *a: seen.append(rows) or train(rows, *a))
+    docs = spark.createDataFrame([(i, "bad word" if i % 2 else "good word") for i in range(20)], "doc_id long, text string")
+    machine = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"))
+    assert {r.dtype for r in seen[0]} == {np.dtype(np.int32)}
+    wide = train([r.astype(np.int64) for r in seen[0]], np.array([0] * 10 + [1] * 10), 0.5)
+    assert machine.bias == wide.bias and (machine.linear == wide.linear).all() and (machine.factors == wide.factors).all()
