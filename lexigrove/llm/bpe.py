@@ -80,9 +80,10 @@ class ByteBPE:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.power = _powers(CHUNK_CHARS + 1)
         self.unpower = _powers(CHUNK_CHARS + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the remembered words; the vocabulary stays."""
         self.index: dict[int, int] = {}
         self.long: dict[str, int] = {}
         self.long_size = 0
@@ -168,7 +169,7 @@ class ByteBPE:
     def words_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known words that the texts consist of, in one array, and where each text's begin (n + 1 places)."""
         if self.words > REMEMBERED_WORDS or self.long_size > CHUNK_CHARS:
-            self._forget()
+            self.forget()
         parts: list[str] = []
         owner: list[int] = []
         special: list[tuple[int, int]] = []  # part that is a special token, its id

@@ -164,6 +164,7 @@ def pack(
                 yield emit(rows)
         if tails:
             yield emit(closed())
+        bpe.forget()  # workers are used again by other stages
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = arrow(out, run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{more}")

@@ -4,8 +4,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,14 @@ def test_packing_of_rows(spark, monkeypatch):
         assert at <= 64
     assert sum(r.start == 0 for r in got) == len(rows)
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_a_worker_that_has_packed_holds_no_words(monkeypatch, spark):
+    made = []
+    monkeypatch.setattr(packing, "arrow", lambda frame, run, schema: made.append(run) or frame)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words to learn", None])], ["id", "text"])
+    assert [sum(b.num_rows for b in made[0](iter([batch]))) for _ in range(2)] == [2, 2]
+    own = bpe.encoder(tokenizer_path())
+    assert own.words == len(own.index) == len(own.long) == 0 and own.encode("some words") == own.encode("some words")
