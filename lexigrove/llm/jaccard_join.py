@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import arrow, table, width
+from .shared import arrow, drop_table, table, width
 from .textwords import LOWER, WHITE, mix, pieces, spans, word_hashes
 
 WORDS = 5
@@ -501,10 +501,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = table(lists.select("g", F.explode("members").alias("set")), "members")
 
     def unsettled(rows_of: DataFrame, whole: DataFrame) -> DataFrame:
-        """Rows (g, set) of the lists with sets of two components or more, with the component of each."""
+        """Rows (g, set) of the lists with sets of two components or more, with the component of each. A table: plans that read it stay small."""
         labelled = rows_of.join(whole.withColumnRenamed("node", "set"), "set", "left").select("g", "set", F.coalesce("component", "set").alias("component"))
         several = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        return labelled.join(several.select("g"), "g")
+        return table(labelled.join(several.select("g"), "g"), "open")
 
     def gathered(rows_of: DataFrame, known: DataFrame, more: Column) -> DataFrame:
         """Lists of two or more sets with their sizes and parities (known); of longer ones than BLOCK every pair of blocks.
@@ -530,15 +530,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lists_of = placed.groupBy("within", "g").agg(F.count(F.lit(1)).cast("double").alias("n"))
         cost = lists_of.groupBy("within").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
         size = placed.select("within", "set").distinct().groupBy("within").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        cheaper = cost.join(size, "within").filter(F.col("m") * F.col("m") <= F.col("cost")).select("within")
+        cheaper = table(cost.join(size, "within").filter(F.col("m") * F.col("m") <= F.col("cost")).select("within"), "cheaper")
         one = placed.join(cheaper, "within").select(F.xxhash64(F.lit(5), "within").alias("g"), "set").distinct()
         return one.unionByName(placed.join(cheaper, "within", "left_anti").select("g", "set"))
 
     # a first look at two lists of each set connects most near copies; lists within what it connects need no more looks
     some = members.groupBy("set").agg(F.array_distinct(F.array(F.min("g"), F.max("g"))).alias("g")).select(F.explode("g").alias("g"), "set")
     near = table(arrow(gathered(some, sizes, F.col("set")), _trees, "a long, b long").distinct(), "near")
-    likely = near.union(arrow(gathered(unsettled(members, components(near)), sizes, F.col("component")), _trees, "a long, b long"))
+    nearly = table(components(near), "components")
+    open_ones = unsettled(members, nearly)
+    likely = near.union(arrow(gathered(open_ones, sizes, F.col("component")), _trees, "a long, b long"))
     likely = table(likely.distinct(), "likely")
+    drop_table(open_ones)
     involved = likely.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     involved = sizes.join(involved, "set").select("set", "one")
     texts = rows.join(involved, F.col("id").eqNullSafe(F.col("one"))).select("set", "text")
@@ -547,14 +550,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = table(_verified(likely, sets), "links")
     known = table(components(links), "components")
     # possible links lie within what possible links connect: only there can links to another component be left
-    possible = components(likely).select(F.col("node").alias("set"), F.col("component").alias("within"))
+    possible = table(components(likely).select(F.col("node").alias("set"), F.col("component").alias("within")), "possible")
     inside = members.join(possible, "set").select(F.xxhash64("g", "within").alias("g"), "set")
-    apart = gathered(unsettled(inside, known), sizes, F.col("component"))
+    open_ones = unsettled(inside, known)
+    apart = gathered(open_ones, sizes, F.col("component"))
     apart = table(arrow(apart, _apart, "g long, set long").distinct(), "apart")
+    drop_table(open_ones)
     fine = first.filter("kind = 0 AND b > 0").join(apart.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
     fine = fine.groupBy(F.col("a").alias("set")).agg(F.first("b").alias("n"), F.first("fine").alias("counts"))
-    rest = arrow(gathered(unsettled(merged(apart, possible), known), fine, F.col("component")), _across, "a long, b long").distinct()
+    open_ones = unsettled(merged(apart, possible), known)
+    rest = arrow(gathered(open_ones, fine, F.col("component")), _across, "a long, b long").distinct()
     more = table(_verified(rest.join(likely, ["a", "b"], "left_anti"), sets), "links")
+    drop_table(open_ones)
     final = table(components(links.union(more)), "components")
     grouped = owned.join(final, owned["set"] == final["node"], "left").select("id", "n_shingles", F.coalesce("component", "set").alias("component"))
     least = grouped.filter("n_shingles > 0").groupBy("component").agg(F.min("id").alias("component_id"))

@@ -140,3 +140,15 @@ def test_components(spark, monkeypatch, most):
                 changed = True
     assert got == root
     assert len(forest(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
+
+
+def test_plans_stay_small(spark, sf, monkeypatch):
+    joins, real = [], J.table
+
+    def counted(frame, name):
+        joins.append(frame._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return real(frame, name)
+
+    monkeypatch.setattr(J, "table", counted)
+    J.classes(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert max(joins) <= 8  # 28 where lists and components were not tables
