@@ -11,14 +11,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import terms
+from lexigrove.operators import counting
+
+
+#: Terms that are looked up within tasks; more are joined.
+LOOKED_UP = 200_000
+
+#: Words in more than one text of so many have their document frequency at hand in all tasks: as many words as such texts hold at most.
+COMMON = 2000
+
+
+def _counted(docs: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
+    """counting.by_text, with the texts of one key as one text's: they are added up, and only where a key has several texts is anything shuffled."""
+    several = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("_key"))
+    if several.isEmpty():
+        return counting.by_text(docs, key, text, **how)
+    same = docs[key].eqNullSafe(several["_key"])
+    out = counting.by_text(docs.join(several, same, "left_anti"), key, text, **how)
+    more = counting.by_text(docs.join(several, same, "left_semi"), key, text, **how)
+    names = [c for c in more.columns if c not in ("tf", "first")]
+    added = more.groupBy(*names).agg(F.sum("tf").alias("tf"))
+    if "first" in more.columns:
+        order = Window.partitionBy(key, "term").orderBy(F.desc("par_idx"))
+        added = added.withColumn("first", (F.row_number().over(order) == 1).cast("long"))
+        added = added.filter("first = 1 OR par_idx >= 0")
+    return out.unionByName(added)
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 2, mode: str = "any", only: DataFrame | None = None) -> DataFrame:
     """key, term, tf. only: a frame of terms to count."""
-    each = docs.select(key, F.explode(terms(F.col(text), n, mode)).alias("term"))
-    if only is not None:
-        each = each.join(only, "term", "left_semi")
-    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if n > 2 or mode != "any":
+        each = docs.select(key, F.explode(terms(F.col(text), n, mode)).alias("term"))
+        if only is not None:
+            each = each.join(only, "term", "left_semi")
+        return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if only is None:
+        return _counted(docs, key, text, n=n)
+    few = [r["term"] for r in only.select("term").limit(LOOKED_UP + 1).collect()]
+    if len(few) <= LOOKED_UP:
+        return _counted(docs, key, text, n=n, only=few)
+    return _counted(docs, key, text, n=n).join(only, "term", "left_semi").select(key, "term", "tf")
+
+
+def bucket_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 2, size: int = 1 << 24) -> DataFrame:
+    """key, bucket, tf: terms counted by bucket of their seed-0 murmur hash."""
+    return _counted(docs, key, text, n=n, size=size)
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -75,8 +112,30 @@ def requested_scores(scores: DataFrame, requested: DataFrame) -> DataFrame:
     return requested.join(scores, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def term_weights(docs: DataFrame, n: int = 2, delimiter: str | None = None) -> DataFrame:
+    """doc_id, term, tf, weight = ln(1 + tf) * idf of all terms; with a delimiter doc_id, par_idx, term, tf, weight of the paragraphs' terms.
+
+    Common words get their frequency from a table of them, so their counts stay where they are. The others go once by term, where their rows are counted.
+    """
+    size = corpus_size(docs)
+    words = document_frequencies(term_counts(docs, n=1)).crossJoin(F.broadcast(size))
+    common = F.broadcast(words.filter(F.col("df") * COMMON > F.col("n_docs")).select("term", "df"))
+    how = {"delimiter": delimiter} if delimiter is not None else {}
+    known = _counted(docs, "doc_id", n=1, **how).join(common, "term")
+    others = _counted(docs, "doc_id", n=n, **how).join(common, "term", "left_anti")
+    own = Window.partitionBy("term")
+    others = others.withColumn("df", F.sum("first").over(own) if delimiter is not None else F.count(F.lit(1)).over(own))
+    names = ["doc_id", *(["par_idx"] if delimiter is not None else []), "term", "tf"]
+    rows = known.select(*names, "df").unionByName(others.select(*names, "df"))
+    if delimiter is not None:
+        rows = rows.filter("par_idx >= 0")
+    return rows.crossJoin(F.broadcast(size)).select(*names, (F.log1p("tf") * idf(F.col("df"), F.col("n_docs"))).alias("weight"))
+
+
 def paragraph_weights(docs: DataFrame, n: int = 2, delimiter: str = "\n") -> DataFrame:
     """doc_id, par_idx, term, tf, weight: terms of paragraphs, weighed by document frequencies of the whole corpus."""
+    if n <= 2 and len(delimiter) == 1 and not counting.classes()[ord(delimiter)]:
+        return term_weights(docs, n, delimiter)
     paragraphs = docs.select("doc_id", F.posexplode(F.split("text", delimiter)).alias("par_idx", "text"))
     counts = paragraphs.select(
         "doc_id", "par_idx", F.explode(terms(F.col("text"), n)).alias("term"),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrove import catalogue
+from lexigrove.functions import text as X
+from lexigrove.operators import tfidf
 
 
 @pytest.fixture
@@ -31,3 +36,58 @@ def test_empty_text_has_no_segment(spark, folder):
     d.write.mode("overwrite").parquet(f"{folder()}/documents.parquet")
     rows = catalogue.QUERIES["par_segment_adjust"](spark, folder()).collect()
     assert [(r.doc_id, r.segment_chars, r.start_pos) for r in rows] == [(1, 4, 3)]
+
+
+ODD = [
+    "", None, "\n", "a", "The quick\n\nbrown Fox fox fox. Fox", "İstanbul ΣΑΣ Σ x́y é \U0001f600\U0001f600 ok", "日本語 テキスト テキスト",
+    "  a b ", ". , !", "zebra zebra zebra\nzebra dog", "red fox\nblue dog", "red fox red fox",
+]
+
+
+def exploded(docs, key="doc_id"):
+    each = docs.select(key, F.explode(X.terms(F.col("text"))).alias("term"))
+    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def listed(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=str)
+
+
+def exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"(?m)^\W*Exchange hash", plan))
+
+
+@pytest.mark.parametrize("again", [0, 4])
+def test_terms_are_counted_where_the_texts_are(spark, again):
+    """again: texts whose key another text has too."""
+    docs = documents(spark, ODD).unionByName(documents(spark, ["red fox zebra", "", "a Fox", "blue"][:again], 8))
+    docs = docs.unionByName(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    names = "doc_id", "term", "tf"
+    counts = tfidf.term_counts(docs)
+    assert listed(counts, *names) == listed(exploded(docs), *names)
+    assert again or not exchanges(counts)
+    only = spark.createDataFrame([("fox",), ("red fox",), ("zebra zebra",), ("nowhere",)], "term string")
+    assert listed(tfidf.term_counts(docs, only=only), *names) == listed(exploded(docs).join(only, "term"), *names)
+    made = exploded(docs).withColumn("bucket", X.term_bucket(F.col("term"), 50)).groupBy("doc_id", "bucket").agg(F.sum("tf").alias("tf"))
+    assert listed(tfidf.bucket_counts(docs, size=50), "doc_id", "bucket", "tf") == listed(made, "doc_id", "bucket", "tf")
+    assert again or not exchanges(tfidf.bucket_counts(docs))
+
+
+@pytest.mark.parametrize("again", [0, 4])
+@pytest.mark.parametrize("common", [2000, 4])
+def test_weights_by_one_shuffle_of_rare_terms(spark, monkeypatch, again, common):
+    monkeypatch.setattr(tfidf, "COMMON", common)
+    docs = documents(spark, ODD * 3).unionByName(documents(spark, ["red fox zebra", "", "a Fox", "blue"][:again], 8))
+    df, size = tfidf.document_frequencies(exploded(docs)), tfidf.corpus_size(docs)
+    names = "doc_id", "term", "tf", F.round("weight", 9)
+    assert listed(tfidf.term_weights(docs), *names) == listed(tfidf.weights(exploded(docs), df, size), *names)
+    pars = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("par_idx", "text"))
+    counts = exploded(pars.select(F.struct("doc_id", "par_idx").alias("key"), "text"), "key").select("key.*", "term", "tf")
+    names = "doc_id", "par_idx", "term", "tf", F.round("weight", 9)
+    assert listed(tfidf.paragraph_weights(docs), *names) == listed(tfidf.weights(counts, df, size), *names)
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"red \xff fox")), (2, bytearray(b"blue"))], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    assert [r.term for r in tfidf.term_counts(docs, n=1).orderBy("doc_id", "term").collect()] == ["fox", "red", "�", "blue"]
