@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lexigrove.functions.vector import dequantize, norm, quantize
 from lexigrove.operators import vindex
 
+#: Files of a list at most, so that no task writes a whole large list.
+LIST_FILES = 8
+
 STAGES = ("coarse", "fine", "add")
 
 
@@ -56,7 +59,8 @@ def build(vectors: DataFrame, path: str, centroids: DataFrame | None = None, clu
         known = spark.read.parquet(f"{path}/parameters").first()
         listed = used if "cluster_id" in used.columns else vindex.assign(used, spark.read.parquet(f"{path}/centroids"))
         coded = listed.select("vec_id", quantize(F.col("embedding"), known["offset"], known["scale"]).alias("code"), "cluster_id")
-        coded.repartition("cluster_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/lists")
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(LIST_FILES))
+        coded.repartition("cluster_id", part).write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/lists")
 
 
 def load(spark: SparkSession, path: str, kind: str = "int") -> Index:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrove import catalogue
 from lexigrove.functions import text as X
-from lexigrove.operators import tfidf
+from lexigrove.operators import tfidf, vindex
 
 
 @pytest.fixture
@@ -91,3 +92,35 @@ def test_weights_by_one_shuffle_of_rare_terms(spark, monkeypatch, again, common)
 def test_bytes_that_are_no_text(spark):
     docs = spark.createDataFrame([(1, bytearray(b"red \xff fox")), (2, bytearray(b"blue"))], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
     assert [r.term for r in tfidf.term_counts(docs, n=1).orderBy("doc_id", "term").collect()] == ["fox", "red", "�", "blue"]
+
+
+def nearest(queries, vectors, k, pairs):
+    """Best k (query, vector, score) of the pairs."""
+    out = []
+    for i, q in enumerate(queries):
+        own = sorted((-round(float(np.dot(q, v)), 6), j) for j, v in enumerate(vectors) if pairs(i, j))
+        out += [(i, j, -s) for s, j in own[:k]]
+    return sorted(out)
+
+
+def test_scores_are_held_in_parts(monkeypatch):
+    monkeypatch.setattr(vindex, "HELD", 50)
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(9, 8)), np.round(rng.normal(size=(200, 8)))
+    held = vindex._Held(9, 4, 6)
+    for part in np.array_split(np.arange(200), 3):
+        held.add(np.arange(9), q, part, x[part])
+    row, vec, score = held.rows
+    assert sorted(zip(row.tolist(), vec.tolist(), score.tolist())) == nearest(q, x, 4, lambda i, j: True)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_probed_lists_are_scored_where_they_are(spark, monkeypatch, block):
+    monkeypatch.setattr(vindex, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(7)
+    q, x = rng.normal(size=(10, 8)), np.round(rng.normal(size=(90, 8)))
+    indexed = spark.createDataFrame([(j, j % 5, v.tolist()) for j, v in enumerate(x)], "vec_id long, cluster_id int, embedding array<double>")
+    probes = spark.createDataFrame([(i, v.tolist(), c) for i, v in enumerate(q) for c in (i % 5, (i + 2) % 5)], "qid long, query array<double>, cluster_id int")
+    found = vindex.probed_top_k(indexed, probes, 6)
+    assert sorted((r.qid, r.vec_id, r.score) for r in found.collect()) == nearest(q, x, 6, lambda i, j: j % 5 in (i % 5, (i + 2) % 5))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
