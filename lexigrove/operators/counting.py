@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,7 @@ class Words:
         same = np.array([numbers.setdefault(w.lower(), len(numbers)) for w in coded.dictionary.to_pylist()], np.int64)
         self.lower = pa.array(list(numbers), pa.large_string())
         self.dropped = np.array([w in _STOP or all(unicodedata.category(c)[0] == "P" for c in w) for w in numbers], bool)
+        self.shown = coded
         self.word = same[coded.indices.to_numpy()] if len(same) else np.zeros(0, np.int64)
         start = parts[own]
         self.row = np.searchsorted(begins, start, "right") - 1
@@ -197,3 +198,45 @@ def by_text(
     names = [key, "par_idx", "term", "tf", "first"] if delimiter is not None else [key, "term" if size is None else "bucket", "tf"]
     types = {"par_idx": "long", "term": "string", "bucket": "long", "tf": "long", "first": "long", key: kind}
     return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
+
+
+def gram_sizes(docs: DataFrame, ways: dict[str, str | Callable[[list[pa.Array]], np.ndarray | bool] | None], key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
+    """key and, for each way, n_ and chars_ with its name: how many grams of 1 to n words of a text stay, and their characters. Texts without words have no row.
+
+    ways: modes of functions.text.keeps_ngram, None to keep all grams, or a function of the gram's words (an array for each place) that says which stay.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    if unknown := [w for w in ways.values() if not callable(w) and w not in ("any", "all", "ends", None)]:
+        raise ValueError(f"unknown mode: {unknown[0]}")
+
+    def kept(way, flags: list[np.ndarray], shown: list[pa.Array]) -> np.ndarray:
+        if callable(way):
+            return np.broadcast_to(np.asarray(way(shown), bool), len(shown[0]))
+        if way is None:
+            return np.ones(len(shown[0]), bool)
+        own = [flags[0], flags[-1]] if way == "ends" else flags
+        return ~np.logical_and.reduce(own) if way == "all" else ~np.logical_or.reduce(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = Words(batch.column(1))
+            total = len(words.word)
+            flag, size = words.dropped[words.word], np.asarray(pc.utf8_length(words.lower))[words.word] if total else np.zeros(0, np.int64)
+            made = {f"{what}_{name}": np.zeros(batch.num_rows, np.int64) for name in ways for what in ("n", "chars")}
+            for k in range(1, min(n, total) + 1):
+                last = total - k + 1
+                whole = words.row[:last] == words.row[k - 1 :]
+                row = words.row[:last]
+                chars = sum(size[j : j + last].astype(np.int64) for j in range(k)) + k - 1
+                flags, shown = [flag[j : j + last] for j in range(k)], [words.shown.slice(j, last) for j in range(k)]
+                for name, way in ways.items():
+                    own = whole & kept(way, flags, shown)
+                    made[f"n_{name}"] += np.bincount(row[own], minlength=batch.num_rows)
+                    made[f"chars_{name}"] += np.bincount(row[own], chars[own], batch.num_rows).astype(np.int64)
+            there = pa.array(np.bincount(words.row, minlength=batch.num_rows) > 0)
+            yield pa.RecordBatch.from_pydict({key: batch.column(0).filter(there)} | {c: pa.array(x).filter(there) for c, x in made.items()})
+
+    names = [f"{what}_{name}" for name in ways for what in ("n", "chars")]
+    return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"`{c}` long" for c in names)]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrove import catalogue
 from lexigrove.functions import text as X
-from lexigrove.operators import tfidf, vindex
+from lexigrove.operators import counting, tfidf, vindex, windows
 
 
 @pytest.fixture
@@ -124,3 +124,40 @@ def test_probed_lists_are_scored_where_they_are(spark, monkeypatch, block):
     found = vindex.probed_top_k(indexed, probes, 6)
     assert sorted((r.qid, r.vec_id, r.score) for r in found.collect()) == nearest(q, x, 6, lambda i, j: j % 5 in (i % 5, (i + 2) % 5))
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_by_running_sums(spark):
+    docs = documents(spark, ODD)
+    frame = docs.select("doc_id", "text", X.token_spans(F.col("text")).alias("t"))
+    for r in frame.collect():
+        text = r.text or ""
+        assert [text[x.start : x.end] for x in r.t] == [x.text for x in r.t]
+        assert "".join(x.text + x.after for x in r.t) == (text[r.t[0].start :] if r.t else "")
+    assert "aggregate(" not in frame._jdf.queryExecution().optimizedPlan().toString()  # no list is copied for each token
+
+
+def test_gram_sizes_equal_the_grams(spark):
+    docs = documents(spark, ODD)
+    found = counting.gram_sizes(docs, {"any": "any", "all": "all", "ends": "ends", "whole": None, "kept": lambda w: len(w) == 3})
+    words = X.tokens(F.col("text"))
+    made = docs.filter(F.size(words) > 0)
+    columns = ["doc_id"]
+    for name, grams in ({m: X.ngrams(words, 3, m) for m in ("any", "all", "ends")} | {"whole": X.ngrams(words, 3, None), "kept": X.ngrams(words, 3, keep=lambda g: F.size(g) == 3)}).items():
+        made = made.withColumn(f"n_{name}", F.size(grams)).withColumn(f"chars_{name}", F.aggregate(grams, F.lit(0), lambda s, g: s + F.length(g)))
+        columns += [f"n_{name}", f"chars_{name}"]
+    assert listed(found, *columns) == listed(made, *columns)
+
+
+def test_best_windows_by_their_definition(spark):
+    for n, length, stride in ((0, 8, 3), (1, 8, 3), (40, 8, 3), (64, 64, 32), (200, 64, 32), (30, 5, 20)):
+        step = min(length, stride)
+        bounds = [(i * step, min(i * step + length, n)) for i in range(1 if n <= length else 1 - (length - n) // step)]
+        want = [-max((min(p - a, b - 1 - p) + 0.01 * (b - a), -i) for i, (a, b) in enumerate(bounds) if a <= p < b)[1] for p in range(n)]
+        assert spark.range(1).select(windows.best_window(F.lit(n), length, stride)).first()[0] == want
+
+
+def test_batches_are_bounded(spark, sf):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    catalogue.QUERIES["nfd_terms"](spark, sf)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
