@@ -209,7 +209,9 @@ def known_entities(spark, d):
 @query(f"""WITH p AS (SELECT doc_id, regexp_split_to_array(text, '{_TOKEN}') p, regexp_extract_all(text, '{_TOKEN}') w FROM documents), e AS (SELECT doc_id, unnest(p) b, unnest(list_append(w, NULL)) w, unnest(list_append(p[2:], NULL)) a, generate_subscripts(p, 1) i FROM p),
 o AS (SELECT *, sum(length(b) + coalesce(length(w), 0)) OVER (PARTITION BY doc_id ORDER BY i) hi FROM e) SELECT doc_id, count(*) n, sum(hi)::BIGINT ends, sum(hi - length(w))::BIGINT starts, md5(rtrim(string_agg(w || a, '' ORDER BY i))) text_md5 FROM o WHERE w IS NOT NULL GROUP BY doc_id""")
 def token_spans(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", X.token_spans(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    rows = _t(spark, d, "documents").filter(F.col("text").rlike(X.TOKEN))
+    rows = rows.select("doc_id", X.gaps(F.col("text")).alias("p"), X.tokens(F.col("text")).alias("w"))
+    rows = rows.select("doc_id", X.spans(F.col("p"), F.col("w")).alias("t"))
     total = lambda c: F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x[c])
     text = X.untokenized(F.transform("t", lambda x: x["text"]), F.transform("t", lambda x: x["after"]))
     return rows.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -9,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
 
@@ -62,22 +64,32 @@ def ngrams(words: Column, n: int = 2, mode: str | None = "any", keep: Callable[[
 
     keep: own predicate over the array of a gram's words, instead of mode.
     """
-    marked = F.transform(words, lambda w: F.struct(w.alias("w"), is_filtered(w).alias("f")))
+    if mode not in (None, "any", "all", "ends"):
+        raise ValueError(f"unknown mode: {mode}")
+    marked = F.transform(words, lambda w: F.struct(w.alias("w"), F.lower(w).alias("low"), is_filtered(w).alias("f")))
 
-    def from_start(all_of: Column) -> Column:
+    def from_starts(all_of: Column) -> Column:
         def at(i: Column) -> Column:
-            grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(n), F.size(all_of) - i)), lambda k: F.slice(all_of, i + 1, k))
-            if keep is not None:
-                grams = F.filter(grams, lambda g: keep(F.transform(g, lambda x: x["w"])))
-            elif mode is not None:
-                grams = F.filter(grams, lambda g: keeps_ngram(F.transform(g, lambda x: x["f"]), mode))
-            return F.transform(grams, lambda g: F.lower(F.array_join(F.transform(g, lambda x: x["w"]), " ")))
+            parts = [F.get(all_of, i + j) for j in range(n)]
 
-        return F.when(
-            F.size(all_of) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(all_of) - 1), at)),
-        ).otherwise(F.array().cast("array<string>"))
+            def gram(k: int) -> Column:
+                own = parts[:k]
+                if keep is not None:
+                    kept = keep(F.array(*[p["w"] for p in own]))
+                elif mode is not None:
+                    flags = [p["f"] for p in ([own[0], own[-1]] if mode == "ends" else own)]
+                    kept = ~functools.reduce(operator.and_ if mode == "all" else operator.or_, flags)
+                else:
+                    kept = F.lit(True)
+                text = F.concat(*[x for p in own for x in (F.lit(" "), p["low"])][1:])
+                return F.when(kept if k == 1 else (i + k <= F.size(all_of)) & kept, text)
 
-    return F.get(F.transform(F.array(marked), from_start), F.lit(0))
+            return F.array(*[gram(k) for k in range(1, n + 1)])
+
+        made = F.flatten(F.transform(F.sequence(F.lit(0), F.size(all_of) - 1), at))
+        return F.when(F.size(all_of) > 0, F.filter(made, lambda g: g.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(marked), from_starts), F.lit(0))
 
 
 def terms(text: Column, n: int = 2, mode: str = "any", tokenizer: Callable[[Column], Column] = tokens) -> Column:
@@ -295,21 +307,33 @@ def untokenized(words: Column, spaces: Column) -> Column:
     return F.rtrim(F.array_join(F.zip_with(words, spaces, lambda w, s: F.concat(w, s)), ""))
 
 
-def token_spans(text: Column) -> Column:
+@F.pandas_udf(ArrayType(IntegerType()))
+def running_sums(numbers: pd.Series) -> pd.Series:
+    """Of each array the sums of its first one, two, ... numbers."""
+    return pd.Series([None if x is None else np.cumsum(x, dtype=np.int32) for x in numbers], dtype=object)
+
+
+def gaps(text: Column) -> Column:
+    """What stands before, between and after the tokens of a text."""
+    return F.split(F.coalesce(text, F.lit("")), TOKEN, -1)
+
+
+def spans(gaps: Column, tokens: Column) -> Column:
     """Array of (text, after, start, end): tokens with the white space and other signs up to the next token, by running sums."""
-    from lexigrove.functions.arrays import let, scanned
+    from lexigrove.functions.arrays import let
+
+    ends = running_sums(F.zip_with(gaps, tokens, lambda p, w: F.length(p) + F.coalesce(F.length(w), F.lit(0))))
 
-    def of(t: Column) -> Column:
-        parts = F.split(t, TOKEN, -1)
-        pairs = F.zip_with(parts, F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda p, w: F.struct(p.alias("p"), w.alias("w")))
-        after = F.slice(F.transform(parts, lambda p: p), 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    def of(x: Column) -> Column:
+        def span(w: Column, i: Column) -> Column:
+            end = F.get(x["e"], i)
+            return F.struct(w.alias("text"), F.get(x["p"], i + 1).alias("after"), (end - F.length(w)).alias("start"), end.alias("end"))
 
-        def step(at: Column, x: Column) -> tuple[Column, Column]:
-            start = at + F.length(x["x"]["p"])
-            end = start + F.length(x["x"]["w"])
-            return end, F.struct(x["x"]["w"].alias("text"), x["after"].alias("after"), start.alias("start"), end.alias("end"))
+        return F.transform(x["w"], span)
 
-        items = F.filter(F.zip_with(pairs, after, lambda x, a: F.struct(x.alias("x"), a.alias("after"))), lambda x: x["x"]["w"].isNotNull())
-        return scanned(items, F.lit(0), "array<struct<text:string,after:string,start:int,end:int>>", step)
+    return let(F.struct(gaps.alias("p"), tokens.alias("w"), ends.alias("e")), of)
 
-    return let(F.coalesce(text, F.lit("")), of)
+
+def token_spans(text: Column) -> Column:
+    """spans() of a text."""
+    return spans(gaps(text), tokens(text))
