@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +39,26 @@ def best_window(n: Column, length: int, stride: int) -> Column:
     """
     stride = min(length, stride)
 
-    def of(n: Column) -> Column:
-        def at(p: Column) -> Column:
-            first = F.greatest(F.lit(0), F.floor((p - length) / stride).cast("int") + 1)
-            last = F.least(F.floor(p / stride).cast("int"), _window_count(n, length, stride) - 1)
-
-            def scored(i: Column) -> Column:
-                stop = F.least(i * stride + length, n)
-                context = F.least(p - i * stride, stop - 1 - p) + 0.01 * (stop - i * stride)
-                return F.struct((-context).alias("s"), i.alias("w"))
-
-            return F.array_min(F.transform(F.sequence(first, last), scored))["w"]
-
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(empty("array<int>"))
-
-    return let(n, of)
+    def windows(n: int) -> np.ndarray:
+        p = np.arange(n)
+        last = 0 if n <= length else -(-(n - length) // stride)
+        i = np.maximum(0, (p - length) // stride + 1)
+        best, most = i, np.full(n, -np.inf)
+        while len(p):
+            there = (i <= last) & (i * stride <= p)
+            if not there.any():
+                break
+            stop = np.minimum(i * stride + length, n)
+            context = np.minimum(p - i * stride, stop - 1 - p) + 0.01 * (stop - i * stride)
+            better = there & (context > most)
+            best, most, i = np.where(better, i, best), np.where(better, context, most), i + 1
+        return best.astype(np.int32)
+
+    @F.pandas_udf("array<int>")
+    def of(sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(n) else windows(int(n)) for n in sizes], dtype=object)
+
+    return of(n)
 
 
 def word_offsets(docs: DataFrame) -> DataFrame:
