@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions.batches import bounded
 from lexigrove.functions.text import STOPWORDS, murmur3
+from lexigrove.operators.vindex import _best
 
 @functools.cache
 def classes() -> np.ndarray:
@@ -71,7 +72,7 @@ class Words:
         numbers: dict[str, int] = {}
         same = np.array([numbers.setdefault(w.lower(), len(numbers)) for w in coded.dictionary.to_pylist()], np.int64)
         self.lower = pa.array(list(numbers), pa.large_string())
-        self.dropped = np.array([w in _STOP or all(unicodedata.category(c)[0] == "P" for c in w) for w in numbers], bool)
+        self.dropped = np.array([w in _STOP or len(w) == 1 and unicodedata.category(w)[0] == "P" for w in numbers], bool)
         self.shown = coded
         self.word = same[coded.indices.to_numpy()] if len(same) else np.zeros(0, np.int64)
         start = parts[own]
@@ -240,3 +241,66 @@ def gram_sizes(docs: DataFrame, ways: dict[str, str | Callable[[list[pa.Array]],
 
     names = [f"{what}_{name}" for name in ways for what in ("n", "chars")]
     return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"`{c}` long" for c in names)]))
+
+
+#: Sums of products that a task holds at once.
+HELD = 1 << 22
+
+
+def products(
+    docs: DataFrame, asked: list[tuple[int, str, float]], qids: list, names: tuple[str, str, str, str], n: int = 2, per: float | None = None, digits: int = 6, k: int | None = None,
+) -> DataFrame:
+    """Question, text and score: the sum, over the terms they share, of the term's value in the question and ln(1 + tf), or tf / per, of the text.
+
+    asked: place of the question in qids, term, value above 0. names: of the question's key and its type, of the key and the text in docs. All questions are scored
+    with a text in the task that has it, so nothing is shuffled. k: of each question a task gives only its k best texts (of whole numbers as keys).
+    """
+    qid, qtype, key, text = names
+    kind = docs.schema[key].dataType.simpleString()
+    place = {w: i for i, w in enumerate(sorted({w for _, t, _ in asked for w in t.split(" ")}))}
+    width = len(place) + 1
+    coded = sorted((place[w[0]] * width + (place[w[1]] + 1 if len(w) > 1 else 0), q, v) for q, t, v in asked for w in [t.split(" ")])
+    wanted, begins = np.unique(np.array([c for c, _, _ in coded], np.int64), return_index=True)
+    times = np.diff(np.r_[begins, len(coded)])
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (place, wanted, begins, times, np.array([q for _, q, _ in coded], np.int64), np.array([v for _, _, v in coded], np.float64), qids),
+    )
+
+    def scored(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        place, wanted, begins, times, question, value, qids = shared.value
+        words = Words(batch.column(1))
+        number = np.array([place.get(w, -1) for w in words.lower.to_pylist()], np.int64)
+        at, first, second = words.terms(n, number >= 0)
+        code = number[first] * width + np.where(second >= 0, number[second] + 1, 0)
+        own = np.isin(code, wanted)
+        (row, term), tf = _distinct(words.row[at[own]], np.searchsorted(wanted, code[own]))
+        part = np.log1p(tf) if per is None else tf / per
+        step = max(HELD // len(qids), 1)
+        for low in range(0, batch.num_rows, step):
+            some = slice(*np.searchsorted(row, [low, low + step]))
+            each = times[term[some]]
+            from_row = np.repeat(np.arange(len(each)), each)
+            entry = begins[term[some]][from_row] + np.arange(len(from_row)) - (np.cumsum(each) - each)[from_row]
+            total = np.bincount((row[some][from_row] - low) * len(qids) + question[entry], part[some][from_row] * value[entry])
+            there = np.flatnonzero(total > 0)
+            yield there // len(qids) + low, there % len(qids), np.round(total[there], digits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_by = pa.array(shared.value[-1])
+        least = np.full(len(asked_by), -np.inf)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            whole = k is not None and batch.num_rows and not batch.column(0).null_count
+            keys = batch.column(0).to_numpy() if whole else None
+            for row, q, score in scored(batch) if batch.num_rows else ():
+                if whole:
+                    good = score >= least[q]
+                    held = _best(*(np.r_[h, x] for h, x in zip(held, (q[good], keys[row[good]], score[good]))), k)
+                    last = np.flatnonzero(np.bincount(held[0], minlength=len(least)) == k)
+                    least[last] = held[2][np.searchsorted(held[0], last, "right") - 1]
+                else:
+                    yield pa.RecordBatch.from_pydict({qid: asked_by.take(pa.array(q)), key: batch.column(0).take(pa.array(row)), "score": pa.array(score)})
+        if len(held[0]):
+            yield pa.RecordBatch.from_pydict({qid: asked_by.take(pa.array(held[0])), key: pa.array(held[1]), "score": pa.array(held[2])})
+
+    return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(run, f"`{qid}` {qtype}, `{key}` {kind}, score double")

@@ -21,9 +21,18 @@ LOOKED_UP = 200_000
 COMMON = 2000
 
 
+#: Questions that are scored together within tasks; larger sets are joined.
+QUESTIONS = 4096
+
+
+def _several(docs: DataFrame, key: str) -> DataFrame:
+    """_key: keys of more than one text."""
+    return docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("_key"))
+
+
 def _counted(docs: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
     """counting.by_text, with the texts of one key as one text's: they are added up, and only where a key has several texts is anything shuffled."""
-    several = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("_key"))
+    several = _several(docs, key)
     if several.isEmpty():
         return counting.by_text(docs, key, text, **how)
     same = docs[key].eqNullSafe(several["_key"])
@@ -76,25 +85,44 @@ def corpus_size(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def doc_scores_all(questions: DataFrame, docs: DataFrame, qid: str = "item_id", did: str = "doc_id", n: int = 2) -> DataFrame:
-    """qid, doc, score of every document that shares a term of positive weight with the question."""
+def doc_scores_all(questions: DataFrame, docs: DataFrame, qid: str = "item_id", did: str = "doc_id", n: int = 2, k: int | None = None) -> DataFrame:
+    """qid, doc, score of every document that shares a term of positive weight with the question. k: those after each question's k best may be missing.
+
+    Questions that fit in a task are scored where the texts are; others are joined with the counts.
+    """
     asked = term_counts(questions, qid, n=n)
     counted = term_counts(docs, did, n=n, only=asked.select("term").distinct())
     found = document_frequencies(counted).crossJoin(F.broadcast(corpus_size(docs))).select(
         "term", idf(F.col("df"), F.col("n_docs")).alias("idf"),
     ).filter("idf > 0")
     asked = asked.join(found, "term").select(qid, "term", (F.log1p("tf") * F.col("idf") * F.col("idf")).alias("qw"))
+    if n <= 2:
+        scores = products(asked.withColumnRenamed("qw", "value"), docs, qid, did, n, k=k)
+        if scores is not None:
+            return scores
     pairs = counted.join(asked, "term").select(qid, did, (F.log1p("tf") * F.col("qw")).alias("part"))
     return pairs.groupBy(qid, did).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def products(asked: DataFrame, docs: DataFrame, qid: str, did: str, n: int = 2, per: float | None = None, k: int | None = None) -> DataFrame | None:
+    """counting.products of questions (qid, term, value above 0); None where they are too many for a task, or a key has several texts."""
+    rows = asked.select(qid, "term", "value").limit(LOOKED_UP + 1).collect()
+    kind = asked.schema[qid].dataType.simpleString()
+    place: dict = {}
+    listed = [(place.setdefault(r[qid], len(place)), r["term"], r["value"]) for r in rows]
+    if not rows or len(rows) > LOOKED_UP or len(place) > QUESTIONS or kind not in ("bigint", "int", "string") or not _several(docs, did).isEmpty():
+        return None
+    whole = docs.schema[did].dataType.simpleString() == "bigint"
+    return counting.products(docs, listed, list(place), (qid, kind, did, "text"), n, per, k=k if whole else None)
+
+
 def top_k(scores: DataFrame, k: int, by: str = "item_id", tie: str = "doc_id", score: str = "score") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc(score), tie)
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
 def top_docs(questions: DataFrame, docs: DataFrame, k: int = 5, prior: DataFrame | None = None, meta_scale: float = 100.0) -> DataFrame:
-    scores = doc_scores_all(questions, docs)
+    scores = doc_scores_all(questions, docs, k=k if prior is None else None)
     if prior is not None:
         scores = blend_prior(scores, prior, meta_scale)
     return top_k(scores, k)

@@ -161,3 +161,16 @@ def test_batches_are_bounded(spark, sf):
     catalogue.QUERIES["nfd_terms"](spark, sf)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
+
+def test_scores_are_summed_where_the_texts_are(spark, monkeypatch):
+    """With no room for questions in tasks the same scores come from joins."""
+    docs = documents(spark, ODD * 2 + ["fox news", "dog zebra fox"])
+    asked = spark.createDataFrame([(7, "red fox zebra"), (3, "the quick dog, the Fox"), (5, "")], "item_id long, text string")
+    here = tfidf.doc_scores_all(asked, docs), tfidf.top_docs(asked, docs, 3)
+    assert "Join" not in here[0]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tfidf, "QUESTIONS", 0)
+    joined = tfidf.doc_scores_all(asked, docs), tfidf.top_docs(asked, docs, 3)
+    for a, b in zip(here, joined):
+        assert listed(a, *a.columns) == listed(b, *a.columns) and a.count()
