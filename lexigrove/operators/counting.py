@@ -201,6 +201,37 @@ def by_text(
     return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
 
 
+def words_between(docs: DataFrame, signs: str = " \t\r\n\u202f", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, word, start and idx (the place among them) of the words between the signs of a text, without a shuffle."""
+    kind = docs.schema[key].dataType.simpleString()
+    apart = np.array(sorted(map(ord, signs)), np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts, points, begins = code_points(batch.column(1))
+            own = ~np.isin(points, apart)
+            edge = np.ones(len(points) + 1, bool)
+            edge[1:-1] = own[1:] != own[:-1]
+            edge[begins] = True
+            parts = np.flatnonzero(edge)[:-1]
+            byte = _bytes_at(points)
+            base = int(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset])
+            raw = texts.buffers()[2] or pa.py_buffer(b"")
+            listed = pa.LargeStringArray.from_buffers(len(parts), pa.py_buffer(np.r_[byte[parts], byte[-1]] + base), raw)
+            there = own[parts] if len(parts) else np.zeros(0, bool)
+            start = parts[there]
+            row = np.searchsorted(begins, start, "right") - 1
+            first = np.searchsorted(row, row)
+            yield pa.RecordBatch.from_pydict({
+                key: batch.column(0).take(pa.array(row)), "word": listed.filter(pa.array(there)).cast(pa.string()),
+                "start": pa.array(start - begins[row], pa.int64()), "idx": pa.array(np.arange(len(row)) - first, pa.int64()),
+            })
+
+    return bounded(docs).select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, word string, start long, idx long")
+
+
 def gram_sizes(docs: DataFrame, ways: dict[str, str | Callable[[list[pa.Array]], np.ndarray | bool] | None], key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
     """key and, for each way, n_ and chars_ with its name: how many grams of 1 to n words of a text stay, and their characters. Texts without words have no row.
 

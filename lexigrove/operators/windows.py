@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.arrays import empty, let, scanned
+from lexigrove.operators import counting
 
 
 def _window_count(n: Column, length: int, stride: int) -> Column:
@@ -62,10 +63,8 @@ def best_window(n: Column, length: int, stride: int) -> Column:
 
 
 def word_offsets(docs: DataFrame) -> DataFrame:
-    """doc_id, word and start of the words between white space; starts are running sums, so long texts stay linear."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", "[ \t\r\n\u202f]")).alias("i", "word"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))).filter("word <> ''").drop("i")
+    """doc_id, word and start of the words between white space, in the task that has the text."""
+    return counting.words_between(docs).select("doc_id", "word", "start")
 
 
 def sentences(text: Column, delimiter: str = "\n") -> Column:

@@ -43,7 +43,7 @@ class Corpus:
     """What is searched, as frames, and how documents are scored.
 
     starts: vec_id, embedding, doc_id, start_idx, cluster_id and, where ends are named, start2end and span.
-    centroids: cluster_id, centroid. ends: doc_id, end_idx, end_vec. tokens: doc_id, idx, char_start, char_end.
+    centroids: cluster_id, centroid. ends: doc_id, end_idx, end_vec. tokens: doc_id, idx, char_start, char_end, or a function that gives them of documents.
     documents: doc_id, text, article. doc_scores: from questions to qid, doc_id, doc_score; without one, scores are TF-IDF.
     prior: qid, doc_id, prior.
     """
@@ -51,7 +51,7 @@ class Corpus:
     starts: DataFrame
     centroids: DataFrame
     ends: DataFrame
-    tokens: DataFrame
+    tokens: DataFrame | Callable[[DataFrame], DataFrame]
     documents: DataFrame
     doc_scores: Callable[[DataFrame], DataFrame] | None = None
     prior: DataFrame | None = None
@@ -98,7 +98,7 @@ def found_by(corpus: Corpus, questions: DataFrame, p: Parameters) -> DataFrame:
 
 
 def finished(
-    found: DataFrame, asked: DataFrame, ends: DataFrame, tokens: DataFrame, documents: DataFrame, paragraph_scores: DataFrame | None, p: Parameters
+    found: DataFrame, asked: DataFrame, ends: DataFrame, tokens: DataFrame | Callable[[DataFrame], DataFrame], documents: DataFrame, paragraph_scores: DataFrame | None, p: Parameters
 ) -> DataFrame:
     """Ranked answers of candidates (qid, doc_id, start_idx, score). asked: qid, doc_id, start_idx, end_query, span and, where ends are named, start2end."""
     keys = ["qid", "doc_id", "start_idx"]
@@ -113,6 +113,9 @@ def finished(
         ended = search.select_ends(
             found.withColumnRenamed("doc_id", "group"), ends.withColumnRenamed("doc_id", "group"), p.max_answer_length,
         ).withColumnRenamed("group", "doc_id")
+    if callable(tokens):  # only the documents found are cut into tokens: top_k of each question at most
+        documents = documents.join(ended.select("doc_id").distinct(), "doc_id", "left_semi")
+        tokens = tokens(documents)
     first = tokens.select("doc_id", F.col("idx").alias("start_idx"), F.col("char_start").alias("start_pos"), F.col("char_end").alias("own_end"))
     last = tokens.select("doc_id", F.col("idx").alias("end_idx"), F.col("char_end").alias("end_pos"))
     placed = ended.join(first, ["doc_id", "start_idx"]).join(last, ["doc_id", "end_idx"], "left").withColumn(

@@ -174,3 +174,13 @@ def test_scores_are_summed_where_the_texts_are(spark, monkeypatch):
     joined = tfidf.doc_scores_all(asked, docs), tfidf.top_docs(asked, docs, 3)
     for a, b in zip(here, joined):
         assert listed(a, *a.columns) == listed(b, *a.columns) and a.count()
+
+
+def test_words_keep_their_places_without_a_shuffle(spark):
+    docs = documents(spark, [*ODD, "a\tb c  d\r\n e", "日本 語"])
+    frame = windows.word_offsets(docs)
+    assert not exchanges(frame)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = [(i, m.group(), m.start()) for i, t in texts.items() for m in re.finditer("[^ \t\r\n ]+", t)]
+    assert listed(frame, "doc_id", "word", "start") == sorted(want, key=str)
+    assert [r.idx for r in counting.words_between(docs.filter("doc_id = 4")).orderBy("start").collect()] == list(range(7))
